@@ -66,6 +66,24 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         labels = scratch.put(spread.join(up, "comp").select("v", F.col("root").alias("comp")), f"{name}_{step % 2 + 1}")
 
 
+def bitmap(df: DataFrame, name: str, bits: int = 1 << 23) -> np.ndarray:
+    """A set bit at name mod bits for each row: bits / 8 bytes whatever the number of rows.
+
+    Looking a row up there first spares most rows that an exact join would drop; it never replaces the join.
+    """
+    slot = F.pmod(name, F.lit(bits))
+    rows = df.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {bits}) & 31 as int))")).alias("bits"))
+    out = np.zeros(bits // 32, np.uint32)
+    for r in rows.collect():
+        out[r.word] = r["bits"]
+    return out.view(np.uint8)
+
+
+def marked(batch: pa.RecordBatch, name: str, bits: np.ndarray) -> pa.RecordBatch:
+    slot = longs(batch, name) % (len(bits) * 8)
+    return batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
+
+
 # ---------------------------------------------------------------- bytes of texts
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and their n + 1 offsets. A null counts as empty."""

@@ -5,8 +5,9 @@ exact. How it works:
 
 1. One scan hashes each set to a fingerprint; equal sets collapse to the smallest id. The scan also counts shingles in
    a sketch of fixed size, which gives all shingles one order: common ones last, else by hash.
-2. Linked sets share one of the first `n - ceil(3n/4) + 1` shingles in that order. These prefixes meet in buckets of
-   hashes as packed blocks; sets that share one with a set of fitting size survive.
+2. Linked sets share one of the first `n - ceil(3n/4) + 1` shingles in that order, and at least `k` of the first
+   `n - ceil(3n/4) + k`. These prefixes (with k a half of the first number) meet in buckets of hashes as packed
+   blocks; sets that share enough of them with sets of fitting size survive.
 3. Every survivor is verified against one leader. That joins groups of near copies without their pairs.
 4. For each shared shingle that still holds sets of several components, the sets' count vectors (shingles by hash
    group) go into an R-tree. The summed minima of the coordinates bound the overlap from above, for whole nodes and
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import CHUNK, LOWER, Powers, Scratch, U, batches, blob, column, components, longs, mix, parts, words
+from ._base import LOWER, Powers, Scratch, U, batches, bitmap, blob, column, components, marked, mix, parts, words
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SLICE = 1 << 16
 GROUPS = 128
 LEAF = 16
@@ -41,6 +42,16 @@ def need(n, num: int, den: int):
     return (n * num + den - 1) // den
 
 
+def first(n, num: int, den: int):
+    """So many first shingles hold one that is shared."""
+    return n - need(n, num, den) + 1
+
+
+def more(n, num: int, den: int):
+    """So many shared ones must be among the first(n) + more(n) - 1."""
+    return np.maximum(first(n, num, den) // 2, 1)
+
+
 def shingle_sets(data, offsets, powers: Powers, width: int = 5):
     """Distinct shingle hashes, ascending in each text, and their number in each text."""
     starts, ends, counts = words(data, offsets)
@@ -78,7 +89,7 @@ def profile(width: int):
         powers, sketch = Powers(), np.zeros(SKETCH, np.int64)
         for batch, i, j, data, offsets in batches(frames):
             sets, sizes = shingle_sets(data, offsets, powers, width)
-            sketch += np.bincount((sets >> U(44)).astype(np.int64), minlength=SKETCH)
+            sketch += np.bincount((sets >> U(42)).astype(np.int64), minlength=SKETCH)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": column(batch, "doc_id")[i:j].cast(pa.int64()), "n": pa.array(sizes, pa.int64()),
                 "f1": segment_sums(mix(sets, 11), sizes).view(np.int64), "f2": segment_sums(mix(sets, 12), sizes).view(np.int64),
@@ -99,7 +110,7 @@ def add_slices(group: pa.Table) -> pa.Table:
 
 
 def ranks(sketched: DataFrame) -> np.ndarray:
-    """How far above the mean each counter is, in powers of two: one byte for each, 1 MB whatever the input."""
+    """How far above the mean each counter is, in powers of two: one byte for each, 4 MB whatever the input."""
     some = sketched.where("slice is not null").select("slice", "counts", F.pmod(F.hash("counts"), F.lit(32)).alias("salt"))
     part = some.groupBy("slice", "salt").applyInArrow(add_slices, "slice int, counts binary")
     rows = part.groupBy("slice").applyInArrow(add_slices, "slice int, counts binary").collect()  # SKETCH / SLICE rows
@@ -110,24 +121,27 @@ def ranks(sketched: DataFrame) -> np.ndarray:
 
 
 def prefixes(order, width: int, num: int, den: int, buckets: int):
-    """Packed blocks (bucket; hash, fingerprint and size of the set) of the prefix shingles of a task's texts."""
+    """Packed blocks (bucket; hash, set, fingerprint and size of the sets) of the prefix shingles of a task's texts.
+
+    A hash is cut to 32 bits next to its bucket: two that meet by chance make a candidate more, never a link.
+    """
 
     def pack(held):
-        hashes, prints, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (mix(hashes, 21) % U(buckets)).astype(np.int64)
+        hashes, prints, sizes, early = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket, hashes = (mix(hashes, 21) % U(buckets)).astype(np.int64), (hashes >> U(8)).astype(np.uint32)
         by = np.lexsort((prints, hashes, bucket))
-        hashes, prints, sizes, bucket = hashes[by], prints[by], sizes[by], bucket[by]
+        hashes, prints, sizes, bucket, early = hashes[by], prints[by], sizes[by], bucket[by], early[by]
         new = np.ones(len(by), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1])
-        hashes, prints, sizes, bucket = hashes[new], prints[new], sizes[new], bucket[new]
+        new[1:] = (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1]) | (bucket[1:] != bucket[:-1])
+        hashes, prints, sizes, bucket, early = hashes[new], prints[new], sizes[new], bucket[new], early[new]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = [*cut[1:].tolist(), len(bucket)]
         out = []
-        for a, z in zip(cut.tolist(), ends, strict=True):
+        for a, z in zip(cut, np.append(cut, len(bucket))[1:], strict=True):
             own, at = np.unique(prints[a:z], return_inverse=True)
             size = np.zeros(len(own), np.uint32)
             size[at] = sizes[a:z]
-            out.append((int(bucket[a]), hashes[a:z].tobytes(), at.astype(np.uint32).tobytes(), own.tobytes(), size.tobytes()))
+            at = (at << 1 | early[a:z]).astype(np.uint16 if len(own) < 1 << 15 else np.uint32)
+            out.append((int(bucket[a]), hashes[a:z].tobytes(), at.tobytes(), own.tobytes(), size.tobytes()))
         b, h, i, p, s = zip(*out, strict=True)
         return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "hashes": blob(h), "at": blob(i), "prints": blob(p), "sizes": blob(s)})
 
@@ -137,12 +151,14 @@ def prefixes(order, width: int, num: int, den: int, buckets: int):
             sets, sizes = shingle_sets(data, offsets, powers, width)
             prints = segment_sums(mix(sets, 11), sizes)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            late = rank[(sets >> U(44)).astype(np.int64)]
-            by = np.lexsort((sets, late, owner)) if late.any() else slice(None)
+            late = rank[(sets >> U(42)).astype(np.int64)]
+            by = np.lexsort((sets, late, owner))
             at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = at < (sizes - need(sizes, num, den) + 1)[owner]
-            sets = sets[by][first]
-            held.append((sets, prints[owner][first], sizes[owner][first].astype(np.uint32)))
+            one = first(sizes, num, den)
+            keep = at < (one + more(sizes, num, den) - 1)[owner]
+            early = (at < one[owner])[keep]
+            sets, own = sets[by][keep], owner[keep]
+            held.append((sets, prints[own], sizes[own].astype(np.uint32), early.astype(np.int64)))
             n += len(sets)
             if n >= ENTRIES:
                 yield pack(held)
@@ -154,23 +170,30 @@ def prefixes(order, width: int, num: int, den: int, buckets: int):
 
 
 def shared(num: int, den: int):
-    """Of one bucket: (token, f1) for the hashes that sets of fitting sizes share."""
+    """Of one bucket: (token, f1, early) for the hashes that sets of fitting sizes share."""
 
     def run(group: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(name)]
-        own = [(p[i], s[i]) for p, s, i in zip(read("prints", U), read("sizes", np.uint32), read("at", np.uint32), strict=True)]
-        hashes, prints = np.concatenate(read("hashes", U)), np.concatenate([p for p, _ in own])
-        sizes = np.concatenate([s for _, s in own]).astype(np.int64)
+        hashes, prints, sizes, early = [], [], [], []
+        for k in range(len(group)):
+            h, i, p, s = (group.column(c)[k].as_py() for c in ("hashes", "at", "prints", "sizes"))
+            hashes.append(np.frombuffer(h, np.uint32))
+            at = np.frombuffer(i, np.uint16 if len(i) < len(h) else np.uint32).astype(np.int64)
+            prints.append(np.frombuffer(p, U)[at >> 1])
+            sizes.append(np.frombuffer(s, np.uint32)[at >> 1])
+            early.append((at & 1).astype(bool))
+        hashes, prints, sizes, early = (np.concatenate(x) for x in (hashes, prints, sizes, early))
+        sizes = sizes.astype(np.int64)
         by = np.lexsort((prints, sizes, hashes))
-        hashes, prints, sizes = hashes[by], prints[by], sizes[by]
+        hashes, prints, sizes, early = hashes[by], prints[by], sizes[by], early[by]
         new = np.ones(len(by), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1])
-        hashes, prints, sizes = hashes[new], prints[new], sizes[new]
+        hashes, prints, sizes, early = hashes[new], prints[new], sizes[new], early[new]
         fits = (hashes[1:] == hashes[:-1]) & (sizes[1:] * num <= sizes[:-1] * den)
         keep = np.zeros(len(hashes), bool)
         keep[1:] |= fits
         keep[:-1] |= fits
-        return pa.table({"token": hashes[keep].view(np.int64), "f1": prints[keep].view(np.int64)})
+        token = hashes[keep].astype(np.int64) | int(group.column("bucket")[0].as_py()) << 32
+        return pa.table({"token": token, "f1": prints[keep].view(np.int64), "early": early[keep]})
 
     return run
 
@@ -183,22 +206,18 @@ def count_vectors(sets, sizes):
     return np.minimum(counts, 255).astype(np.uint8), np.maximum(counts - 255, 0).sum(1)
 
 
-def members(wanted, bits: int, width: int):
+def members(wanted, width: int):
     """Sets and count vectors of the texts whose id may be wanted; an exact join follows."""
 
     def run(frames):
-        powers, bitmap = Powers(), wanted.value
-        for batch in frames:
-            ids = longs(batch, "doc_id")
-            slot = ids % bits
-            batch = batch.filter(pa.array((bitmap[slot >> 3] >> (slot & 7)) & 1 == 1))
-            for _, i, j, data, offsets in batches([batch]):
-                sets, sizes = shingle_sets(data, offsets, powers, width)
-                counts, excess = count_vectors(sets, sizes)
-                cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"rep": column(batch, "doc_id")[i:j].cast(pa.int64()), "n": pa.array(sizes, pa.int64()),
-                    "tokens": pa.ListArray.from_arrays(pa.array(cut), pa.array(sets.view(np.int64))),
-                    "counts": blob([x.tobytes() for x in counts]), "excess": pa.array(excess, pa.int64())})
+        powers = Powers()
+        for batch, i, j, data, offsets in batches(marked(b, "doc_id", wanted.value) for b in frames):
+            sets, sizes = shingle_sets(data, offsets, powers, width)
+            counts, excess = count_vectors(sets, sizes)
+            cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"rep": column(batch, "doc_id")[i:j].cast(pa.int64()), "n": pa.array(sizes, pa.int64()),
+                "print": segment_sums(mix(sets, 11), sizes).view(np.int64), "tokens": pa.ListArray.from_arrays(pa.array(cut), pa.array(sets.view(np.int64))),
+                "counts": blob([x.tobytes() for x in counts]), "excess": pa.array(excess, pa.int64())})
 
     return run
 
@@ -280,7 +299,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(both * den >= (F.size("ta") + F.size("tb") - both) * num).select("a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, wanted_bits: int = 1 << 23) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs(doc_id, text).
 
     Null ids are kept with the component null. Other columns of docs are ignored.
@@ -293,26 +312,23 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75, wa
     rows = scanned.where("slice is null").select("doc_id", "n", "f1", "f2")
     reps = s.put(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "reps")
 
-    entries = (reps.agg(F.sum("n")).first()[0] or 0) * (den - num) // den
+    entries = (reps.agg(F.sum("n")).first()[0] or 0) * (den - num) * 3 // (2 * den)
     n_parts = max(n, entries >> 20)
     packed = texts.mapInArrow(prefixes(order, width, num, den, 4 * n_parts), "bucket int, hashes binary, at binary, prints binary, sizes binary")
-    cells = packed.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(shared(num, den), "token long, f1 long")
+    cells = packed.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(shared(num, den), "token long, f1 long, early boolean")
     cells = s.put(cells, "cells")
-    held = s.put(cells.select("f1").distinct(), "held")
-    alive = s.put(reps.join(held, "f1").select("f1", "rep", "n"), "alive")
-
-    bit = F.pmod("rep", F.lit(wanted_bits))
-    marks = alive.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(rep, {wanted_bits}) & 31 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(wanted_bits // 32, np.uint32)  # wanted_bits / 8 bytes at most
-    for r in marks:
-        bitmap[r.word] = r.bits
-    wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8))
-    found = texts.where("doc_id is not null").mapInArrow(members(wanted, wanted_bits, width), "rep long, n long, tokens array<long>, counts binary, excess long")
-    sets = s.put(found.join(alive.select("rep", "n"), ["rep", "n"]).dropDuplicates(["rep"]), "sets")
-
-    near = s.put(cells.join(alive, "f1").select("token", "rep", "n"), "near")
-    first = s.put(near.groupBy("token").agg(F.min("rep").alias("leader")), "leaders")
-    led = near.join(first, "token").where("rep <> leader").groupBy("leader", "rep").count()
+    least = F.expr(f"(n * {num} + {den - 1}) div {den}")  # the size of the smallest partner
+    enough = F.greatest(F.expr(f"(least - (least * {num} + {den - 1}) div {den} + 1) div 2"), F.lit(1))
+    held = s.put(cells.groupBy("f1").agg(F.count("*").alias("held")), "held")
+    alive = s.put(reps.join(held, "f1").withColumn("least", least).where(F.col("held") >= enough).select("f1", "rep", "n"), "alive")
+
+    wanted = spark.sparkContext.broadcast(bitmap(alive, "rep"))
+    found = texts.where("doc_id is not null").mapInArrow(members(wanted, width), "rep long, n long, print long, tokens array<long>, counts binary, excess long")
+    sets = s.put(found.join(alive.select("rep", "f1"), "rep").where("print = f1").drop("print", "f1").dropDuplicates(["rep"]), "sets")
+
+    near = s.put(cells.where("early").join(alive, "f1").select("token", "rep", "n"), "near")
+    heads = s.put(near.groupBy("token").agg(F.min("rep").alias("leader")), "leaders")
+    led = near.join(heads, "token").where("rep <> leader").groupBy("leader", "rep").count()
     best = s.put(led.groupBy("rep").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")), "best")
     one = s.put(verified(best.select("a", F.col("rep").alias("b")), sets, num, den), "links_1")
     comp = components(s, one, "comp_1")
