@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Powers, Scratch, U, batches, blob, column, flat, longs, mix, parts
+from ._base import Powers, Scratch, U, batches, bitmap, blob, chunks, column, flat, longs, marked, mix, parts
 
 PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
@@ -126,29 +126,10 @@ def lists(array: pa.Array, field: str | None = None):
     return values.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
 
 
-def settled(length: int):
-    """Texts with no open tile are done; the others keep their text and what is known of them."""
-
+def opened(wanted):
     def run(frames):
         for batch in frames:
-            tiles_of = column(batch, "tiles")
-            state, cut = lists(tiles_of, "state")
-            busy = np.zeros(len(batch) + 1, np.int64)
-            np.add.at(busy, np.repeat(np.arange(len(batch)), np.diff(cut)), state >= 2)
-            busy = busy[:-1] > 0
-            for some, is_open in ((batch.filter(pa.array(busy)), True), (batch.filter(pa.array(~busy)), False)):
-                if not len(some):
-                    continue
-                if is_open:
-                    null = pa.nulls(len(some), pa.binary())
-                    spans = pa.nulls(len(some), SPANS)
-                    sizes = pa.nulls(len(some), pa.int64())
-                    yield pa.RecordBatch.from_pydict({k: column(some, k) for k in ("doc_id", "rest", "k1", "k2", "text", "tiles")} | {"n_bytes": sizes, "spans": spans, "kept": null})
-                else:
-                    starts, cut = lists(column(some, "tiles"), "start")
-                    counts, _ = lists(column(some, "tiles"), "count")
-                    n_bytes, spans, kept = strip(column(some, "text"), starts, counts, cut, length)
-                    yield pa.RecordBatch.from_pydict({k: column(some, k) for k in ("doc_id", "rest", "k1", "k2")} | {"text": pa.nulls(len(some), pa.string()), "tiles": pa.nulls(len(some), column(some, "tiles").type), "n_bytes": n_bytes, "spans": spans, "kept": kept})
+            yield marked(batch, "k2", wanted.value)
 
     return run
 
@@ -340,18 +321,20 @@ def with_fields(head: T.StructType, ddl: str) -> T.StructType:
 
 def finished(length: int):
     def run(frames):
-        for batch in frames:
-            starts, cut = lists(column(batch, "tiles"), "start")
-            counts, _ = lists(column(batch, "tiles"), "count")
-            state, _ = lists(column(batch, "tiles"), "state")
-            owner = np.repeat(np.arange(len(batch)), np.diff(cut))[state <= 2]
-            more = [np.frombuffer(b"".join(x or ()), np.int64) for x in column(batch, "found").to_pylist()]
-            all_s = np.concatenate([starts[state <= 2], *more])
-            all_c = np.concatenate([counts[state <= 2], np.ones(len(all_s) - (state <= 2).sum(), np.int64)])
-            whose = np.concatenate([owner, np.repeat(np.arange(len(batch)), [len(x) for x in more])])
-            by = np.argsort(whose, kind="stable")
-            n_bytes, spans, kept = strip(column(batch, "text"), all_s[by], all_c[by], np.searchsorted(whose[by], np.arange(len(batch) + 1)), length)
-            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "rest": column(batch, "rest"), "n_bytes": n_bytes, "spans": spans, "kept": kept})
+        for whole in frames:
+            for i, j in chunks(flat(column(whole, "text"))[1]):
+                batch = whole.slice(i, j - i)
+                starts, cut = lists(column(batch, "tiles"), "start")
+                counts, _ = lists(column(batch, "tiles"), "count")
+                state, _ = lists(column(batch, "tiles"), "state")
+                owner = np.repeat(np.arange(len(batch)), np.diff(cut))[state <= 2]
+                more = [np.frombuffer(b"".join(x or ()), np.int64) for x in column(batch, "found").to_pylist()]
+                all_s = np.concatenate([starts[state <= 2], *more])
+                all_c = np.concatenate([counts[state <= 2], np.ones(len(all_s) - (state <= 2).sum(), np.int64)])
+                whose = np.concatenate([owner, np.repeat(np.arange(len(batch)), [len(x) for x in more])])
+                by = np.argsort(whose, kind="stable")
+                n_bytes, spans, kept = strip(column(batch, "text"), all_s[by], all_c[by], np.searchsorted(whose[by], np.arange(len(batch) + 1)), length)
+                yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "rest": column(batch, "rest"), "n_bytes": n_bytes, "spans": spans, "kept": kept})
 
     return run
 
@@ -371,13 +354,15 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     blocks = texts.select("k1", "k2", "text").mapInArrow(tile_blocks(length, 4 * n), "bucket int, k1 binary, k2 binary, start binary, count binary, piece binary, whole binary")
     states = blocks.repartition(n, "bucket").groupBy("bucket").applyInArrow(tile_states, f"{KEYS}, start long, count int, state int")
     states = states.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count", "state")).alias("tiles"))
-    known = texts.join(states, ["k1", "k2"], "left").select("doc_id", "rest", "k1", "k2", "text", "tiles")
-    open_ = s.put(known.mapInArrow(settled(length), with_fields(head, f"{KEYS}, text string, tiles array<struct<start:long,count:int,state:int>>, {RESULT}")), "settled")
-    done = open_.where("kept is not null").select("doc_id", "rest", "n_bytes", "spans", "kept")
-    rest = open_.where("kept is null").select("doc_id", "rest", "k1", "k2", "text", "tiles")
-    sent = s.put(rest.select("k1", "k2", "text", "tiles").mapInArrow(shard_runs(length, 4 * n), f"{KEYS}, starts binary, bucket int, prints binary, asks binary, d1 binary, d2 binary, at binary"), "shards")
+    states = s.put(states, "states")
+    is_open = states.where(F.exists("tiles", lambda x: x.state > 1))
+    wanted = spark.sparkContext.broadcast(bitmap(is_open, "k2"))
+    own = texts.select("k1", "k2", "text").mapInArrow(opened(wanted), f"{KEYS}, text string")
+    sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * n), f"{KEYS}, starts binary, bucket int, prints binary, asks binary, d1 binary, d2 binary, at binary")
+    sent = s.put(sent, "shards")
     runs = sent.where("bucket is not null").select("bucket", "prints", "asks", "d1", "d2", "at")
     far = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(across, f"{KEYS}, starts binary")
     found = far.union(sent.where("bucket is null").select("k1", "k2", "starts")).groupBy("k1", "k2").agg(F.collect_list("starts").alias("found"))
-    last = rest.join(found, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
-    return done.union(last.mapInArrow(finished(length), with_fields(head, RESULT)))
+    told = states.join(found, ["k1", "k2"], "left")
+    known = texts.join(told, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
+    return known.mapInArrow(finished(length), with_fields(head, RESULT))
