@@ -34,6 +34,7 @@ SLICE = 1 << 16
 GROUPS = 128
 LEAF = 16
 BLOCK = 256
+HEADS = 8  # tokens of a set by which pairs are known that another token finds too
 ENTRIES = 1 << 19  # packed at once by a task
 
 
@@ -263,6 +264,7 @@ def candidates(num: int, den: int):
         get = lambda name: group.column(name).to_numpy()
         token, row, col, rep, comp, size, excess, own = map(get, ("token", "row", "col", "rep", "comp", "n", "excess", "own"))
         points = np.frombuffer(b"".join(x.as_py() for x in group.column("counts")), np.uint8).reshape(-1, GROUPS)
+        heads = np.stack([np.array(x.as_py(), np.int64) for x in group.column("heads")])
         new = np.ones(len(rep), bool)
         new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])
         cut = np.append(np.flatnonzero(new), len(rep))
@@ -285,6 +287,10 @@ def candidates(num: int, den: int):
         keep = (comp[a] != comp[z]) & (rep[a] != rep[z])
         keep &= (row[a] == col[a]) | (own[a] != own[z])  # off the diagonal only pairs across the two chunks
         a, z = bounded(a[keep], z[keep], points, size, excess, num, den)
+        seen = np.zeros(len(a), bool)  # a smaller token that both hold has let the pair through already
+        for k in range(HEADS):
+            seen |= ((heads[a, k][:, None] == heads[z]) & (heads[a, k] < token[a])[:, None]).any(1)
+        a, z = a[~seen], z[~seen]
         pairs = np.unique(np.stack([np.minimum(rep[a], rep[z]), np.maximum(rep[a], rep[z])], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -340,7 +346,10 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     own = F.pmod(F.xxhash64("rep"), side).cast("int")
     dealt = across.select("*", side.alias("side"), own.alias("own")).select("token", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other"))
     dealt = dealt.select("token", "rep", "comp", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
-    full = dealt.join(sets.select("rep", "n", "counts", "excess"), "rep")
+    least = F.slice(F.sort_array(F.collect_list("token")), 1, HEADS)
+    heads = across.groupBy("rep").agg(F.concat(least, F.array_repeat(F.lit((1 << 63) - 1), F.greatest(HEADS - F.size(least), F.lit(0)))).alias("heads"))
+    points = s.put(sets.select("rep", "n", "counts", "excess").join(heads, "rep"), "points")
+    full = dealt.join(points, "rep")
     full = full.withColumn("bucket", F.pmod(F.xxhash64("token", "row", "col"), F.lit(8 * n)))
     pairs = full.groupBy("bucket").applyInArrow(candidates(num, den), "a long, b long")
     two = s.put(verified(s.put(pairs.distinct(), "pairs"), sets, num, den), "links_2")
