@@ -258,23 +258,32 @@ def shard_runs(length: int, buckets: int):
         kind = np.cumsum(common_prefixes(data, order, place, length) < length)[place[spots]]
         _, first, kind, n = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
         found = is_open & (n[kind] > 1)
-        k1, k2 = np.array(k1), np.array(k2)
+        k1, k2 = np.array(k1, np.int64), np.array(k2, np.int64)
         hit = np.flatnonzero(found)
         cut = np.flatnonzero(np.diff(owner[hit], prepend=-1))
         ends = np.append(cut, len(hit))[1:].astype(np.int64)
-        local = {"k1": k1[owner[hit[cut]]], "k2": k2[owner[hit[cut]]], "starts": blob([at[hit[a:z]].tobytes() for a, z in zip(cut, ends, strict=True)])}
+        whose = owner[hit[cut]]
+        local = {"bucket": pa.array((mix(k2[whose].view(U), 44) % U(buckets)).astype(np.int32)), "d1": blob([x.tobytes() for x in k1[whose]]), "d2": blob([x.tobytes() for x in k2[whose]]),
+                 "known": blob([at[hit[a:z]].astype(np.uint32).tobytes() for a, z in zip(cut, ends, strict=True)])}
         sums = powers.sums(data)
         prints = powers.hashes(sums, spots[first], spots[first] + length)
         asks = is_open[first] & (n == 1)
         bucket = (mix(prints, 43) % U(buckets)).astype(np.int64)
-        by = np.lexsort((prints, bucket))
-        f = first[by]
-        out = packed(bucket[by], prints=prints[by], asks=asks[by], d1=k1[owner[f]], d2=k2[owner[f]], at=at[f].astype(np.uint32))
-        return local, out
-
-    def row(table, n, other):
-        names = [("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.binary()), ("bucket", pa.int32())] + [(x, pa.binary()) for x in ("prints", "asks", "d1", "d2", "at")]
-        return pa.RecordBatch.from_pydict({k: table[k] if k in table else pa.nulls(n, kind) for k, kind in names})
+        by = np.lexsort((prints, ~asks, bucket))
+        f, prints, asks, bucket = first[by], prints[by], asks[by], bucket[by]
+        rows = []
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, z in zip(cut, np.append(cut, len(bucket))[1:], strict=True):
+            asked = f[a : a + asks[a:z].sum()]
+            docs, index = np.unique(owner[asked], return_inverse=True)
+            rows.append((bucket[a], prints[a:z].tobytes(), index.astype(np.uint32).tobytes(), at[asked].astype(np.uint32).tobytes(), k1[docs].tobytes(), k2[docs].tobytes()))
+        b, p, i, s, d1, d2 = zip(*rows, strict=True)
+        return local, {"bucket": pa.array(np.array(b, np.int32)), "prints": blob(p), "index": blob(i), "at": blob(s), "d1": blob(d1), "d2": blob(d2)}
+
+    names = ("prints", "index", "at", "d1", "d2", "known")
+
+    def row(table):
+        return pa.RecordBatch.from_pydict({"bucket": table["bucket"]} | {k: table[k] if k in table else pa.nulls(len(table["bucket"]), pa.binary()) for k in names})
 
     def run(frames):
         powers, held, size = Powers(), [], 0
@@ -286,33 +295,37 @@ def shard_runs(length: int, buckets: int):
                 held.append((k1[i], k2[i], data[offsets[i] : offsets[i + 1]].copy(), *(v[cut[i] : cut[i + 1]].copy() for v, _ in cols)))
                 size += int((held[-1][4] * (held[-1][5] >= 2)).sum()) * 2
                 if size >= SHARD:
-                    for x in shard(held, powers):
-                        yield row(x, len(next(iter(x.values()))), x)
+                    yield from map(row, shard(held, powers))
                     held, size = [], 0
         if held:
-            for x in shard(held, powers):
-                yield row(x, len(next(iter(x.values()))), x)
+            yield from map(row, shard(held, powers))
 
     return run
 
 
 def across(group: pa.Table) -> pa.Table:
-    """Strings of one bucket that several shards sent: each sorted run is searched in what came before it."""
-    runs = [tuple(np.frombuffer(group.column(k)[i].as_py(), kind) for k, kind in (("prints", U), ("asks", bool), ("d1", np.int64), ("d2", np.int64), ("at", np.uint32))) for i in range(len(group))]
-    seen = np.sort(np.concatenate([r[0] for r in runs]))
-    out = []
-    for prints, asks, d1, d2, at in runs:
-        twice = np.searchsorted(seen, prints, "right") - np.searchsorted(seen, prints, "left") > 1
-        hit = asks & twice
-        out.append((d1[hit], d2[hit], at[hit].astype(np.int64)))
-    d1, d2, at = (np.concatenate(x) for x in zip(*out, strict=True))
-    by = np.lexsort((at, d2, d1))
-    d1, d2, at = d1[by], d2[by], at[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-    cut = np.flatnonzero(new)
-    ends = np.append(cut, len(by))[1:].astype(np.int64)
-    return pa.table({"k1": d1[cut], "k2": d2[cut], "starts": blob([at[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])})
+    """Strings of one bucket that several shards sent: each sorted run is searched in all runs together.
+
+    What a shard has found alone passes through.
+    """
+    get = lambda name, k, kind: np.frombuffer(group.column(name)[k].as_py(), kind)
+    runs = [k for k in range(len(group)) if group.column("prints")[k].is_valid]
+    prints = {k: get("prints", k, U) for k in runs}
+    seen = np.sort(np.concatenate([np.zeros(0, U), *prints.values()]))
+    out = [(get("d1", k, np.int64), get("d2", k, np.int64), get("known", k, np.uint32)) for k in range(len(group)) if k not in prints]
+    k1, k2, starts = [x[0][0] for x in out], [x[1][0] for x in out], [x[2].astype(np.int64) for x in out]
+    for k in runs:
+        index, at = get("index", k, np.uint32), get("at", k, np.uint32)
+        asked = prints[k][: len(index)]
+        hit = np.flatnonzero(np.searchsorted(seen, asked, "right") - np.searchsorted(seen, asked, "left") > 1)
+        hit = hit[np.argsort(index[hit], kind="stable")]
+        d1, d2 = get("d1", k, np.int64), get("d2", k, np.int64)
+        cut = np.flatnonzero(np.diff(index[hit].astype(np.int64), prepend=-1))
+        for a, z in zip(cut, np.append(cut, len(hit))[1:], strict=True):
+            k1.append(d1[index[hit[a]]])
+            k2.append(d2[index[hit[a]]])
+            starts.append(at[hit[a:z]].astype(np.int64))
+    return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "starts": blob([x.tobytes() for x in starts])})
 
 
 def with_fields(head: T.StructType, ddl: str) -> T.StructType:
@@ -358,11 +371,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     is_open = states.where(F.exists("tiles", lambda x: x.state > 1))
     wanted = spark.sparkContext.broadcast(bitmap(is_open, "k2"))
     own = texts.select("k1", "k2", "text").mapInArrow(opened(wanted), f"{KEYS}, text string")
-    sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * n), f"{KEYS}, starts binary, bucket int, prints binary, asks binary, d1 binary, d2 binary, at binary")
-    sent = s.put(sent, "shards")
-    runs = sent.where("bucket is not null").select("bucket", "prints", "asks", "d1", "d2", "at")
-    far = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(across, f"{KEYS}, starts binary")
-    found = far.union(sent.where("bucket is null").select("k1", "k2", "starts")).groupBy("k1", "k2").agg(F.collect_list("starts").alias("found"))
+    sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * n), "bucket int, prints binary, index binary, at binary, d1 binary, d2 binary, known binary")
+    far = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(across, f"{KEYS}, starts binary")
+    found = far.groupBy("k1", "k2").agg(F.collect_list("starts").alias("found"))
     told = states.join(found, ["k1", "k2"], "left")
     known = texts.join(told, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
     return known.mapInArrow(finished(length), with_fields(head, RESULT))
