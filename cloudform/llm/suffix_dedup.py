@@ -303,29 +303,45 @@ def shard_runs(length: int, buckets: int):
     return run
 
 
-def across(group: pa.Table) -> pa.Table:
+def across(buckets: int):
     """Strings of one bucket that several shards sent: each sorted run is searched in all runs together.
 
-    What a shard has found alone passes through.
+    What a shard has found alone passes through. The repeats go out packed, a row for each bucket of texts.
     """
-    get = lambda name, k, kind: np.frombuffer(group.column(name)[k].as_py(), kind)
-    runs = [k for k in range(len(group)) if group.column("prints")[k].is_valid]
-    prints = {k: get("prints", k, U) for k in runs}
-    seen = np.sort(np.concatenate([np.zeros(0, U), *prints.values()]))
-    out = [(get("d1", k, np.int64), get("d2", k, np.int64), get("known", k, np.uint32)) for k in range(len(group)) if k not in prints]
-    k1, k2, starts = [x[0][0] for x in out], [x[1][0] for x in out], [x[2].astype(np.int64) for x in out]
-    for k in runs:
-        index, at = get("index", k, np.uint32), get("at", k, np.uint32)
-        asked = prints[k][: len(index)]
-        hit = np.flatnonzero(np.searchsorted(seen, asked, "right") - np.searchsorted(seen, asked, "left") > 1)
-        hit = hit[np.argsort(index[hit], kind="stable")]
-        d1, d2 = get("d1", k, np.int64), get("d2", k, np.int64)
-        cut = np.flatnonzero(np.diff(index[hit].astype(np.int64), prepend=-1))
-        for a, z in zip(cut, np.append(cut, len(hit))[1:], strict=True):
-            k1.append(d1[index[hit[a]]])
-            k2.append(d2[index[hit[a]]])
-            starts.append(at[hit[a:z]].astype(np.int64))
-    return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "starts": blob([x.tobytes() for x in starts])})
+
+    def run(group: pa.Table) -> pa.Table:
+        get = lambda name, k, kind: np.frombuffer(group.column(name)[k].as_py(), kind)
+        runs = [k for k in range(len(group)) if group.column("prints")[k].is_valid]
+        prints = {k: get("prints", k, U) for k in runs}
+        seen = np.sort(np.concatenate([np.zeros(0, U), *prints.values()]))
+        out = [np.zeros((0, 3), np.int64)]
+        for k in range(len(group)):
+            d1, d2 = get("d1", k, np.int64), get("d2", k, np.int64)
+            if k in prints:
+                index, at = get("index", k, np.uint32), get("at", k, np.uint32)
+                asked = prints[k][: len(index)]
+                hit = np.searchsorted(seen, asked, "right") - np.searchsorted(seen, asked, "left") > 1
+                out.append(np.stack([d1[index[hit]], d2[index[hit]], at[hit].astype(np.int64)], 1))
+            else:
+                at = get("known", k, np.uint32)
+                out.append(np.stack([np.full(len(at), d1[0]), np.full(len(at), d2[0]), at.astype(np.int64)], 1))
+        d1, d2, at = np.concatenate(out).T
+        to = (mix(d2.copy().view(U), 44) % U(buckets)).astype(np.int64)
+        by = np.lexsort((at, d2, d1, to))
+        return pa.table(packed(to[by], d1=d1[by], d2=d2[by], at=at[by].astype(np.uint32)))
+
+    return run
+
+
+def by_text(group: pa.Table) -> pa.Table:
+    """All repeats of each text of one bucket."""
+    d1, d2, at = read(group, d1=np.int64, d2=np.int64, at=np.uint32)
+    by = np.lexsort((at, d2, d1))
+    d1, d2, at = d1[by], d2[by], at[by].astype(np.int64)
+    new = np.ones(len(by), bool)
+    new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+    cut = np.flatnonzero(new)
+    return pa.table({"k1": d1[cut], "k2": d2[cut], "found": blob([at[a:z].tobytes() for a, z in zip(cut, np.append(cut, len(by))[1:], strict=True)])})
 
 
 def with_fields(head: T.StructType, ddl: str) -> T.StructType:
@@ -341,7 +357,7 @@ def finished(length: int):
                 counts, _ = lists(column(batch, "tiles"), "count")
                 state, _ = lists(column(batch, "tiles"), "state")
                 owner = np.repeat(np.arange(len(batch)), np.diff(cut))[state <= 2]
-                more = [np.frombuffer(b"".join(x or ()), np.int64) for x in column(batch, "found").to_pylist()]
+                more = [np.frombuffer(x or b"", np.int64) for x in column(batch, "found").to_pylist()]
                 all_s = np.concatenate([starts[state <= 2], *more])
                 all_c = np.concatenate([counts[state <= 2], np.ones(len(all_s) - (state <= 2).sum(), np.int64)])
                 whose = np.concatenate([owner, np.repeat(np.arange(len(batch)), [len(x) for x in more])])
@@ -372,8 +388,8 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     wanted = spark.sparkContext.broadcast(bitmap(is_open, "k2"))
     own = texts.select("k1", "k2", "text").mapInArrow(opened(wanted), f"{KEYS}, text string")
     sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * n), "bucket int, prints binary, index binary, at binary, d1 binary, d2 binary, known binary")
-    far = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(across, f"{KEYS}, starts binary")
-    found = far.groupBy("k1", "k2").agg(F.collect_list("starts").alias("found"))
+    far = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(across(n), "bucket int, d1 binary, d2 binary, at binary")
+    found = far.groupBy("bucket").applyInArrow(by_text, f"{KEYS}, found binary")
     told = states.join(found, ["k1", "k2"], "left")
     known = texts.join(told, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
     return known.mapInArrow(finished(length), with_fields(head, RESULT))
