@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embedding_dedup, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from ._base import Scratch
 from .oracles import ORACLES
 
 LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")  # of host labels, for the list that op2 looks up
@@ -39,7 +40,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    tables = toxicity.fit_toxicity(docs.join(labels.where(toxicity.fold("doc_id") != 0), "doc_id"))
+    tables = toxicity.fit_toxicity(docs, labels.where(toxicity.fold("doc_id") != 0))
     rows = toxicity.score_toxicity(docs, tables)
     return rows.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -56,8 +57,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rules = quality_rules.fit_rules(quality_rules.text_statistics(docs.join(labels, "doc_id")))
-    rows = quality_rules.quality_rules(quality_rules.text_statistics(docs), rules)
+    counts = Scratch(spark).put(quality_rules.text_statistics(docs), "statistics")
+    rows = quality_rules.quality_rules(counts, quality_rules.fit_rules(counts.join(labels, "doc_id")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
