@@ -19,7 +19,7 @@ def unique(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below 0.5. Null and empty texts score like texts without evidence."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(toxicity.fold("doc_id") != 0)
-    tables = toxicity.fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    tables = toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
     return toxicity.score_toxicity(docs, tables).where("score < 0.5").select(*docs.columns)
 
 
