@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+BATCH_ROWS = 1000  # texts may be long, so a Python worker gets few at a time
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 
 
@@ -25,6 +26,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:  # single machines and tests only; a cluster names its folder
             root = "file://" + tempfile.mkdtemp(prefix="cloudform-")

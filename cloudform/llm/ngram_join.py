@@ -35,7 +35,7 @@ GROUPS = 128
 LEAF = 16
 BLOCK = 256
 HEADS = 8  # tokens of a set by which pairs are known that another token finds too
-ENTRIES = 1 << 19  # packed at once by a task
+ENTRIES = 1 << 18  # packed at once by a task
 
 
 def need(n, num: int, den: int):
