@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of the smallest id of each group of near copies; of rows that repeat an id, one."""
     found = Scratch(spark).put(ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")), "components")
     stay = found.where("doc_id = component_id").select("doc_id")
-    return unique(docs.join(stay.distinct(), "doc_id", "left_semi"), stay, ["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return unique(docs.join(stay.distinct().hint("merge"), "doc_id", "left_semi"), stay, ["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-1)).alias("key")
     copies = found.groupBy(key, "twin").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     rows = unique(docs.withColumns({"key": key, "twin": F.xxhash64("text")}), found.select(key, "twin"), ["key", "twin"])
-    return rows.join(copies, ["key", "twin"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    return rows.join(copies.hint("merge"), ["key", "twin"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
