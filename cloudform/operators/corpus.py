@@ -49,7 +49,7 @@ def redistribute(counts: DataFrame, key: str, value: str, total: int, per_year:
     below = F.coalesce(F.sum("room").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     level = F.floor((F.col("left") - F.col("below")) / F.col("k"))
     rows = rows.withColumns({"k": k, "below": below}).withColumn("fits", F.col("room") <= level)
-    full = F.min(F.when(~F.col("fits"), level)).over(w)
+    full = F.max(F.when(~F.col("fits"), level)).over(w)
     rows = rows.withColumn("level", full).withColumn("extra", F.when(F.col("level").isNull(), F.col("room")).otherwise(F.least("room", "level")))
     rest = F.col("left") - F.sum("extra").over(w)
     more = F.row_number().over(Window.partitionBy(key, (F.col("room") > F.col("extra"))).orderBy("year"))
