@@ -35,27 +35,25 @@ def sample_plan(counts: DataFrame, value: str, target: int, factor: float, limit
 
 
 def redistribute(counts: DataFrame, key: str, value: str, total: int, per_year: int) -> DataFrame:
-    """Quotas that reach the total: the shortfall of scarce years is spread one by one over years with more.
+    """Quotas that reach the total: what scarce years lack goes evenly to years with room, the rest to the earliest.
 
-    Closed form: the water level is the largest whole number whose capped sum stays within what is left; the
-    remainder goes to the earliest years above it.
+    An entity has one row for each year, so its rows are few.
     """
-    have = F.greatest(F.col(value), F.lit(0))
-    rows = counts.withColumns({"base": F.least(have, F.lit(per_year)), "room": have - F.least(have, F.lit(per_year))})
-    w = Window.partitionBy(key)
-    rows = rows.withColumn("left", F.greatest(F.lit(total) - F.sum("base").over(w), F.lit(0)))
-    o = w.orderBy("room", "year")
-    k = F.count("*").over(w) - F.row_number().over(o) + 1  # years with at least this room
-    below = F.coalesce(F.sum("room").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level = F.floor((F.col("left") - F.col("below")) / F.col("k"))
-    rows = rows.withColumns({"k": k, "below": below}).withColumn("fits", F.col("room") <= level)
-    full = F.max(F.when(~F.col("fits"), level)).over(w)
-    rows = rows.withColumn("level", full).withColumn("extra", F.when(F.col("level").isNull(), F.col("room")).otherwise(F.least("room", "level")))
-    rest = F.col("left") - F.sum("extra").over(w)
-    more = F.row_number().over(Window.partitionBy(key, (F.col("room") > F.col("extra"))).orderBy("year"))
-    rows = rows.withColumns({"rest": rest, "more": more})
-    one = F.when((F.col("room") > F.col("extra")) & (F.col("more") <= F.col("rest")), 1).otherwise(0)
-    return rows.select(key, "year", value, (F.col("base") + F.col("extra") + one).cast("long").alias("quota"))
+    kind = counts.schema[key].dataType.simpleString()
+
+    def run(frame):
+        frame = frame.sort_values("year")
+        have = [max(int(v), 0) for v in frame[value]]
+        quota = [min(v, per_year) for v in have]
+        left = total - sum(quota)
+        while left > 0 and (room := [i for i, v in enumerate(have) if v > quota[i]]):
+            step = max(1, min(left // len(room), min(have[i] - quota[i] for i in room)))
+            for i in room[:left]:
+                quota[i] += step
+            left = total - sum(quota)
+        return frame[[key, "year", value]].assign(quota=quota)
+
+    return counts.select(key, "year", F.col(value).cast("long").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kind}, year int, {value} long, quota long")
 
 
 def eligibility(n: Column, main: int = 2500, least: int = 500) -> Column:
