@@ -21,9 +21,9 @@ def share(a: Column, b: Column) -> Column:
 
 def skew(x: str) -> Column:
     """Bias-adjusted skewness; NULL under three values or without spread."""
-    n, m, s = F.count(x), F.avg(x), F.stddev_pop(x)
-    g = F.when(s > EPS, F.skewness(x))
-    return F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2)) if m is not None else g
+    n = F.count(x)
+    g = F.when(F.stddev_pop(x) > EPS, F.skewness(x))
+    return F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def trend(delta: Column, stable: float = 0.25) -> Column:

@@ -33,6 +33,6 @@ def euclid(a, b) -> Column:
 
 def centroids(df: DataFrame, keys: list[str], vector: str, name: str = "centroid") -> DataFrame:
     """The mean vector of each group. Components are averaged as rows, so partial sums are formed before the shuffle."""
-    parts = df.select(*keys, F.posexplode(vector).alias("d", "x")).groupBy(*keys, "d").agg(F.avg("x").alias("x"))
-    listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("c"))
-    return listed.select(*keys, F.transform("c", lambda c: c.x).alias(name))
+    parts = df.select(*keys, F.posexplode(vector).alias("_d", "_x")).groupBy(*keys, "_d").agg(F.avg("_x").alias("_x"))
+    listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_d", "_x"))).alias("_c"))
+    return listed.select(*keys, F.transform("_c", lambda c: c["_x"]).alias(name))
