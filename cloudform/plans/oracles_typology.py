@@ -47,5 +47,7 @@ ORACLES = {
     "plane_shape": PLANE
     + ", a AS (SELECT l1, x - median(x) OVER (PARTITION BY l1) AS x, y - median(y) OVER (PARTITION BY l1) AS y FROM k), b AS (SELECT *, sqrt(x * x + y * y) AS r FROM a), g AS (SELECT l1, count(*) AS n, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS q2, quantile_cont(r, 0.75) AS q3, quantile_cont(r, 0.95) AS q4, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vc FROM b GROUP BY 1), o AS (SELECT b.l1, avg((r > q3 + 1.5 * (q3 - q1))::INT) AS s FROM b JOIN g USING (l1) GROUP BY 1) SELECT l1, n, round(q4 / q2, 5) AS tail, round((q3 - q1) / q2, 5) AS spread, round(s, 5) AS outlier_share, round(sqrt(((vx + vy) / 2 + sqrt((vx - vy) ** 2 / 4 + vc * vc)) / ((vx + vy) / 2 - sqrt((vx - vy) ** 2 / 4 + vc * vc))), 5) AS elongation FROM g JOIN o USING (l1)",
     "plane_window_means": PLANE + "SELECT ((year - 2000) // 5)::INT AS window_index, (2000 + 5 * ((year - 2000) // 5))::VARCHAR || '-' || (2004 + 5 * ((year - 2000) // 5))::VARCHAR AS window_label, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM k GROUP BY 1, 2",
+    "density_smoothed": V
+    + ", k AS (SELECT l1, least(7, greatest(0, floor((u[1] + 0.5) * 8)))::INT AS ix, least(7, greatest(0, floor((u[2] + 0.5) * 8)))::INT AS iy, count(*) AS n FROM v GROUP BY ALL), p AS (SELECT l1, ix, iy, n / sum(n) OVER (PARTITION BY l1) AS mass FROM k), t AS (SELECT unnest(range(-4, 5))::INT AS k), w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM t), a AS (SELECT l1, (ix + k + 16) % 16 AS i, iy, mass * w AS mass FROM p, w), b AS (SELECT l1, CASE WHEN i < 8 THEN i ELSE 15 - i END AS ix, (iy + k + 16) % 16 AS i, mass * w AS mass FROM a, w) SELECT l1, ix, CASE WHEN i < 8 THEN i ELSE 15 - i END AS iy, round(sum(mass), 6) AS mass FROM b GROUP BY ALL",
     "cell_gini": V + ", k AS (SELECT l1, count(*) AS x FROM v GROUP BY l1, least(7, greatest(0, floor((u[1] + 0.5) * 8))), least(7, greatest(0, floor((u[2] + 0.5) * 8)))), q AS (SELECT l1, x, row_number() OVER (PARTITION BY l1 ORDER BY x) AS i FROM k) SELECT l1, round(2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*), 6) AS gini FROM q GROUP BY 1",
 }
