@@ -23,11 +23,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, tables).where("score < 0.5").select(*docs.columns)
 
 
+def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """docs without the ids of gone, by an exact join that only documents enter whose bit is set in a bitmap of gone.
+
+    The bitmap is a table of bits / 32 rows at most, so it may be broadcast whatever the size of gone; where it
+    fills up, more documents enter the join. Rows without an id stay.
+    """
+    word, held = (c + "_" * max(map(len, docs.columns)) for c in ("word", "bits"))  # longer than any column of docs
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    at = F.expr(f"cast(pmod(xxhash64(doc_id), {bits}) & 31 as int)")
+    words = gone.groupBy(F.shiftright(slot, 5).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) & 31 as int)))").alias(held))
+    seen = docs.join(F.broadcast(words), F.shiftright(slot, 5) == F.col(word), "left")
+    may = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(held, at) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return seen.where(~may).select(*own).unionByName(seen.where(may).select(*own).join(gone, "doc_id", "left_anti").select(*own))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies; of rows that repeat an id, one."""
-    found = Scratch(spark).put(ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")), "components")
-    stay = found.where("doc_id = component_id").select("doc_id")
-    return unique(docs.join(stay.distinct().hint("merge"), "doc_id", "left_semi"), stay, ["doc_id"]).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(spark)
+    found = scratch.put(ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")), "components")
+    ids = found.where("doc_id is not null")
+    stays = ids.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = scratch.put(stays.where("not stays").select("doc_id"), "gone")
+    return unique(without(docs.where("doc_id is not null"), gone), ids.where("doc_id = component_id"), ["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-1)).alias("key")
     copies = found.groupBy(key, "twin").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     rows = unique(docs.withColumns({"key": key, "twin": F.xxhash64("text")}), found.select(key, "twin"), ["key", "twin"])
-    return rows.join(copies.hint("merge"), ["key", "twin"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    return rows.join(copies, ["key", "twin"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
