@@ -333,6 +333,7 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     sets = s.put(found.join(alive.select("rep", "f1"), "rep").where("print = f1").drop("print", "f1").dropDuplicates(["rep"]), "sets")
 
     near = s.put(cells.where("early").join(alive, "f1").select("token", "rep", "n"), "near")
+    s.drop("cells", "held", "alive")  # each table goes once the next ones hold what is needed of it
     heads = s.put(near.groupBy("token").agg(F.min("rep").alias("leader")), "leaders")
     led = near.join(heads, "token").where("rep <> leader").groupBy("leader", "rep").count()
     best = s.put(led.groupBy("rep").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")), "best")
@@ -340,8 +341,10 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     comp = components(s, one, "comp_1")
 
     marked = s.put(near.join(comp, near.rep == comp.v, "left").select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "marked")
+    s.drop("near", "leaders", "best")
     mixed = s.put(marked.groupBy("token").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "held"), "mixed")
     across = s.put(marked.join(mixed, "token"), "across")
+    s.drop("marked", "mixed")
     side = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), side).cast("int")
     dealt = across.select("*", side.alias("side"), own.alias("own")).select("token", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other"))
@@ -356,7 +359,7 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     comp = components(s, one.union(two), "comp_2")
 
     known = s.put(reps.join(comp, reps.rep == comp.v, "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp")), "known")
-    s.drop("cells", "held", "sets", "near", "across", "marked", "pairs")
+    s.drop("reps", "sets", "across", "points", "pairs", "links_1", "links_2", *(f"comp_{k}_{t}" for k in (1, 2) for t in ("links", "0", "1", "2", "spread")))
     empty = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = rows.where("n > 0 and doc_id is not null").join(known, ["f1", "f2"])
     return rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id")).union(empty)
