@@ -226,7 +226,7 @@ def members(wanted, width: int):
 class RTree:
     """Points packed in leaves after sorting by size and by tile of their coordinates (one level of boxes)."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, excess: np.ndarray):
         half = points[:, : GROUPS // 2].sum(1, dtype=np.int64)
         slab = max(LEAF, int(np.sqrt(len(points) * LEAF)))
         by = np.argsort(sizes, kind="stable")
@@ -234,10 +234,14 @@ class RTree:
         self.cut = np.arange(0, len(points), LEAF)
         self.high = np.maximum.reduceat(points[self.order], self.cut)
         self.small, self.large = (f.reduceat(sizes[self.order], self.cut) for f in (np.minimum, np.maximum))
+        self.excess = np.maximum.reduceat(excess[self.order], self.cut)
 
-    def leaves(self, point, size: int, num: int, den: int):
-        """Points of the leaves whose boxes may hold a partner: the summed minima with a box bound every overlap in it."""
-        most = np.minimum(self.high, point).sum(1, dtype=np.int64)
+    def leaves(self, point, size: int, excess: int, num: int, den: int):
+        """Points of the leaves whose boxes may hold a partner: the summed minima with a box bound every overlap in it.
+
+        What the bytes of both can't hold is shared at most up to the smaller excess.
+        """
+        most = np.minimum(self.high, point).sum(1, dtype=np.int64) + np.minimum(self.excess, excess)
         fits = (self.small * num <= size * den) & (size * num <= self.large * den)
         fits &= most * (num + den) >= (size + self.small) * num
         return [self.order[c : c + LEAF] for c in self.cut[fits]]
@@ -276,9 +280,9 @@ def candidates(num: int, den: int):
                 left.append((some[:, None] + x).ravel())
                 right.append((some[:, None] + y).ravel())
         for a, z in zip(cut[:-1][length > 2 * LEAF], cut[1:][length > 2 * LEAF], strict=True):
-            tree = RTree(points[a:z], size[a:z])
+            tree = RTree(points[a:z], size[a:z], excess[a:z])
             for i in range(a, z):
-                if found := tree.leaves(points[i], size[i], num, den):
+                if found := tree.leaves(points[i], size[i], excess[i], num, den):
                     some = np.concatenate(found) + a
                     some = some[some > i]
                     left.append(np.full(len(some), i))

@@ -44,6 +44,23 @@ def test_ngram_join(spark, docs):
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_long_texts(spark):
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    core, common = run("c", 40000), run("b", 6000)
+    rows = [(0, core + run("a", 6000))] + [(i, core + common + run(f"v{i}x", 3000)) for i in range(1, 36)]  # over 32 that link with each other, not with 0
+    sets = [{hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)} for _, w in rows]
+    comp = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    assert comp == [0] + [1] * 35
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == comp
+
+
 def test_suffix_dedup(spark, docs):
     rows = texts() + [texts()[3]]
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
