@@ -166,3 +166,12 @@ def test_toxicity(spark):
     got = toxicity.score_toxicity(docs, tables).where("doc_id >= 300").collect()
     assert np.mean([(x.score >= 0.5) == bool(x.toxic) for x in got]) > 0.95
     assert toxicity.fit_toxicity(docs, docs.where("toxic = 0").select("doc_id", "toxic")) is None
+
+
+def test_toxicity_keeps_class_shares(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(20)), int(r.random() < 0.1)) for i in range(3000)]  # words tell nothing, so scores are near the share
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    for most in (8192, 250):
+        tables = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), most=most)
+        assert 0.05 < toxicity.score_toxicity(docs, tables).agg(F.avg("score")).first()[0] < 0.2
