@@ -31,7 +31,7 @@ def centroid_grid(spark, d):
 
 @query
 def cluster_stability(spark, d):
-    return rounded(models.stability(features(spark, d), "entity", "x", "ward", 3, runs=20))
+    return rounded(models.stability(features(spark, d), "entity", "x", "ward", 3))
 
 
 @query

@@ -99,3 +99,9 @@ def test_hull_and_spanning_tree(spark):
     assert S.spanning_edges(p).sum() == pytest.approx(want)
     one = spark.createDataFrame([(0, 1, 0.0, 0.0)], "g int, id int, x double, y double")
     assert S.spanning_gaps(one, "g", "id", "x", "y").first().gap is None
+
+
+def test_stability_query_runs_all(spark):
+    from cloudform.plans.queries_models import REGISTRY
+
+    assert REGISTRY["cluster_stability"](spark, "/root/testdata/sf0.001").count() == 100
