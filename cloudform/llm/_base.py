@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 CHUNK = 1 << 20
-BATCH_ROWS = 1000  # texts may be long, so a Python worker gets few at a time
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24  # texts may be long, so a Python worker gets few at a time
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, by rows and by bytes."""
+    conf = "spark.sql.execution.arrow."
+    if int(spark.conf.get(conf + "maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set(conf + "maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(conf + "maxBytesPerBatch", BATCH_BYTES)
+
+
 # ---------------------------------------------------------------- tables in the shared folder
 class Scratch:
     """Intermediate tables of one run, in the folder that the cluster's spark.checkpoint.dir names.
@@ -26,10 +34,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # single machines and tests only; a cluster names its folder
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             root = "file://" + tempfile.mkdtemp(prefix="cloudform-")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -69,19 +78,66 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         labels = scratch.put(spread.join(up, "comp").select("v", F.col("root").alias("comp")), f"{name}_{step % 2 + 1}")
 
 
-def bitmap(df: DataFrame, name: str, bits: int = 1 << 23) -> np.ndarray:
-    """A set bit at name mod bits for each row: bits / 8 bytes whatever the number of rows.
+BITS = 1 << 25
+SLOTS = 1 << 24
+
+
+def fresh(name: str, columns) -> str:
+    """A name longer than any of the columns, so it clashes with none."""
+    return name + "_" * (1 + max(map(len, columns), default=0))
+
+
+def bit_words(df: DataFrame, key: F.Column, bits: int) -> DataFrame:
+    """word and bits: a set bit at key mod bits for each row, in bits / 64 rows at most whatever the number of rows."""
+    slot = df.select(F.pmod(key, F.lit(bits)).alias("slot"))
+    return slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+
+
+def bitmap(df: DataFrame, name: str, bits: int = BITS) -> np.ndarray:
+    """The same as bits / 8 bytes on the driver.
 
     Looking a row up there first spares most rows that an exact join would drop; it never replaces the join.
     """
-    slot = F.pmod(name, F.lit(bits))
-    rows = df.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {bits}) & 31 as int))")).alias("bits"))
-    out = np.zeros(bits // 32, np.uint32)
-    for r in rows.collect():
-        out[r.word] = r["bits"]
+    rows = bit_words(df, F.col(name), bits).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
+def sieved(rows: DataFrame, key: F.Column, some: DataFrame, own: F.Column, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the keys `own` of some, rows whose key surely is not); key and own are hashes.
+
+    The bitmap may be broadcast whatever the size of some; where it fills up, more rows may be among them.
+    """
+    word, held, slot = (fresh(c, rows.columns) for c in ("word", "bits", "slot"))
+    seen = rows.withColumn(slot, F.pmod(key, F.lit(bits))).join(F.broadcast(bit_words(some, own, bits).toDF(word, held)), F.expr(f"shiftright(`{slot}`, 6)") == F.col(word), "left")
+    may = F.coalesce(F.getbit(held, F.expr(f"cast(`{slot}` & 63 as int)")) == 1, F.lit(False))
+    mine = [F.col(f"`{c}`") for c in rows.columns]
+    return seen.where(may).select(*mine), seen.where(~may).select(*mine)
+
+
+def with_value(rows: DataFrame, keys: list[F.Column], known: DataFrame, name: str, slots: int = SLOTS) -> DataFrame:
+    """rows with a column `name`, the value that known(k0, k1, ..., v) gives each row's keys; v is 0, 1, 2 or 3.
+
+    known has each key of rows once. Its values go to four bits for each slot of a hash: slots / 16 rows at most
+    whatever its size, so they may be broadcast. Where all keys of a slot have one value, that is the row's. Only the
+    other rows are shuffled, for an exact join.
+    """
+    word, held, slot = (fresh(c, [*rows.columns, name]) for c in ("word", "bits", "slot"))
+    ks = known.columns[:-1]
+    table = known.select(F.pmod(F.xxhash64(*ks), F.lit(slots)).alias(slot), known.columns[-1])
+    table = table.groupBy(F.shiftright(slot, 4).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(({slot} & 15) * 4 + v as int)))").alias(held))
+    seen = rows.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(slots))).join(F.broadcast(table), F.expr(f"shiftright(`{slot}`, 4)") == F.col(word), "left")
+    nibble = F.expr(f"shiftright(`{held}`, cast((`{slot}` & 15) * 4 as int)) & 15")
+    value = F.when(nibble == 1, 0).when(nibble == 2, 1).when(nibble == 4, 2).when(nibble == 8, 3)
+    mine = [F.col(f"`{c}`") for c in rows.columns]
+    sure = seen.where(value.isNotNull()).select(*mine, value.cast("int").alias(name))
+    names = [fresh(k, [*rows.columns, name]) for k in known.columns]
+    on = [a.eqNullSafe(F.col(b)) for a, b in zip(keys, names, strict=False)]
+    open_ = seen.where(value.isNull()).select(*mine).join(known.toDF(*names), on).select(*mine, F.col(names[-1]).cast("int").alias(name))
+    return sure.unionByName(open_)
+
+
 def marked(batch: pa.RecordBatch, name: str, bits: np.ndarray) -> pa.RecordBatch:
     slot = longs(batch, name) % (len(bits) * 8)
     return batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))

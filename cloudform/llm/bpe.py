@@ -2,16 +2,19 @@
 
 The new words of a batch lie in one flat array of symbols. A round looks up all neighbouring pairs by binary search
 over the sorted pair keys of the vocabulary, takes the pair of lowest rank in each word, and merges it wherever the
-word has it; words without a known pair are done. A word's result is kept for its next occurrence.
+word has it; words without a known pair are done. Very long words go together through rounds of their own, one for each
+rank, that touch only the places of that rank and their neighbours. A word's result is kept for its next occurrence.
 
 A null text is empty and an empty text has no tokens. Special tokens of the file are recognised inside texts; none
-are added. Bytes that are no valid UTF-8 after decoding become U+FFFD.
+are added. Bytes that are no valid UTF-8 after decoding become U+FFFD. Rows that repeat an id are encoded one by one, and
+columns other than doc_id and text are left away, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import chunks, column, flat
+from ._base import chunks, column, flat, small_batches
 
 # Fixed value: the byte-level pre-tokenizer's pattern. White space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 KNOWN_WORDS = 1 << 18
+LONG_WORD = 512  # bytes
 NEVER = np.iinfo(np.int64).max
 
 
@@ -35,8 +39,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@dataclass
-class Vocabulary:
+class Vocabulary(NamedTuple):
     first: np.ndarray  # id of each byte
     pairs: np.ndarray  # sorted keys: left id << 32 | right id
     rank: np.ndarray
@@ -99,6 +102,64 @@ def merged(data: np.ndarray, cut: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     return ids[by], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
 
 
+def merged_long(data: np.ndarray, cut: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The same as merged: symbols are linked lists, and a queue of ranks holds the places where each rank may stand.
+
+    A round takes the lowest rank and merges its pairs that still stand; only the two new pairs at each such place are
+    looked up. Words don't touch each other, so the lowest rank of all words is the lowest of each word that has it.
+    """
+    n = len(data)
+    ids = v.first[data]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    last = cut[1:] - 1
+    after[last[np.diff(cut) > 0]] = n  # no symbol follows
+    before[cut[:-1][np.diff(cut) > 0]] = -1
+    waiting: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def spot_of(at):
+        key = ids[at] << 32 | ids[after[at]]
+        spot = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
+        return spot, v.pairs[spot] == key
+
+    def wait(at):
+        at = at[(at >= 0) & (after[np.maximum(at, 0)] < n)]
+        spot, known = spot_of(at)
+        at, rank = at[known], v.rank[spot[known]]
+        by = np.argsort(rank, kind="stable")
+        at, rank = at[by], rank[by]
+        start = np.flatnonzero(np.diff(rank, prepend=-1))
+        for a, z in zip(start.tolist(), np.append(start, len(rank))[1:].tolist(), strict=True):
+            r = int(rank[a])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(queue, r)
+            waiting[r].append(at[a:z])
+
+    live = np.ones(n, bool)
+    wait(np.arange(n))
+    while queue:
+        rank = heapq.heappop(queue)
+        at = np.unique(np.concatenate(waiting.pop(rank)))
+        at = at[live[at]]
+        at = at[after[at] < n]
+        spot, known = spot_of(at)
+        known &= v.rank[spot] == rank
+        at, made = at[known], v.made[spot[known]]
+        if not len(at):
+            continue
+        new = np.concatenate([[True], after[at[:-1]] != at[1:]])  # of pairs that overlap, every other one from the left
+        inside = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        at, made = at[inside % 2 == 0], made[inside % 2 == 0]
+        gone = after[at]
+        ids[at], live[gone] = made, False
+        after[at] = after[gone]
+        follows = after[at][after[at] < n]
+        before[follows] = at[after[at] < n]
+        wait(np.unique(np.concatenate([at, before[at]])))
+    return ids[live], np.concatenate([[0], np.cumsum(live)])[cut]
+
+
 def gather(values, cut, which):
     """The concatenated ranges `which` of values, and how long each is."""
     size = cut[which + 1] - cut[which]
@@ -131,11 +192,14 @@ class Encoder:
         found = [self.words(t) for t in texts]
         new = {w for ws in found for w in ws} - self.known.keys()
         if new:
-            fresh = list(new)
-            raw = [w.encode() for w in fresh]
-            ids, cut = merged(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in raw])]), self.v)
-            self.known.update(zip(fresh, range(len(self.cut) - 1, len(self.cut) - 1 + len(fresh)), strict=True))
-            self.ids, self.cut = np.concatenate([self.ids, ids]), np.concatenate([self.cut, self.cut[-1] + cut[1:]])
+            raw = {w: w.encode() for w in new}
+            for long, merge in ((False, merged), (True, merged_long)):
+                some = [w for w in new if (len(raw[w]) > LONG_WORD) == long]
+                if some:
+                    own = [raw[w] for w in some]
+                    ids, cut = merge(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in own])]), self.v)
+                    self.known.update(zip(some, range(len(self.cut) - 1, len(self.cut) - 1 + len(some)), strict=True))
+                    self.ids, self.cut = np.concatenate([self.ids, ids]), np.concatenate([self.cut, self.cut[-1] + cut[1:]])
         counts = np.array([len(ws) for ws in found], np.int64)
         which = np.fromiter(map(self.known.__getitem__, (w for ws in found for w in ws)), np.int64, int(counts.sum()))
         ids, size = gather(self.ids, self.cut, which)
@@ -151,7 +215,7 @@ def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def encode(vocabulary):
     def run(frames):
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(Vocabulary(*vocabulary.value))
         for batch in frames:
             texts = pc.fill_null(column(batch, "text"), "")
             for i, j in chunks(flat(texts)[1]):
@@ -177,22 +241,25 @@ def decoded(ids: pa.Array, v: Vocabulary) -> pa.Array:
 
 def decode(vocabulary):
     def run(frames):
+        v = Vocabulary(*vocabulary.value)
         for batch in frames:
             cut = np.concatenate([[0], np.cumsum(np.asarray(column(batch, "n_tokens").fill_null(0)))])
             for i, j in chunks(cut * 4):
                 some = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*some.columns, decoded(column(some, "ids"), vocabulary.value)], [*some.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*some.columns, decoded(column(some, "ids"), v)], [*some.schema.names, "text"])
 
     return run
 
 
 def bpe_encode(docs: DataFrame, *, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row of docs(doc_id, text)."""
-    v = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # as large as the vocabulary
+    small_batches(docs.sparkSession)
+    v = docs.sparkSession.sparkContext.broadcast(tuple(Vocabulary.load(path)))  # as large as the vocabulary; plain arrays, which need no module on a worker
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode(v), "doc_id long, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, *, path: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row of encoded, and the text that its ids stand for."""
-    v = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    small_batches(encoded.sparkSession)
+    v = encoded.sparkSession.sparkContext.broadcast(tuple(Vocabulary.load(path)))
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decode(v), "doc_id long, n_tokens long, ids binary, text string")
