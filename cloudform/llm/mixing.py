@@ -6,7 +6,9 @@ and a probability. Pairs of documents pass probability to each other, in words,
 keeps each document's expectation and the source's sum of words. Documents go in groups of fixed size, each group hands
 on at most one document that is not whole, and these meet in groups again, up to one for each source.
 
-Null texts have no words. A null source is a source of its own, the last one. Rows that repeat an id count one by one.
+Null texts have no words. A null source is a source of its own, the last one. Rows that repeat id, text and source are one
+document in the draw, whose copies are dealt evenly over its rows; so are null ids. Other columns are ignored, whatever
+their names. An empty table gives no rows.
 Random numbers come from a seed, the source, the level and the group, so a rerun draws the same whatever the cluster.
 """
 
@@ -33,19 +35,11 @@ def word_counts(frames):
 
 
 def shares(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """Parts of sum(sizes) by weight, none above most * its size."""
-    left, open_, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in sorted(open_) if weights[i] * unit >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * unit
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-            open_.discard(i)
+    """Parts of sum(sizes) by weight, none above most * its size; the sources that stop first come first."""
+    left, open_, out = float(sum(sizes)), sum(weights), [0.0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i]):
+        out[i] = min(float(most * sizes[i]), weights[i] * left / open_)
+        left, open_ = left - out[i], open_ - weights[i]
     return out
 
 
@@ -88,7 +82,7 @@ def leaves(seed: int):
         for name, values in (("chance", out), ("open", open_)):
             group = group.drop_columns([name]) if name in group.column_names else group
             group = group.append_column(name, pa.array(values))
-        return group.select(["rank", "bucket", "doc_id", "twin", "size", "copies", "chance", "open"])
+        return group.select(["rank", "bucket", "doc_id", "twin", "size", "rows", "copies", "chance", "open"])
 
     return run
 
@@ -124,10 +118,12 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most
     target = shares([r["size"] for r in totals], weigh, most)
     plan = [(r.source, i, r["size"], t, min(most, t / r["size"]) if r["size"] else 0.0, max(1, -(-r.n // GROUP))) for i, (r, t) in enumerate(zip(totals, target, strict=True))]
     plan = docs.sparkSession.createDataFrame(plan, "source string, rank int, source_size long, target double, rate double, groups long")
-    rate = F.floor("rate").cast("int")
-    known = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop(plan.source)
+    rate = F.floor("rate").cast("long")
+    alike = sized.groupBy("doc_id", "source", "twin", "size").agg(F.count("*").alias("rows"))
+    known = alike.join(plan, alike.source.eqNullSafe(plan.source)).drop(plan.source)
+    known = known.withColumn("rate", F.col("rate") * F.col("rows"))
     known = known.withColumns({"copies": rate, "chance": F.when(F.col("size") > 0, F.col("rate") - rate).otherwise(0.0), "bucket": F.pmod(F.xxhash64("doc_id", "twin"), "groups")})
-    grouped = known.groupBy("rank", "bucket").applyInArrow(leaves(seed), "rank int, bucket long, doc_id long, twin long, size long, copies int, chance double, open boolean")
+    grouped = known.groupBy("rank", "bucket").applyInArrow(leaves(seed), "rank int, bucket long, doc_id long, twin long, size long, rows long, copies long, chance double, open boolean")
     grouped = s.put(grouped, "leaves")
     level, width, now = 1, max([p for p in (-(-r.n // GROUP) for r in totals)], default=1), s.put(grouped.where("open").select("rank", "bucket", "size", "chance", "open"), "open_0")
     settled = None
@@ -140,6 +136,9 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most
         if width <= 1:
             break
         now, level = step.where("open"), level + 1
-    closed = grouped.where("not open").select("rank", "doc_id", "twin", "size", (F.col("copies") + F.col("chance").cast("int")).alias("copies"))
-    late = grouped.where("open").join(settled, ["rank", "bucket"]).select("rank", "doc_id", "twin", "size", (F.col("copies") + F.col("drawn").cast("int")).alias("copies"))
-    return closed.union(late).join(plan.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "twin", "source", "size", "source_size", "target", "copies")
+    closed = grouped.where("not open").select("rank", "doc_id", "twin", "size", "rows", (F.col("copies") + F.col("chance").cast("int")).alias("copies"))
+    late = grouped.where("open").join(settled, ["rank", "bucket"]).select("rank", "doc_id", "twin", "size", "rows", (F.col("copies") + F.col("drawn").cast("int")).alias("copies"))
+    out = closed.union(late).join(plan.select("rank", "source", "source_size", "target"), "rank")
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    own = F.expr("copies div rows + if(row < copies % rows, 1, 0)").cast("int")
+    return out.select("doc_id", "twin", "source", "size", "source_size", "target", own.alias("copies"))
