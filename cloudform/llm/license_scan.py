@@ -1,14 +1,16 @@
 """License scans by an exact set-similarity join of text blocks with notice templates. DataFrame operations only.
 
-Words are runs of digits, letters and all non-ASCII characters, A-Z in lower case. Blocks are the lines of a text. A block
-matches a template when it holds at least `threshold` of the template's distinct words. To find every such block
-without comparing all: the templates' words get one global order, rarest in the corpus first. A template that must
-share `a` of its n words has a match only in blocks with one of its first n - a + 1 words (prefix). Blocks with fewer
-than `a` words fall away (length), and so do those whose hit is too late in the template's order to leave `a` words
-(position). What is left is verified on the whole sets.
+Words are runs of digits, letters and all non-ASCII characters, A-Z in lower case. A template of L words is compared with
+blocks of 2 L words that start at every L-th word of the text, so whatever L words stand in a row, over however many
+lines, are inside one block. A block matches when it holds at least `threshold` of the template's distinct words. To
+find every such block without comparing all: the templates' words get one global order, rarest in the corpus first. A
+template that must share `a` of its n words has a match only in blocks with one of its first n - a + 1 words (prefix);
+only such blocks are formed. A block falls away with fewer than `a` of the templates' words (length), or where fewer
+than `a` of them come in the global order from the block's first prefix word on (position). What is left is verified on the sets.
 
 Besides, every place is counted where the words of a phrase stand one after the other. A null text is empty. Rows that
-repeat an id are scanned one by one. A text without words has no places, no labels and a score of 0.
+repeat an id are scanned one by one. A text without words has no places, no labels and a score of 0. Columns other than
+doc_id and text are left away, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,41 +66,58 @@ def places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
         F.when(F.col("some"), labels).otherwise(F.array().cast("array<string>")).alias("base"))
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    line = docs.select("k1", "k2", F.explode(F.split("text", "\n")).alias("line"))
-    return line.select("k1", "k2", F.array_distinct(F.split(F.trim(joined_words(F.col("line"))), " ")).alias("words"))
+def frequencies(texts: DataFrame, words: list[str]) -> dict[str, int]:
+    """How often each of some words stands in all texts; a row for each comes to the driver."""
+    found = texts.select(F.explode(F.split(F.trim("joined"), " ")).alias("word")).where(F.col("word").isin(words))
+    return {r.word: r["count"] for r in found.groupBy("word").count().collect()}
 
 
-def matched(blocks: DataFrame, templates, threshold: float) -> DataFrame:
-    """(k1, k2, label, share) of all blocks that hold enough of a template."""
-    spark = blocks.sparkSession
-    sets = [(i, label, sorted(set(t.split()))) for i, (label, t) in enumerate(templates)]
-    wanted = spark.createDataFrame([(w,) for w in sorted({w for _, _, ws in sets for w in ws})], "word string")
-    words = blocks.select(F.explode("words").alias("word"))
-    often = {r.word: r["count"] for r in words.join(F.broadcast(wanted), "word").groupBy("word").count().collect()}  # the templates' words
-    rows = []
-    for i, label, ws in sets:
-        ws = sorted(ws, key=lambda w: (often.get(w, 0), w))
-        least = -int(-threshold * len(ws) // 1)
-        rows += [(w, i, label, ws, least, len(ws) - at) for at, w in enumerate(ws[: len(ws) - least + 1])]
-    prefix = F.broadcast(spark.createDataFrame(rows, "word string, template int, label string, own array<string>, least int, rest int"))  # rows of the templates
-    starts = sorted({r[0] for r in rows})
-    near = blocks.where(F.arrays_overlap("words", F.array(*map(F.lit, starts)))).select("k1", "k2", "words", F.explode("words").alias("word"))
-    hits = near.join(prefix, "word").where("size(words) >= least and rest >= least")
-    both = F.size(F.array_intersect("words", "own"))
-    return hits.where(both >= F.col("least")).select("k1", "k2", "label", (both / F.size("own")).alias("share"))
+def longs(values) -> F.Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def matches(docs: DataFrame, templates, often: dict[str, int], threshold: float) -> DataFrame:
+    """docs with found: (label, share) of each template that a block of the text in their column joined holds."""
+    order = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (often.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(order, 1)}
+    plan = []
+    for label, t in templates:
+        own = sorted(rank[w] for w in set(t.split()))
+        least = -int(-threshold * len(own) // 1)
+        plan.append((label, len(t.split()), own, least, own[: len(own) - least + 1]))
+    starts = sorted({r for *_, prefix in plan for r in prefix})
+    some = F.arrays_overlap("words", F.array(*(F.lit(order[r - 1]) for r in starts)))
+    ranks = F.transform("words", lambda w: F.array_position(F.array(*map(F.lit, order)), w))
+    spots = F.filter(F.transform("ranks", lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda x: F.array_contains(longs(starts), x.r))
+
+    def share(length, own, least, prefix):
+        hits = F.filter("spots", lambda x: F.array_contains(longs(prefix), x.r))
+        blocks = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(F.floor(x.i / length), F.floor(x.i / length) - 1))))
+
+        def held(j):
+            inside = F.array_distinct(F.filter(F.slice("ranks", (j * length + 1).cast("int"), 2 * length), lambda r: r > 0))
+            first = F.array_min(F.array_intersect(inside, longs(prefix)))
+            fits = (F.size(inside) >= least) & (F.size(F.filter(inside, lambda r: r >= first)) >= least)
+            return F.when(fits, F.size(F.array_intersect(inside, longs(own)))).otherwise(0)
+
+        most = F.array_max(F.transform(F.filter(blocks, lambda j: j >= 0), held))
+        return F.when(most >= least, most / len(own))
+
+    found = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), share(*how).alias("share")) for label, *how in plan)), lambda x: x.share.isNotNull())
+    out = docs.withColumn("words", F.split(F.trim("joined"), " ")).withColumn("ranks", F.when(some, ranks)).withColumn("spots", F.when(F.col("ranks").isNotNull(), spots))
+    return out.withColumn("found", F.when(F.size("spots") > 0, found)).drop("words", "ranks", "spots")
 
 
 def license_scan(docs: DataFrame, *, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text).
 
-    score: 1 where a phrase stands, else the largest share of a template that a block of the text holds, if enough.
+    score: 1 where a phrase stands, else the largest share of a template that a block of the text holds, if enough. The
+    templates' words become literals of the plan, so templates are some hundreds at most.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = text.select("*", F.coalesce("doc_id", F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
-    base = places(keyed.select("doc_id", "k1", "k2", joined_words(F.col("text")).alias("joined")), phrases or PHRASES).drop("joined")
-    found = matched(blocks_of(keyed), templates, threshold).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    out = base.join(found, ["k1", "k2"], "left")
-    labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
-    score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
+    texts = docs.select("doc_id", joined_words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("joined"))
+    often = frequencies(texts, sorted({w for _, t in templates for w in t.split()}))
+    out = places(matches(texts, templates, often, threshold), phrases or PHRASES)
+    more = F.coalesce(F.transform("found", lambda x: x.label), F.array().cast("array<string>"))
+    labels = F.array_sort(F.array_distinct(F.array_union("base", more)))
+    score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x.share)), F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

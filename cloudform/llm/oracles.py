@@ -1,7 +1,7 @@
 """SQL with the results of the queries that it can express, over whole tables."""
 
 from .license_scan import PHRASES, TEMPLATES
-from .url_filter import RULES
+from .url_filter import MARKS, RULES
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -38,9 +38,9 @@ _rules = "\n".join(
 _verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())
 OP2 = f"""
 WITH s AS (SELECT page_id, {LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), '')")} AS host,
-           coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-r AS (SELECT *, CASE {_rules} END AS rule, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS key FROM s),
-listed AS (SELECT DISTINCT key FROM r WHERE regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)'))
+           coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages),
+r AS (SELECT *, CASE {_rules} END AS rule, CASE WHEN host <> '' THEN host || rtrim(path, '/') END AS key FROM s),
+listed AS (SELECT DISTINCT key FROM r WHERE 50 * len(regexp_extract_all(html, '{MARKS}')) >= length(html) AND key IS NOT NULL)
 SELECT page_id, host, path, rule, coalesce(CASE rule {_verdicts} END, CASE WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        listed.key IS NOT NULL AS listed
 FROM r LEFT JOIN listed ON listed.key = r.key
@@ -48,16 +48,17 @@ FROM r LEFT JOIN listed ON listed.key = r.key
 
 _word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 _phrases = ", ".join(f"(['{chr(39).join([p.replace(' ', chr(39) + ', ' + chr(39))])}'], '{label}')" for p, label in PHRASES.items())
-_templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))" for i, (label, t) in enumerate(TEMPLATES))
+_templates = ", ".join(f"('{label}', {len(t.split())}, list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
 OP7 = f"""
 WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, {_word}) AS ws FROM t),
 phrases(p, label) AS (VALUES {_phrases}),
 hits AS (SELECT doc_id, i - 1 AS spot, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN phrases ON ws[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list_sort(list_distinct(list(label))) AS labels FROM hits GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {_word})) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
-templates(i, label, own) AS (VALUES {_templates}),
-more AS (SELECT doc_id, label, len(list_intersect(ws, own)) / len(own) AS share FROM lines JOIN templates ON len(list_intersect(ws, own)) >= 0.8 * len(own)),
+templates(label, n, own) AS (VALUES {_templates}),
+blocks AS (SELECT doc_id, label, own, list_intersect(list_distinct(ws[j * n + 1:j * n + 2 * n]), own) AS held
+           FROM (SELECT doc_id, ws, label, n, own, unnest(range(0, (len(ws) + n - 1) // n)) AS j FROM w, templates)),
+more AS (SELECT doc_id, label, len(held) / len(own) AS share FROM blocks WHERE len(held) >= 0.8 * len(own)),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM more GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
@@ -66,4 +67,34 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_ba
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}
+OP6 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, i AS base, substring(h, 2 * i + 1, 2 * 1199) AS h FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 1000)) AS i FROM d)),
+w AS (SELECT r, base + k AS a, md5(substring(h, 2 * k + 1, 400)) AS g FROM (SELECT r, base, h, unnest(range(0, least(len(h) // 2 - 199, 1000))) AS k FROM c)),
+hot AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS (SELECT r, a, coalesce(a - lag(a) OVER o > 200, true) AS fresh FROM w JOIN hot USING (g) WINDOW o AS (PARTITION BY r ORDER BY a)),
+n AS (SELECT r, a, sum(fresh::INT) OVER (PARTITION BY r ORDER BY a) AS k FROM s),
+spans AS (SELECT r, k, min(a) AS lo, max(a) + 200 AS hi FROM n GROUP BY r, k),
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM spans),
+t AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(d.h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head, max(hi) AS fin
+      FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(fin, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+# A backslash goes before each backslash, each # that begins ### and each < that begins </turn>; in a role also before : and line feeds.
+_marks = "(len({0}) - len(replace({0}, '\\', '')) + list_sum(list_transform(regexp_extract_all({0}, '#+'), lambda x: greatest(len(x) - 2, 0))) + len(regexp_extract_all({0}, '</turn>')))"
+_marks = f"coalesce({_marks}, len({{0}}) - len(replace({{0}}, '\\', '')) + len(regexp_extract_all({{0}}, '</turn>')))"
+_more = "len(regexp_extract_all(role, '[:\\n]'))"
+OP10 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, k, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+f AS (SELECT *, 4 + len(role) + {_marks.format("role")} + {_more} + 2 + len(text) + {_marks.format("text")} + 8 AS formatted FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(formatted) AS formatted FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars
+FROM c
+"""
+
+ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}

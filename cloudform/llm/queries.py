@@ -12,8 +12,6 @@ from . import bpe, chat, embedding_dedup, license_scan, mixing, ngram_join, qual
 from ._base import Scratch
 from .oracles import ORACLES
 
-LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")  # of host labels, for the list that op2 looks up
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +23,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.url_filter(pages, url_filter.listed_by_word(pages, LISTED_WORDS)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return url_filter.url_filter(pages, url_filter.listed_by_text(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
