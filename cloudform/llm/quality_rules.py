@@ -6,7 +6,8 @@ aside for the next one. The list becomes ordered CASE conditions, so applying it
 
 Words are runs of bytes that are no ASCII white space. A null text has none. Lines are split at line feeds. A text
 without words has 0 in each ratio. A bounded sample of labelled rows is learnt from (`most`, by the smallest hash of
-their id); without labels of both classes the list is empty and keeps all. Rows that repeat an id count one by one.
+their id); without labels of both classes the list is empty and keeps all. Rows that repeat an id count one by one. A
+list has at most `most_rules` rules of at most `most_terms` thresholds each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import SPACES, Powers, U, batches, mix, words
+from ._base import SPACES, Powers, U, batches, mix, small_batches, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -93,16 +94,17 @@ def measured(keep: list[str]):
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, and the counts of COUNTS, of each row."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+    """The columns of docs but text, and the counts of COUNTS, of each row. Columns of docs named like a count give way."""
+    keep = [f for f in docs.schema.fields if f.name != "text" and f.name.lower() not in COUNTS]
+    small_batches(docs.sparkSession)
     kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"{k} long" for k in COUNTS])
     return docs.mapInArrow(measured([f.name for f in keep]), kind)
 
 
 # ---------------------------------------------------------------- sequential covering
-def grown(x, y, cuts) -> list[tuple[int, str, float]]:
+def grown(x, y, cuts, most_terms: int) -> list[tuple[int, str, float]]:
     rule, inside = [], np.ones(len(y), bool)
-    while y[inside].mean() < 1 and len(rule) < 4:
+    while y[inside].mean() < 1 and len(rule) < most_terms:
         p, n = y[inside].sum(), (~y[inside]).sum()
         old = np.log2(p / (p + n))
         best, gain = None, 0.0
@@ -137,14 +139,14 @@ def pruned(rule, x, y):
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)))
 
 
-def learn_rules(x: np.ndarray, y: np.ndarray, *, precision: float = 0.95, most_rules: int = 12, thresholds: int = 64, seed: int = 0) -> list:
+def learn_rules(x: np.ndarray, y: np.ndarray, *, precision: float = 0.95, most_rules: int = 12, most_terms: int = 4, thresholds: int = 64, seed: int = 0) -> list:
     """Ordered conjunctions [(feature, '<=' or '>', threshold)] that mark y (low quality)."""
     rules, left = [], np.ones(len(y), bool)
     share = np.random.default_rng(seed).random(len(y)) < 2 / 3
     cuts = [np.unique(np.quantile(x[y, f] if y.any() else x[:, f], np.linspace(0, 1, thresholds))) for f in range(x.shape[1])]
     cuts = [np.unique(np.concatenate([c, np.quantile(x[:, f], np.linspace(0, 1, thresholds))])) for f, c in enumerate(cuts)]
     while len(rules) < most_rules and (left & share & y).sum() >= 3:
-        rule = grown(x[left & share], y[left & share], cuts)
+        rule = grown(x[left & share], y[left & share], cuts, most_terms)
         if not rule:
             break
         check = left & ~share
@@ -186,6 +188,6 @@ def describe(rules) -> list[str]:
 
 
 def quality_rules(statistics_: DataFrame, rules, *, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """Rows of text_statistics with base_failed, rule (see decision_list) and kept."""
+    """Rows of text_statistics with base_failed, rule (see decision_list) and kept; columns of these names are replaced."""
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return statistics_.withColumn("base_failed", failed).withColumn("rule", decision_list(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
