@@ -8,7 +8,11 @@ grid of blocks. A task sends a number of links and one link to its group's first
 pairs.
 
 Equal vectors collapse before the join and count in n_links. Vectors that are null, zero or hold null or non-finite
-components link with nothing, nor do vectors of different dimension. Rows that repeat an id count one by one.
+components link with nothing, nor do vectors of different dimension. Rows that repeat an id count one by one. Columns other
+than vec_id and embedding are left away, whatever their names.
+
+How far cells and bounds prune is up to the vectors: where all lie about as far from each other as from any pivot, as
+random vectors of many dimensions do, nearly every vector is on a boundary and the join compares all pairs in blocks.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import Scratch, column, components, longs, parts
+from ._base import Scratch, column, components, longs, parts, small_batches
 
 SAMPLE = 4096  # vectors that the pivots are fitted on
 CAP = 4096  # home vectors of a block
@@ -166,10 +171,12 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     s, n = Scratch(spark), parts(spark)
-    v = F.col("embedding").cast("array<double>")
+    small_batches(spark)
+    kind = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) or vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), False) else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")  # as they come: tasks compute in double precision
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select("vec_id", v.alias("v")).withColumn("ok", F.coalesce(~bad & F.exists("v", lambda x: x != 0), F.lit(False)))
-    good = rows.where("ok and vec_id is not null").select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v"))
+    good = rows.where("ok and vec_id is not null").select("vec_id", F.transform("v", lambda x: (x + F.lit(0).cast(kind))).alias("v"))
     reps = s.put(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("v").cast("long")), "distinct")
 
     total = reps.count()
@@ -180,16 +187,17 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.95) -> DataFrame:
     k = max(8, round(total**0.5 / 8))
     fit = {d: fitted((m := np.array(x, float)) / np.linalg.norm(m, axis=1, keepdims=True), k) for d, x in by_dim.items() if len(x) > 1}
     pivots = spark.sparkContext.broadcast(fit)  # at most SAMPLE vectors
-    housed = s.put(reps.mapInArrow(homes(pivots), "v array<double>, rep long, mult long, dim long, cell long, far double"), "homes")
+    housed = s.put(reps.mapInArrow(homes(pivots), f"v array<{kind}>, rep long, mult long, dim long, cell long, far double"), "homes")
     cells = housed.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("held")).collect()  # a row for each pivot
     radii = spark.sparkContext.broadcast({(r["dim"], r["cell"]): r["far"] for r in cells})
     sizes = spark.sparkContext.broadcast({(r["dim"], r["cell"]): r["held"] for r in cells})
     r = float(np.sqrt(2 - 2 * cosine))
-    dealt = housed.mapInArrow(replicas(pivots, radii, sizes, r), "rep long, mult long, dim long, v array<double>, cell long, row long, col long, own long")
+    dealt = housed.mapInArrow(replicas(pivots, radii, sizes, r), f"rep long, mult long, dim long, v array<{kind}>, cell long, row long, col long, own long")
     found = s.put(dealt.repartition(max(n, len(cells)), "dim", "cell", "row", "col").groupBy("dim", "cell", "row", "col").applyInArrow(linked(cosine), "rep long, n long, other long"), "found")
     comp = components(s, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "comp")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = s.put(reps.join(links, "rep", "left").join(comp, reps.rep == comp.v, "left").select(reps.v, "mult", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("comp", "rep").alias("comp")), "known")
     done = good.join(known, "v").select("vec_id", (F.col("n") + F.col("mult") - 1).alias("n_links"), F.col("comp").alias("component_id"))
+    s.drop("distinct", "homes", "found", *(f"comp_{t}" for t in ("links", "0", "1", "2", "spread")))
     alone = rows.where("not ok or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
