@@ -8,45 +8,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import ratio
-from ..functions.vec import EPS, centroids, cosine_distance, norm, unit
+from ..functions.vec import EPS, centroids, cosine_distance, listed, matrices, norm, unit
 from ..sources.scratch import settle
 
 CAP = 2048  # vectors of a block; a group of more is dealt over a grid of blocks
 
 
+def _with_units(frames):
+    for batch in frames:
+        name = batch.schema.names[-1]
+        a = batch.column(name)
+        at, made = [np.zeros(0, np.int64)], []
+        for rows, x in matrices(a):
+            n = np.sqrt(np.einsum("ij,ij->i", x, x))
+            good = np.isfinite(n) & (n > EPS)
+            at.append(rows[good])
+            made.append(x[good] / n[good, None])
+        rest = batch.select(batch.schema.names[:-1])
+        for rows, u in zip(at[1:], made, strict=True):  # one for each dimension
+            yield pa.RecordBatch.from_arrays([*rest.take(pa.array(rows)).columns, listed(np.arange(len(rows)), u, len(rows))], [*rest.schema.names, "u"])
+
+
 def unit_rows(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows with a unit vector u; zero, null and non-finite vectors go."""
-    return vectors.withColumn("u", unit(F.col(vector).cast("array<double>"))).where("u is not null")
+    """Rows with a unit vector u in place of the vector; zero, null and non-finite vectors go."""
+    rest = [f for f in vectors.schema.fields if f.name not in (vector, "u")]
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["u array<double>"])
+    return vectors.select(*(f.name for f in rest), F.col(vector).cast("array<double>").alias("u")).mapInArrow(_with_units, kind)
 
 
 def dispersion(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: size, norm of the mean unit vector, and the cosine distances to it."""
     c = centroids(rows, keys, "u")
-    d = rows.select(*keys, "u").join(c, keys).select(*keys, norm("centroid").alias("norm"), cosine_distance("u", "centroid").alias("d"))
+    d = rows.select(*keys, "u").join(c.withColumn("norm", norm("centroid")), keys).select(*keys, "norm", cosine_distance("u", "centroid").alias("d"))
     q = F.percentile("d", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
     out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.first("norm").alias("centroid_norm"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance"), q.alias("q"))
     return out.select(*keys, "n", "centroid_norm", "mean_distance", "std_distance", F.col("q")[1].alias("median_distance"), (F.col("q")[2] - F.col("q")[0]).alias("iqr_distance"), F.col("q")[3].alias("p90_distance"), ratio(F.col("q")[3], F.col("q")[1]).alias("p90_to_median"))
 
 
+def column_matrix(table: pa.Table, name: str) -> np.ndarray:
+    """A list column whose lists have one length, as a matrix."""
+    (_, x), *_ = matrices(table.column(name).combine_chunks())
+    return x
+
+
+def _best(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, k: int):
+    """(row of x, row of y, distance) of the k nearest of each row, ties by id."""
+    for a in range(0, len(x), 512):
+        d = np.clip(1 - x[a : a + 512] @ y.T, 0, 2)
+        d[ids_x[a : a + 512][:, None] == ids_y[None, :]] = np.inf
+        near = np.round(d, 12)
+        cut = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+        r, c = np.nonzero((near <= cut[:, None]) & np.isfinite(near))
+        by = np.lexsort((ids_y[c], near[r, c], r))
+        r, c = r[by], c[by]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
+        yield r[keep] + a, c[keep], d[r[keep], c[keep]]
+
+
 def _nearest(k: int):
     def run(group: pa.Table) -> pa.Table:
-        ids, u = group.column("id").to_numpy(), np.array(group.column("u").to_pylist(), float).reshape(len(group), -1)
-        chunk, row, col = group.column("chunk").to_numpy(), group.column("row")[0].as_py(), group.column("col")[0].as_py()
-        q, c = np.flatnonzero(chunk == row), np.flatnonzero(chunk == col)
-        out_q, out_c, out_d = [], [], []
-        for a in range(0, len(q), 512):
-            i = q[a : a + 512]
-            d = np.clip(1 - u[i] @ u[c].T, 0, 2)
-            d[ids[i][:, None] == ids[c][None, :]] = np.inf
-            by = np.lexsort((np.broadcast_to(ids[c], d.shape), np.round(d, 12)), axis=1)[:, :k]
-            best = np.take_along_axis(d, by, 1)
-            keep = np.isfinite(best)
-            out_q.append(np.repeat(ids[i], keep.sum(1)))
-            out_c.append(ids[c][by][keep])
-            out_d.append(best[keep])
-        g = group.column("g")[0].as_py()
-        ids_q = np.concatenate(out_q) if out_q else ids[:0]
-        return pa.table({"g": pa.array([g] * len(ids_q), pa.string()), "src": ids_q, "dst": np.concatenate(out_c) if out_c else ids[:0], "d": np.concatenate(out_d) if out_d else np.zeros(0)})
+        ids, u, chunk = group.column("id").to_numpy(), column_matrix(group, "u"), group.column("chunk").to_numpy()
+        row, col = (group.column(c)[0].as_py() for c in ("row", "col"))
+        out = []
+        for one, two in {(row, col), (col, row)}:
+            q, c = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
+            if len(q) and len(c):
+                out += [(ids[q[i]], ids[c[j]], d) for i, j, d in _best(u[q], u[c], ids[q], ids[c], k)]
+        src, dst, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"g": pa.array([group.column("g")[0].as_py()] * len(src), pa.string()), "src": src, "dst": dst, "d": d})
 
     return run
 
@@ -54,13 +84,14 @@ def _nearest(k: int):
 def neighbours(rows: DataFrame, group: str, id_: str, k: int) -> DataFrame:
     """(group, src, dst, d, rank): the k nearest others by cosine in the same group, ties by id. Exact.
 
-    Blocks of query and candidate chunks of bounded size each give their k best; a merge keeps the k best of all.
+    A group of n vectors is dealt over a grid of blocks of two chunks of CAP vectors, both ways at once: each vector is
+    copied n / CAP times, and the exact form compares all pairs of a group. Blocks keep their k best; a merge keeps the
+    k best of all.
     """
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / CAP).cast("int").alias("side"))
     own = rows.select(F.col(group).cast("string").alias("g"), F.col(group).alias("key"), F.col(id_).alias("id"), "u").join(sizes.select(F.col(group).alias("key"), "side"), "key")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("id"), "side").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    pair = F.explode(F.array_distinct(F.array(F.struct(F.col("chunk").alias("row"), F.col("other").alias("col")), F.struct(F.col("other").alias("row"), F.col("chunk").alias("col")))))
-    dealt = own.withColumn("p", pair).select("g", "id", "u", "chunk", F.col("p.row").alias("row"), F.col("p.col").alias("col"))
+    dealt = own.select("g", "id", "u", "chunk", F.least("chunk", "other").alias("row"), F.greatest("chunk", "other").alias("col"))
     found = dealt.groupBy("g", "row", "col").applyInArrow(_nearest(k), "g string, src long, dst long, d double")
     w = Window.partitionBy("g", "src").orderBy(F.round("d", 12), "dst")
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -116,21 +147,23 @@ def graph_components(rows: DataFrame, edges: DataFrame, group: str, id_: str) ->
 def _moments(frames):
     sums: dict = {}
     for batch in frames:
-        keys = batch.column(0).to_pylist()
-        x = np.array(batch.column(1).to_pylist(), float)
-        for key in set(keys):
-            some = x[[i for i, k in enumerate(keys) if k == key]]
-            n, s, ss = sums.get(key, (0, 0.0, 0.0))
-            sums[key] = n + len(some), s + some.sum(0), ss + some.T @ some
-    for key, (n, s, ss) in sums.items():
+        keys = batch.column(0).dictionary_encode()
+        at = np.asarray(keys.indices.fill_null(-1))
+        for rows, x in matrices(batch.column(1)):
+            for i in np.unique(at[rows]):
+                some = x[at[rows] == i]
+                key = (keys.dictionary[i].as_py() if i >= 0 else None, x.shape[1])
+                n, s, ss = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = n + len(some), s + some.sum(0), ss + some.T @ some
+    for (key, _), (n, s, ss) in sums.items():
         yield pa.RecordBatch.from_pydict({"g": pa.array([key], pa.string()), "n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
 
 
 def _spectrum(group: pa.Table) -> pa.Table:
     n = sum(group.column("n").to_pylist())
-    s = np.sum([np.array(x) for x in group.column("s").to_pylist()], 0)
+    s = column_matrix(group, "s").sum(0)
     d = len(s)
-    ss = np.sum([np.array(x) for x in group.column("ss").to_pylist()], 0).reshape(d, d)
+    ss = column_matrix(group, "ss").sum(0).reshape(d, d)
     out = {"g": pa.array([group.column("g")[0].as_py()], pa.string()), "n": [n]}
     cov = ss - np.outer(s, s) / n
     values = np.maximum(np.linalg.eigvalsh(cov)[::-1][: max(min(n - 1, d), 0)], 0)
@@ -153,14 +186,20 @@ def spectrum(rows: DataFrame, group: str) -> DataFrame:
 
 
 def drift(rows: DataFrame, group: str, first: int, last: int, edge: int = 5, least: int = 3) -> DataFrame:
-    """Cosine distance between the centroids of the first and the last years, if both have enough rows."""
-    side = F.when(F.col("year") < first + edge, "early").when(F.col("year") > last - edge, "late")
-    some = rows.where(F.col("year").between(first, last)).withColumn("side", side).where("side is not null")
+    """Cosine distance between the centroids of the first and the last years, if both have enough rows.
+
+    Both edges have `edge` years, or all years of a shorter range; so they overlap in ranges under two edges.
+    """
+    early, late = F.col("year") <= min(first + edge - 1, last), F.col("year") >= max(last - edge + 1, first)
+    sides = F.filter(F.array(F.when(early, "early"), F.when(late, "late")), lambda x: x.isNotNull())
+    some = rows.where(F.col("year").between(first, last)).select(group, "u", F.explode(sides).alias("side"))
     n = some.groupBy(group, "side").count()
-    c = centroids(some, [group, "side"], "u").join(n, [group, "side"]).where(F.col("count") >= least)
-    pick = lambda name: F.max(F.when(F.col("side") == name, F.col("centroid")))
-    sides = c.groupBy(group).agg(pick("early").alias("early"), pick("late").alias("late"))
-    return rows.select(group).distinct().join(sides, group, "left").select(group, F.when(F.col("early").isNotNull() & F.col("late").isNotNull(), cosine_distance("early", "late")).alias("drift"))
+    c = centroids(some, [group, "side"], "u").join(n, [group, "side"])
+    at = lambda name, column: F.max(F.when(F.col("side") == name, F.col(column)))
+    sides = c.groupBy(group).agg(at("early", "centroid").alias("early"), at("late", "centroid").alias("late"), at("early", "count").alias("n_early"), at("late", "count").alias("n_late"))
+    out = rows.select(group).distinct().join(sides, group, "left").na.fill(0, ["n_early", "n_late"])
+    enough = (F.col("n_early") >= least) & (F.col("n_late") >= least)
+    return out.select(group, F.when(enough, cosine_distance("early", "late")).alias("drift"), "n_early", "n_late")
 
 
 def annual_path(rows: DataFrame, group: str, least: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import ratio
-from ..functions.vec import euclid
+from .cloud import column_matrix
 
 
 def linked(d: np.ndarray, k: int, method: str) -> np.ndarray:
@@ -94,12 +94,48 @@ def relabelled(df: DataFrame, id_: str, label: str) -> DataFrame:
     return df.join(sizes, label).select(id_, "cluster")
 
 
+BLOCK = 2048  # points of a chunk
+
+
+def _gaps(group: pa.Table) -> pa.Table:
+    """Of one block: for each point and cluster, the sum of the distances to the other chunk's points and their number."""
+    ids, c, chunk, x = group.column("id").to_numpy(), group.column("c").to_numpy(), group.column("chunk").to_numpy(), column_matrix(group, "x")
+    row, col = (group.column(k)[0].as_py() for k in ("row", "col"))
+    kinds, at = np.unique(c, return_inverse=True)
+    out = [(ids[:0], c[:0], c[:0], np.zeros(0), np.zeros(0, np.int64))]
+    for one, two in {(row, col), (col, row)}:
+        q, o = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
+        member = np.zeros((len(o), len(kinds)))
+        member[np.arange(len(o)), at[o]] = 1
+        squares = (x[o] ** 2).sum(1)
+        for i in range(0, len(q), 512):
+            some = q[i : i + 512]
+            d2 = (x[some] ** 2).sum(1)[:, None] + squares - 2 * x[some] @ x[o].T
+            near = d2 < 1e-6 * (squares + 1)  # products lose digits there
+            r, k = np.nonzero(near)
+            d2[r, k] = ((x[some[r]] - x[o[k]]) ** 2).sum(1)
+            same = ids[some][:, None] == ids[o]
+            total = np.sqrt(np.where(same, 0, np.maximum(d2, 0))) @ member
+            n = (~same).astype(float) @ member
+            r, k = np.nonzero(n > 0)
+            out.append((ids[some[r]], c[some[r]], kinds[k], total[r, k], n[r, k].astype(np.int64)))
+    return pa.table(dict(zip(("id", "own", "other", "total", "n"), (np.concatenate(v) for v in zip(*out, strict=True)), strict=True)))
+
+
 def silhouettes(points: DataFrame, id_: str, cluster: str, vector: str) -> DataFrame:
-    """Euclidean silhouette of each point, from the pair table; 0 in clusters of one."""
-    a, b = points.select(F.col(id_).alias("a"), F.col(cluster).alias("ca"), F.col(vector).alias("x")), points.select(F.col(id_).alias("b"), F.col(cluster).alias("cb"), F.col(vector).alias("y"))
-    mean = a.join(b, F.col("a") != F.col("b")).groupBy("a", "ca", "cb").agg(F.avg(euclid("x", "y")).alias("d"))
-    out = mean.groupBy("a", "ca").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
-    return out.select(F.col("a").alias(id_), F.col("ca").alias(cluster), F.coalesce(ratio(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)).alias("silhouette"))
+    """Euclidean silhouette of each point; 0 in clusters of one.
+
+    All pairs are compared in blocks of two chunks of BLOCK points, which hand on sums by cluster and no pairs.
+    """
+    rows = points.select(F.col(id_).cast("long").alias("id"), F.col(cluster).cast("long").alias("c"), F.col(vector).alias("x"))
+    side = rows.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("side"))  # one row
+    own = rows.crossJoin(F.broadcast(side)).withColumn("chunk", F.pmod(F.xxhash64("id"), "side").cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).select("id", "c", "x", "chunk", F.least("chunk", "o").alias("row"), F.greatest("chunk", "o").alias("col"))
+    sums = dealt.groupBy("row", "col").applyInArrow(_gaps, "id long, own long, other long, total double, n long")
+    mean = sums.groupBy("id", "own", "other").agg((F.sum("total") / F.sum("n")).alias("d"))
+    out = mean.groupBy("id", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    return out.select(F.col("id").cast(kinds[id_]).alias(id_), F.col("own").cast(kinds[cluster]).alias(cluster), F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

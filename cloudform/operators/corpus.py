@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import share
+from ..sources.scratch import settle
 
 
 def year_grid(ids: DataFrame, first: int, last: int) -> DataFrame:
@@ -108,11 +112,68 @@ def pending(plan: DataFrame, manifest: DataFrame, keys: list[str], done: tuple[s
     return plan.join(manifest.where(F.col("status").isin(*done)).select(*keys).distinct(), keys, "left_anti")
 
 
-def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[str], per_cell: int, per_entity: int) -> DataFrame:
-    """Rows in order of arrival, each id once, up to a cap by cell and then by entity."""
-    once = rows.withColumn("k", F.row_number().over(Window.partitionBy(id_).orderBy(*order))).where("k = 1")
-    in_cell = once.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where(F.col("k") <= per_cell)
-    return in_cell.withColumn("k", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).where(F.col("k") <= per_entity).drop("k")
+def _accepted(per_entity: int):
+    """Sequential acceptance of the rows of one part, whose entities share ids with no other part."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_o", "ascending")])
+        ids, cells, entities, plans = (group.column(c).to_pylist() for c in ("_id", "_cell", "_entity", "_plan"))
+        seen, in_cell, in_entity, out = set(), {}, {}, []
+        for i, c, e, p in zip(ids, cells, entities, plans, strict=True):
+            ok = i not in seen and in_cell.get(c, 0) < p and in_entity.get(e, 0) < per_entity
+            out.append(ok)
+            if ok:
+                seen.add(i)
+                in_cell[c], in_entity[e] = in_cell.get(c, 0) + 1, in_entity.get(e, 0) + 1
+        return pa.table({"_o": group.column("_o"), "_ok": out})
+
+    return run
+
+
+def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[str], plan: DataFrame | int, per_entity: int) -> DataFrame:
+    """rows with `decision`, as an acceptance in order of arrival makes it: accepted, repeated, cell_full or entity_full.
+
+    An id counts as seen only once it was accepted, so one that a full cell refused may enter another. plan has the
+    number of rows of each cell (columns of cell, and planned), or is one number for all. Order has no ties.
+
+    Ids of a single cell decide by their first row, and of those only the first `planned` of a cell can enter: that
+    bounds what is left. Entities that share ids are decided together, in one task for each set of entities that ids join.
+    """
+    cols = rows.columns
+    planned = F.lit(plan) if isinstance(plan, int) else F.coalesce("planned", F.lit(0))
+    r = rows if isinstance(plan, int) else rows.join(plan.select(*cell, "planned"), cell, "left")
+    r = settle(r.select(*cols, F.struct(*order).alias("_o"), F.col(id_).alias("_id"), F.concat_ws("\u0001", *cell).alias("_cell"), F.col(entity).alias("_entity"), planned.cast("long").alias("_plan")))
+    spread = r.groupBy("_id").agg(F.count_distinct("_cell").alias("_cells"), F.min("_o").alias("_first"), F.min("_entity").alias("_head"), F.count_distinct("_entity").alias("_entities"))
+    r = r.join(spread, "_id")
+    alone = F.col("_cells") == 1
+    first = r.where(~alone | (F.col("_o") == F.col("_first")))
+    before = F.coalesce(F.sum(alone.cast("long")).over(Window.partitionBy("_cell").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    may = settle(first.withColumn("_before", before).where(F.col("_before") < F.col("_plan")).select("_o", "_id", "_cell", "_entity", "_plan", "_head", "_entities"))
+    edges = may.where("_entities > 1").select(F.col("_head").alias("a"), F.col("_entity").alias("b")).distinct()
+    part = joined(edges)
+    dealt = may.join(part, may._entity == part.v, "left").withColumn("_part", F.coalesce("comp", "_entity"))
+    kind = rows.select(F.struct(*order).alias("o")).schema["o"].dataType.simpleString()
+    taken = settle(dealt.select("_part", "_o", "_id", "_cell", "_entity", "_plan").groupBy("_part").applyInArrow(_accepted(per_entity), f"_o {kind}, _ok boolean").where("_ok").select("_o"))
+    rest = r.join(taken.withColumn("_ok", F.lit(True)), "_o", "left")
+    full = rest.groupBy("_cell").agg((F.count("_ok") >= F.max("_plan")).alias("_full"))
+    when = rest.where("_ok").groupBy("_id").agg(F.min("_o").alias("_when"))
+    out = rest.join(full, "_cell").join(when, "_id", "left")
+    decision = F.when(F.col("_ok"), "accepted").when(F.col("_when") < F.col("_o"), "repeated").when(F.col("_full"), "cell_full").otherwise("entity_full")
+    return out.select(*cols, decision.alias("decision"))
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """(v, comp): the smallest end that edges(a, b) reach from each end."""
+    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = settle(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("comp")))
+    while True:
+        near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("w")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, labels.v == near.w).select("v", "comp", F.least("comp", "near").alias("next"))
+        up = step.select(F.col("v").alias("next"), F.col("next").alias("root"))
+        new = settle(step.join(up, "next").select("v", "comp", "root"))
+        if not new.where("comp <> root").limit(1).count():
+            return new.select("v", "comp")
+        labels = new.select("v", F.col("root").alias("comp"))
 
 
 def balanced(rows: DataFrame, group: str, id_: str, most: int, seed: int) -> DataFrame:
@@ -126,3 +187,44 @@ def describe_counts(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q")).select("n", "mean", "std", *(F.col("q")[i].alias(k) for i, k in enumerate(("least", "p05", "median", "p95", "most"))))
 
 
+def window_sum(counts: DataFrame, keys: list[str], first: int, last: int, value: str, name: str) -> DataFrame:
+    """Sum of a value over a range of years by keys."""
+    return counts.where(F.col("year").between(first, last)).groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(name))
+
+
+def work_checks(first: int, last: int, language: str, kinds: list[str], title_least: int = 5, body_least: int = 80) -> dict[str, Column]:
+    """The counters of a table of works, by their names; all but the first two are critical."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    year = F.col("year")
+    return {
+        "after_window": F.coalesce(year > last, F.lit(False)), "before_window": F.coalesce(year < first, F.lit(False)), "outside_window": ~F.coalesce(year.between(first, last), F.lit(False)),
+        **{f"missing_{c}": blank(c) for c in ("work_id", "l1", "l2", "l3", "topic_id", "topic", "topics_json", "title", "body")},
+        "unparsable_topics": F.try_parse_json("topics_json").isNull(), "short_title": ~F.coalesce(token_count("title") >= title_least, F.lit(False)), "short_body": ~F.coalesce(token_count("body") >= body_least, F.lit(False)),
+        "other_language": ~F.coalesce(F.col("language") == language, F.lit(False)), "other_kind": ~F.coalesce(F.col("kind").isin(kinds), F.lit(False)),
+    }
+
+
+def downgraded(manifest: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """The manifest with the rows that are kept now; completed cells that have fewer than planned become partial."""
+    n = have.groupBy(*keys).agg(F.count("*").alias("_kept"))
+    out = manifest.join(n, keys, "left").withColumn("kept", F.coalesce("_kept", F.lit(0))).drop("_kept")
+    return out.withColumn("status", F.when((F.col("status") == "completed") & (F.col("kept") < F.col("planned")), "partial").otherwise(F.col("status")))
+
+
+def backfilled(plan: DataFrame, keys: list[str], fetch: Callable[[DataFrame, int], DataFrame], take: Callable[[DataFrame], DataFrame], request: Callable[[DataFrame, int], DataFrame], rounds: int) -> tuple[DataFrame, list[int]]:
+    """Rounds of asking for what cells still lack, until none lacks rows, a round adds none, or `rounds` are over.
+
+    fetch(requests, round) gives rows for cells, take(rows) the accepted ones of all rows so far, request(coverage, round)
+    what to ask of cells that fell short. The accepted rows, and how many there were after each round.
+    """
+    asked, rows, sizes = request(coverage(plan, plan.limit(0), keys), 0), None, []
+    for i in range(rounds + 1):
+        new = fetch(asked, i)
+        rows = settle(new if rows is None else rows.unionByName(new))
+        kept = settle(take(rows))
+        sizes.append(kept.count())
+        short = coverage(plan, kept, keys).where("shortfall > 0")
+        if not short.limit(1).count() or (len(sizes) > 1 and sizes[-1] == sizes[-2]):
+            break
+        asked = request(short, i + 1)
+    return kept, sizes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,8 @@ def change_text(changes: DataFrame, entity: str, value: str = "delta_z", n: int
 
 
 def weighted_centroids(cen: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Centroids of higher levels: means of centroids by weight, summed by component before the shuffle."""
-    x = cen.select(*keys, weight, F.posexplode("centroid").alias("_d", "_x")).groupBy(*keys, "_d").agg((F.sum(F.col("_x") * F.col(weight)) / F.sum(weight)).alias("_x"))
-    return x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda c: c["_x"]).alias("centroid"))
+    """Centroids of higher levels: means of centroids by weight, summed by task before the shuffle."""
+    return cen.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("centroid")), F.col(weight).cast("double"))).alias("centroid"))
 
 
 def centroid_pairs(cen: DataFrame, keys: list[str], entity: str) -> DataFrame:

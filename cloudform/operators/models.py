@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vec import dot
-from .cloud import _moments
+from ..functions.vec import listed, matrices
+from .cloud import _moments, column_matrix
 from .cluster import adjusted_mutual_information, kmeans, linked
 
 
@@ -28,15 +28,28 @@ def gaps(x: np.ndarray, metric: str = "euclid") -> np.ndarray:
     return d
 
 
+def embedded(a: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means of the rows of the leading eigenvectors of a normalised affinity."""
+    root = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
+    v = np.linalg.eigh(a * root[:, None] * root[None])[1][:, -k:]
+    return kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), k, seed)
+
+
 def spectral(d: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Labels from the leading eigenvectors of the normalised affinity exp(-d² / 2 median²)."""
+    """Labels from the affinity exp(-d² / 2 median²)."""
     off = d[~np.eye(len(d), dtype=bool)]
     scale = np.median(off) if len(off) else 1.0
     a = np.exp(-(d**2) / (2 * max(scale, 1e-12) ** 2))
     np.fill_diagonal(a, 0)
-    root = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
-    v = np.linalg.eigh(a * root[:, None] * root[None])[1][:, -k:]
-    return kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), k, seed)
+    return embedded(a, k, seed)
+
+
+def nearest_affinity(d: np.ndarray, n: int) -> np.ndarray:
+    """The graph of the n nearest (each row itself among them), averaged with its reverse."""
+    by = np.argsort(d, axis=1, kind="stable")[:, : min(n, len(d))]
+    a = np.zeros_like(d)
+    np.put_along_axis(a, by, 1.0, 1)
+    return (a + a.T) / 2
 
 
 def mixture(x: np.ndarray, k: int, seed: int = 0, rounds: int = 200, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -72,6 +85,8 @@ def labelled(x: np.ndarray, k: int, method: str, seed: int = 0) -> np.ndarray:
         return kmeans(x, k, seed)
     if name == "mixture":
         return mixture(x, k, seed)[0]
+    if name == "spectral" and metric.startswith("knn"):
+        return embedded(nearest_affinity(gaps(x), int(metric[3:] or 10)), k, seed)
     d = gaps(x, metric or "euclid")
     return spectral(d, k, seed) if name == "spectral" else linked(d, k, name)
 
@@ -123,6 +138,43 @@ def model_grid(points: DataFrame, id_: str, vector: str, methods: list[str], ks:
     return some.groupBy("method", "k").applyInArrow(run, "method string, k int, n long, min_size long, max_size long, silhouette double, sizes string")
 
 
+def variant_grid(variants: dict[str, DataFrame], id_: str, vector: str, methods: list[str], ks: list[int], seed: int = 0) -> DataFrame:
+    """The grid of models over several representations of the same entities, by name."""
+    out = None
+    for name, points in variants.items():
+        one = model_grid(points, id_, vector, methods, ks, seed).select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def distance_grid(pairs: DataFrame, value: str, methods: list[str], ks: list[int], seed: int = 0) -> DataFrame:
+    """The grid of models on the distances of pairs(a, b, value) of few entities; missing pairs are at the mean distance."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        method, k = (v.as_py() for v in key)
+        d = matrix_of(*(group.column(c).to_pylist() for c in ("a", "b", value)))[1]
+        k = min(k, len(d))
+        y = spectral(d, k, seed) if method == "spectral" else linked(d, k, method)
+        size = np.sort(np.bincount(np.unique(y, return_inverse=True)[1]))[::-1]
+        return pa.table({"method": [method], "k": pa.array([key[1].as_py()], pa.int32()), "n": [len(d)], "min_size": [int(size[-1])], "max_size": [int(size[0])], "silhouette": pa.array([mean_silhouette(d, y)], pa.float64())})
+
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(k).alias("k")) for m in methods for k in ks)))
+    some = pairs.select("a", "b", F.col(value).cast("double").alias(value), models.alias("m")).select("a", "b", value, "m.method", "m.k")
+    return some.groupBy("method", "k").applyInArrow(run, "method string, k int, n long, min_size long, max_size long, silhouette double")
+
+
+def matrix_of(a: list, b: list, d: list) -> tuple[list, np.ndarray]:
+    """Names in order and the symmetric matrix of pairs; missing pairs are at the mean distance."""
+    names = sorted({*a, *b})
+    at = {v: i for i, v in enumerate(names)}
+    m = np.full((len(names),) * 2, np.mean([x for x in d if x is not None] or [0.0]))
+    for x, y, z in zip(a, b, d, strict=True):
+        if z is not None:
+            m[at[x], at[y]] = m[at[y], at[x]] = z
+    np.fill_diagonal(m, 0)
+    return names, m
+
+
 def stability(points: DataFrame, id_: str, vector: str, method: str, k: int, runs: int = 100, part: float = 0.8, seed: int = 0) -> DataFrame:
     """For each run: ARI and AMI of a clustering of a part of the rows, without replacement, with that of all rows."""
 
@@ -159,8 +211,8 @@ def principal_axes(points: DataFrame, vector: str, n: int | None = 2, share: flo
 
     def run(group: pa.Table) -> pa.Table:
         rows = sum(group.column("n").to_pylist())
-        s = np.sum([np.array(v) for v in group.column("s").to_pylist()], 0)
-        ss = np.sum([np.array(v) for v in group.column("ss").to_pylist()], 0).reshape(len(s), -1)
+        s = column_matrix(group, "s").sum(0)
+        ss = column_matrix(group, "ss").sum(0).reshape(len(s), -1)
         value, axes = np.linalg.eigh(ss / rows - np.outer(s, s) / rows**2)
         value, axes = np.maximum(value[::-1], 0), axes[:, ::-1].T
         part = value / max(value.sum(), 1e-300)
@@ -173,10 +225,21 @@ def principal_axes(points: DataFrame, vector: str, n: int | None = 2, share: flo
 
 
 def principal_scores(points: DataFrame, id_: str, vector: str, n: int | None = 2, share: float = 1.0) -> DataFrame:
-    """Scores of each row on the principal axes, and their shares of variance."""
-    one = F.broadcast(principal_axes(points, vector, n, share))  # one row
-    x = F.zip_with(vector, "centre", lambda a, b: a - b)
-    return points.where(F.col(vector).isNotNull()).select(id_, vector).crossJoin(one).select(id_, F.transform("axes", lambda a: dot(a, x)).alias("scores"), "shares")
+    """Scores of each row on the principal axes, and their shares of variance. The axes, one row, go to every task."""
+    rows = points.where(F.col(vector).isNotNull()).select(id_, F.col(vector).alias("x"))
+    kind = f"`{id_}` {points.schema[id_].dataType.simpleString()}, scores array<double>, shares array<double>"
+    one = principal_axes(points, vector, n, share).first()
+    if one is None:
+        return points.sparkSession.createDataFrame([], kind)
+    centre, axes, shares = np.array(one.centre), np.array(one.axes), np.array(one.shares)
+
+    def run(frames):
+        for batch in frames:
+            for at, x in matrices(batch.column(1)):
+                every = np.arange(len(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), listed(every, (x - centre) @ axes.T, len(at)), listed(every, np.tile(shares, (len(at), 1)), len(at))], [id_, "scores", "shares"])
+
+    return rows.mapInArrow(run, kind)
 
 
 def joined_blocks(blocks: list[DataFrame], id_: str, vector: str) -> DataFrame:
@@ -192,14 +255,7 @@ def classical_scaling(pairs: DataFrame, level: str, value: str, n: int = 2) -> D
     """Points in n dimensions whose distances come near those of pairs(level, a, b, value); missing pairs are at the mean distance."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        a, b, d = (group.column(c).to_pylist() for c in ("a", "b", value))
-        names = sorted({*a, *b})
-        at = {v: i for i, v in enumerate(names)}
-        m = np.full((len(names),) * 2, np.mean([x for x in d if x is not None] or [0.0]))
-        for x, y, z in zip(a, b, d, strict=True):
-            if z is not None:
-                m[at[x], at[y]] = m[at[y], at[x]] = z
-        np.fill_diagonal(m, 0)
+        names, m = matrix_of(*(group.column(c).to_pylist() for c in ("a", "b", value)))
         c = np.eye(len(m)) - 1 / len(m)
         w, v = np.linalg.eigh(-0.5 * c @ m**2 @ c)
         w, v = w[::-1][:n], v[:, ::-1][:, :n]

@@ -36,10 +36,11 @@ def distances(long: DataFrame, least: int = 2) -> DataFrame:
     return out.where(F.col("n_metrics") >= least)
 
 
-def extremes(df: DataFrame, keys: list[str], value: str, ties: list[str], n: int) -> DataFrame:
-    """The n lowest and n highest rows of each group, with direction and rank."""
+def extremes(df: DataFrame, keys: list[str], value: str, ties: list[str], n: int, *, largest: bool = False) -> DataFrame:
+    """The n lowest and n highest rows of each group, with direction and rank; with `largest`, those of the largest absolute value too."""
+    orders = {"lowest": F.col(value).asc(), "highest": F.col(value).desc()} | ({"largest": F.abs(value).desc()} if largest else {})
     out = None
-    for name, order in (("lowest", F.col(value).asc_nulls_last()), ("highest", F.col(value).desc_nulls_last())):
+    for name, order in orders.items():
         one = df.where(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))).where(F.col("rank") <= n).withColumn("direction", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -50,12 +51,13 @@ def nearest(pairs: DataFrame, value: str = "euclid") -> DataFrame:
     return both.groupBy("level", "entity").agg(F.min_by("other", F.struct(value, "other")).alias("nearest"), F.min(value).alias("distance"))
 
 
-def square(pairs: DataFrame, level: str, value: str = "euclid") -> DataFrame:
-    """The symmetric matrix of one level, with a zero diagonal."""
-    one = pairs.where(F.col("level") == level)
-    ids = one.select("a").union(one.select("b")).distinct()
-    cells = one.select("a", "b", value).union(one.select("b", "a", value)).union(ids.select("a", "a", F.lit(0.0)))
-    return cells.toDF("entity", "other", "d").groupBy("entity").pivot("other").agg(F.first("d"))
+def square(pairs: DataFrame, value: str = "euclid", keys: tuple[str, ...] = ("level",)) -> DataFrame:
+    """The symmetric matrix of each group of keys with a zero diagonal, a row for each entity: others in order and values alike."""
+    ids = pairs.select(*keys, F.col("a").alias("entity")).union(pairs.select(*keys, "b")).distinct()
+    cells = pairs.select(*keys, F.col("a").alias("entity"), F.col("b").alias("other"), F.col(value).alias("d"))
+    cells = cells.union(pairs.select(*keys, "b", "a", value)).union(ids.select(*keys, "entity", "entity", F.lit(0.0)))
+    rows = cells.groupBy(*keys, "entity").agg(F.array_sort(F.collect_list(F.struct("other", "d"))).alias("_r"))
+    return rows.select(*keys, "entity", F.transform("_r", lambda x: x.other).alias("others"), F.transform("_r", lambda x: x.d).alias("values"))
 
 
 def distance_changes(long: DataFrame, last: int) -> DataFrame:
@@ -68,3 +70,58 @@ def distance_changes(long: DataFrame, last: int) -> DataFrame:
     out = per.groupBy("a", "b").agg(F.count("*").alias("n_windows"), at(0).alias("first_distance"), at(last).alias("last_distance"))
     delta = F.col("last_distance") - F.col("first_distance")
     return out.select("*", delta.alias("delta"), F.when(delta < 0, "converging").when(delta > 0, "diverging").alias("direction"))
+
+
+# ---------------------------------------------------------------- rows that were scaled before they are summarised
+def level_means(scaled_rows: DataFrame, levels: dict[str, Column], entity: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Means of scaled values for each entity of each level, metric and keys (such as a window), and how many entities of the rows."""
+    out = None
+    for name, key in levels.items():
+        one = scaled_rows.groupBy(*keys, "metric", key.cast("string").alias("entity")).agg(F.avg("scaled").alias("scaled"), F.count_distinct(entity).alias("n_entities"))
+        one = one.select(F.lit(name).alias("level"), *keys, "entity", "metric", "scaled", "n_entities")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def similarities(long: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Euclidean and correlation distance of each pair of entities within keys, over the metrics that both have.
+
+    The Euclidean distance needs one metric, the correlation distance two. Without spread in a profile it is 0 if both
+    are alike, else NULL.
+    """
+    x = long.where("scaled is not null")
+    a, b = x.select(*keys, "metric", F.col("entity").alias("a"), F.col("scaled").alias("x")), x.select(*keys, "metric", F.col("entity").alias("b"), F.col("scaled").alias("y"))
+    d = F.col("x") - F.col("y")
+    out = a.join(b, [*keys, "metric"]).where("a < b").groupBy(*keys, "a", "b").agg(
+        F.count("*").alias("n_metrics"), F.sqrt(F.sum(d * d)).alias("euclid"), correlation(F.col("x"), F.col("y")).alias("_r"), F.max(F.abs(d) - 1e-5 * F.abs("y")).alias("_gap"))
+    corr = F.when(F.col("n_metrics") < 2, None).when(F.col("_r").isNotNull(), 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r")))).when(F.col("_gap") <= 1e-8, 0.0)
+    return out.withColumn("corr", corr).drop("_r", "_gap")
+
+
+def pair_changes(pairs: DataFrame, value: str, last: int, keys: tuple[str, ...] = ("level",)) -> DataFrame:
+    """Of each pair over its windows: first and last distance, change, slope by window and direction."""
+    known = pairs.where(F.col(value).isNotNull())
+    at = lambda w: F.max(F.when(F.col("window_index") == w, F.col(value)))
+    out = known.groupBy(*keys, "a", "b").agg(F.count("*").alias("n_windows"), at(0).alias("first_distance"), at(last).alias("last_distance"), F.when(F.count("*") > 1, F.regr_slope(value, "window_index")).alias("slope"))
+    delta = F.col("last_distance") - F.col("first_distance")
+    return out.select("*", delta.alias("delta"), F.when(delta < 0, "converging").when(delta > 0, "diverging").when(delta == 0, "unchanged").alias("direction"))
+
+
+def pair_key(a: str, b: str) -> Column:
+    """The same text for both orders of a pair."""
+    return F.array_join(F.array_sort(F.array(F.col(a).cast("string"), F.col(b).cast("string"))), "__")
+
+
+def closest_and_farthest(pairs: DataFrame, keys: tuple[str, ...], value: str, n: int) -> DataFrame:
+    """The report of the n closest and n farthest pairs: keys, pair, the order-free key, value, rank and side."""
+    out = extremes(pairs, list(keys), value, ["a", "b"], n)
+    side = F.when(F.col("direction") == "lowest", "closest").otherwise("farthest")
+    return out.select(*keys, side.alias("side"), "rank", pair_key("a", "b").alias("pair"), "a", "b", F.col(value).alias("distance"))
+
+
+def edge_list(changes: DataFrame, movement: DataFrame, n: int) -> DataFrame:
+    """Edges of the n strongest approaches and n strongest departures, with the movement of both ends."""
+    top = extremes(changes, [], "delta", ["a", "b"], n) if n else changes
+    m = movement.select("entity", "movement")
+    out = top.join(m.toDF("a", "movement_a"), "a", "left").join(m.toDF("b", "movement_b"), "b", "left")
+    return out.select("a", "b", F.when(F.col("delta") < 0, "approach").otherwise("departure").alias("kind"), F.abs("delta").alias("weight"), "movement_a", "movement_b")

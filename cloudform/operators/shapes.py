@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+from . import density, features, summaries
+from .cloud import column_matrix
+
 NEAR8 = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 NEAR4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -122,22 +126,56 @@ def density_shape(grid: DataFrame, group: str, size: int, core: float = 0.5, sup
 
 
 def spanning_edges(p: np.ndarray) -> np.ndarray:
-    """Lengths of the edges of a minimum spanning tree."""
-    n = len(p)
-    far, out, todo, at = np.full(n, np.inf), [], np.ones(n, bool), 0
-    for _ in range(n - 1):
-        todo[at] = False
-        far = np.minimum(far, np.sqrt(((p - p[at]) ** 2).sum(1)))
-        at = int(np.where(todo, far, np.inf).argmin())
-        out.append(far[at])
-    return np.array(out)
-
+    """Lengths of the edges of a minimum spanning tree of points in the plane.
 
-def spanning_gaps(points: DataFrame, group: str, id_: str, x: str, y: str, most: int = 2000, seed: int = 0) -> DataFrame:
-    """95th percentile over the median of the edges of a minimum spanning tree, on a sample of at most `most` points.
-
-    The sample is the operator's: the points of the smallest hashes, the same in every order of rows. NULL where the
-    median edge has no length.
+    Rounds of Boruvka: each component takes its shortest edge to another. The points are sorted along their longer axis,
+    and a point looks at others in that order only as far as their gap along it is below the best edge of its component.
+    """
+    n = len(p)
+    p = p[np.argsort(p[:, int(np.ptp(p[:, 0]) < np.ptp(p[:, 1]))], kind="stable")] if n else p
+    line = p[:, int(np.ptp(p[:, 0]) < np.ptp(p[:, 1]))] if n else np.zeros(0)
+    comp, out = np.arange(n), []
+    while n and comp.max() > 0:
+        m = comp.max() + 1
+        best, low, high = np.full(m, np.inf), np.full(m, n), np.full(m, n)
+        for sign in (1, -1):
+            active, step = np.arange(n), 0
+            while len(active):
+                step += 1
+                active = active[(active + sign * step >= 0) & (active + sign * step < n)]
+                other = active + sign * step
+                near = np.abs(line[other] - line[active]) <= best[comp[active]]
+                active, other = active[near], other[near]
+                apart = comp[active] != comp[other]
+                i, j = active[apart], other[apart]
+                d, c = np.hypot(*(p[i] - p[j]).T), comp[i]
+                use = d <= best[c]
+                i, j, d, c = i[use], j[use], d[use], c[use]
+                lo, hi = np.minimum(i, j), np.maximum(i, j)
+                by = np.lexsort((hi, lo, d, c))  # ties by place, so that no round closes a circle
+                by = by[np.concatenate([[True], c[by][1:] != c[by][:-1]])] if len(by) else by
+                d, c, lo, hi = d[by], c[by], lo[by], hi[by]
+                better = (d < best[c]) | (lo < low[c]) | ((lo == low[c]) & (hi < high[c]))
+                c = c[better]
+                best[c], low[c], high[c] = d[better], lo[better], hi[better]
+        edges = np.unique(np.stack([low, high], 1), axis=0)
+        out.append(np.hypot(*(p[edges[:, 0]] - p[edges[:, 1]]).T))
+        top = np.arange(m)
+        while True:  # components that edges join get one name
+            a, b = top[comp[edges[:, 0]]], top[comp[edges[:, 1]]]
+            if (a == b).all():
+                break
+            np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+            while (top[top] != top).any():
+                top = top[top]
+        comp = np.unique(top[comp], return_inverse=True)[1]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def spanning_gaps(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """95th percentile over the median of the edges of each group's minimum spanning tree, over all its points.
+
+    NULL where the median edge has no length. A group is one task: two numbers for each point.
     """
     kind = points.schema[group].dataType.simpleString()
 
@@ -147,6 +185,48 @@ def spanning_gaps(points: DataFrame, group: str, id_: str, x: str, y: str, most:
         gap = float(np.percentile(e, 95) / mid) if mid > 1e-12 else None
         return pa.table({group: pa.array([key[0].as_py()], t.schema.field(group).type), "n": [t.num_rows], "gap": pa.array([gap], pa.float64())})
 
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), id_), id_)
-    some = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, id_, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    some = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
     return some.groupBy(group).applyInArrow(run, f"{group} {kind}, n long, gap double")
+
+
+def shape_row(points: DataFrame, group: str, id_: str, x: str, y: str, *, size: int = 32, sigma: float = 1.0, k: int = 15, least: int = 10) -> DataFrame:
+    """A row of all plane metrics for each group of points(group, id, year, x, y) about its median, with a status.
+
+    Groups with fewer than `least` points are skipped and keep their row.
+    """
+    n = points.groupBy(group).agg(F.count("*").alias("n"))
+    some = points.join(n.where(F.col("n") >= least).select(group), group, "left_semi")
+    at = settle(features.centred(some, [group], x, y))
+    grid = settle(density.smoothed(density.cells(at, [group], x, y, -1.5, 1.5, size), [group], size, sigma))
+    rows = at.select(group, F.col(id_).alias("id"), F.array(x, y).alias("u"))
+    near = settle(plane_neighbours(rows, group, k))
+    parts = [
+        features.radial_shape(some, [group], x, y).drop("n"), density.concentration(grid, [group], size), density_shape(grid, group, size), spanning_gaps(at, group, x, y).drop("n"),
+        summaries.kth_neighbour(near, group, k).drop("n"), summaries.yearly_path(at, [group], x, y), density.entropy_trend(at, [group], x, y, -1.5, 1.5, size),
+    ]
+    out = n
+    for t in parts:
+        out = out.join(t, group, "left")
+    return out.withColumn("status", F.when(F.col("n") >= least, "completed").otherwise("skipped"))
+
+
+def plane_neighbours(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, src, dst, d, rank): the k nearest others in the plane by distance, ties by id; a group is one task."""
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by([("id", "ascending")])
+        ids, x = t.column("id").to_numpy(), column_matrix(t, "u")
+        src, dst, d, rank = [ids[:0]], [ids[:0]], [np.zeros(0)], [np.zeros(0, np.int32)]
+        for a in range(0, len(x), 512):
+            gap = np.sqrt(((x[a : a + 512, None] - x[None]) ** 2).sum(-1))
+            gap[np.arange(len(gap)), np.arange(a, a + len(gap))] = np.inf
+            by = np.argsort(gap, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+            src.append(np.repeat(ids[a : a + 512], by.shape[1]))
+            dst.append(ids[by].ravel())
+            d.append(np.take_along_axis(gap, by, 1).ravel())
+            rank.append(np.tile(np.arange(1, by.shape[1] + 1, dtype=np.int32), len(by)))
+        many = sum(map(len, src))
+        return pa.table({group: pa.array([key[0].as_py()] * many, t.schema.field(group).type), "src": np.concatenate(src), "dst": np.concatenate(dst), "d": np.concatenate(d), "rank": np.concatenate(rank)})
+
+    return rows.select(group, F.col("id").cast("long").alias("id"), "u").groupBy(group).applyInArrow(run, f"{group} {kind}, src long, dst long, d double, rank int")

@@ -41,20 +41,28 @@ def long_scaled(wm: DataFrame, entity: str, metrics: list[str]) -> DataFrame:
     return long.join(F.broadcast(par), "metric").select(entity, "window_index", "mid_year", "metric", "value", ratio(F.col("value") - F.col("m"), F.col("s")).alias("z"), robust(F.col("value"), F.col("q")).alias("rz"))  # a row for each metric
 
 
+def scaling_parameters(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """n, mean, deviation, median, quartiles and their range of the values by keys."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    out = long.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"))
+    return out.select(*keys, "n", "mean", "std", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+
 def changes(long: DataFrame, entity: str, n_windows: int) -> DataFrame:
     """First to last change, trends and rank correlation with time of each entity and metric."""
     known = long.where("value is not null")
     ranked = known.withColumns({"rv": mean_rank("value", entity, "metric"), "rt": F.rank().over(Window.partitionBy(entity, "metric").orderBy("window_index"))})
     at = lambda w, c: F.max(F.when(F.col("window_index") == w, F.col(c)))
     out = ranked.groupBy(entity, "metric").agg(
-        F.count("*").alias("n_windows"), at(0, "value").alias("first_value"), at(n_windows - 1, "value").alias("last_value"), (at(n_windows - 1, "z") - at(0, "z")).alias("delta_z"),
+        F.count("*").alias("n_windows"), at(0, "value").alias("first_value"), at(n_windows - 1, "value").alias("last_value"), (at(n_windows - 1, "z") - at(0, "z")).alias("delta_z"), (at(n_windows - 1, "rz") - at(0, "rz")).alias("delta_rz"),
         F.when(F.count("*") > 1, F.regr_slope("value", "mid_year")).alias("slope"), F.when(F.count("*") > 1, F.regr_slope("z", "mid_year")).alias("slope_z"), correlation(F.col("rv"), F.col("rt").cast("double")).alias("spearman"))
     return out.select("*", (F.col("last_value") - F.col("first_value")).alias("delta"), trend(F.col("delta_z")).alias("trend"))
 
 
 def change_ranking(ch: DataFrame, entity: str) -> DataFrame:
-    d = F.coalesce(F.sqrt(F.sum(F.col("delta_z") * F.col("delta_z"))), F.lit(0.0))
-    out = ch.groupBy(entity).agg(d.alias("change"), F.count("delta_z").alias("n_metrics"))
+    """Entities by the length of their vector of changes over the metrics, with that of their slopes."""
+    length = lambda c: F.coalesce(F.sqrt(F.sum(F.col(c) * F.col(c))), F.lit(0.0))
+    out = ch.groupBy(entity).agg(length("delta_z").alias("change"), length("slope_z").alias("slope_norm"), F.count("delta_z").alias("n_metrics"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("change").desc(), entity)))  # a row for each entity
 
 
@@ -64,6 +72,15 @@ def window_centroids(rows: DataFrame, entity: str, least: int, first: int, last:
     return centroids(some, [entity, "window_index"], "u").join(n, [entity, "window_index"]).withColumn("centroid", unit("centroid"))
 
 
+def window_centroid_table(rows: DataFrame, wins: DataFrame, entity: str, least: int, first: int, last: int, size: int = 5) -> DataFrame:
+    """The unit centroid of each entity in each window, a row for every pair; too few rows: skipped, without a vector."""
+    some = in_window(rows, first, last, size)
+    n = some.groupBy(entity, "window_index").agg(F.count("*").alias("n"))
+    grid = rows.select(entity).distinct().crossJoin(F.broadcast(wins))  # entities times a few windows
+    out = grid.join(n, [entity, "window_index"], "left").join(window_centroids(rows, entity, least, first, last, size).select(entity, "window_index", "centroid"), [entity, "window_index"], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", F.when(F.col("n") >= least, "completed").otherwise("skipped"))
+
+
 def paths(cen: DataFrame, entity: str) -> DataFrame:
     """Steps between completed windows (gaps are bridged): path, drift, their ratio, and the largest step."""
     w = Window.partitionBy(entity).orderBy("window_index")

@@ -24,7 +24,7 @@ ORACLES = {
     "completion_report": FIRSTS + f", t AS (SELECT count(*) AS expected, count(present) AS actual FROM s LEFT JOIN {F_ROWS} USING (c_nationkey, c_mktsegment, year) WHERE planned > 0) SELECT expected, actual, round(actual / expected, 6) AS share, CASE WHEN actual / expected >= 0.99 THEN 'complete' ELSE 'incomplete' END AS verdict FROM t",
     "attribute_mismatches": 'SELECT \'n_chars\' AS "column", count(*) FILTER (length(text) IS DISTINCT FROM n_chars) AS n FROM documents UNION ALL SELECT \'lang\', count(*) FILTER (lower(lang) IS DISTINCT FROM lang) FROM documents',
     "key_overlap": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 100000), t AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (k)) AS n_both) SELECT *, round(n_both / least(n_a, n_b), 6) AS overlap FROM t",
-    "merged_records": "SELECT o_orderkey % 3 <> 0 AS \"new\", count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY 1",
+    "merged_records": "SELECT o_orderstatus <> 'F' AS \"new\", count(*) AS n FROM orders GROUP BY 1",
     "cluster_margins": CEN + ", t AS (SELECT work_id, l1, min(d) FILTER (o = l1) AS own, min(d) FILTER (o <> l1) AS other FROM q GROUP BY ALL) SELECT work_id, l1, round(own, 6) AS own, round(other, 6) AS other, round(other - own, 6) AS margin, row_number() OVER (PARTITION BY l1 ORDER BY own, work_id) = 1 AS prototype FROM t",
     "cluster_quality_indices": V
     + f", p AS (SELECT l1, d, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM e GROUP BY ALL), g AS (SELECT d, sum(n * m) / sum(n) AS g FROM p GROUP BY 1), t AS (SELECT sum(n * (m - g) ** 2) AS b, sum(n * v) AS w, count(DISTINCT l1) AS k, (sum(n) FILTER (d = 1))::BIGINT AS n FROM p JOIN g USING (d)), s AS (SELECT c.l1, c.c, s.s FROM c JOIN ({SP}) s USING (l1)), z AS (SELECT a.l1, max((a.s + b.s) / list_distance(a.c, b.c)) AS x FROM s a JOIN s b ON a.l1 <> b.l1 GROUP BY 1) SELECT k, n, round(b * (n - k) / (w * (k - 1)), 5) AS calinski_harabasz, round((SELECT avg(x) FROM z), 5) AS davies_bouldin FROM t",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.num import correlation, mean_rank, skew
-from ..operators import cloud, cluster, corpus, density, profiles, temporal
+from ..operators import cloud, cluster, corpus, density, profiles, rows, temporal
 from ..streaming import acceptance
 
 FIRST, LAST = 2000, 2024
@@ -28,8 +28,8 @@ def table(spark, d, name):
 def vectors(spark, d) -> DataFrame:
     """embeddings as rows of a three-level hierarchy with a year."""
     v = table(spark, d, "embeddings")
-    rows = v.select(F.col("vec_id").alias("work_id"), F.col("label").alias("l1"), F.expr("cast(label div 3 as int)").alias("l2"), F.expr("cast(label div 6 as int)").alias("l3"), (FIRST + F.col("vec_id") % 25).cast("int").alias("year"), "embedding")
-    return cloud.unit_rows(rows)
+    v = v.select(F.col("vec_id").alias("work_id"), F.col("label").alias("l1"), F.expr("cast(label div 3 as int)").alias("l2"), F.expr("cast(label div 6 as int)").alias("l3"), (FIRST + F.col("vec_id") % 25).cast("int").alias("year"), "embedding")
+    return cloud.unit_rows(v)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -42,8 +42,8 @@ def cloud_dispersion(spark, d):
 
 
 def near(spark, d):
-    rows = vectors(spark, d)
-    return rows, cloud.neighbours(rows, "l1", "work_id", 5)
+    v = vectors(spark, d)
+    return v, cloud.neighbours(v, "l1", "work_id", 5)
 
 
 @query
@@ -53,8 +53,8 @@ def cloud_knn_stats(spark, d):
 
 @query
 def cloud_hub_gini(spark, d):
-    rows, knn = near(spark, d)
-    return rounded(cloud.hub_gini(rows, knn, "l1", "work_id"))
+    v, knn = near(spark, d)
+    return rounded(cloud.hub_gini(v, knn, "l1", "work_id"))
 
 
 @query
@@ -66,8 +66,8 @@ def cloud_graph_edges(spark, d):
 
 @query
 def cloud_graph_components(spark, d):
-    rows, knn = near(spark, d)
-    return rounded(cloud.graph_components(rows, cloud.graph_edges(knn, "l1"), "l1", "work_id"))
+    v, knn = near(spark, d)
+    return rounded(cloud.graph_components(v, cloud.graph_edges(knn, "l1"), "l1", "work_id"))
 
 
 @query
@@ -80,6 +80,12 @@ def cloud_drift(spark, d):
     return rounded(cloud.drift(vectors(spark, d), "l1", FIRST, LAST))
 
 
+@query
+def cloud_drift_short(spark, d):
+    """Over eight years, where both edges share two."""
+    return rounded(cloud.drift(vectors(spark, d), "l1", 2003, 2010))
+
+
 @query
 def cloud_annual_path(spark, d):
     return rounded(cloud.annual_path(vectors(spark, d), "l2"))
@@ -95,9 +101,22 @@ def win(spark, d):
     return temporal.window_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", 3, FIRST, LAST)
 
 
+SPECTRAL = ("d80", "entropy")
+
+
+def full_windows(spark, d):
+    return rows.window_group_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", "work_id", 5, 3, FIRST, LAST)
+
+
 @query
 def window_metrics(spark, d):
-    return rounded(win(spark, d).select("l1", "window_index", "window_label", "n", "status", *METRICS))
+    """The window metrics that SQL can tell; window_spectra has the others."""
+    return rounded(full_windows(spark, d).select("l1", "window_index", "window_label", "n", "status", *(m for m in rows.WINDOW_METRICS if m not in SPECTRAL)))
+
+
+@query
+def window_spectra(spark, d):
+    return rounded(full_windows(spark, d).select("l1", "window_index", *SPECTRAL))
 
 
 @query
@@ -121,13 +140,13 @@ def change_ranking(spark, d):
 
 @query
 def top_changes(spark, d):
-    return rounded(profiles.extremes(change(spark, d).select("l1", "metric", "delta_z"), ["metric"], "delta_z", ["l1"], 3), 5)
+    return rounded(profiles.extremes(change(spark, d).select("l1", "metric", "delta_z"), ["metric"], "delta_z", ["l1"], 3, largest=True), 5)
 
 
 @query
 def metric_trajectories(spark, d):
     long = temporal.long_scaled(win(spark, d), "l1", METRICS).withColumn("l2", F.expr("cast(l1 div 3 as int)"))
-    return rounded(long.groupBy("l2", "window_index", "metric").agg(F.avg("value").alias("mean_value"), F.median("value").alias("median_value"), F.count_distinct("l1").alias("n_entities")))
+    return rounded(long.groupBy("l2", "window_index", "metric").agg(F.avg("value").alias("mean_value"), F.median("value").alias("median_value"), F.avg("z").alias("mean_z"), F.median("z").alias("median_z"), F.count_distinct("l1").alias("n_entities")))
 
 
 @query
@@ -196,7 +215,8 @@ def nearest_profile(spark, d):
 
 @query
 def distance_matrix(spark, d):
-    return rounded(profiles.square(static_pairs(spark, d), "l2"), 5)
+    m = profiles.square(static_pairs(spark, d)).select("level", "entity", F.explode(F.arrays_zip("others", "values")).alias("x"))
+    return rounded(m.select("level", "entity", F.col("x.others").alias("other"), F.col("x.values").alias("d")), 5)
 
 
 @query
@@ -301,7 +321,16 @@ def resume_pending(spark, d):
 @query
 def accept_capped(spark, d):
     ev = table(spark, d, "events")
-    return corpus.accept(ev, "event_id", ["user_id", "event_type"], "user_id", ["ts", "event_id"], 2, 5).select("event_id", "user_id", "event_type")
+    return corpus.accept(ev, "event_id", ["user_id", "event_type"], "user_id", ["ts", "event_id"], 2, 5).select("event_id", "user_id", "event_type", "decision")
+
+
+@query
+def accept_shared_ids(spark, d):
+    """Parts offered by suppliers by year: a part enters once, in the first cell with room."""
+    li = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    plan = li.groupBy("l_suppkey", "year").agg(F.ceil(F.count("*") / 2).cast("long").alias("planned"))
+    out = corpus.accept(li, "l_partkey", ["l_suppkey", "year"], "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"], plan, 100)
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "decision")
 
 
 @query
@@ -397,3 +426,11 @@ def density_entropy(spark, d):
 @query
 def events_tumbling(spark, d):
     return rounded(acceptance.tumbling(table(spark, d, "events")), 3)
+
+
+@query
+def events_accept_stream(spark, d):
+    """The table of events as a stream: up to three ids of each user and type in order of arrival."""
+    kind = table(spark, d, "events").schema
+    events = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    return acceptance.finished(acceptance.accepted(events, 3)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))

@@ -65,7 +65,7 @@ def density_shape(spark, d):
 @query
 def spanning_gaps(spark, d):
     p = vectors(spark, d).select("l1", "work_id", F.col("u")[0].alias("x"), F.col("u")[1].alias("y"))
-    return rounded(shapes.spanning_gaps(p, "l1", "work_id", "x", "y"), 5)
+    return rounded(shapes.spanning_gaps(p, "l1", "x", "y"), 5)
 
 
 @query

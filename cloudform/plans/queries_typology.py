@@ -62,8 +62,8 @@ def key_overlap(spark, d):
 
 @query
 def merged_records(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    part = records.union_new(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(-1.0)), "o_orderkey", ["o_custkey"])
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    part = records.union_new(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.drop("o_orderstatus").withColumn("o_totalprice", F.lit(-1.0)), "o_orderkey", ["o_custkey"])
     return part.groupBy((F.col("o_totalprice") == -1).alias("new")).agg(F.count("*").alias("n"))
 
 

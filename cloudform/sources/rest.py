@@ -22,11 +22,13 @@ def _open(url: str, timeout: float) -> bytes:
         return r.read()
 
 
-def fetch(url: str, *, tries: int = 8, most: float = 60, timeout: float = 30, sleep: Callable[[float], None] = time.sleep, get: Callable[[str, float], bytes] = _open) -> dict:
+def fetch(url: str, *, tries: int = 8, most: float = 60, timeout: float = 30, most_total: float = 900, sleep: Callable[[float], None] = time.sleep, get: Callable[[str, float], bytes] = _open) -> dict:
     """The JSON object at url. Limits, server errors and network errors are tried again after a growing pause.
 
-    A Retry-After in seconds is kept up to `most`. Errors name the url without its keys and addresses.
+    A Retry-After in seconds is kept up to `most`, and all pauses together up to `most_total`. Errors name the url
+    without its keys and addresses.
     """
+    waited = 0.0
     for i in range(tries):
         pause, why = min(most, 2.0**i), ""
         try:
@@ -38,7 +40,10 @@ def fetch(url: str, *, tries: int = 8, most: float = 60, timeout: float = 30, sl
             pause, why = min(most, float(after)) if str(after).isdigit() else pause, f"status {e.code}"
         except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
             why = type(e).__name__
+        if waited + pause > most_total:
+            raise RuntimeError(f"{why} of {safe_url(url)} after {waited:.0f} s of pauses")
         if i < tries - 1:
+            waited += pause
             sleep(pause)
     raise RuntimeError(f"{why} of {safe_url(url)} after {tries} tries")
 
@@ -47,6 +52,31 @@ def address(url: str, params: dict) -> str:
     return f"{url}?{urllib.parse.urlencode({k: v for k, v in params.items() if v is not None})}"
 
 
+def composed(where: dict | None = None, *, select: list[str] | None = None, sample: int | None = None, seed: int | None = None, group_by: str | None = None, year: int | None = None, years: tuple[int, int] | None = None, size: int | None = None) -> dict:
+    """Parameters of a request: a filter (lists are alternatives, booleans lower case, None left out), columns, a seeded sample
+    or a grouping, which exclude each other."""
+    if sample and group_by:
+        raise ValueError("a sample or a grouping, not both")
+    terms = {k: "|".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else v for k, v in (where or {}).items() if v is not None and v != []}
+    if year is not None:
+        terms["publication_year"] = year
+    elif years:
+        terms["publication_year"] = f"{years[0]}-{years[1]}"
+    out = {"filter": ",".join(f"{k}:{v}" for k, v in terms.items()) or None, "select": ",".join(select) if select else None, "sample": sample, "seed": seed if sample else None, "group_by": group_by, "per-page": size}
+    return {k: v for k, v in out.items() if v is not None}
+
+
+def sampled(url: str, params: dict, n: int, *, size: int = 200, results: str = "results", **how) -> Iterator[dict]:
+    """Records of a seeded sample page by page by number, until n have come or a page is short."""
+    came, page = 0, 1
+    while came < n:
+        found = (fetch(address(url, params | {"per-page": size, "page": page}), **how).get(results) or [])[: n - came]
+        yield from found
+        came, page = came + len(found), page + 1
+        if len(found) < size:
+            return
+
+
 def count(url: str, params: dict, **how) -> int:
     """How many records match, from a request for a single one."""
     return int(fetch(address(url, params | {"per-page": 1}), **how)["meta"]["count"])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import shared_folder
+
 
 def tumbling(events: DataFrame, length: str = "5 days", late: str | None = None) -> DataFrame:
     """Count and sum by window and type; batch tables and streams alike."""
@@ -16,20 +20,34 @@ def tumbling(events: DataFrame, length: str = "5 days", late: str | None = None)
 
 def _taker(most: int):
     def run(key, frames, state: GroupState):
-        (held,) = state.get if state.exists else (0,)
-        out = []
+        (held,) = state.get if state.exists else ([],)
+        held, out = list(held), []
         for f in frames:
-            some = f.sort_values(["ts", "event_id"]).head(max(most - held, 0))
-            held += len(some)
-            out.append(some)
+            for i in f.sort_values(["ts", "event_id"])["event_id"]:
+                if len(held) >= most:
+                    break
+                if i not in held:
+                    held.append(int(i))
+                    out.append(int(i))
         state.update((held,))
-        rows = pd.concat(out) if out else pd.DataFrame()
-        yield pd.DataFrame({"user_id": [key[0]] * len(rows), "event_type": [key[1]] * len(rows), "event_id": rows["event_id"] if len(rows) else []})
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_type": [key[1]] * len(out), "event_id": pd.Series(out, dtype="int64")})
 
     return run
 
 
-def accepted(events: DataFrame, most: int, late: str = "30 days") -> DataFrame:
-    """Events of a stream, each id once, up to `most` by (user, type); the state is one number by cell."""
-    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("user_id", "event_type").applyInPandasWithState(_taker(most), "user_id long, event_type string, event_id long", "held int", "append", GroupStateTimeout.NoTimeout)
+def accepted(events: DataFrame, most: int) -> DataFrame:
+    """Events of a stream, each id of a cell (user, type) once, up to `most` by cell, whenever it comes.
+
+    A cell's state is its accepted ids, `most` at most, and stays, as a cap without an end asks for: late and repeated
+    events are refused however late they are.
+    """
+    rows = events.select("event_id", "user_id", "event_type", "ts")
+    return rows.groupBy("user_id", "event_type").applyInPandasWithState(_taker(most), "user_id long, event_type string, event_id long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all data that is there now, from a table in the shared folder."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")

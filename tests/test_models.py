@@ -98,7 +98,7 @@ def test_hull_and_spanning_tree(spark):
             root = [root[j] if v == old else v for v in root]
     assert S.spanning_edges(p).sum() == pytest.approx(want)
     one = spark.createDataFrame([(0, 1, 0.0, 0.0)], "g int, id int, x double, y double")
-    assert S.spanning_gaps(one, "g", "id", "x", "y").first().gap is None
+    assert S.spanning_gaps(one, "g", "x", "y").first().gap is None
 
 
 def test_stability_query_runs_all(spark):
