@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 19  # bytes of texts that numpy works on at once
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24  # texts may be long, so a Python worker gets few at a time
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 
@@ -168,6 +169,15 @@ def batches(frames, text: str = "text"):
         data, offsets = flat(batch.column(batch.schema.get_field_index(text)))
         for i, j in chunks(offsets):
             yield batch, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    release()
+
+
+def release() -> None:
+    """Gives back to the system what a worker, which lives on after its task, no longer needs."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import chunks, column, flat, small_batches
+from ._base import chunks, column, flat, release, small_batches
 
 # Fixed value: the byte-level pre-tokenizer's pattern. White space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -222,6 +222,8 @@ def encode(vocabulary):
                 ids, counts = encoder(texts[i:j].to_pylist())
                 raw = ids.astype("<u4").view(np.uint8)
                 yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id")[i:j], "n_tokens": pa.array(counts, pa.int64()), "ids": binary(raw, counts * 4)})
+        encoder.forget()
+        release()
 
     return run
 
