@@ -10,12 +10,14 @@ exact. How it works:
    blocks; sets that share enough of them with sets of fitting size survive.
 3. Every survivor is verified against one leader. That joins groups of near copies without their pairs.
 4. For each shared shingle that still holds sets of several components, the sets' count vectors (shingles by hash
-   group) go into an R-tree. The summed minima of the coordinates bound the overlap from above, for whole nodes and
-   then for points. A shingle with many sets is dealt over a grid of blocks.
-5. Surviving pairs are verified on the sets, and components follow from all verified links.
+   group) go into an R-tree. The summed minima of the coordinates bound the overlap from above, for the boxes of each
+   level and then for points. A shingle with many sets is dealt over a grid of blocks with a tree each.
+5. Surviving pairs are verified on the sets, and components follow from all verified links. Texts travel to a pair,
+   as they are smaller than the hashes of their shingles.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing. A text of fewer words than five
-has its whole sequence as its one shingle. Repeated rows of one id count as one document with the smallest id.
+has its whole sequence as its one shingle. Rows with words that repeat an id are one document: they are in one component,
+and a link of any of them is a link of all. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import LOWER, Powers, Scratch, U, batches, bitmap, blob, column, components, marked, mix, parts, words
+from ._base import LOWER, Powers, Scratch, U, batches, bitmap, blob, chunks, column, components, flat, marked, mix, parts, release, words
 
 SKETCH = 1 << 22
 SLICE = 1 << 16
 GROUPS = 128
-LEAF = 16
+FAN = 16  # points of a leaf, boxes of a node
 BLOCK = 256
 HEADS = 8  # tokens of a set by which pairs are known that another token finds too
 ENTRIES = 1 << 18  # packed at once by a task
@@ -90,7 +92,8 @@ def profile(width: int):
         powers, sketch = Powers(), np.zeros(SKETCH, np.int64)
         for batch, i, j, data, offsets in batches(frames):
             sets, sizes = shingle_sets(data, offsets, powers, width)
-            sketch += np.bincount((sets >> U(42)).astype(np.int64), minlength=SKETCH)
+            slot, n = np.unique((sets >> U(42)).astype(np.int64), return_counts=True)
+            sketch[slot] += n
             yield pa.RecordBatch.from_pydict({
                 "doc_id": column(batch, "doc_id")[i:j].cast(pa.int64()), "n": pa.array(sizes, pa.int64()),
                 "f1": segment_sums(mix(sets, 11), sizes).view(np.int64), "f2": segment_sums(mix(sets, 12), sizes).view(np.int64),
@@ -208,43 +211,77 @@ def count_vectors(sets, sizes):
 
 
 def members(wanted, width: int):
-    """Sets and count vectors of the texts whose id may be wanted; an exact join follows."""
+    """Texts and count vectors of the rows whose id may be wanted."""
 
     def run(frames):
         powers = Powers()
         for batch, i, j, data, offsets in batches(marked(b, "doc_id", wanted.value) for b in frames):
             sets, sizes = shingle_sets(data, offsets, powers, width)
             counts, excess = count_vectors(sets, sizes)
-            cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"rep": column(batch, "doc_id")[i:j].cast(pa.int64()), "n": pa.array(sizes, pa.int64()),
-                "print": segment_sums(mix(sets, 11), sizes).view(np.int64), "tokens": pa.ListArray.from_arrays(pa.array(cut), pa.array(sets.view(np.int64))),
+                "f1": segment_sums(mix(sets, 11), sizes).view(np.int64), "text": column(batch, "text")[i:j].cast(pa.string()),
                 "counts": blob([x.tobytes() for x in counts]), "excess": pa.array(excess, pa.int64())})
 
     return run
 
 
-class RTree:
-    """Points packed in leaves after sorting by size and by tile of their coordinates (one level of boxes)."""
+class Forest:
+    """An R-tree for each block of points, all in the same arrays.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, excess: np.ndarray):
+    The points of a block are sorted by slabs of size and then by a tile of their coordinates; runs of FAN make leaves,
+    runs of FAN leaves make nodes, up to one root. A box holds the largest coordinates, the range of sizes and the place of
+    its last point.
+    """
+
+    def __init__(self, block: np.ndarray, points: np.ndarray, sizes: np.ndarray, excess: np.ndarray):
+        n = len(block)
+        by = np.lexsort((sizes, block))
+        start = np.concatenate([[True], np.diff(block[by]) != 0])
+        length = np.diff(np.append(np.flatnonzero(start), n))
+        rank = np.arange(n) - np.repeat(np.flatnonzero(start), length)
+        slab = np.repeat(np.maximum(FAN, np.sqrt(length * FAN)).astype(np.int64), length)
         half = points[:, : GROUPS // 2].sum(1, dtype=np.int64)
-        slab = max(LEAF, int(np.sqrt(len(points) * LEAF)))
-        by = np.argsort(sizes, kind="stable")
-        self.order = np.lexsort((half, np.argsort(by, kind="stable") // slab))
-        self.cut = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(points[self.order], self.cut)
-        self.small, self.large = (f.reduceat(sizes[self.order], self.cut) for f in (np.minimum, np.maximum))
-        self.excess = np.maximum.reduceat(excess[self.order], self.cut)
-
-    def leaves(self, point, size: int, excess: int, num: int, den: int):
-        """Points of the leaves whose boxes may hold a partner: the summed minima with a box bound every overlap in it.
-
-        What the bytes of both can't hold is shared at most up to the smaller excess.
+        self.order = by[np.lexsort((half[by], rank // slab, block[by]))]
+        self.points, self.sizes, self.excess, owner = points[self.order], sizes[self.order], excess[self.order], block[self.order]
+        level = (self.points, self.sizes, self.sizes, self.excess, np.arange(n), owner)
+        self.levels = []  # of boxes: coordinates, smallest and largest size, excess, last point, first child, children
+        while True:
+            high, small, large, spare, last, owner = level
+            start = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+            length = np.diff(np.append(start, len(owner)))
+            inside = np.arange(len(owner)) - np.repeat(start, length)
+            cut = np.flatnonzero(inside % FAN == 0)
+            level = (np.maximum.reduceat(high, cut), np.minimum.reduceat(small, cut), np.maximum.reduceat(large, cut), np.maximum.reduceat(spare, cut), np.maximum.reduceat(last, cut), owner[cut])
+            self.levels.append((*level[:5], cut, np.diff(np.append(cut, len(owner)))))
+            if len(cut) == len(start):
+                break
+        self.root = np.repeat(np.arange(len(cut)), np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(self.sorted(block)) != 0])), n)))
+
+    def sorted(self, values: np.ndarray) -> np.ndarray:
+        return values[self.order]
+
+    def pairs(self, num: int, den: int, points: int = 4096):
+        """Pairs of points of one block, by their places before sorting, that no box on the way down rules out.
+
+        The summed minima with a box bound every overlap in it; what the bytes of both can't hold is shared at most up
+        to the smaller excess.
         """
-        most = np.minimum(self.high, point).sum(1, dtype=np.int64) + np.minimum(self.excess, excess)
-        fits = (self.small * num <= size * den) & (size * num <= self.large * den)
-        fits &= most * (num + den) >= (size + self.small) * num
-        return [self.order[c : c + LEAF] for c in self.cut[fits]]
+        for a in range(0, len(self.order), points):
+            q = np.arange(a, min(a + points, len(self.order)))
+            node = self.root[q]
+            for high, small, large, spare, last, first, count in reversed(self.levels):
+                fits = (small[node] * num <= self.sizes[q] * den) & (self.sizes[q] * num <= large[node] * den) & (last[node] > q)
+                q, node = q[fits], node[fits]
+                good = np.zeros(len(q), bool)
+                for i in range(0, len(q), 1 << 15):
+                    x, y = q[i : i + (1 << 15)], node[i : i + (1 << 15)]
+                    most = np.minimum(self.points[x], high[y]).sum(1, dtype=np.int64) + np.minimum(self.excess[x], spare[y])
+                    good[i : i + (1 << 15)] = most * (num + den) >= (self.sizes[x] + small[y]) * num
+                q, node = q[good], node[good]
+                size = count[node]
+                q, node = np.repeat(q, size), np.repeat(first[node], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            later = node > q
+            yield self.order[q[later]], self.order[node[later]]
 
 
 def bounded(a, z, points, sizes, excess, num, den):
@@ -264,55 +301,65 @@ def candidates(num: int, den: int):
     """Pairs of different components in the blocks of one bucket that their count vectors let through."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("token", "ascending"), ("row", "ascending"), ("col", "ascending"), ("rep", "ascending")])
         get = lambda name: group.column(name).to_numpy()
         token, row, col, rep, comp, size, excess, own = map(get, ("token", "row", "col", "rep", "comp", "n", "excess", "own"))
         points = np.frombuffer(b"".join(x.as_py() for x in group.column("counts")), np.uint8).reshape(-1, GROUPS)
         heads = np.stack([np.array(x.as_py(), np.int64) for x in group.column("heads")])
-        new = np.ones(len(rep), bool)
-        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])
-        cut = np.append(np.flatnonzero(new), len(rep))
-        length = np.diff(cut)
-        left, right = [], []
-        for size_of in np.unique(length[length <= 2 * LEAF]):  # small blocks of one size at once
-            x, y = np.triu_indices(size_of, 1)
-            for some in np.array_split(cut[:-1][length == size_of], max(1, len(x) * (length == size_of).sum() >> 20)):
-                left.append((some[:, None] + x).ravel())
-                right.append((some[:, None] + y).ravel())
-        for a, z in zip(cut[:-1][length > 2 * LEAF], cut[1:][length > 2 * LEAF], strict=True):
-            tree = RTree(points[a:z], size[a:z], excess[a:z])
-            for i in range(a, z):
-                if found := tree.leaves(points[i], size[i], excess[i], num, den):
-                    some = np.concatenate(found) + a
-                    some = some[some > i]
-                    left.append(np.full(len(some), i))
-                    right.append(some)
-        a, z = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        keep = (comp[a] != comp[z]) & (rep[a] != rep[z])
-        keep &= (row[a] == col[a]) | (own[a] != own[z])  # off the diagonal only pairs across the two chunks
-        a, z = bounded(a[keep], z[keep], points, size, excess, num, den)
-        seen = np.zeros(len(a), bool)  # a smaller token that both hold has let the pair through already
-        for k in range(HEADS):
-            seen |= ((heads[a, k][:, None] == heads[z]) & (heads[a, k] < token[a])[:, None]).any(1)
-        a, z = a[~seen], z[~seen]
-        pairs = np.unique(np.stack([np.minimum(rep[a], rep[z]), np.maximum(rep[a], rep[z])], 1), axis=0)
+        by = np.lexsort((rep, col, row, token))
+        new = np.concatenate([[True], np.any([np.diff(x[by]) != 0 for x in (token, row, col)], axis=0)])
+        block = np.empty(len(by), np.int64)
+        block[by] = np.cumsum(new)
+        out = [np.zeros((0, 2), np.int64)]
+        for a, z in Forest(block, points, size, excess).pairs(num, den):
+            keep = (comp[a] != comp[z]) & (rep[a] != rep[z])
+            keep &= (row[a] == col[a]) | (own[a] != own[z])  # off the diagonal only pairs across the two chunks
+            a, z = bounded(a[keep], z[keep], points, size, excess, num, den)
+            seen = np.zeros(len(a), bool)  # a smaller token that both hold has let the pair through already
+            for k in range(HEADS):
+                seen |= ((heads[a, k][:, None] == heads[z]) & (heads[a, k] < token[a])[:, None]).any(1)
+            a, z = a[~seen], z[~seen]
+            out.append(np.unique(np.stack([np.minimum(rep[a], rep[z]), np.maximum(rep[a], rep[z])], 1), axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by their exact intersection."""
-    x = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    y = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(x, "a").join(y, "b").where(both * den >= (F.size("ta") + F.size("tb") - both) * num).select("a", "b")
+def linked(width: int, num: int, den: int):
+    """The pairs (a, b) of texts whose sets reach the threshold, by their exact intersection."""
+
+    def run(frames):
+        powers = Powers()
+        for batch in frames:
+            (xd, xo), (yd, yo) = flat(column(batch, "x")), flat(column(batch, "y"))
+            keep = np.zeros(len(batch), bool)
+            for i, j in chunks(xo + yo):
+                data = np.concatenate([xd[xo[i] : xo[j]], yd[yo[i] : yo[j]]])
+                offsets = np.concatenate([xo[i : j + 1] - xo[i], xo[j] - xo[i] + yo[i + 1 : j + 1] - yo[i]])
+                sets, sizes = shingle_sets(data, offsets, powers, width)
+                pair = np.repeat(np.tile(np.arange(j - i), 2), sizes)
+                by = np.lexsort((sets, pair))
+                both = (sets[by][1:] == sets[by][:-1]) & (pair[by][1:] == pair[by][:-1])
+                n = np.bincount(pair[by][1:][both], minlength=j - i)
+                total = sizes[: j - i] + sizes[j - i :]
+                keep[i:j] = n * den >= (total - n) * num
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+        release()
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    x = sets.select(F.col("rep").alias("a"), F.col("text").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(linked(width, num, den), "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs(doc_id, text).
 
-    Null ids are kept with the component null. Other columns of docs are ignored.
+    Null ids are kept with the component null.
     """
     spark = docs.sparkSession
     s, num, den, n = Scratch(spark), percent, 100, parts(spark)
@@ -332,16 +379,23 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     held = s.put(cells.groupBy("f1").agg(F.count("*").alias("held")), "held")
     alive = s.put(reps.join(held, "f1").withColumn("least", least).where(F.col("held") >= enough).select("f1", "rep", "n"), "alive")
 
+    # Ids of several rows: their sets stand for one document.
+    often = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("held"))
+    often = s.put(rows.join(often.where("held > 1"), "doc_id", "left_semi").where("n > 0").join(reps, ["f1", "f2"]).select("doc_id", "rep").distinct(), "often")
+    same = often.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
     wanted = spark.sparkContext.broadcast(bitmap(alive, "rep"))
-    found = texts.where("doc_id is not null").mapInArrow(members(wanted, width), "rep long, n long, print long, tokens array<long>, counts binary, excess long")
-    sets = s.put(found.join(alive.select("rep", "f1"), "rep").where("print = f1").drop("print", "f1").dropDuplicates(["rep"]), "sets")
+    found = texts.where("doc_id is not null").mapInArrow(members(wanted, width), "rep long, n long, f1 long, text string, counts binary, excess long")
+    if often.limit(1).count():  # else every row of a wanted id is the wanted one
+        found = found.join(alive.select("rep", "f1"), ["rep", "f1"], "left_semi").dropDuplicates(["rep", "f1"])
+    sets = s.put(found.drop("f1"), "sets")
 
     near = s.put(cells.where("early").join(alive, "f1").select("token", "rep", "n"), "near")
     s.drop("cells", "held", "alive")  # each table goes once the next ones hold what is needed of it
     heads = s.put(near.groupBy("token").agg(F.min("rep").alias("leader")), "leaders")
     led = near.join(heads, "token").where("rep <> leader").groupBy("leader", "rep").count()
     best = s.put(led.groupBy("rep").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")), "best")
-    one = s.put(verified(best.select("a", F.col("rep").alias("b")), sets, num, den), "links_1")
+    one = s.put(verified(best.select("a", F.col("rep").alias("b")), sets, width, num, den).union(same), "links_1")
     comp = components(s, one, "comp_1")
 
     marked = s.put(near.join(comp, near.rep == comp.v, "left").select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "marked")
@@ -359,11 +413,11 @@ def ngram_jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 75) ->
     full = dealt.join(points, "rep")
     full = full.withColumn("bucket", F.pmod(F.xxhash64("token", "row", "col"), F.lit(8 * n)))
     pairs = full.groupBy("bucket").applyInArrow(candidates(num, den), "a long, b long")
-    two = s.put(verified(s.put(pairs.distinct(), "pairs"), sets, num, den), "links_2")
+    two = s.put(verified(s.put(pairs.distinct(), "pairs"), sets, width, num, den), "links_2")
     comp = components(s, one.union(two), "comp_2")
 
     known = s.put(reps.join(comp, reps.rep == comp.v, "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp")), "known")
-    s.drop("reps", "sets", "across", "points", "pairs", "links_1", "links_2", *(f"comp_{k}_{t}" for k in (1, 2) for t in ("links", "0", "1", "2", "spread")))
+    s.drop("reps", "sets", "often", "across", "points", "pairs", "links_1", "links_2", *(f"comp_{k}_{t}" for k in (1, 2) for t in ("links", "0", "1", "2", "spread")))
     empty = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = rows.where("n > 0 and doc_id is not null").join(known, ["f1", "f2"])
     return rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id")).union(empty)
