@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Powers, Scratch, U, batches, bitmap, blob, chunks, column, flat, longs, marked, mix, parts
+from ._base import Powers, Scratch, U, batches, bitmap, blob, chunks, column, flat, longs, marked, mix, parts, release, sieved
 
 PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
@@ -164,21 +164,22 @@ def strip(texts, starts, counts, cut, length: int):
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order and ranks of all suffixes.
 
-    Larsson-Sadakane: the first order is by eight bytes; then only groups that are still tied are refined, each by
-    the rank of the suffix h bytes further on, and h doubles.
+    Larsson-Sadakane: the first order is by seven bytes, nine bits each, so that the end of the data sorts before every
+    byte; then only groups that are still tied are refined, each by the rank of the suffix h bytes further on, and h
+    doubles.
     """
     n = len(data)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U)
+    wide = np.concatenate([data.astype(U) + U(1), np.zeros(7, U)])
     key = np.zeros(n, U)
-    for k in range(8):
-        key = key << U(8) | wide[k : n + k]
+    for k in range(7):
+        key = key << U(9) | wide[k : n + k]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
-    h = 8
+    h = 7
     while True:
         tied = ~new
         tied[:-1] |= ~new[1:]
@@ -299,6 +300,8 @@ def shard_runs(length: int, buckets: int):
                     held, size = [], 0
         if held:
             yield from map(row, shard(held, powers))
+        held = []
+        release()
 
     return run
 
@@ -364,13 +367,14 @@ def finished(length: int):
                 by = np.argsort(whose, kind="stable")
                 n_bytes, spans, kept = strip(column(batch, "text"), all_s[by], all_c[by], np.searchsorted(whose[by], np.arange(len(batch) + 1)), length)
                 yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "rest": column(batch, "rest"), "n_bytes": n_bytes, "spans": spans, "kept": kept})
+        release()
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """doc_id, rest (a struct of the other columns of docs), n_bytes, spans (start and stop of the maximal removed runs)
-    and kept (the remaining bytes) of each row of docs(doc_id, text, ...).
+    """doc_id, rest (a struct of the other columns of docs, whatever their names), n_bytes, spans (start and stop of the
+    maximal removed runs) and kept (the remaining bytes) of each row of docs(doc_id, text, ...).
     """
     assert length >= PIECE
     spark = docs.sparkSession
@@ -379,17 +383,23 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     rest = F.struct(*others) if others else F.struct(F.lit(True).alias("none"))
     texts = docs.select("doc_id", rest.alias("rest"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("*", F.coalesce("doc_id", F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = max(n, size >> 25)  # tasks, so that a task's share doesn't grow with the input
     head = T.StructType([texts.schema["doc_id"], texts.schema["rest"]])
-    blocks = texts.select("k1", "k2", "text").mapInArrow(tile_blocks(length, 4 * n), "bucket int, k1 binary, k2 binary, start binary, count binary, piece binary, whole binary")
-    states = blocks.repartition(n, "bucket").groupBy("bucket").applyInArrow(tile_states, f"{KEYS}, start long, count int, state int")
+    blocks = texts.select("k1", "k2", "text").mapInArrow(tile_blocks(length, 4 * dealt), "bucket int, k1 binary, k2 binary, start binary, count binary, piece binary, whole binary")
+    states = blocks.repartition(dealt, "bucket").groupBy("bucket").applyInArrow(tile_states, f"{KEYS}, start long, count int, state int")
     states = states.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count", "state")).alias("tiles"))
     states = s.put(states, "states")
     is_open = states.where(F.exists("tiles", lambda x: x.state > 1))
     wanted = spark.sparkContext.broadcast(bitmap(is_open, "k2"))
     own = texts.select("k1", "k2", "text").mapInArrow(opened(wanted), f"{KEYS}, text string")
-    sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * n), "bucket int, prints binary, index binary, at binary, d1 binary, d2 binary, known binary")
-    far = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(across(n), "bucket int, d1 binary, d2 binary, at binary")
+    sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * dealt), "bucket int, prints binary, index binary, at binary, d1 binary, d2 binary, known binary")
+    far = sent.repartition(dealt, "bucket").groupBy("bucket").applyInArrow(across(dealt), "bucket int, d1 binary, d2 binary, at binary")
     found = far.groupBy("bucket").applyInArrow(by_text, f"{KEYS}, found binary")
-    told = states.join(found, ["k1", "k2"], "left")
-    known = texts.join(told, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
-    return known.mapInArrow(finished(length), with_fields(head, RESULT))
+    told = s.put(states.join(found, ["k1", "k2"], "left"), "told")
+    s.drop("states")
+    some, none = sieved(texts, F.col("k2"), told, F.col("k2"))  # texts without a repeat are not shuffled
+    known = some.join(told, ["k1", "k2"], "left").select("doc_id", "rest", "text", "tiles", "found")
+    none = none.select("doc_id", "rest", "text", F.lit(None).cast(told.schema["tiles"].dataType).alias("tiles"), F.lit(None).cast("binary").alias("found"))
+    kind = with_fields(head, RESULT)
+    return known.mapInArrow(finished(length), kind).union(none.mapInArrow(finished(length), kind))
