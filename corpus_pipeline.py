@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over documents. Counted as part of the package's llm folder."""
+"""A corpus pipeline of five stages over documents. Counted as part of the package's llm folder.
+
+Each stage takes a table with doc_id, text and source and any other columns, whatever their names; all but the last
+return the columns they got. Null ids, null texts, empty texts and repeated rows have results that each stage states. An empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -6,71 +11,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudform.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
-from cloudform.llm._base import Scratch
+from cloudform.llm._base import BITS, Scratch, fresh, sieved, with_value
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def unique(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """df with one row for each key; ids holds the keys of all rows. Shuffles only where a key repeats."""
-    return df.dropDuplicates(keys) if ids.groupBy(*keys).count().where("count > 1").limit(1).count() else df
+def one_each(docs: DataFrame, keys: list[F.Column]) -> DataFrame:
+    """The smallest row, column by column, of each key."""
+    names = [fresh(f"k{i}", docs.columns) for i in range(len(keys))]
+    row = fresh("row", docs.columns)
+    least = docs.groupBy(*(k.alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return least.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below 0.5. Null and empty texts score like texts without evidence."""
+    """Documents whose score stays below 0.5. Null and empty texts score like texts without evidence.
+
+    Rows that repeat an id are judged one by one, by their texts.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(toxicity.fold("doc_id") != 0)
     tables = toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
-    return toxicity.score_toxicity(docs, tables).where("score < 0.5").select(*docs.columns)
+    score = fresh("score", docs.columns)
+    return toxicity.score_toxicity(docs, tables, name=score).where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 23) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, bits: int = BITS) -> DataFrame:
     """docs without the ids of gone, by an exact join that only documents enter whose bit is set in a bitmap of gone.
 
-    The bitmap is a table of bits / 32 rows at most, so it may be broadcast whatever the size of gone; where it
-    fills up, more documents enter the join. Rows without an id stay.
+    Rows without an id stay.
     """
-    word, held = (c + "_" * max(map(len, docs.columns)) for c in ("word", "bits"))  # longer than any column of docs
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    at = F.expr(f"cast(pmod(xxhash64(doc_id), {bits}) & 31 as int)")
-    words = gone.groupBy(F.shiftright(slot, 5).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) & 31 as int)))").alias(held))
-    seen = docs.join(F.broadcast(words), F.shiftright(slot, 5) == F.col(word), "left")
-    may = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(held, at) == 1, F.lit(False))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return seen.where(~may).select(*own).unionByName(seen.where(may).select(*own).join(gone, "doc_id", "left_anti").select(*own))
+    may, no = sieved(docs, F.xxhash64("doc_id"), gone, F.xxhash64("doc_id"), bits)
+    return no.unionByName(may.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; of rows that repeat an id, one."""
-    scratch = Scratch(spark)
-    found = scratch.put(ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")), "components")
-    ids = found.where("doc_id is not null")
-    stays = ids.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = scratch.put(stays.where("not stays").select("doc_id"), "gone")
-    return unique(without(docs.where("doc_id is not null"), gone), ids.where("doc_id = component_id"), ["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The document of the smallest id of each group of near copies; of rows that repeat an id, the smallest.
+
+    Rows without an id stay, as do texts without words.
+    """
+    s = Scratch(spark)
+    found = ngram_join.ngram_jaccard_join(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = s.put(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), (F.count("*") > 1).alias("often")), "ids")
+    out = without(docs.where("doc_id is not null"), ids.where("not stays").select("doc_id"))
+    often = ids.where("stays and often").select("doc_id")
+    if often.limit(1).count():
+        may, no = sieved(out, F.xxhash64("doc_id"), often, F.xxhash64("doc_id"))
+        out = no.unionByName(one_each(may, [F.col("doc_id")]))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its repeated 200-byte strings; bytes that are no longer whole characters become U+FFFD."""
+    """Every document without its repeated 200-byte strings; bytes that are no longer whole characters become U+FFFD.
+
+    A null text becomes empty. Rows that repeat an id are texts of their own. n_chars, where there is such a column,
+    is counted again.
+    """
     rows = suffix_dedup.suffix_dedup(docs)
     text = F.expr("make_valid_utf8(cast(kept as string))")
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = rows.select("doc_id", text.alias("text"), *(F.col(f"rest.`{c}`").alias(c) for c in others))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text)}
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return rows.select(*((made[c].cast(kinds[c]) if c in made else F.col("rest").getField(c)).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    found = Scratch(spark).put(mixing.mix_sources(docs.select("doc_id", "text", "source")), "mix")
-    key = F.coalesce("doc_id", F.lit(-1)).alias("key")
-    copies = found.groupBy(key, "twin").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = unique(docs.withColumns({"key": key, "twin": F.xxhash64("text")}), found.select(key, "twin"), ["key", "twin"])
-    return rows.join(copies, ["key", "twin"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    """Each document as many times as the mix takes it.
+
+    Of rows that repeat id, text and source, null ids included, the smallest stands for all, with their copies. Texts
+    without words have no words to take: they come as often as a whole copy of each document of their source does.
+    """
+    s = Scratch(spark)
+    found = mixing.mix_sources(docs.select("doc_id", "text", "source"))
+    known = found.groupBy(F.col("doc_id").alias("k0"), F.col("twin").alias("k1"), F.col("source").alias("k2")).agg(F.sum("copies").alias("v"), F.count("*").alias("rows"))
+    known = s.put(known, "copies")
+    keys = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source").cast("string")]
+    own, times = [F.col(f"`{c}`") for c in docs.columns], fresh("times", docs.columns)
+    once = with_value(docs, keys, known.select("k0", "k1", "k2", F.when(F.col("rows") == 1, F.col("v")).otherwise(0).cast("int").alias("v")), times)
+    out = once.where(F.col(times) > 0).select(*own, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(fresh("copy", docs.columns))).select(*own)
+    often = known.where("rows > 1").drop("rows")
+    if often.limit(1).count():
+        may, _ = sieved(docs, F.xxhash64(*keys), often, F.xxhash64("k0", "k1", "k2"))
+        names = [fresh(c, docs.columns) for c in often.columns]
+        on = [a.eqNullSafe(F.col(b)) for a, b in zip(keys, names, strict=False)]
+        more = one_each(may, keys).join(often.toDF(*names), on)
+        out = out.unionByName(more.select(*own, F.explode(F.expr(f"array_repeat(0, cast(`{names[-1]}` as int))")).alias(fresh("copy", docs.columns))).select(*own))
+    return out
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and digests of the ids and of the decoded text.
+
+    A null text is empty. Each row is encoded by itself; other columns are left away.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
