@@ -142,7 +142,9 @@ def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[
     cols = rows.columns
     planned = F.lit(plan) if isinstance(plan, int) else F.coalesce("planned", F.lit(0))
     r = rows if isinstance(plan, int) else rows.join(plan.select(*cell, "planned"), cell, "left")
-    r = settle(r.select(*cols, F.struct(*order).alias("_o"), F.col(id_).alias("_id"), F.concat_ws("\u0001", *cell).alias("_cell"), F.col(entity).alias("_entity"), planned.cast("long").alias("_plan")))
+    r = r.select(*cols, F.struct(*order).alias("_o"), F.col(id_).alias("_id"), F.concat_ws("\u0001", *cell).alias("_cell"), F.col(entity).alias("_entity"), planned.cast("long").alias("_plan"))
+    if not r.groupBy("_id").agg((F.min("_cell") != F.max("_cell")).alias("_many")).where("_many").limit(1).count():
+        return in_own_cells(r, cols, per_entity)
     spread = r.groupBy("_id").agg(F.count_distinct("_cell").alias("_cells"), F.min("_o").alias("_first"), F.min("_entity").alias("_head"), F.count_distinct("_entity").alias("_entities"))
     r = r.join(spread, "_id")
     alone = F.col("_cells") == 1
@@ -162,6 +164,18 @@ def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[
     return out.select(*cols, decision.alias("decision"))
 
 
+def in_own_cells(r: DataFrame, cols: list[str], per_entity: int) -> DataFrame:
+    """The decisions of accept where each id stands in one cell, by windows alone: no row's fate hangs on another cell's."""
+    own, cell, entity = (Window.partitionBy(c) for c in ("_id", "_cell", "_entity"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    out = r.withColumn("_first", F.row_number().over(own.orderBy("_o")) == 1)
+    out = out.withColumn("_fits", F.col("_first") & (F.count_if("_first").over(cell.orderBy("_o").rowsBetween(*so_far)) <= F.col("_plan")))
+    out = out.withColumn("_ok", F.col("_fits") & (F.count_if("_fits").over(entity.orderBy("_o").rowsBetween(*so_far)) <= per_entity))
+    out = out.withColumns({"_full": F.count_if("_ok").over(cell) >= F.col("_plan"), "_in": F.max("_ok").over(own)})
+    decision = F.when(F.col("_ok"), "accepted").when(F.col("_in") & ~F.col("_first"), "repeated").when(F.col("_full"), "cell_full").otherwise("entity_full")
+    return out.select(*cols, decision.alias("decision"))
+
+
 def joined(edges: DataFrame) -> DataFrame:
     """(v, comp): the smallest end that edges(a, b) reach from each end."""
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())

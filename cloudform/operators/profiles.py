@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.num import correlation, robust
 
 
+def by_levels(table: DataFrame, levels: dict[str, Column]) -> DataFrame:
+    """Each row once for each level, with the level and the row's entity there; one pass over the table."""
+    keys = F.array(*(F.struct(F.lit(name).alias("level"), key.cast("string").alias("entity")) for name, key in levels.items()))
+    return table.withColumn("_k", F.explode(keys)).withColumns({"level": F.col("_k.level"), "entity": F.col("_k.entity")}).drop("_k")
+
+
 def level_profiles(table: DataFrame, levels: dict[str, Column], metrics: list[str]) -> DataFrame:
     """Mean of the raw metrics for each entity of each level, and how many rows it has."""
-    out = None
-    for name, key in levels.items():
-        one = table.groupBy(key.cast("string").alias("entity")).agg(F.count("*").alias("n_rows"), *(F.avg(m).alias(m) for m in metrics)).select(F.lit(name).alias("level"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return by_levels(table, levels).groupBy("level", "entity").agg(F.count("*").alias("n_rows"), *(F.avg(m).alias(m) for m in metrics))
 
 
 def scaled(profiles: DataFrame, metrics: list[str]) -> DataFrame:
@@ -75,12 +77,8 @@ def distance_changes(long: DataFrame, last: int) -> DataFrame:
 # ---------------------------------------------------------------- rows that were scaled before they are summarised
 def level_means(scaled_rows: DataFrame, levels: dict[str, Column], entity: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Means of scaled values for each entity of each level, metric and keys (such as a window), and how many entities of the rows."""
-    out = None
-    for name, key in levels.items():
-        one = scaled_rows.groupBy(*keys, "metric", key.cast("string").alias("entity")).agg(F.avg("scaled").alias("scaled"), F.count_distinct(entity).alias("n_entities"))
-        one = one.select(F.lit(name).alias("level"), *keys, "entity", "metric", "scaled", "n_entities")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = by_levels(scaled_rows, levels).groupBy("level", *keys, "entity", "metric").agg(F.avg("scaled").alias("scaled"), F.count_distinct(entity).alias("n_entities"))
+    return out.select("level", *keys, "entity", "metric", "scaled", "n_entities")
 
 
 def similarities(long: DataFrame, keys: tuple[str, ...]) -> DataFrame:

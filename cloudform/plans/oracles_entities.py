@@ -3,7 +3,7 @@
 from ..operators.rows import DICTIONARY
 from .oracles import KNN, V
 from .oracles_evolution import ORACLES as EVOLUTION
-from .oracles_evolution import PROF, WIN, cos, extremes, guarded, r
+from .oracles_evolution import GAPS, PATHS, PROF, WIN, cos, extremes, guarded, r
 
 GINI = """deg AS (SELECT v.l1, v.work_id, count(k.dst) AS x FROM v LEFT JOIN knn k ON k.dst = v.work_id GROUP BY ALL), rg AS (SELECT l1, x, row_number() OVER (PARTITION BY l1 ORDER BY x) AS i, count(*) OVER (PARTITION BY l1) AS n FROM deg),
 gi AS (SELECT l1, 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n) AS hub_gini FROM rg GROUP BY l1)"""
@@ -14,6 +14,8 @@ dw AS (SELECT v.l1, (v.year - 2000) // 5 AS w, v.work_id, count(k.dst) AS x FROM
 rw AS (SELECT l1, w, x, row_number() OVER (PARTITION BY l1, w ORDER BY x) AS i, count(*) OVER (PARTITION BY l1, w) AS n FROM dw),
 gw AS (SELECT l1, w, 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n) AS hub_gini FROM rw GROUP BY ALL)
 """
+WALK = PATHS[len(V) :].replace("wc", "pc")
+MOVED = ", mv AS (SELECT l1::VARCHAR AS entity, path, drift FROM pw)"
 LABEL = "(2000 + 5 * w)::VARCHAR || '-' || (2004 + 5 * w)::VARCHAR AS window_label"
 LEVELS = (
     WIN
@@ -109,4 +111,18 @@ w AS (SELECT l1, ix, iy, sum(exp(-(b * dx * dx - 2 * c * dx * dy + a * dy * dy)
     "density_ceiling": V + ", k AS (SELECT l1, least(7, greatest(0, floor((u[1] + 0.5) * 8)))::INT AS ix, least(7, greatest(0, floor((u[2] + 0.5) * 8)))::INT AS iy, count(*) AS n FROM v GROUP BY ALL), p AS (SELECT l1, n, n / sum(n) OVER (PARTITION BY l1) AS mass, sum(n) OVER (PARTITION BY l1) AS t FROM k) SELECT l1, round(quantile_cont(mass, 0.995), 6) AS ceiling FROM p WHERE t >= 20 GROUP BY l1",
     "accept_capped": "WITH a AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS c FROM events), b AS (SELECT *, c <= 2 AND count(*) FILTER (c <= 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5 AS ok FROM a) SELECT event_id, user_id, event_type, CASE WHEN ok THEN 'accepted' WHEN count(*) FILTER (ok) OVER (PARTITION BY user_id, event_type) >= 2 THEN 'cell_full' ELSE 'entity_full' END AS decision FROM b",
     "events_accept_stream": "SELECT user_id, event_type, least(count(*), 3) AS n, least(count(*), 3) AS n_ids FROM events GROUP BY ALL",
+    "pair_drivers": PROF + WALK + MOVED + " SELECT a, b, round(x.path, 5) AS path_a, round(x.drift, 5) AS drift_a, round(y.path, 5) AS path_b, round(y.drift, 5) AS drift_b, CASE WHEN x.path IS NULL OR y.path IS NULL THEN 'unavailable' WHEN x.path > y.path THEN a WHEN y.path > x.path THEN b ELSE 'both' END AS driver FROM sp LEFT JOIN mv x ON x.entity = a LEFT JOIN mv y ON y.entity = b WHERE level = 'l1'",
+    "pair_edges": GAPS + WALK + MOVED + """, z AS (SELECT a, b, round(delta, 5) AS delta FROM dc WHERE delta IS NOT NULL), t AS (SELECT * FROM z QUALIFY row_number() OVER (ORDER BY delta, a, b) <= 5 UNION ALL SELECT * FROM z QUALIFY row_number() OVER (ORDER BY delta DESC, a, b) <= 5)
+SELECT a, b, CASE WHEN delta < 0 THEN 'approach' ELSE 'departure' END AS kind, round(abs(delta), 4) AS weight, round(x.path, 4) AS movement_a, round(y.path, 4) AS movement_b FROM t LEFT JOIN mv x ON x.entity = a LEFT JOIN mv y ON y.entity = b""",
+    "entity_names": "SELECT c_nationkey, min(c_mktsegment) AS c_mktsegment, count(DISTINCT c_mktsegment) AS n_names FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1",
+    "canonical_flags": "WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS main, o_totalprice > 100000 AS robust FROM orders) SELECT main, robust, NULL::BOOLEAN AS strict, main AS eligible, count(*) AS n FROM o GROUP BY ALL",
+    "first_entities": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 20) GROUP BY 1",
+    "derived_columns": "SELECT year(o_orderdate)::INT AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
+    "strict_prices": "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "threshold_statuses": "SELECT metric, n, row_number() OVER (ORDER BY n DESC, metric)::INT AS rank FROM (SELECT o_orderstatus AS metric, count(*)::DOUBLE AS n FROM orders GROUP BY 1) WHERE n >= 1000",
+    "nation_master": "SELECT n_nationkey AS k, n_name, c.n AS customers_n, s.n AS suppliers_n FROM nation LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal < 0 GROUP BY 1) s ON s.k = n_nationkey",
+    "eligible_years": "SELECT o_orderkey, year(o_orderdate)::INT AS year, true AS main FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1993 AND 1995",
+    "named_clusters": V + """, w AS (SELECT (l1 // 3)::INT AS l2, avg(mean_distance) AS width, avg(centroid_norm) AS norm FROM m GROUP BY 1), a AS (SELECT l2 FROM w ORDER BY width DESC, l2 LIMIT 1), b AS (SELECT l2 FROM w WHERE l2 NOT IN (FROM a) ORDER BY width, l2 LIMIT 1), c3 AS (SELECT l2 FROM w WHERE l2 NOT IN (FROM a) AND l2 NOT IN (FROM b) ORDER BY norm DESC, l2 LIMIT 1)
+SELECT l2, CASE WHEN l2 IN (FROM a) THEN 'wide' WHEN l2 IN (FROM b) THEN 'narrow' WHEN l2 IN (FROM c3) THEN 'central' END AS name FROM w""",
+    "replaced_table": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
 }

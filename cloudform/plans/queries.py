@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import correlation, mean_rank, skew
 from ..operators import cloud, cluster, corpus, density, profiles, rows, temporal
+from ..sources.scratch import settle
 from ..streaming import acceptance
 
 FIRST, LAST = 2000, 2024
@@ -98,7 +99,8 @@ def entity_centroid_unit(spark, d):
 
 
 def win(spark, d):
-    return temporal.window_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", 3, FIRST, LAST)
+    """The table of metrics by window: few rows that several branches of a query use, so it is settled once."""
+    return settle(temporal.window_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", 3, FIRST, LAST))
 
 
 SPECTRAL = ("d80", "entropy")
@@ -179,7 +181,7 @@ def largest_jump_hist(spark, d):
 
 
 def raw_profiles(spark, d):
-    t = cloud.dispersion(vectors(spark, d), ["l1"])
+    t = settle(cloud.dispersion(vectors(spark, d), ["l1"]))
     return profiles.level_profiles(t, {"l1": F.col("l1"), "l2": F.expr("l1 div 3"), "l3": F.expr("l1 div 6")}, METRICS)
 
 

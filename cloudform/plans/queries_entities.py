@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import cloud, cluster, corpus, density, entities, features, models, profiles, projections, rows, shapes, temporal, typology
-from ..sources import sinks
-from .queries import FIRST, LAST, METRICS, REGISTRY, change, distance_changes, grid, metric_correlations, metric_distribution, query, rounded, static_pairs, table, vectors, walk, win  # noqa: F401
+from ..operators import cloud, corpus, density, entities, features, models, profiles, projections, records, rows, shapes, temporal, typology
+from ..sources import files, sinks
+from ..sources.scratch import shared_folder
+from .queries import FIRST, LAST, METRICS, REGISTRY, distance_changes, metric_correlations, metric_distribution, query, rounded, static_pairs, table, vectors, walk, win  # noqa: F401
+from .queries_models import features as scaled_features
 
 
 def raw(spark, d):
@@ -256,3 +260,75 @@ def blended_grid(spark, d):
     p = static_pairs(spark, d).where("level = 'l1'")
     mixed = typology.blended(p.select("level", "a", "b", "euclid"), p.select("level", "a", "b", F.col("corr").alias("euclid")), "euclid", 0.5)
     return rounded(models.distance_grid(mixed, "euclid", ["average", "complete", "spectral"], [2, 3]), 4)
+
+
+@query
+def metric_space_map(spark, d):
+    """The entities' scaled metrics in the plane, one map for all."""
+    f = scaled_features(spark, d).withColumn("all", F.lit("l1"))
+    return rounded(projections.projections(f, "all", "entity", "x", ("pca", "mds", "tsne")).drop("all"), 3)
+
+
+@query
+def entity_names(spark, d):
+    return records.names_by_id(table(spark, d, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query
+def canonical_flags(spark, d):
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "true").when(F.col("o_orderstatus") == "O", "false").alias("covered"), (F.col("o_totalprice") > 100000).cast("string").alias("large"))
+    out = entities.resolved_flags(o, [{"main": "covered_v3", "robust": "large_v3", "strict": "strict_v3"}, {"main": "covered", "robust": "large"}], ("main", "robust"), {"eligible": "main"})
+    return out.groupBy("main", "robust", "strict", "eligible").agg(F.count("*").alias("n"))
+
+
+@query
+def first_entities(spark, d):
+    return entities.chosen(table(spark, d, "orders"), "o_custkey", first=20).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query
+def derived_columns(spark, d):
+    o = entities.with_absent(table(spark, d, "orders"), {"year": F.year("o_orderdate"), "o_orderstatus": F.lit("never")})
+    return o.groupBy("year", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query
+def strict_prices(spark, d):
+    o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("partial"))
+    return entities.strict_metrics(o, "o_orderkey", ["o_totalprice"])
+
+
+@query
+def threshold_statuses(spark, d):
+    means = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("metric")).agg(F.count("*").cast("double").alias("n"))
+    return entities.threshold_list(means, "n", 1000.0)
+
+
+@query
+def nation_master(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    s = table(spark, d, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return entities.master_table(n, "k", {"customers": c, "suppliers": s})
+
+
+@query
+def eligible_years(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), (F.nullif(F.col("o_orderstatus"), F.lit("P")) == "F").alias("main"))
+    return entities.in_years(o, "main", 1993, 1995)
+
+
+@query
+def named_clusters(spark, d):
+    means = cloud.dispersion(vectors(spark, d), ["l1"]).groupBy(F.expr("cast(l1 div 3 as int)").alias("l2")).agg(F.avg("mean_distance").alias("width"), F.avg("centroid_norm").alias("norm"))
+    return typology.named(means, "l2", [("wide", "width", True), ("narrow", "width", False), ("central", "norm", True)]).select("l2", "name")
+
+
+@query
+def replaced_table(spark, d):
+    """A table of the catalogue that is written, read back and taken from the catalogue again."""
+    name = f"cloudform_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    sinks.replace_table(table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")), name, path)
+    spark.sql(f"DROP TABLE {name}")
+    return files.read_table(spark, path)

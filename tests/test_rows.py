@@ -94,6 +94,14 @@ def test_acceptance_in_order(spark, seed):
     assert [g == "accepted" for g in got] == [w == "accepted" for w in want] and got == want
 
 
+def test_acceptance_of_ids_of_one_cell(spark):
+    r = random.Random(9)
+    items = [(e * 1000 + y * 100 + r.randrange(12), e, y) for e, y in ((r.randrange(4), r.randrange(3)) for _ in range(300))]
+    df = spark.createDataFrame([(t, i, e, y) for t, (i, e, y) in enumerate(items)], "t int, id int, e int, y int")
+    got = [x.decision for x in corpus.accept(df, "id", ["e", "y"], "e", ["t"], 5, 11).orderBy("t").collect()]
+    assert got == sequential([(i, (e, y), e) for i, e, y in items], {(e, y): 5 for e in range(4) for y in range(3)}, 11)
+
+
 def test_an_id_refused_by_a_full_cell_enters_another(spark):
     df = spark.createDataFrame([(1, "x", "a"), (2, "y", "a"), (3, "y", "b")], "t int, id string, cell string")
     assert [x.decision for x in corpus.accept(df, "id", ["cell"], "cell", ["t"], 1, 9).orderBy("t").collect()] == ["accepted", "cell_full", "accepted"]
