@@ -81,14 +81,15 @@ def _nearest(k: int):
     return run
 
 
-def neighbours(rows: DataFrame, group: str, id_: str, k: int) -> DataFrame:
+def neighbours(rows: DataFrame, group: str, id_: str, k: int, counts: DataFrame | None = None) -> DataFrame:
     """(group, src, dst, d, rank): the k nearest others by cosine in the same group, ties by id. Exact.
 
     A group of n vectors is dealt over a grid of blocks of two chunks of CAP vectors, both ways at once: each vector is
     copied n / CAP times, and the exact form compares all pairs of a group. Blocks keep their k best; a merge keeps the
-    k best of all.
+    k best of all. counts(group, n), where a table of sizes or of bounds of them is there already, saves a pass.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / CAP).cast("int").alias("side"))
+    n = rows.groupBy(group).agg(F.count("*").alias("n")) if counts is None else counts
+    sizes = n.select(group, F.ceil(F.col("n") / CAP).cast("int").alias("side"))
     own = rows.select(F.col(group).cast("string").alias("g"), F.col(group).alias("key"), F.col(id_).alias("id"), "u").join(sizes.select(F.col(group).alias("key"), "side"), "key")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("id"), "side").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
     dealt = own.select("g", "id", "u", "chunk", F.least("chunk", "other").alias("row"), F.greatest("chunk", "other").alias("col"))

@@ -56,9 +56,9 @@ def year_window(first: int, last: int, *, supported: tuple[int, int] = (2000, 20
     return {"year_min": first, "year_max": last, "early_min": first, "early_max": min(first + edge - 1, last), "late_min": max(last - edge + 1, first), "late_max": last}
 
 
-def families(rows: DataFrame, group: str, id_: str, k: int, *, graph: bool = True) -> list[DataFrame]:
-    """Tables of the metrics that need no years, each with a row for each group of unit rows."""
-    near = settle(cloud.neighbours(rows, group, id_, k))
+def families(rows: DataFrame, group: str, id_: str, k: int, counts: DataFrame, *, graph: bool = True) -> list[DataFrame]:
+    """Tables of the metrics that need no years, each with a row for each group of unit rows; counts(group, n) bounds their sizes."""
+    near = settle(cloud.neighbours(rows, group, id_, k, counts))
     out = [cloud.dispersion(rows, [group]).drop("n"), cloud.neighbour_stats(near, group).drop("n_pairs"), cloud.hub_gini(rows, near, group, id_), cloud.spectrum(rows, group).drop("n")]
     if graph:
         edges = settle(cloud.graph_edges(near, group))
@@ -80,7 +80,7 @@ def group_metrics(vectors: DataFrame, group: str, id_: str, k: int, first: int,
     out = counts.join(rows.groupBy(group).agg(F.count("*").alias("n_used"), F.max(F.size("u")).alias("dim")), group, "left").na.fill(0, ["n_used"])
     inside = rows.where(F.col("year").between(first, last))
     time = cloud.drift(inside, group, first, last, edge, least_year).join(cloud.annual_path(inside, group, least_year), group, "left").withColumn("directness", ratio(F.col("drift"), F.col("path")))
-    for t in (*families(rows, group, id_, k), time):
+    for t in (*families(rows, group, id_, k, counts.select(group, F.col("n_available").alias("n"))), time):
         out = out.join(t, group, "left")
     skipped, failed = F.col("n_available") < least, F.col("n_used") == 0
     lacks = F.when(F.lit(True), F.array(
@@ -100,10 +100,11 @@ def window_group_metrics(rows: DataFrame, wins: DataFrame, entity: str, id_: str
     """The window metrics of each entity in each window, a row for every pair; too few rows: skipped."""
     cell, kind = "_cell", rows.schema[entity].dataType
     inside = in_window(rows, first, last, size).select(entity, id_, "u", "window_index", F.concat_ws("|", "window_index", entity).alias(cell))
+    inside = settle(inside)
     n = inside.groupBy(cell).agg(F.count("*").alias("n"))
-    some = settle(inside.join(n.where(F.col("n") >= least).select(cell), cell, "left_semi"))
+    some = inside.join(n.where(F.col("n") >= least).select(cell), cell, "left_semi")
     out = n
-    for t in families(some, cell, id_, k, graph=False):
+    for t in families(some, cell, id_, k, n, graph=False):
         out = out.join(t, cell, "left")
     split = F.split(cell, r"\|", 2)
     out = out.select(split[1].cast(kind).alias(entity), split[0].cast("int").alias("window_index"), "n", *WINDOW_METRICS)

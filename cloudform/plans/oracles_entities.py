@@ -98,7 +98,7 @@ SELECT l1, n AS n_available, CASE WHEN ok THEN n ELSE 0 END AS n_used, 2000::INT
     "counts_by_year": "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {y}) AS n_{y}" for y in range(1995, 1999)) + " FROM orders GROUP BY 1",
     "numbered_documents": "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars NULLS FIRST, doc_id) - 1 AS row_id FROM documents",
     "shared_segment_names": "SELECT c_mktsegment, c_nationkey, n AS n_ids FROM (SELECT DISTINCT c_mktsegment, c_nationkey, count(DISTINCT c_nationkey) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE n > 1",
-    "open_cells": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F' GROUP BY 1",
+    "unfinished_orders": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F' GROUP BY 1",
     "reduced_numbers": "SELECT event_id, round(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 3) AS k, round(value, 3) AS value FROM events",
     "cluster_nearest": V + "SELECT l1, work_id, round(d, 5) AS d, rank::INT AS rank FROM (SELECT l1, work_id, list_distance(u, c) AS d, row_number() OVER (PARTITION BY l1 ORDER BY list_distance(u, c), work_id) AS rank FROM v JOIN c USING (l1)) WHERE rank <= 5",
     "largest_orders": "SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders QUALIFY rank <= 3",

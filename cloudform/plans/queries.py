@@ -44,7 +44,7 @@ def cloud_dispersion(spark, d):
 
 def near(spark, d):
     v = vectors(spark, d)
-    return v, cloud.neighbours(v, "l1", "work_id", 5)
+    return v, cloud.neighbours(v, "l1", "work_id", 5, table(spark, d, "embeddings").groupBy(F.col("label").alias("l1")).agg(F.count("*").alias("n")))
 
 
 @query

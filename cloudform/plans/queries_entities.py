@@ -177,7 +177,7 @@ def shared_segment_names(spark, d):
 
 
 @query
-def open_cells(spark, d):
+def unfinished_orders(spark, d):
     o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "partial"))
     return entities.not_completed(o).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
