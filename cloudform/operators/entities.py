@@ -183,7 +183,7 @@ def top_by(rows: DataFrame, keys: list[str], order: Column, ties: list[str], n:
 def cluster_report(points: DataFrame, id_: str, cluster: str, domain: str, margins: DataFrame, n: int = 3) -> DataFrame:
     """A row for each cluster: size, the mix of domains as text, prototypes, median margin and share of border points."""
     mix = points.groupBy(cluster, domain).agg(F.count("*").alias("n")).withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy(cluster)))
-    item = F.concat(F.col(domain).cast("string"), F.lit(" "), F.format_string("%.0f%%", 100 * F.col("part")))
+    item = F.concat(F.col(domain).cast("string"), F.lit(" "), F.round(100 * F.col("part")).cast("long"), F.lit("%"))
     texts = mix.groupBy(cluster).agg(F.sum("n").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(domain).cast("string").alias("d"), item.alias("t")))), lambda x: x.t), ", ").alias("mix"))
     near = top_by(margins, [cluster], F.col("own").asc(), [id_], n)
     protos = near.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(id_).cast("string").alias("i")))), lambda x: x.i), ", ").alias("prototypes"))

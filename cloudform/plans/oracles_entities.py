@@ -4,6 +4,7 @@ from ..operators.rows import DICTIONARY
 from .oracles import KNN, V
 from .oracles_evolution import ORACLES as EVOLUTION
 from .oracles_evolution import GAPS, PATHS, PROF, WIN, cos, extremes, guarded, r
+from .oracles_typology import CEN
 
 GINI = """deg AS (SELECT v.l1, v.work_id, count(k.dst) AS x FROM v LEFT JOIN knn k ON k.dst = v.work_id GROUP BY ALL), rg AS (SELECT l1, x, row_number() OVER (PARTITION BY l1 ORDER BY x) AS i, count(*) OVER (PARTITION BY l1) AS n FROM deg),
 gi AS (SELECT l1, 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n) AS hub_gini FROM rg GROUP BY l1)"""
@@ -114,6 +115,12 @@ w AS (SELECT l1, ix, iy, sum(exp(-(b * dx * dx - 2 * c * dx * dy + a * dy * dy)
     "pair_drivers": PROF + WALK + MOVED + " SELECT a, b, round(x.path, 5) AS path_a, round(x.drift, 5) AS drift_a, round(y.path, 5) AS path_b, round(y.drift, 5) AS drift_b, CASE WHEN x.path IS NULL OR y.path IS NULL THEN 'unavailable' WHEN x.path > y.path THEN a WHEN y.path > x.path THEN b ELSE 'both' END AS driver FROM sp LEFT JOIN mv x ON x.entity = a LEFT JOIN mv y ON y.entity = b WHERE level = 'l1'",
     "pair_edges": GAPS + WALK + MOVED + """, z AS (SELECT a, b, round(delta, 5) AS delta FROM dc WHERE delta IS NOT NULL), t AS (SELECT * FROM z QUALIFY row_number() OVER (ORDER BY delta, a, b) <= 5 UNION ALL SELECT * FROM z QUALIFY row_number() OVER (ORDER BY delta DESC, a, b) <= 5)
 SELECT a, b, CASE WHEN delta < 0 THEN 'approach' ELSE 'departure' END AS kind, round(abs(delta), 4) AS weight, round(x.path, 4) AS movement_a, round(y.path, 4) AS movement_b FROM t LEFT JOIN mv x ON x.entity = a LEFT JOIN mv y ON y.entity = b""",
+    "cluster_reports": CEN + """, t AS (SELECT work_id, l1, min(d) FILTER (o = l1) AS own, min(d) FILTER (o <> l1) AS other FROM q GROUP BY ALL),
+y AS (SELECT l1, year, count(*) AS n FROM v GROUP BY ALL), z AS (SELECT *, n / sum(n) OVER (PARTITION BY l1) AS part FROM y),
+mx AS (SELECT l1, sum(n)::BIGINT AS size, string_agg(year::VARCHAR || ' ' || round(100 * part)::BIGINT || '%', ', ' ORDER BY n DESC, year::VARCHAR) AS mix FROM z GROUP BY l1),
+pr AS (SELECT l1, string_agg(work_id::VARCHAR, ', ' ORDER BY rk) AS prototypes FROM (SELECT l1, work_id, row_number() OVER (PARTITION BY l1 ORDER BY own, work_id) AS rk FROM t) WHERE rk <= 3 GROUP BY l1),
+mg AS (SELECT l1, median(other - own) AS median_margin, avg((other - own < 0)::INT) AS border_share FROM t GROUP BY l1)
+SELECT l1, size, mix, prototypes, round(median_margin, 5) AS median_margin, round(border_share, 5) AS border_share FROM mx JOIN pr USING (l1) JOIN mg USING (l1)""",
     "entity_names": "SELECT c_nationkey, min(c_mktsegment) AS c_mktsegment, count(DISTINCT c_mktsegment) AS n_names FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1",
     "canonical_flags": "WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS main, o_totalprice > 100000 AS robust FROM orders) SELECT main, robust, NULL::BOOLEAN AS strict, main AS eligible, count(*) AS n FROM o GROUP BY ALL",
     "first_entities": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 20) GROUP BY 1",
