@@ -140,6 +140,30 @@ def test_forest_finds_what_brute_force_finds():
     assert all(block[a] == block[b] for a, b in found)
 
 
+def test_chains_of_sets_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    r = random.Random(3)
+    texts = []
+    for chain in range(6):  # all begin alike; each step of a chain changes some words more
+        ws = [f"shared{k}" for k in range(30)] + [f"c{chain}w{k}" for k in range(90)]
+        for step in range(14):
+            texts.append(" ".join(ws))
+            for _ in range(r.choice([1, 1, 2, 5])):
+                ws[r.randrange(30, 120)] = f"n{chain}x{step}y{r.randrange(9999)}"
+    r.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    assert 6 < len(set(comp)) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
 def test_rows_of_one_id_are_one_document(spark):
     one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(5, one), (7, one), (7, two), (9, two), (9, two), (11, "z " * 30)], "doc_id long, text string")
