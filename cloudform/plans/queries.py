@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.num import correlation, mean_rank, skew
 from ..operators import cloud, cluster, corpus, density, profiles, rows, temporal
@@ -22,8 +23,16 @@ def query(f):
     return f
 
 
+SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table of the folder; its schema is read from the files once in a session."""
+    path = f"{d}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in SCHEMAS:
+        SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[key]).parquet(path)
 
 
 def vectors(spark, d) -> DataFrame:
