@@ -97,4 +97,15 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, len(l
 FROM c
 """
 
-ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}
+OP11 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, {LOWER.format("trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+common AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT doc_id, i, line, coalesce(last <> doc_id, false) AS gone FROM l LEFT JOIN common USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op11_line_dedup": OP11, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}

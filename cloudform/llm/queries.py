@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
 from ._base import Scratch
 from .oracles import ORACLES
 
@@ -70,8 +70,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chat(turns))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_url_filter, op3_embedding_dedup, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_mix_sources, op10_chat_format)
+    own = (op1_ngram_jaccard_join, op2_url_filter, op3_embedding_dedup, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_mix_sources, op10_chat_format, op11_line_dedup)
     return {f.__name__: f for f in own}
 
 
