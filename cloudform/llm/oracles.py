@@ -108,4 +108,44 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM f GROUP BY doc_id
 """
 
-ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op11_line_dedup": OP11, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}
+# CRC-32 of the UTF-8 bytes of {0}, whose table of 256 values is made by its rule.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len({0}), 2), lambda i: ('0x' || substr({0}, i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
+
+_leaf = "sha256(" + " || ".join(f"coalesce(strlen({{{k}}}::VARCHAR) || ':' || {{{k}}}::VARCHAR, '-')" for k in range(5)) + ")"
+_tampered = f"CASE WHEN {CRC.format('h')} % 3 = 0 THEN {LOWER.format('text')} ELSE text END"
+
+
+def merkle_levels(trees: str, runs: str, nodes: str) -> str:
+    """Common tables of the levels of trees(tree, k, n, d): a recursion over levels, then runs of siblings by level."""
+    return f"""
+{nodes} AS (SELECT tree, 0 AS lv, k, n, d FROM {trees} UNION ALL
+  SELECT tree, lv + 1, k // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY k)) FROM {nodes} WHERE n > 1 GROUP BY tree, lv, k // 8),
+{runs} AS (SELECT tree, lv, k // 8 AS run, list(d ORDER BY k) AS ds FROM {nodes} WHERE n > 1 GROUP BY tree, lv, k // 8)"""
+
+
+def merkle_proofs(trees: str, runs: str) -> str:
+    return f"""
+SELECT t.tree, t.k, list({{'l': r.ds[1:(t.k // (8 ** r.lv)::BIGINT) % 8], 'r': r.ds[(t.k // (8 ** r.lv)::BIGINT) % 8 + 2:]}} ORDER BY r.lv) AS steps
+FROM {trees} t JOIN {runs} r ON r.tree = t.tree AND r.run = t.k // (8 ** (r.lv + 1))::BIGINT GROUP BY t.tree, t.k"""
+
+
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, lang, {_leaf.format("doc_id", "source", "lang", "n_chars", "text")} AS d, {_leaf.format("doc_id", "source", "lang", "n_chars", f"({_tampered})")} AS claim
+      FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS h FROM documents), crc),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY lang),
+leaves AS (SELECT g.tree, row_number() OVER (PARTITION BY g.tree ORDER BY doc_id NULLS FIRST, d) - 1 AS k, n, d, claim, doc_id FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang),
+{merkle_levels("leaves", "runs", "nodes")},
+subroots AS (SELECT 0 AS tree, tree AS k, (SELECT count(*) FROM g) AS n, d FROM nodes WHERE n = 1),
+{merkle_levels("subroots", "top_runs", "tops")},
+below AS ({merkle_proofs("leaves", "runs")}),
+above AS ({merkle_proofs("subroots", "top_runs")}),
+p AS (SELECT doc_id, l.d AS leaf, claim, s.d AS subroot, (SELECT d FROM tops WHERE n = 1) AS root, list_concat(b.steps, a.steps) AS steps
+      FROM leaves l JOIN subroots s ON s.k = l.tree LEFT JOIN below b ON b.tree = l.tree AND b.k = l.k LEFT JOIN above a ON a.k = l.tree),
+f AS (SELECT *, list_reduce(list_concat([{{'l': [claim], 'r': []::VARCHAR[]}}], steps), lambda a, x: {{'l': [sha256(array_to_string(list_concat(x.l, a.l, x.r), ''))], 'r': []::VARCHAR[]}}).l[1] AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(flatten(list_transform(steps, lambda x: list_concat(x.l, x.r))), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM f
+"""
+
+ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op11_line_dedup": OP11, "op13_merkle_manifest": OP13, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}
