@@ -148,4 +148,20 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(flatten(list
 FROM f
 """
 
-ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op11_line_dedup": OP11, "op13_merkle_manifest": OP13, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS w FROM documents) GROUP BY ALL),
+h AS (SELECT w, n, {CRC.format("h")} AS h FROM (SELECT w, n, hex(encode(doc_id::VARCHAR || ':' || w)) AS h FROM r), crc),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, n FROM h),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT DISTINCT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (SELECT word AS a, rest AS b FROM cuts WHERE rest IN (SELECT word FROM words) UNION SELECT rest, word FROM cuts WHERE rest IN (SELECT word FROM words)
+          UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN words ON word = b),
+f AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * words.n THEN b END AS form, CASE WHEN best.n >= 2 * words.n THEN best.n END AS form_n
+      FROM words LEFT JOIN best ON a = word AND k = 1),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f g ON g.word = up.root WHERE g.form IS NULL
+"""
+
+ORACLES = {"op6_suffix_dedup": OP6, "op10_chat_format": OP10, "op11_line_dedup": OP11, "op13_merkle_manifest": OP13, "op12_spelling_variants": OP12, "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op3_embedding_dedup": OP3, "op7_license_scan": OP7}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality_rules, spelling, suffix_dedup, toxicity, url_filter
 from ._base import Scratch
 from .oracles import ORACLES
 
@@ -75,6 +75,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return spelling.spelling_variants(spelling.counted(found))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = merkle.leaf_of([merkle.lowered() if c == "text" else F.col(c) for c in merkle.COLUMNS])
     rows = merkle.merkle_manifest(table(spark, sf_dir, "documents"), claim=claim)
@@ -82,7 +87,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_url_filter, op3_embedding_dedup, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_mix_sources, op10_chat_format, op11_line_dedup, op13_merkle_manifest)
+    own = (op1_ngram_jaccard_join, op2_url_filter, op3_embedding_dedup, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_mix_sources, op10_chat_format, op11_line_dedup, op12_spelling_variants, op13_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
