@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import ratio
 from ..functions.vec import EPS, centroids, cosine_distance, listed, matrices, norm, unit
 from ..sources.scratch import settle
+from .quantiles import MOST, group_percentiles
 
 CAP = 2048  # vectors of a block; a group of more is dealt over a grid of blocks
 
@@ -36,12 +40,22 @@ def unit_rows(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.select(*(f.name for f in rest), F.col(vector).cast("array<double>").alias("u")).mapInArrow(_with_units, kind)
 
 
-def dispersion(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: size, norm of the mean unit vector, and the cosine distances to it."""
+def fit(sizes: DataFrame) -> bool:
+    """Whether all groups of sizes(n, ...) are small enough for one task to hold their values."""
+    return not sizes.where(F.col("n") > MOST).limit(1).count()
+
+
+def dispersion(rows: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Per group: size, norm of the mean unit vector, and the cosine distances to it. sizes(keys, n) bounds the groups' sizes."""
     c = centroids(rows, keys, "u")
     d = rows.select(*keys, "u").join(c.withColumn("norm", norm("centroid")), keys).select(*keys, "norm", cosine_distance("u", "centroid").alias("d"))
-    q = F.percentile("d", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.first("norm").alias("centroid_norm"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance"), q.alias("q"))
+    shares = [0.25, 0.5, 0.75, 0.9]
+    means = [F.count("*").alias("n"), F.first("norm").alias("centroid_norm"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance")]
+    if sizes is not None and fit(sizes):
+        out = d.groupBy(*keys).agg(*means, F.percentile("d", F.array(*map(F.lit, shares))).alias("q"))
+    else:
+        d = settle(d)
+        out = d.groupBy(*keys).agg(*means).join(group_percentiles(d, keys, "d", shares), keys)
     return out.select(*keys, "n", "centroid_norm", "mean_distance", "std_distance", F.col("q")[1].alias("median_distance"), (F.col("q")[2] - F.col("q")[0]).alias("iqr_distance"), F.col("q")[3].alias("p90_distance"), ratio(F.col("q")[3], F.col("q")[1]).alias("p90_to_median"))
 
 
@@ -99,9 +113,15 @@ def neighbours(rows: DataFrame, group: str, id_: str, k: int, counts: DataFrame
     return best.select(F.col("g").cast(rows.schema[group].dataType).alias(group), "src", "dst", "d", "rank")
 
 
-def neighbour_stats(near: DataFrame, group: str) -> DataFrame:
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
-    out = near.groupBy(group).agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean_knn"), F.stddev_pop("d").alias("s"), q.alias("q"))
+def neighbour_stats(near: DataFrame, group: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Means and percentiles of the neighbours' distances. sizes(group, n) bounds the groups' numbers of pairs."""
+    shares = [0.5, 0.9]
+    means = [F.count("*").alias("n_pairs"), F.avg("d").alias("mean_knn"), F.stddev_pop("d").alias("s")]
+    if sizes is not None and fit(sizes):
+        out = near.groupBy(group).agg(*means, F.percentile("d", F.array(*map(F.lit, shares))).alias("q"))
+    else:
+        near = settle(near.select(group, "d"))
+        out = near.groupBy(group).agg(*means).join(group_percentiles(near, [group], "d", shares), group)
     return out.select(group, "n_pairs", "mean_knn", F.col("q")[0].alias("median_knn"), F.col("q")[1].alias("p90_knn"), ratio(F.col("s"), F.col("mean_knn")).alias("cv_knn"))
 
 
@@ -145,27 +165,71 @@ def graph_components(rows: DataFrame, edges: DataFrame, group: str, id_: str) ->
     return sizes.groupBy(group).agg(F.count("*").alias("n_components"), (F.max("count") / F.sum("count")).alias("largest_share"))
 
 
+HELD = 1 << 26  # bytes of matrices that a task holds at once
+TILE = 1 << 16  # components of a tile
+HAND = 16  # groups whose matrices a task may meet without rows being dealt by group
+CHUNK = 1 << 16  # rows of a group that go to one task then
+
+
 def _moments(frames):
+    """g, width, tile and m: by group, rows of the matrix of sums of products of (1, vector), some rows to a tile.
+
+    Its first row holds the number of vectors and their sum. What is held is sent whenever it reaches HELD bytes.
+    """
     sums: dict = {}
+
+    def tiles():
+        for (key, w), m in sums.items():
+            step = max(1, TILE // w)
+            for t in range(0, w, step):
+                yield pa.RecordBatch.from_pydict({"g": pa.array([key], pa.string()), "width": pa.array([w], pa.int32()), "tile": pa.array([t // step], pa.int32()), "m": [m[t : t + step].ravel()]})
+        sums.clear()
+
     for batch in frames:
         keys = batch.column(0).dictionary_encode()
         at = np.asarray(keys.indices.fill_null(-1))
         for rows, x in matrices(batch.column(1)):
+            one = np.hstack([np.ones((len(x), 1)), x])
             for i in np.unique(at[rows]):
-                some = x[at[rows] == i]
-                key = (keys.dictionary[i].as_py() if i >= 0 else None, x.shape[1])
-                n, s, ss = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = n + len(some), s + some.sum(0), ss + some.T @ some
-    for (key, _), (n, s, ss) in sums.items():
-        yield pa.RecordBatch.from_pydict({"g": pa.array([key], pa.string()), "n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+                some = one[at[rows] == i]
+                key = (keys.dictionary[i].as_py() if i >= 0 else None, one.shape[1])
+                if key not in sums and sum(m.nbytes for m in sums.values()) + 8 * key[1] ** 2 > HELD:
+                    yield from tiles()
+                sums[key] = sums.get(key, 0) + some.T @ some
+    yield from tiles()
 
 
-def _spectrum(group: pa.Table) -> pa.Table:
-    n = sum(group.column("n").to_pylist())
-    s = column_matrix(group, "s").sum(0)
+def moments(rows: DataFrame, group: F.Column, vector: str, *, deal: bool = False) -> DataFrame:
+    """g, width, tile and m, summed over all rows; see _moments.
+
+    deal: rows of one group are brought together, CHUNK at a time, so that a task meets few groups. Tiles are summed by
+    Spark's summarizer, which keeps one tile for each key however many tasks send some.
+    """
+    some = rows.select(group.cast("string").alias("g"), F.col(vector).alias("x"))
+    if deal:
+        n = some.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / CHUNK).alias("salts"))
+        some = some.join(F.broadcast(n) if n.limit(CHUNK).count() < CHUNK else n, F.col("g").eqNullSafe(F.col("_g")))
+        some = some.select("g", "x", F.pmod(F.xxhash64("x"), "salts").alias("salt"))
+        some = some.repartition("g", "salt").sortWithinPartitions("g").select("g", "x")
+    parts = some.mapInArrow(_moments, "g string, width int, tile int, m array<double>")
+    return parts.groupBy("g", "width", "tile").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
+
+
+def whole_matrix(tiles: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, sum and matrix of sums of products of one group, from its tiles; of several lengths of vectors the most frequent."""
+    best = (0, np.zeros(0), np.zeros((0, 0)))
+    for w in sorted(set(tiles.column("width").to_pylist())):
+        own = tiles.filter(pc.equal(tiles.column("width"), w)).sort_by("tile")
+        m = own.column("m").combine_chunks().flatten().to_numpy().reshape(w, w)
+        if round(m[0, 0]) > best[0]:
+            best = round(m[0, 0]), m[0, 1:], m[1:, 1:]
+    return best
+
+
+def _spectrum(tiles: pa.Table) -> pa.Table:
+    n, s, ss = whole_matrix(tiles)
     d = len(s)
-    ss = column_matrix(group, "ss").sum(0).reshape(d, d)
-    out = {"g": pa.array([group.column("g")[0].as_py()], pa.string()), "n": [n]}
+    out = {"g": pa.array([tiles.column("g")[0].as_py()], pa.string()), "n": [n]}
     cov = ss - np.outer(s, s) / n
     values = np.maximum(np.linalg.eigvalsh(cov)[::-1][: max(min(n - 1, d), 0)], 0)
     if n < 2 or values.sum() <= EPS:
@@ -176,12 +240,14 @@ def _spectrum(group: pa.Table) -> pa.Table:
     return pa.table(out | {k: pa.array([v], pa.float64()) for k, v in zip(("top1", "top3", "top5", "d50", "d80", "participation", "entropy"), row, strict=True)})
 
 
-def spectrum(rows: DataFrame, group: str) -> DataFrame:
+def spectrum(rows: DataFrame, group: str, sizes: DataFrame | None = None) -> DataFrame:
     """Variance shares, dimensions, participation ratio and entropy of each group's principal components.
 
-    Sums of products are formed by task, so a group never has to fit in one.
+    Sums of products are formed by task, so a group never has to fit in one, and a task holds a bounded number of matrices
+    however many groups there are. sizes(group, ...), a row for each group, tells whether there are many.
     """
-    part = rows.select(F.col(group).cast("string").alias("g"), "u").mapInArrow(_moments, "g string, n long, s array<double>, ss array<double>")
+    some = sizes if sizes is not None else rows.select(group).distinct()
+    part = moments(rows, F.col(group), "u", deal=some.limit(HAND + 1).count() > HAND)
     out = part.groupBy("g").applyInArrow(_spectrum, "g string, n long, top1 double, top3 double, top5 double, d50 double, d80 double, participation double, entropy double")
     return out.select(F.col("g").cast(rows.schema[group].dataType).alias(group), *out.columns[1:])
 

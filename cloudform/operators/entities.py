@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.num import ratio
 from ..functions.vec import euclid
 from ..sources.files import require
+from ..sources.scratch import written
 from .records import short_id
 
 COMPLETED = ("completed", "completed_with_warnings")
@@ -80,14 +81,18 @@ def in_years(df: DataFrame, flag: str, first: int, last: int) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], id_: str, name: str = "row_id") -> DataFrame:
     """df with a number from 0 without a gap, in a total order; an error where an id repeats.
 
-    Ranges of the order are sorted by tasks and then numbered from the sizes of the ranges before.
+    The keys alone are dealt over ranges of the order, once: the ranges' bounds are sampled, so a second scan might cut
+    elsewhere. What is written then is numbered from the sizes of the ranges before, and df finds its numbers by id.
     """
     if df.groupBy(id_).count().where("count > 1").limit(1).count():
         raise ValueError(f"repeated {id_}")
-    own = df.repartitionByRange(*order, id_).sortWithinPartitions(*order, id_).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    order = [c for c in order if c != id_]
+    own = df.select(*order, id_).repartitionByRange(*order, id_).sortWithinPartitions(*order, id_)
+    own = written(own.select(F.col(id_).alias("_id"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
     sizes = own.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # a row for each range
     start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(start), "_p").withColumn(name, F.col("_start") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_n", "_first", "_start")
+    number = own.join(F.broadcast(start), "_p").select("_id", (F.col("_start") + F.col("_m") - F.col("_first")).alias(name))
+    return df.join(number, df[id_].eqNullSafe(number["_id"])).drop("_id")
 
 
 def chosen(df: DataFrame, id_: str, *, only: list | None = None, first: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import listed, matrices
-from .cloud import _moments, column_matrix
+from .cloud import column_matrix, moments, whole_matrix
 from .cluster import adjusted_mutual_information, kmeans, linked
 
 
@@ -210,9 +210,7 @@ def principal_axes(points: DataFrame, vector: str, n: int | None = 2, share: flo
     """
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sum(group.column("n").to_pylist())
-        s = column_matrix(group, "s").sum(0)
-        ss = column_matrix(group, "ss").sum(0).reshape(len(s), -1)
+        rows, s, ss = whole_matrix(group)
         value, axes = np.linalg.eigh(ss / rows - np.outer(s, s) / rows**2)
         value, axes = np.maximum(value[::-1], 0), axes[:, ::-1].T
         part = value / max(value.sum(), 1e-300)
@@ -220,7 +218,7 @@ def principal_axes(points: DataFrame, vector: str, n: int | None = 2, share: flo
         axes = axes[:m] * np.sign(axes[np.arange(m), np.abs(axes[:m]).argmax(1)])[:, None]
         return pa.table({"centre": [(s / rows).tolist()], "axes": [axes.tolist()], "shares": [part[:m].tolist()]})
 
-    part = points.where(F.col(vector).isNotNull()).select(F.lit("all").alias("g"), vector).mapInArrow(_moments, "g string, n long, s array<double>, ss array<double>")
+    part = moments(points.where(F.col(vector).isNotNull()), F.lit("all"), vector)
     return part.groupBy("g").applyInArrow(run, "centre array<double>, axes array<array<double>>, shares array<double>")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.num import ratio
 from ..sources.scratch import settle
 from . import cloud
+from .quantiles import group_percentiles
 from .temporal import in_window
 
 # Name, family and meaning of each metric, in the order of the output.
@@ -56,13 +57,16 @@ def year_window(first: int, last: int, *, supported: tuple[int, int] = (2000, 20
     return {"year_min": first, "year_max": last, "early_min": first, "early_max": min(first + edge - 1, last), "late_min": max(last - edge + 1, first), "late_max": last}
 
 
-def families(rows: DataFrame, group: str, id_: str, k: int, counts: DataFrame, *, graph: bool = True) -> list[DataFrame]:
+def families(rows: DataFrame, group: str, id_: str, k: int, counts: DataFrame, *, graph: bool = True, spectral: bool = True) -> list[DataFrame]:
     """Tables of the metrics that need no years, each with a row for each group of unit rows; counts(group, n) bounds their sizes."""
     near = settle(cloud.neighbours(rows, group, id_, k, counts))
-    out = [cloud.dispersion(rows, [group]).drop("n"), cloud.neighbour_stats(near, group).drop("n_pairs"), cloud.hub_gini(rows, near, group, id_), cloud.spectrum(rows, group).drop("n")]
+    pairs = counts.select(group, (F.col("n") * k).alias("n"))
+    out = [cloud.dispersion(rows, [group], counts).drop("n"), cloud.neighbour_stats(near, group, pairs).drop("n_pairs"), cloud.hub_gini(rows, near, group, id_)]
+    if spectral:
+        out.append(cloud.spectrum(rows, group, counts).drop("n"))
     if graph:
         edges = settle(cloud.graph_edges(near, group))
-        q = edges.groupBy(group).agg(F.percentile("d", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
+        q = group_percentiles(edges, [group], "d", [0.5, 0.9], sizes=pairs)
         out += [cloud.graph_components(rows, edges, group, id_), q.select(group, F.col("q")[0].alias("median_edge"), F.col("q")[1].alias("p90_edge"))]
     return out
 
@@ -96,18 +100,19 @@ def group_metrics(vectors: DataFrame, group: str, id_: str, k: int, first: int,
         *(F.col(m).cast("double").alias(m) for m in METRICS))
 
 
-def window_group_metrics(rows: DataFrame, wins: DataFrame, entity: str, id_: str, k: int, least: int, first: int, last: int, size: int = 5) -> DataFrame:
-    """The window metrics of each entity in each window, a row for every pair; too few rows: skipped."""
+def window_group_metrics(rows: DataFrame, wins: DataFrame, entity: str, id_: str, k: int, least: int, first: int, last: int, size: int = 5, metrics: tuple[str, ...] = WINDOW_METRICS) -> DataFrame:
+    """The window metrics of each entity in each window, a row for every pair; too few rows: skipped. Others than `metrics` are left out."""
     cell, kind = "_cell", rows.schema[entity].dataType
     inside = in_window(rows, first, last, size).select(entity, id_, "u", "window_index", F.concat_ws("|", "window_index", entity).alias(cell))
     inside = settle(inside)
     n = inside.groupBy(cell).agg(F.count("*").alias("n"))
     some = inside.join(n.where(F.col("n") >= least).select(cell), cell, "left_semi")
     out = n
-    for t in families(some, cell, id_, k, n, graph=False):
+    n = settle(n)
+    for t in families(some, cell, id_, k, n, graph=False, spectral=any(f == "spectrum" for m, f, _ in DICTIONARY if m in metrics)):
         out = out.join(t, cell, "left")
     split = F.split(cell, r"\|", 2)
-    out = out.select(split[1].cast(kind).alias(entity), split[0].cast("int").alias("window_index"), "n", *WINDOW_METRICS)
+    out = out.select(split[1].cast(kind).alias(entity), split[0].cast("int").alias("window_index"), "n", *metrics)
     grid = rows.select(entity).distinct().crossJoin(F.broadcast(wins))  # entities times a few windows
     full = grid.join(out, [entity, "window_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return full.select(entity, *wins.columns, "n", F.when(F.col("n") >= least, "completed").otherwise("skipped").alias("status"), *WINDOW_METRICS)
+    return full.select(entity, *wins.columns, "n", F.when(F.col("n") >= least, "completed").otherwise("skipped").alias("status"), *metrics)

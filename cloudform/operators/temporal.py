@@ -22,10 +22,10 @@ def in_window(rows: DataFrame, first: int, last: int, size: int = 5) -> DataFram
     return rows.where(F.col("year").between(first, last)).withColumn("window_index", F.floor((F.col("year") - first) / size).cast("int"))
 
 
-def window_metrics(rows: DataFrame, wins: DataFrame, entity: str, least: int, first: int, last: int, size: int = 5) -> DataFrame:
-    """Dispersion of each entity in each window, a row for every pair; too few rows: skipped."""
+def window_metrics(rows: DataFrame, wins: DataFrame, entity: str, least: int, first: int, last: int, size: int = 5, sizes: DataFrame | None = None) -> DataFrame:
+    """Dispersion of each entity in each window, a row for every pair; too few rows: skipped. sizes(n) bounds all groups' sizes."""
     some = in_window(rows, first, last, size)
-    m = dispersion(some, [entity, "window_index"])
+    m = dispersion(some, [entity, "window_index"], sizes)
     grid = rows.select(entity).distinct().crossJoin(F.broadcast(wins))  # entities times a few windows
     out = grid.join(m, [entity, "window_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= least

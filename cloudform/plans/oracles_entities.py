@@ -97,7 +97,7 @@ SELECT l1, n AS n_available, CASE WHEN ok THEN n ELSE 0 END AS n_used, 2000::INT
     "nation_totals": "SELECT coalesce(a.k, b.k) AS nation, coalesce(n_customers, 0) AS n_customers, coalesce(n_suppliers, 0) AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_acctbal > 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1) b ON a.k = b.k",
     "range_totals": "SELECT o_orderstatus, count(*)::BIGINT AS n_range FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1",
     "counts_by_year": "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {y}) AS n_{y}" for y in range(1995, 1999)) + " FROM orders GROUP BY 1",
-    "numbered_documents": "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars NULLS FIRST, doc_id) - 1 AS row_id FROM documents",
+    "numbered_documents": "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars NULLS FIRST, doc_id) - 1 AS row_id, length(text) AS n FROM documents",
     "shared_segment_names": "SELECT c_mktsegment, c_nationkey, n AS n_ids FROM (SELECT DISTINCT c_mktsegment, c_nationkey, count(DISTINCT c_nationkey) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE n > 1",
     "unfinished_orders": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F' GROUP BY 1",
     "reduced_numbers": "SELECT event_id, round(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 3) AS k, round(value, 3) AS value FROM events",

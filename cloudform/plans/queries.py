@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.num import correlation, mean_rank, skew
-from ..operators import cloud, cluster, corpus, density, profiles, rows, temporal
+from ..operators import cloud, cluster, corpus, density, profiles, quantiles, rows, temporal
 from ..sources.scratch import settle
 from ..streaming import acceptance
 
@@ -46,19 +46,24 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def sizes(spark, d, times=1):
+    """How many vectors, or `times` as many, each l1 has at most."""
+    return table(spark, d, "embeddings").groupBy(F.col("label").alias("l1")).agg((F.count("*") * times).alias("n"))
+
+
 @query
 def cloud_dispersion(spark, d):
-    return rounded(cloud.dispersion(vectors(spark, d), ["l1"]))
+    return rounded(cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)))
 
 
 def near(spark, d):
     v = vectors(spark, d)
-    return v, cloud.neighbours(v, "l1", "work_id", 5, table(spark, d, "embeddings").groupBy(F.col("label").alias("l1")).agg(F.count("*").alias("n")))
+    return v, cloud.neighbours(v, "l1", "work_id", 5, sizes(spark, d))
 
 
 @query
 def cloud_knn_stats(spark, d):
-    return rounded(cloud.neighbour_stats(near(spark, d)[1], "l1"))
+    return rounded(cloud.neighbour_stats(near(spark, d)[1], "l1", sizes(spark, d, 5)))
 
 
 @query
@@ -69,9 +74,9 @@ def cloud_hub_gini(spark, d):
 
 @query
 def cloud_graph_edges(spark, d):
-    e = cloud.graph_edges(near(spark, d)[1], "l1")
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
-    return rounded(e.groupBy("l1").agg(F.count("*").alias("n_edges"), q.alias("q")).select("l1", "n_edges", F.col("q")[0].alias("median_edge"), F.col("q")[1].alias("p90_edge")))
+    e = settle(cloud.graph_edges(near(spark, d)[1], "l1"))
+    q = quantiles.group_percentiles(e, ["l1"], "d", [0.5, 0.9], sizes=sizes(spark, d, 5))
+    return rounded(e.groupBy("l1").agg(F.count("*").alias("n_edges")).join(q, "l1").select("l1", "n_edges", F.col("q")[0].alias("median_edge"), F.col("q")[1].alias("p90_edge")))
 
 
 @query
@@ -82,7 +87,7 @@ def cloud_graph_components(spark, d):
 
 @query
 def cloud_spectrum(spark, d):
-    return rounded(cloud.spectrum(vectors(spark, d), "l1"))
+    return rounded(cloud.spectrum(vectors(spark, d), "l1", sizes(spark, d)))
 
 
 @query
@@ -109,20 +114,21 @@ def entity_centroid_unit(spark, d):
 
 def win(spark, d):
     """The table of metrics by window: few rows that several branches of a query use, so it is settled once."""
-    return settle(temporal.window_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", 3, FIRST, LAST))
+    return settle(temporal.window_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", 3, FIRST, LAST, sizes=sizes(spark, d)))
 
 
 SPECTRAL = ("d80", "entropy")
 
 
-def full_windows(spark, d):
-    return rows.window_group_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", "work_id", 5, 3, FIRST, LAST)
+def full_windows(spark, d, metrics=rows.WINDOW_METRICS):
+    return rows.window_group_metrics(vectors(spark, d), temporal.windows(spark, FIRST, LAST), "l1", "work_id", 5, 3, FIRST, LAST, metrics=metrics)
 
 
 @query
 def window_metrics(spark, d):
     """The window metrics that SQL can tell; window_spectra has the others."""
-    return rounded(full_windows(spark, d).select("l1", "window_index", "window_label", "n", "status", *(m for m in rows.WINDOW_METRICS if m not in SPECTRAL)))
+    some = tuple(m for m in rows.WINDOW_METRICS if m not in SPECTRAL)
+    return rounded(full_windows(spark, d, some).select("l1", "window_index", "window_label", "n", "status", *some))
 
 
 @query
@@ -190,7 +196,7 @@ def largest_jump_hist(spark, d):
 
 
 def raw_profiles(spark, d):
-    t = settle(cloud.dispersion(vectors(spark, d), ["l1"]))
+    t = settle(cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)))
     return profiles.level_profiles(t, {"l1": F.col("l1"), "l2": F.expr("l1 div 3"), "l3": F.expr("l1 div 6")}, METRICS)
 
 
@@ -366,7 +372,7 @@ def index_audit(spark, d):
 
 @query
 def metric_distribution(spark, d):
-    long = cloud.dispersion(vectors(spark, d), ["l1"]).unpivot(["l1"], METRICS, "metric", "value")
+    long = cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).unpivot(["l1"], METRICS, "metric", "value")
     q = F.percentile("value", F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99))))
     out = long.groupBy("metric").agg(F.count("value").alias("n"), F.count_distinct("value").alias("n_unique"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"), skew("value").alias("skew"))
     iqr = F.col("q")[3] - F.col("q")[1]
@@ -376,7 +382,7 @@ def metric_distribution(spark, d):
 
 @query
 def metric_correlations(spark, d):
-    long = cloud.dispersion(vectors(spark, d), ["l1"]).unpivot(["l1"], METRICS, "metric", "value").where("value is not null")
+    long = cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).unpivot(["l1"], METRICS, "metric", "value").where("value is not null")
     a, b = long.select("l1", F.col("metric").alias("a"), F.col("value").alias("x")), long.select("l1", F.col("metric").alias("b"), F.col("value").alias("y"))
     pairs = a.join(b, "l1").where("a < b")
     r = pairs.withColumns({"rx": mean_rank("x", "a", "b"), "ry": mean_rank("y", "a", "b")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import cloud, corpus, density, entities, features, models, profiles, projections, records, rows, shapes, temporal, typology
 from ..sources import files, sinks
 from ..sources.scratch import shared_folder
-from .queries import FIRST, LAST, METRICS, REGISTRY, distance_changes, metric_correlations, metric_distribution, query, rounded, static_pairs, table, vectors, walk, win  # noqa: F401
+from .queries import FIRST, LAST, METRICS, REGISTRY, distance_changes, metric_correlations, metric_distribution, query, rounded, sizes, static_pairs, table, vectors, walk, win  # noqa: F401
 from .queries_models import features as scaled_features
 
 
@@ -168,7 +168,7 @@ def counts_by_year(spark, d):
 
 @query
 def numbered_documents(spark, d):
-    return entities.numbered(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang", "n_chars"], "doc_id").select("doc_id", "row_id")
+    return entities.numbered(table(spark, d, "documents"), ["lang", "n_chars"], "doc_id").select("doc_id", "row_id", F.length("text").alias("n"))
 
 
 @query
@@ -320,7 +320,7 @@ def eligible_years(spark, d):
 
 @query
 def named_clusters(spark, d):
-    means = cloud.dispersion(vectors(spark, d), ["l1"]).groupBy(F.expr("cast(l1 div 3 as int)").alias("l2")).agg(F.avg("mean_distance").alias("width"), F.avg("centroid_norm").alias("norm"))
+    means = cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).groupBy(F.expr("cast(l1 div 3 as int)").alias("l2")).agg(F.avg("mean_distance").alias("width"), F.avg("centroid_norm").alias("norm"))
     return typology.named(means, "l2", [("wide", "width", True), ("narrow", "width", False), ("central", "norm", True)]).select("l2", "name")
 
 

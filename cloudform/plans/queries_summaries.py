@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cloud, corpus, profiles, summaries, temporal
-from .queries import METRICS, REGISTRY, change, counts, near, order_years, query, raw_profiles, rounded, table, vectors, win  # noqa: F401
+from .queries import METRICS, REGISTRY, change, counts, near, order_years, query, raw_profiles, rounded, sizes, table, vectors, win  # noqa: F401
 from .queries_typology import plane
 
 
@@ -41,7 +41,7 @@ def change_signs(spark, d):
 
 
 def longs(spark, d):
-    return cloud.dispersion(vectors(spark, d), ["l1"]).unpivot(["l1"], METRICS, "metric", "value")
+    return cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).unpivot(["l1"], METRICS, "metric", "value")
 
 
 def holed(spark, d):
@@ -122,5 +122,5 @@ def share_pivot(spark, d):
 
 @query
 def top_ranked_profiles(spark, d):
-    t = cloud.dispersion(vectors(spark, d), ["l1"]).select("l1", *METRICS)
+    t = cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).select("l1", *METRICS)
     return rounded(summaries.ranked_first(t, t, "l1", [F.col("p90_distance").desc()], 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cloud, corpus, features, profiles, records, temporal, typology
-from .queries import FIRST, LAST, METRICS, REGISTRY, change, counts, grid, order_years, query, raw_profiles, rounded, static_pairs, table, vectors, walk, win  # noqa: F401
+from .queries import FIRST, LAST, METRICS, REGISTRY, change, counts, grid, order_years, query, raw_profiles, rounded, sizes, static_pairs, table, vectors, walk, win  # noqa: F401
 
 
 @query
@@ -102,7 +102,7 @@ def cluster_traits(spark, d):
 @query
 def typology_names(spark, d):
     rules = [("spread", "p90_distance", True), ("compact", "median_distance", False), ("mixed", "iqr_distance", True)]
-    return rounded(typology.named(cloud.dispersion(vectors(spark, d), ["l1"]).select("l1", *METRICS), "l1", rules))
+    return rounded(typology.named(cloud.dispersion(vectors(spark, d), ["l1"], sizes(spark, d)).select("l1", *METRICS), "l1", rules))
 
 
 @query

@@ -1,6 +1,7 @@
 """Cutting lineage in the folder that the cluster's spark.checkpoint.dir names."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,13 @@ def settle(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder, for loops: Spark plans the next round from its true size.
+
+    A checkpoint keeps the sizes that were guessed for its plan; those of joins multiply from round to round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
