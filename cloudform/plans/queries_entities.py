@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cloud, corpus, density, entities, features, models, profiles, projections, records, rows, shapes, temporal, typology
+from ..operators import cloud, corpus, density, entities, features, maps, models, profiles, projections, records, rows, shapes, temporal, typology
 from ..sources import files, sinks
 from ..sources.scratch import shared_folder
 from .queries import FIRST, LAST, METRICS, REGISTRY, distance_changes, metric_correlations, metric_distribution, query, rounded, sizes, static_pairs, table, vectors, walk, win  # noqa: F401
@@ -241,6 +241,23 @@ def group_maps(spark, d):
     return rounded(out.groupBy("l1", "method").agg(F.first("n").alias("n"), F.first("trustworthiness").alias("trustworthiness"), F.count("x").alias("n_points")), 4)
 
 
+def near_of_maps(spark, d):
+    v = vectors(spark, d)
+    return v, settle(cloud.neighbours(v, "l1", "work_id", 15, sizes(spark, d)))
+
+
+@query
+def neighbour_maps(spark, d):
+    """All vectors of each l1 in the plane, by the layout of their neighbour graph."""
+    return rounded(maps.neighbour_map(*near_of_maps(spark, d), "l1", "work_id"), 3)
+
+
+@query
+def diffusion_maps(spark, d):
+    """All vectors of each l1 in the plane, by a random walk on their neighbour graph."""
+    return rounded(maps.diffusion_map(*near_of_maps(spark, d), "l1", "work_id"), 3)
+
+
 def trajectories(spark, d):
     """Four representations of each l1's path through the windows."""
     long = temporal.long_scaled(win(spark, d), "l1", METRICS)
