@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cloud, corpus, density, entities, features, maps, models, profiles, projections, records, rows, shapes, temporal, typology
 from ..sources import files, sinks
-from ..sources.scratch import shared_folder
+from ..sources.scratch import settle, shared_folder
 from .queries import FIRST, LAST, METRICS, REGISTRY, distance_changes, metric_correlations, metric_distribution, query, rounded, sizes, static_pairs, table, vectors, walk, win  # noqa: F401
 from .queries_models import features as scaled_features
 
