@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Scratch, column, components, longs, parts, small_batches
+from ._base import Scratch, U, column, components, longs, mix, parts, small_batches
 
 SAMPLE = 4096  # vectors that the pivots are fitted on
-CAP = 4096  # home vectors of a block
+CAP = 4096  # vectors of a chunk; a block has two
 SLACK = 1e-4  # of float32 products; what passes is computed again in double precision
 
 
@@ -67,8 +67,43 @@ def homes(pivots):
     return run
 
 
-def replicas(pivots, radii, sizes, r: float):
-    """(dim, cell, row, col) of every block that a vector takes part in."""
+def shared(batch, rows, d, pivots, radii, r):
+    """(i, cell): vectors rows[i] that may link into a cell other than their own, of a smaller number."""
+    home, p = longs(batch, "cell")[rows], pivots.value[d]
+    x = matrix(column(batch, "v").take(pa.array(rows)), int(d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dist = 2 - 2 * (x @ p.T)
+    between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-18))[home]
+    gap = (dist - dist[np.arange(len(rows)), home][:, None]) / (2 * between)
+    edge = np.array([radii.value.get((d, c), -9.0) for c in range(len(p))])
+    near = (gap <= r + 1e-7) & (np.sqrt(np.maximum(dist, 0)) <= edge + r + 1e-7) & (np.arange(len(p)) < home[:, None])
+    return np.nonzero(near)
+
+
+def guests(pivots, radii, r: float):
+    """dim, cell and n: how many vectors of other cells each cell gets, summed by batch."""
+
+    def run(frames):
+        for batch in frames:
+            dims = longs(batch, "dim")
+            for d in (d for d in np.unique(dims) if d in pivots.value):
+                n = np.bincount(shared(batch, np.flatnonzero(dims == d), d, pivots, radii, r)[1])
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"dim": np.full(len(cell), d), "cell": cell, "n": n[cell]})
+
+    return run
+
+
+def chunk_of(reps: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (mix(reps.view(U), 7) % np.maximum(n, 1).astype(U)).astype(np.int64)
+
+
+def replicas(pivots, radii, sizes, more, r: float):
+    """(dim, cell, row, col) of every block that a vector takes part in.
+
+    A cell's own vectors stand in chunks of about CAP, 0 and on, and its guests in others, -1 and down. A block holds two
+    chunks of its own, or one of each kind, so none holds more than two chunks however many vectors a cell has or gets.
+    """
 
     def run(frames):
         for batch in frames:
@@ -77,25 +112,22 @@ def replicas(pivots, radii, sizes, r: float):
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
                 home = cells[rows]
-                grid = np.array([-(-sizes.value.get((d, c), 1) // CAP) for c in range(int(home.max()) + 1)])
-                own = reps[rows] % grid[home]
-                for other in range(int(grid[home].max())):  # the blocks of its own cell
+                count = lambda of: np.array([-(-of.value.get((d, c), 0) // CAP) for c in range(max(int(home.max()) + 1, len(pivots.value.get(d, ()))))])  # noqa: B023, E731
+                grid, strange = np.maximum(count(sizes), 1), count(more)
+                own = chunk_of(reps[rows], grid[home])
+                for other in range(int(grid[home].max())):  # the chunks of its own cell
                     use = other < grid[home]
                     out.append((rows[use], home[use], np.minimum(own, other)[use], np.maximum(own, other)[use], own[use]))
+                for other in range(int(strange[home].max())):  # and those of its guests
+                    use = other < strange[home]
+                    out.append((rows[use], home[use], own[use], np.full(use.sum(), -1 - other), own[use]))
                 if d not in pivots.value:
                     continue
-                p = pivots.value[d]
-                x = matrix(column(batch, "v").take(pa.array(rows)), int(d))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                dist = 2 - 2 * (x @ p.T)
-                between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-18))[home]
-                gap = (dist - dist[np.arange(len(rows)), home][:, None]) / (2 * between)
-                edge = np.array([radii.value.get((d, c), -9.0) for c in range(len(p))])
-                near = (gap <= r + 1e-7) & (np.sqrt(np.maximum(dist, 0)) <= edge + r + 1e-7) & (np.arange(len(p)) < home[:, None])
-                i, c = np.nonzero(near)
-                for block in range(int(grid.max())):
+                i, c = shared(batch, rows, d, pivots, radii, r)
+                own = -1 - chunk_of(reps[rows][i], strange[c])
+                for block in range(int(grid[c].max()) if len(c) else 0):
                     use = block < grid[c]
-                    out.append((rows[i[use]], c[use], np.full(use.sum(), block), np.full(use.sum(), block), np.full(use.sum(), -1)))
+                    out.append((rows[i[use]], c[use], np.full(use.sum(), block), own[use], own[use]))
             at, cell, row, col, own = (np.concatenate(x) for x in zip(*out, strict=True))
             for a in range(0, len(at), 1 << 15):
                 z = slice(a, a + (1 << 15))
@@ -135,8 +167,6 @@ def linked(cosine: float):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         first = np.flatnonzero(own == row)
         rest = first if row == col else np.flatnonzero(own == col)
-        if row == col:
-            rest = np.concatenate([first, np.flatnonzero(own < 0)])
         light, n = x.astype(np.float32), np.zeros(len(x), np.int64)
         lefts, rights = [], []
         top = np.arange(len(x))
@@ -192,7 +222,9 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.95) -> DataFrame:
     radii = spark.sparkContext.broadcast({(r["dim"], r["cell"]): r["far"] for r in cells})
     sizes = spark.sparkContext.broadcast({(r["dim"], r["cell"]): r["held"] for r in cells})
     r = float(np.sqrt(2 - 2 * cosine))
-    dealt = housed.mapInArrow(replicas(pivots, radii, sizes, r), f"rep long, mult long, dim long, v array<{kind}>, cell long, row long, col long, own long")
+    abroad = housed.mapInArrow(guests(pivots, radii, r), "dim long, cell long, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()  # a row for each pivot
+    more = spark.sparkContext.broadcast({(g["dim"], g["cell"]): g["n"] for g in abroad})
+    dealt = housed.mapInArrow(replicas(pivots, radii, sizes, more, r), f"rep long, mult long, dim long, v array<{kind}>, cell long, row long, col long, own long")
     found = s.put(dealt.repartition(max(n, len(cells)), "dim", "cell", "row", "col").groupBy("dim", "cell", "row", "col").applyInArrow(linked(cosine), "rep long, n long, other long"), "found")
     comp = components(s, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "comp")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
