@@ -121,7 +121,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = ["conv_id", "turn", "role", "text"]
-    dealt = rows.repartitionByRange(parts(turns.sparkSession), *keys).sortWithinPartitions(*keys)
+    start = F.substring("text", 1, 64)  # Spark samples the keys of ranges to the driver, so no whole text is among them
+    dealt = rows.repartitionByRange(parts(turns.sparkSession), *keys[:3], start).sortWithinPartitions(*keys)
     return dealt.mapInArrow(pieces, "conv_id long, piece array<long>, n_turns long, formatted binary, loss array<struct<start:long,stop:long>>")
 
 
