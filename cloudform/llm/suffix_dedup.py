@@ -28,6 +28,7 @@ PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
 ENTRIES = 1 << 18
 SHARD = 1 << 20
+HELD = 1 << 25  # bytes of whole texts that a shard holds at most, but for one text
 LANES = 2048
 KEYS = "k1 long, k2 long"
 RESULT = "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
@@ -287,7 +288,7 @@ def shard_runs(length: int, buckets: int):
         return pa.RecordBatch.from_pydict({"bucket": table["bucket"]} | {k: table[k] if k in table else pa.nulls(len(table["bucket"]), pa.binary()) for k in names})
 
     def run(frames):
-        powers, held, size = Powers(), [], 0
+        powers, held, size, taken = Powers(), [], 0, 0
         for batch in frames:
             data, offsets = flat(column(batch, "text"))
             cols = [lists(column(batch, "tiles"), k) for k in ("start", "count", "state")]
@@ -295,9 +296,10 @@ def shard_runs(length: int, buckets: int):
             for i in range(len(batch)):
                 held.append((k1[i], k2[i], data[offsets[i] : offsets[i + 1]].copy(), *(v[cut[i] : cut[i + 1]].copy() for v, _ in cols)))
                 size += int((held[-1][4] * (held[-1][5] >= 2)).sum()) * 2
-                if size >= SHARD:
+                taken += len(held[-1][2])
+                if size >= SHARD or taken >= HELD:
                     yield from map(row, shard(held, powers))
-                    held, size = [], 0
+                    held, size, taken = [], 0, 0
         if held:
             yield from map(row, shard(held, powers))
         held = []
