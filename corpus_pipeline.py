@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudform.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
 from cloudform.llm._base import BITS, Scratch, fresh, sieved, with_value
@@ -16,12 +17,22 @@ from cloudform.llm._base import BITS, Scratch, fresh, sieved, with_value
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def ordered(kind: T.DataType) -> bool:
+    """Whether Spark can sort values of a type; maps and variants it can't, nor what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(ordered(f.dataType) for f in kind.fields)
+    return ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def one_each(docs: DataFrame, keys: list[F.Column]) -> DataFrame:
-    """The smallest row, column by column, of each key."""
+    """The smallest row, column by column, of each key; columns that have no order come last, as JSON."""
     names = [fresh(f"k{i}", docs.columns) for i in range(len(keys))]
     row = fresh("row", docs.columns)
-    least = docs.groupBy(*(k.alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
-    return least.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
+    own = {f.name: ordered(f.dataType) for f in docs.schema.fields}
+    rank = [F.col(f"`{c}`") for c in own if own[c]] + [F.to_json(F.struct(F.col(f"`{c}`"))) for c in own if not own[c]]
+    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*rank))
+    out = docs.groupBy(*(k.alias(n) for k, n in zip(keys, names, strict=True))).agg(least.alias(row))
+    return out.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
