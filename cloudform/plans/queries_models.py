@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cloud, cluster, density, models, shapes
+from ..operators import cloud, cluster, density, models, partitioned, shapes
 from .queries import METRICS, REGISTRY, grid, query, rounded, static_pairs, vectors  # noqa: F401
 from .queries_summaries import scaled_profiles
 
@@ -36,7 +36,20 @@ def cluster_stability(spark, d):
 
 @query
 def mixture_members(spark, d):
-    return rounded(models.mixture_members(features(spark, d), "entity", "x", 2), 4)
+    return rounded(partitioned.mixture_clusters(features(spark, d), "entity", "x", 2), 4)
+
+
+@query
+def vector_clusters(spark, d):
+    """All vectors in ten clusters, over partitions."""
+    return rounded(partitioned.kmeans_clusters(vectors(spark, d), "work_id", "u", 10, restarts=2), 4)
+
+
+@query
+def vector_mixture(spark, d):
+    """All vectors under a mixture in the space of their five first principal components."""
+    p = models.principal_scores(vectors(spark, d), "work_id", "u", n=5).select("work_id", F.col("scores").alias("x"))
+    return rounded(partitioned.mixture_clusters(p, "work_id", "x", 4), 3)
 
 
 @query
