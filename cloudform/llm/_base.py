@@ -18,12 +18,14 @@ BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24  # texts may be long, so a Python worker
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once, by rows and by bytes."""
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds what a Python worker gets at once, by rows and by bytes; bounds that are lower stay."""
     conf = "spark.sql.execution.arrow."
     if int(spark.conf.get(conf + "maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set(conf + "maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set(conf + "maxBytesPerBatch", BATCH_BYTES)
+    held = spark.conf.get(conf + "maxBytesPerBatch", "")
+    if not (held.isdigit() and 0 < int(held) <= most):
+        spark.conf.set(conf + "maxBytesPerBatch", most)
 
 
 # ---------------------------------------------------------------- tables in the shared folder

@@ -28,7 +28,7 @@ PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
 ENTRIES = 1 << 18
 SHARD = 1 << 20
-HELD = 1 << 25  # bytes of whole texts that a shard holds at most, but for one text
+HELD = 1 << 23  # bytes of whole texts that a shard holds at most, but for one text
 LANES = 2048
 KEYS = "k1 long, k2 long"
 RESULT = "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
@@ -288,6 +288,7 @@ def shard_runs(length: int, buckets: int):
         return pa.RecordBatch.from_pydict({"bucket": table["bucket"]} | {k: table[k] if k in table else pa.nulls(len(table["bucket"]), pa.binary()) for k in names})
 
     def run(frames):
+        release()  # what an earlier task of this worker left
         powers, held, size, taken = Powers(), [], 0, 0
         for batch in frames:
             data, offsets = flat(column(batch, "text"))

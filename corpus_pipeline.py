@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudform.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
-from cloudform.llm._base import BITS, Scratch, fresh, sieved, with_value
+from cloudform.llm._base import BITS, Scratch, fresh, sieved, small_batches, with_value
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -77,6 +77,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text becomes empty. Rows that repeat an id are texts of their own. n_chars, where there is such a column,
     is counted again.
     """
+    small_batches(spark, 1 << 22)  # whole texts, suffixes and their joins stand beside each other here
     rows = suffix_dedup.suffix_dedup(docs)
     text = F.expr("make_valid_utf8(cast(kept as string))")
     made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text)}
