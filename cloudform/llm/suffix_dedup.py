@@ -27,7 +27,7 @@ from ._base import Powers, Scratch, U, batches, bitmap, blob, chunks, column, fl
 PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
 ENTRIES = 1 << 18
-SHARD = 1 << 20
+SHARD = 1 << 19
 HELD = 1 << 23  # bytes of whole texts that a shard holds at most, but for one text
 LANES = 2048
 KEYS = "k1 long, k2 long"
