@@ -9,8 +9,9 @@ labelled rows that the class models have not seen, turns both into a score.
 
 All labelled rows enter the counts but for a quarter kept for the curve, of which `most` for each class are taken, those
 with the smallest hash of their id; they are weighed by how many labelled rows each stands for, so the classes keep their
-shares. The tables that are sent to the executors have a bound, `rows` each: beyond it the least frequent strings are
-left to the back-off, as count cut-offs of language models do.
+shares. Every distinct word's evidence is worked out once, by joins, and kept in a table. The most frequent words, `rows`
+at most, are sent to the executors; a text's other words are looked up in the table by a join, so nothing is left
+out whatever the number of words. Strings of letters are treated the same way when words are spelled.
 
 Rows with a null text or without words score as the curve says for no evidence. Without labels of both classes all scores are
 0. Rows that repeat an id are scored one by one; an id with several labels counts as toxic if one of them says so. A column
@@ -23,10 +24,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import LOWER, Powers, Scratch, U, batches, column, flat, longs, small_batches, with_value, words
+from ._base import LOWER, Powers, Scratch, batches, column, flat, fresh, longs, release, small_batches, with_value, words
 
 LETTERS = np.ones(256, bool)  # bytes between words
 LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -95,29 +97,45 @@ def counted(part: str, most: int = 1 << 18):
                 held = [squeezed()]
                 n, most = len(held[0][0]), max(most, 2 * len(held[0][0]))
         if held:
-            _, table, word = squeezed()
+            keys, table, word = squeezed()
             for a in range(0, len(word), 1 << 16):
                 some = table[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"word": word[a : a + (1 << 16)], "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1]), "u": pa.array(some[:, 2])})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(keys[a : a + (1 << 16)].view(np.int64)), "word": word[a : a + (1 << 16)], "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1]), "u": pa.array(some[:, 2])})
 
     return run
 
 
 def spelt(frames):
-    """Per task: each six-byte string with the number of distinct words, ordinary and toxic, that have it."""
-    held = [(np.zeros(0, np.int64), np.zeros((0, 2), np.int64))]
+    """Per task: each six-byte string with the number of distinct words, of all, ordinary and toxic texts, that have it."""
+    held = []
+
+    def squeezed():
+        return summed(np.concatenate([k for k, _ in held]), np.concatenate([t for _, t in held]))[:2]
+
+    def rows():
+        keys, table = squeezed()
+        for a in range(0, len(keys), 1 << 16):
+            some = table[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(keys[a : a + (1 << 16)])} | {c: pa.array(some[:, k]) for k, c in enumerate("not")})
+
     for batch in frames:
         data, offsets = flat(column(batch, "word"))
         gram, owner = grams_of(data, offsets[:-1], offsets[1:])
-        has = np.stack([longs(batch, "o") > 0, longs(batch, "t") > 0], 1)
+        has = np.stack([np.ones(len(batch), bool), longs(batch, "o") > 0, longs(batch, "t") > 0], 1)
         held.append(summed(gram, has[owner].astype(np.int64))[:2])
-        if sum(len(k) for k, _ in held) > max(1 << 19, 2 * len(held[0][0])):
-            held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([t for _, t in held]))[:2]]
-    keys, table, _ = summed(np.concatenate([k for k, _ in held]), np.concatenate([t for _, t in held]))
-    held = []
-    for a in range(0, len(keys), 1 << 16):
-        some = table[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(keys[a : a + (1 << 16)]), "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1])})
+        if sum(len(k) for k, _ in held) > 1 << 20:
+            held = [squeezed()]
+            if len(held[0][0]) > 1 << 19:  # a task holds no more; the shuffle adds up the rest
+                yield from rows()
+                held = []
+    if held:
+        yield from rows()
+    release()
+
+
+def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which wanted keys are among sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -129,71 +147,118 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return np.where(hit if values.ndim == 1 else hit[:, None], values[spot], default)
 
 
-class Tables(NamedTuple):
-    word: np.ndarray  # sorted hashes
-    share: np.ndarray  # discounted probability by class
+class Model(NamedTuple):
+    words: DataFrame  # h, value: log P(word | toxic) - log P(word | ordinary) of every distinct word of the corpus
+    head: tuple  # sorted hashes of the most frequent words, and their evidence
+    whole: bool  # no other words are in the corpus
+    grams: DataFrame  # strings of letters, for words that the corpus does not have
+    middle: DataFrame
     rest: float  # mass of the spelling model
-    gram: np.ndarray  # per class: sorted grams, discounted probabilities
-    grams: np.ndarray
-    context: np.ndarray
-    back: np.ndarray  # per class: what a context leaves to shorter strings
-    middle: tuple  # grams, probabilities, contexts, what they leave
-    short: tuple
     curve: np.ndarray
 
-    @staticmethod
-    def shared(keys: np.ndarray, n: np.ndarray) -> tuple:
-        """Strings and in how many longer ones each occurs, discounted by its context."""
-        context, at, kinds = np.unique(keys >> 8, return_inverse=True, return_counts=True)
-        total = np.bincount(at, weights=n) if len(n) else np.zeros(0)
-        return keys, np.maximum(n - SPELLING_DISCOUNT, 0) / total[at] if len(n) else np.zeros(0), context, SPELLING_DISCOUNT * kinds / total
-
-    @staticmethod
-    def build(word, word_counts, gram, gram_counts, middle, short, totals) -> Tables:
-        discount = np.array(DISCOUNT)
-        share = np.maximum(word_counts - discount[np.minimum(word_counts, 3)], 0) / np.maximum(totals, 1)
-        rest = max(float(np.mean(1 - share.sum(0))), 1e-3)
-        context, at = np.unique(gram >> 8, return_inverse=True)
-        sums, kinds = np.zeros((len(context), 2)), np.zeros((len(context), 2))
-        np.add.at(sums, at, gram_counts)
-        np.add.at(kinds, at, gram_counts > 0)
-        back = np.where(sums > 0, SPELLING_DISCOUNT * kinds / np.maximum(sums, 1), 1.0)
-        grams = np.maximum(gram_counts - SPELLING_DISCOUNT, 0) / np.maximum(sums[at], 1)
-        return Tables(word, share, rest, gram, grams, context, back, Tables.shared(*middle), Tables.shared(*short), np.array([-3.0, 1.0, 1.0]))
-
-    def spelled(self, gram: np.ndarray) -> np.ndarray:
-        """Probability of each gram's last byte after the others, by class."""
-        p = np.full(len(gram), 1 / 256)
-        for size, (keys, prob, context, back) in ((SHORT, self.short), (MIDDLE, self.middle)):
-            own = gram & (1 << 8 * size) - 1
-            p = found(keys, prob, own, 0.0) + found(context, back, own >> 8, 1.0) * p
-        return found(self.gram, self.grams, gram, 0.0) + found(self.context, self.back, gram >> 8, 1.0) * p[:, None]
-
-    def evidence(self, kinds, gram, owner) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each distinct word."""
-        unique, which = np.unique(gram, return_inverse=True)
-        logs = np.log(self.spelled(unique))[which] if len(unique) else np.zeros((0, 2))
-        spelling = np.stack([np.bincount(owner, logs[:, c], len(kinds)) for c in (0, 1)], 1)
-        p = np.log(found(self.word, self.share, kinds, 0.0) + self.rest * np.exp(np.maximum(spelling, -600)))
-        return p[:, 1] - p[:, 0]
-
-    def features(self, data, offsets, powers) -> np.ndarray:
-        """Of each text: mean evidence by word, and the highest mean over RUN words."""
-        data = LOWER[data]
-        which, counts, kinds, start, end = distinct_words(data, offsets, powers)
-        out = np.zeros((len(counts), 2))
-        if not len(which):
-            return out
-        value = self.evidence(kinds, *grams_of(data, start, end))[which]
-        total = np.concatenate([[0], np.cumsum(value)])
-        end = np.cumsum(counts)
-        has = counts > 0
-        out[has, 0] = (total[end] - total[end - counts])[has] / counts[has]
-        text = np.repeat(np.arange(len(counts)), counts)
-        stop = np.minimum(np.arange(len(value)) + RUN, end[text])
-        run = (total[stop] - total[:-1]) / RUN
-        out[has, 1] = np.maximum.reduceat(run, (end - counts)[has])
+
+def low(size: int) -> F.Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def longer(df: DataFrame, size: int) -> DataFrame:
+    """The last `size` bytes of strings, and of how many strings they are that."""
+    return df.groupBy(low(size).alias("gram")).agg(F.count("*").alias("n"))
+
+
+def share(n, total) -> F.Column:
+    return F.greatest(F.col(n) - SPELLING_DISCOUNT, F.lit(0.0)) / total
+
+
+def shorter(strings: DataFrame, table: DataFrame) -> DataFrame:
+    """gram and p of strings(gram, below): discounted by context, which leaves the rest to `below`."""
+    context = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    rows = strings.join(table.select("gram", "n"), "gram", "left").withColumn("context", F.shiftright("gram", 8)).join(context, "context", "left")
+    left = F.coalesce(SPELLING_DISCOUNT * F.col("kinds") / F.col("total"), F.lit(1.0))
+    return rows.select("gram", (F.coalesce(share("n", F.col("total")), F.lit(0.0)) + left * F.col("below")).alias("p"))
+
+
+def chances(wanted: DataFrame, grams: DataFrame, middle: DataFrame) -> DataFrame:
+    """gram, n, lo and lt of wanted(gram, n, o, t): log probability of the last byte after the others, by class."""
+    two = shorter(wanted.select(low(SHORT).alias("gram")).distinct().withColumn("below", F.lit(1 / 256)), longer(middle, SHORT))
+    ends = wanted.select(low(MIDDLE).alias("gram")).distinct().withColumn("end", low(SHORT))
+    four = shorter(ends.join(two.toDF("end", "below"), "end").select("gram", "below"), middle)
+    context = grams.where("o + t > 0").groupBy(F.shiftright("gram", 8).alias("context"))
+    context = context.agg(F.sum("o").alias("so"), F.sum("t").alias("st"), F.count_if(F.col("o") > 0).alias("ko"), F.count_if(F.col("t") > 0).alias("kt"))
+    rows = wanted.withColumn("end", low(MIDDLE)).join(four.toDF("end", "p"), "end").withColumn("context", F.shiftright("gram", 8)).join(context, "context", "left")
+    log = {}
+    for c in "ot":
+        total = F.coalesce(F.col(f"s{c}"), F.lit(0))
+        left = F.when(total > 0, SPELLING_DISCOUNT * F.col(f"k{c}") / total).otherwise(1.0)
+        log[c] = F.log(share(c, F.greatest(total, F.lit(1))) + left * F.col("p")).alias(f"l{c}")
+    return rows.select("gram", "n", log["o"], log["t"])
+
+
+def heaviest(df: DataFrame, key: str, values: list[str], most: int) -> tuple[tuple, bool]:
+    """Sorted keys and values of the rows of largest n, `most` at most, and whether these are all.
+
+    n is cut between its classes by sixteenths of powers of two, so no row has to be sorted to know the cut.
+    """
+    kind = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r.kind, r["count"]) for r in df.groupBy(kind.alias("kind")).count().collect()), reverse=True)  # 1024 rows at most
+    total, cut = 0, None
+    for at, size in sizes:
+        if total + size > most:
+            break
+        total, cut = total + size, at
+    rows = df.where(kind >= cut if cut is not None else F.lit(False)).select(key, *values).toArrow()
+    keys = rows.column(key).to_numpy()
+    by = np.argsort(keys, kind="stable")
+    return (keys[by], *(rows.column(c).to_numpy()[by] for c in values)), total == sum(n for _, n in sizes)
+
+
+def spelled(told):
+    """Per word: its log probabilities over the strings that were sent, and its other strings."""
+
+    def run(frames):
+        keys, lo, lt = told.value
+        for batch in frames:
+            data, offsets = flat(column(batch, "word"))
+            gram, owner = grams_of(data, offsets[:-1], offsets[1:])
+            hit = among(keys, gram)
+            spot, own = np.searchsorted(keys, gram[hit]), owner[hit]
+            sums = [np.bincount(own, p[spot], len(batch)) if len(spot) else np.zeros(len(batch)) for p in (lo, lt)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(batch)))]).astype(np.int32)
+            other = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram[~hit]))
+            yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "n"), column(batch, "so"), column(batch, "st"), pa.array(sums[0]), pa.array(sums[1]), other], ["h", "n", "so", "st", "lo", "lt", "other"])
+
+    return run
+
+
+def evidence(words: DataFrame, letters: DataFrame, rest: float, most: int) -> DataFrame:
+    """h, n and value of words(h, word, n, so, st), so and st being the shares of the class models."""
+    spark = words.sparkSession
+    head, whole = heaviest(letters, "gram", ["lo", "lt"], most)
+    part = words.mapInArrow(spelled(spark.sparkContext.broadcast(head)), "h long, n long, so double, st double, lo double, lt double, other array<long>")
+    if not whole:
+        logs = part.where("size(other) > 0").select("h", F.explode("other").alias("gram")).join(letters.select("gram", "lo", "lt"), "gram").groupBy("h").agg(F.sum("lo").alias("mo"), F.sum("lt").alias("mt"))
+        part = part.join(logs, "h", "left").withColumn("lo", F.col("lo") + F.coalesce("mo", F.lit(0.0))).withColumn("lt", F.col("lt") + F.coalesce("mt", F.lit(0.0)))
+    log = lambda c: F.log(F.col(f"s{c}") + rest * F.exp(F.greatest(F.col(f"l{c}"), F.lit(-600.0))))
+    return part.select("h", "n", F.round(log("t") - log("o"), 9).alias("value"))  # sums come in any order
+
+
+def features(data, offsets, powers, head, other) -> np.ndarray:
+    """Of each text: mean evidence by word, and the highest mean over RUN words. other: evidence of words not sent."""
+    which, counts, kinds, _, _ = distinct_words(LOWER[data], offsets, powers)
+    out = np.zeros((len(counts), 2))
+    if not len(which):
         return out
+    kinds = kinds.view(np.int64)
+    value = (found(*head, kinds, 0.0) + found(*other, kinds, 0.0))[which]
+    total = np.concatenate([[0], np.cumsum(value)])
+    end = np.cumsum(counts)
+    has = counts > 0
+    out[has, 0] = (total[end] - total[end - counts])[has] / counts[has]
+    text = np.repeat(np.arange(len(counts)), counts)
+    stop = np.minimum(np.arange(len(value)) + RUN, end[text])
+    run = (total[stop] - total[:-1]) / RUN
+    out[has, 1] = np.maximum.reduceat(run, (end - counts)[has])
+    return out
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -210,40 +275,85 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return b
 
 
-def measured(tables):
+def told_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and evidence in lists of (h, value), once each and sorted."""
+    rows = pc.list_flatten(lists)
+    keys, first = np.unique(pc.struct_field(rows, [0]).to_numpy(zero_copy_only=False), return_index=True)
+    return keys.astype(np.int64), pc.struct_field(rows, [1]).to_numpy(zero_copy_only=False)[first].astype(float)
+
+
+def measured(told, extra: str):
     def run(frames):
-        powers, model = Powers(), Tables(*tables.value)
+        powers = Powers()
         for batch, i, j, data, offsets in batches(frames):
-            x = model.features(data, offsets, powers)
+            x = features(data, offsets, powers, told.value, told_of(column(batch, extra)[i:j]))
             yield pa.RecordBatch.from_pydict({"toxic": column(batch, "toxic")[i:j], "mean": pa.array(x[:, 0]), "peak": pa.array(x[:, 1])})
 
     return run
 
 
-def scored(tables, name: str):
+def scored(told, curve, extra: str, name: str):
     def run(frames):
-        powers, model = Powers(), Tables(*tables.value)
+        powers = Powers()
         for batch, i, j, data, offsets in batches(frames):
-            x = model.features(data, offsets, powers)
-            score = 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(score)], [*batch.schema.names, name])
+            x = features(data, offsets, powers, told.value, told_of(column(batch, extra)[i:j]))
+            score = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
+            names = [c for c in batch.schema.names if c != extra]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in names), pa.array(score)], [*names, name])
 
     return run
 
 
+def unsent(told):
+    """Per text: the hash of each distinct word that was not sent."""
+
+    def run(frames):
+        powers = Powers()
+        for batch, i, j, data, offsets in batches(frames):
+            which, counts, kinds, _, _ = distinct_words(LOWER[data], offsets, powers)
+            kinds = kinds.view(np.int64)
+            open_ = ~among(told.value[0], kinds)
+            text = np.repeat(np.arange(j - i), counts)[open_[which]] if len(which) else np.zeros(0, np.int64)
+            h = kinds[which[open_[which]]] if len(which) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"key": column(batch, "key")[i:j].take(pa.array(text)), "h": pa.array(h)})
+
+    return run
+
+
+def looked_up(docs: DataFrame, model: Model, told, extra: str, own: bool) -> DataFrame:
+    """docs with a column `extra`: (h, value) of each distinct word of the text that was not sent.
+
+    Rows are brought together by a hash of their text; texts that share one get each other's words too, which does no harm.
+    """
+    if own and model.whole:
+        return docs.withColumn(extra, F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
+    s, known = Scratch(docs.sparkSession), model.words
+    if not own:
+        new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("u").alias("n"))
+        new = s.put(new.join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
+        strings = new.withColumn("o", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long")).mapInArrow(spelt, SPELT).groupBy("gram").agg(F.sum("n").alias("n"))
+        strings = strings.join(model.grams.select("gram", "o", "t"), "gram", "left").fillna(0, ["o", "t"])
+        letters = s.put(chances(strings, model.grams, model.middle), "letters")
+        known = known.union(s.put(evidence(new, letters, model.rest, HEAD).select("h", "value"), "added"))
+    key = fresh("key", [*docs.columns, extra])
+    pairs = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(unsent(told), "key long, h long").distinct()
+    lists = pairs.join(known, "h").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("h", "value")).alias(extra))
+    return docs.withColumn(key, F.xxhash64("text")).join(lists, key, "left").drop(key)
+
+
 def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def heaviest(df: DataFrame, weight: F.Column, most: int) -> DataFrame:
-    """df, or its `most` rows of the largest weight if there are more."""
-    return df if df.count() <= most else df.orderBy(weight.desc(), df.columns[0]).limit(most)
+HEAD = 1 << 21
+COUNTED = "h long, word binary, o long, t long, u long"
+SPELT = "gram long, n long, o long, t long"
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = 8192, rows: int = 1 << 21) -> tuple | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = 8192, rows: int = HEAD) -> Model | None:
     """Models from docs(doc_id, text) and labels(doc_id, toxic), for score_toxicity; the caller leaves held-out labels away.
 
-    None without both classes.
+    None without both classes. `rows` bounds what is sent to the executors, and changes no score.
     """
     spark = docs.sparkSession
     s = Scratch(spark)
@@ -253,51 +363,47 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = 8192, rows:
     known = s.put(texts.select("doc_id").distinct().join(own, "doc_id", "left"), "known")
     kinds = known.select(F.col("doc_id").alias("k0"), F.when(F.col("learnt"), F.col("toxic")).otherwise(UNKNOWN).alias("v"))
     parted = with_value(texts, [F.col("doc_id")], kinds, "part").select("text", "part")
-    counts = s.put(parted.mapInArrow(counted("part"), "word binary, o long, t long, u long").groupBy("word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("u").alias("u")), "words")
-    totals = counts.agg(F.sum("o"), F.sum("t")).first()
-    if not totals[0] or not totals[1]:
+    counts = s.put(parted.mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("u").alias("u")), "words")
+    totals = counts.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
+    if not totals.o or not totals.t:
         return None
-    grams = s.put(counts.mapInArrow(spelt, "gram long, o long, t long").groupBy("gram").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "grams")
-    longer = lambda df, size: df.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    discount = lambda c: F.element_at(F.array(*map(F.lit, DISCOUNT)), F.least(F.col(c), F.lit(3)).cast("int") + 1)
+    shares = {f"s{c}": F.greatest(F.col(c) - discount(c), F.lit(0.0)) / totals[c] for c in "ot"}
+    shared = counts.select("h", "word", (F.col("o") + F.col("t") + F.col("u")).alias("n"), *(p.alias(c) for c, p in shares.items()))
+    rest = max(1 - sum(shared.agg(F.sum("so"), F.sum("st")).first()) / 2, 1e-3)
+    grams = s.put(counts.mapInArrow(spelt, SPELT).groupBy("gram").agg(*(F.sum(c).alias(c) for c in "not")), "grams")
     middle = s.put(longer(grams, MIDDLE), "middle")
-    both = F.col("o") + F.col("t")
-
-    def arrays(df, key, *columns):
-        t = df.toArrow()
-        keys = t.column(key).to_numpy()
-        by = np.argsort(keys, kind="stable")
-        return keys[by], *(t.column(c).to_numpy()[by] for c in columns)
-
-    held = heaviest(counts.where("greatest(o, t) > 1"), both, rows).toArrow()  # words seen once carry no weight
-    data, offsets = flat(held.column("word").combine_chunks()) if len(held) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    powers = Powers()
-    hashes = np.concatenate([np.zeros(0, U), *(powers.hashes(powers.sums(data[a:z]), offsets[i:j] - a, offsets[i + 1 : j + 1] - a) for i, j, a, z in ((i, min(i + 4096, len(held)), offsets[i], offsets[min(i + 4096, len(held))]) for i in range(0, len(held), 4096)))])
-    by = np.argsort(hashes)
-    table = np.stack([held.column(c).to_numpy() for c in ("o", "t")], 1)[by]
-    gram, o, t = arrays(heaviest(grams.where(both > 0), both, rows), "gram", "o", "t")
-    tables = Tables.build(hashes[by], table, gram, np.stack([o, t], 1), arrays(heaviest(middle, F.col("n"), rows), "gram", "n"), arrays(longer(middle, SHORT), "gram", "n"), np.array([totals[0], totals[1]]))
-
-    told = spark.sparkContext.broadcast(tuple(tables))
-    rest = known.where("not learnt").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    n = {r.toxic: r["count"] for r in rest.groupBy("toxic").count().collect()}  # two rows
-    picked = [rest.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
+    letters = s.put(chances(grams, grams, middle), "letters")
+    weighed = s.put(evidence(shared, letters, rest, rows), "evidence")
+    head, whole = heaviest(weighed, "h", ["value"], rows)
+    model = Model(weighed.select("h", "value"), head, whole, grams, middle, rest, np.array([-3.0, 1.0, 1.0]))
+
+    told = spark.sparkContext.broadcast(head)
+    left = known.where("not learnt").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    n = {r.toxic: r["count"] for r in left.groupBy("toxic").count().collect()}  # two rows
+    picked = [left.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]).drop("h"))  # 2 * most rows at most
-    x = texts.join(picked, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(measured(told), "toxic long, mean double, peak double").toArrow()
+    some = texts.join(picked, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    x = looked_up(some, model, told, "extra", True).mapInArrow(measured(told, "extra"), "toxic long, mean double, peak double").toArrow()
     y = x.column("toxic").to_numpy()
     told.unpersist()
-    s.drop("known", "words", "grams", "middle")
+    s.drop("known", "words", "letters")
     if len(np.unique(y)) > 1:
         stands = np.array([max(n.get(c, 0) / most, 1.0) for c in (0, 1)])  # labelled rows for each sampled row of the class
-        tables = tables._replace(curve=fit_curve(np.stack([x.column("mean").to_numpy(), x.column("peak").to_numpy()], 1), y, stands[y]))
-    return tuple(tables)
+        model = model._replace(curve=fit_curve(np.stack([x.column("mean").to_numpy(), x.column("peak").to_numpy()], 1), y, stands[y]))
+    return model
 
 
-def score_toxicity(docs: DataFrame, tables: tuple | None, *, name: str = "score") -> DataFrame:
-    """docs with a column `name`, from 0 to 1; their text alone decides it."""
+def score_toxicity(docs: DataFrame, model: Model | None, *, name: str = "score", own: bool = False) -> DataFrame:
+    """docs with a column `name`, from 0 to 1; their text alone decides it.
+
+    own: docs are those of the fit, so their words are all known. Otherwise words that the fit did not see are spelled first.
+    """
     docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
-    if tables is None:
+    if model is None:
         return docs.withColumn(name, F.lit(0.0))
     small_batches(docs.sparkSession)
-    told = docs.sparkSession.sparkContext.broadcast(tables)  # plain arrays of bounded size, which need no module on a worker
+    told = docs.sparkSession.sparkContext.broadcast(model.head)  # plain arrays of bounded size, which need no module on a worker
+    extra = fresh("extra", [*docs.columns, name])
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored(told, name), f"{kind}, `{name}` double")
+    return looked_up(docs, model, told, extra, own).mapInArrow(scored(told, model.curve, extra, name), f"{kind}, `{name}` double")

@@ -234,26 +234,69 @@ def test_very_long_words():
 
 
 # ---------------------------------------------------------------- 5
+def hash_of(word):
+    raw, powers = np.frombuffer(word, np.uint8), _base.Powers()
+    return int(powers.hashes(powers.sums(raw), np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+
+
+def brute_evidence(counts, vocabulary):
+    """log P(word | toxic) - log P(word | ordinary) by plain counting."""
+    share = [{w: max(n - toxicity.DISCOUNT[min(n, 3)], 0) / sum(c.values()) for w, n in c.items()} for c in counts]
+    rest = 1 - sum(sum(s.values()) for s in share) / 2
+    strings = lambda w: [(b"\1" * 5 + w + b"\2")[a : a + 6] for a in range(len(w) + 1)]
+    long_ = [Counter(g for w in c for g in strings(w)) for c in counts]
+    middle = Counter(g[-4:] for g in {g for w in vocabulary for g in strings(w)})
+    tables = (Counter(g[-2:] for g in middle), middle)
+
+    def back(table, g, below):
+        same = {k: n for k, n in table.items() if k[:-1] == g[:-1]}
+        if not same:
+            return below
+        return (max(table.get(g, 0) - 0.75, 0) + 0.75 * len(same) * below) / sum(same.values())
+
+    def value(w):
+        logs = []
+        for c in (0, 1):
+            p = 1.0
+            for g in strings(w):
+                q = 1 / 256
+                for size, table in zip((2, 4), tables, strict=True):
+                    q = back(table, g[-size:], q)
+                p *= back(long_[c], g, q)
+            logs.append(np.log(share[c].get(w, 0) + rest * p))
+        return logs[1] - logs[0]
+
+    return value
+
+
 def test_toxicity_counts_and_edges(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["Good", "kind", "plain", "odd", "vile", "scum"][:4 if i % 3 else 6]) for _ in range(12)), int(i % 3 == 0)) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     learnt = {x.doc_id for x in docs.where(F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4)) > 0).collect()}
-    t = toxicity.Tables(*toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic")))
-    counts = [Counter(w.lower() for i, x, c in rows if i in learnt and c == k for w in x.split()) for k in (0, 1)]
-    powers, want = _base.Powers(), {}
-    for w in counts[0] | counts[1]:
-        raw = np.frombuffer(w.encode(), np.uint8)
-        h = powers.hashes(powers.sums(raw), np.array([0]), np.array([len(raw)]))[0]
-        want[int(h)] = [max(c[w] - toxicity.DISCOUNT[min(c[w], 3)], 0) / sum(c.values()) for c in counts]
-    got = {int(h): s.tolist() for h, s in zip(t.word, t.share, strict=True)}
-    assert got.keys() == want.keys() and all(np.allclose(got[h], want[h]) for h in got)
-    assert sum(np.asarray(t.share)[:, 0]) < 1 and t.rest > 0
+    t = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"))
+    counts = [Counter(w.lower().encode() for i, x, c in rows if i in learnt and c == k for w in x.split()) for k in (0, 1)]
+    value = brute_evidence(counts, {w.lower().encode() for _, x, _ in rows for w in x.split()})
+    got = {r.h: r.value for r in t.words.collect()}
+    assert got.keys() == {hash_of(w) for w in counts[0] | counts[1]} and 0 < t.rest < 1
+    assert all(abs(got[hash_of(w)] - value(w)) < 1e-6 for w in counts[0] | counts[1])
+
+    def score(text):
+        v = [value(w.lower().encode()) for w in text.split()]
+        peak = max((sum(v[a : a + toxicity.RUN]) / toxicity.RUN for a in range(len(v))), default=0)
+        return 1 / (1 + np.exp(-(t.curve[0] + t.curve[1] * (sum(v) / len(v) if v else 0) + t.curve[2] * peak)))
+
+    for most, own in ((1 << 21, True), (3, True), (3, False), (0, True)):  # what is sent changes nothing
+        held = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), rows=most)
+        assert held.whole == (most > 6) and len(held.head[0]) <= most and np.allclose(held.curve, t.curve, atol=1e-6)
+        assert all(abs(x.score - score(x.text)) < 1e-6 for x in toxicity.score_toxicity(docs, held, own=own).collect())
+        new = spark.createDataFrame([(1, "kind scumbag vileness"), (2, "odd kindly xyz"), (2, "odd kindly xyz"), (3, "")], "doc_id long, text string")
+        assert all(abs(x.score - score(x.text)) < 1e-6 for x in toxicity.score_toxicity(new, held).collect())
     once = spark.createDataFrame([(i, f"unique{i}", i % 2) for i in range(16)], "doc_id long, text string, toxic int")  # no word occurs twice
     scores = [x.score for x in toxicity.score_toxicity(once, toxicity.fit_toxicity(once, once.select("doc_id", "toxic"))).collect()]
     assert len(scores) == 16 and all(0 <= s <= 1 for s in scores)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "\0\0"), (None, "vile scum"), (4, "vile scum " * 200000)], "doc_id long, text string")
-    got = {x.doc_id: x.score for x in toxicity.score_toxicity(odd, tuple(t)).collect()}
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(odd, t).collect()}
     assert got[1] == got[2] == got[3] and got[None] > got[1] and got[4] > 0.5
 
 
