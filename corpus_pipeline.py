@@ -43,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(toxicity.fold("doc_id") != 0)
     tables = toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
     score = fresh("score", docs.columns)
-    return toxicity.score_toxicity(docs, tables, name=score).where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return toxicity.score_toxicity(docs, tables, name=score, own=True).where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without(docs: DataFrame, gone: DataFrame, bits: int = BITS) -> DataFrame:
