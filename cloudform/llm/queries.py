@@ -39,7 +39,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     tables = toxicity.fit_toxicity(docs, labels.where(toxicity.fold("doc_id") != 0))
-    rows = toxicity.score_toxicity(docs, tables, own=True)
+    rows = toxicity.toxicity_scores(docs, tables, own=True)
     return rows.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -320,6 +320,65 @@ def unsent(told):
     return run
 
 
+def begun(told, names: list[str], parts: list[str]):
+    """Per text: what the sent words give, and the words near unsent ones: gaps, evidence (NaN if unsent), unsent hashes."""
+
+    def run(frames):
+        powers = Powers()
+        for batch, i, j, data, offsets in batches(frames):
+            which, counts, kinds, _, _ = distinct_words(LOWER[data], offsets, powers)
+            kinds, n, at = kinds.view(np.int64), j - i, np.arange(len(which))
+            open_ = ~among(told.value[0], kinds)[which] if len(which) else np.zeros(0, bool)
+            value = found(*told.value, kinds, 0.0)[which] if len(which) else np.zeros(0)
+            end, text = np.cumsum(counts), np.repeat(np.arange(n), counts)
+            total, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (value, open_))
+            stop, start = np.minimum(at + RUN, end[text]), np.maximum(at - RUN + 1, (end - counts)[text])
+            runs = np.where(opens[stop] > opens[:-1], -np.inf, (total[stop] - total[:-1]) / RUN)
+            peak, has = np.full(n, -np.inf), counts > 0
+            if len(which):
+                peak[has] = np.maximum.reduceat(runs, (end - counts)[has])
+            near = np.flatnonzero(opens[stop] > opens[start])
+            gap = np.minimum(np.diff(near, prepend=-RUN), RUN).astype(np.int8)
+            ends, spots = (np.concatenate([[0], np.cumsum(np.bincount(text[x], minlength=n))]).astype(np.int32) for x in (near, open_))
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in ((ends, gap), (ends, np.where(open_, np.nan, value)[near].astype(np.float32)), (spots, kinds[which[open_]] if len(which) else kinds))]
+            own = [pa.array(counts), pa.array(total[end] - total[end - counts] if n else np.zeros(0)), pa.array(peak), *lists]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in names), *own], [*names, *parts[:6]])
+
+    return run
+
+
+def ended(curve, names: list[str], parts: list[str], name: str):
+    def run(frames):
+        for batch in frames:
+            n, known, peak = (column(batch, c).to_numpy(zero_copy_only=False) for c in parts[:3])
+            gap, value, h = (pc.list_flatten(column(batch, c)).to_numpy(zero_copy_only=False) for c in parts[3:6])
+            text = np.repeat(np.arange(len(batch)), pc.list_value_length(column(batch, parts[3])).to_numpy(zero_copy_only=False))
+            open_, value, peak = np.isnan(value), value.astype(float), peak.copy()
+            value[open_] = found(*told_of(column(batch, parts[6])), h, 0.0)
+            total, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (value, open_))
+            place = np.cumsum(gap.astype(np.int64)) + text * RUN  # texts stand at least RUN apart
+            stop = np.searchsorted(place, place + RUN)
+            some = opens[stop] > opens[:-1]
+            np.maximum.at(peak, text[some], ((total[stop] - total[:-1]) / RUN)[some])
+            mean = (known + np.bincount(text[open_], value[open_], len(batch))) / np.maximum(n, 1)
+            x = np.where((n > 0)[:, None], np.stack([mean, peak], 1), 0.0)
+            score = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(score)], [*names, name])
+
+    return run
+
+
+def spelled_too(docs: DataFrame, model: Model) -> DataFrame:
+    """The words of the model and those of docs that it does not have."""
+    s, known = Scratch(docs.sparkSession), model.words
+    new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("u").alias("n"))
+    new = s.put(new.join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
+    strings = new.withColumn("o", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long")).mapInArrow(spelt, SPELT).groupBy("gram").agg(F.sum("n").alias("n"))
+    strings = strings.join(model.grams.select("gram", "o", "t"), "gram", "left").fillna(0, ["o", "t"])
+    letters = s.put(chances(strings, model.grams, model.middle), "letters")
+    return known.union(s.put(evidence(new, letters, model.rest, HEAD).select("h", "value"), "added"))
+
+
 def looked_up(docs: DataFrame, model: Model, told, extra: str, own: bool) -> DataFrame:
     """docs with a column `extra`: (h, value) of each distinct word of the text that was not sent.
 
@@ -327,15 +386,7 @@ def looked_up(docs: DataFrame, model: Model, told, extra: str, own: bool) -> Dat
     """
     if own and model.whole:
         return docs.withColumn(extra, F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
-    s, known = Scratch(docs.sparkSession), model.words
-    if not own:
-        new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("u").alias("n"))
-        new = s.put(new.join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
-        strings = new.withColumn("o", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long")).mapInArrow(spelt, SPELT).groupBy("gram").agg(F.sum("n").alias("n"))
-        strings = strings.join(model.grams.select("gram", "o", "t"), "gram", "left").fillna(0, ["o", "t"])
-        letters = s.put(chances(strings, model.grams, model.middle), "letters")
-        known = known.union(s.put(evidence(new, letters, model.rest, HEAD).select("h", "value"), "added"))
-    key = fresh("key", [*docs.columns, extra])
+    known, key = model.words if own else spelled_too(docs, model), fresh("key", [*docs.columns, extra])
     pairs = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(unsent(told), "key long, h long").distinct()
     lists = pairs.join(known, "h").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("h", "value")).alias(extra))
     return docs.withColumn(key, F.xxhash64("text")).join(lists, key, "left").drop(key)
@@ -407,3 +458,28 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, name: str = "score",
     extra = fresh("extra", [*docs.columns, name])
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return looked_up(docs, model, told, extra, own).mapInArrow(scored(told, model.curve, extra, name), f"{kind}, `{name}` double")
+
+
+def toxicity_scores(docs: DataFrame, model: Model | None, *, name: str = "score", own: bool = False) -> DataFrame:
+    """The scores of score_toxicity beside all columns but the text: no text is shuffled.
+
+    Only unsent words, with the evidence of the few words about them, travel to the table of words.
+    """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    names = [c for c in docs.columns if c != "text"]
+    if model is None:
+        return docs.select(*(F.col(f"`{c}`") for c in names), F.lit(0.0).alias(name))
+    small_batches(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(model.head)
+    key, *parts = (fresh(f"c{k}", [*docs.columns, name]) for k in range(8))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    kinds = ("long", "double", "double", "array<tinyint>", "array<float>", "array<long>")
+    made = f"`{key}` long, " + ", ".join(f"`{c}` {t}" for c, t in zip(parts, kinds, strict=False))
+    rows = docs.withColumn(key, F.xxhash64("text")).mapInArrow(begun(told, [*names, key], parts), f"{kind}, {made}" if kind else made)
+    if own and model.whole:
+        rows = rows.withColumn(parts[6], F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
+    else:
+        known = model.words if own else spelled_too(docs, model)
+        pairs = rows.select(F.col(key), F.explode(parts[5]).alias("h")).distinct()
+        rows = rows.join(pairs.join(known, "h").groupBy(key).agg(F.collect_list(F.struct("h", "value")).alias(parts[6])), key, "left")
+    return rows.mapInArrow(ended(model.curve, names, parts, name), f"{kind}, `{name}` double" if kind else f"`{name}` double")

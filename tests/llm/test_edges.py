@@ -290,6 +290,8 @@ def test_toxicity_counts_and_edges(spark):
         held = toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), rows=most)
         assert held.whole == (most > 6) and len(held.head[0]) <= most and np.allclose(held.curve, t.curve, atol=1e-6)
         assert all(abs(x.score - score(x.text)) < 1e-6 for x in toxicity.score_toxicity(docs, held, own=own).collect())
+        few = toxicity.toxicity_scores(docs.withColumn("c0", F.col("text")), held, own=own)
+        assert few.columns == ["doc_id", "toxic", "c0", "score"] and all(abs(x.score - score(x.c0)) < 1e-6 for x in few.collect())
         new = spark.createDataFrame([(1, "kind scumbag vileness"), (2, "odd kindly xyz"), (2, "odd kindly xyz"), (3, "")], "doc_id long, text string")
         assert all(abs(x.score - score(x.text)) < 1e-6 for x in toxicity.score_toxicity(new, held).collect())
     once = spark.createDataFrame([(i, f"unique{i}", i % 2) for i in range(16)], "doc_id long, text string, toxic int")  # no word occurs twice
