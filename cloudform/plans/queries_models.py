@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cloud, cluster, density, models, partitioned, shapes
+from ..operators import cloud, cluster, density, models, partitioned, shapes, trees
 from .queries import METRICS, REGISTRY, grid, query, rounded, static_pairs, vectors  # noqa: F401
 from .queries_summaries import scaled_profiles
 
@@ -52,6 +52,12 @@ def vector_mixture(spark, d):
     return rounded(partitioned.mixture_clusters(p, "work_id", "x", 4), 3)
 
 
+@query
+def density_clusters(spark, d):
+    """Clusters of at least five vectors within each l1, by density."""
+    return trees.density_clusters(vectors(spark, d), "l1", "work_id", "u")
+
+
 @query
 def principal_scores(spark, d):
     s = models.principal_scores(vectors(spark, d), "work_id", "u")
