@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cloud, cluster, density, models, partitioned, shapes, trees
-from .queries import METRICS, REGISTRY, grid, query, rounded, static_pairs, vectors  # noqa: F401
+from ..sources import arrays, shards
+from ..sources.scratch import shared_folder
+from .queries import METRICS, REGISTRY, grid, query, rounded, static_pairs, table, vectors  # noqa: F401
 from .queries_summaries import scaled_profiles
 
 
@@ -52,6 +56,34 @@ def vector_mixture(spark, d):
     return rounded(partitioned.mixture_clusters(p, "work_id", "x", 4), 3)
 
 
+def written_shards(spark, d):
+    """The folder of the table's vectors in shards of about 4096, and the table of their metadata."""
+    e = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", "embedding")
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    arrays.write_shards(arrays.planned_shards(e, "vec_id", 4096), folder, "vec_id", "embedding").write.format("noop").mode("overwrite").save()
+    schema = e.drop("embedding").withColumn("shard", F.lit(0)).withColumn("row", F.lit(0)).select("vec_id", "label", "row").schema
+    return folder, shards.metadata_index(spark, folder, schema)
+
+
+@query
+def shard_vectors(spark, d):
+    """Every vector written to shards and read again by ranges of bytes, beside its metadata."""
+    folder, index = written_shards(spark, d)
+    v = arrays.read_arrays(spark, folder, size=1 << 18)
+    u = F.col("embedding").cast("array<double>")
+    return rounded(index.join(v, ["shard", "row"]).select("vec_id", "label", F.size(u).alias("dim"), F.get(u, F.lit(0)).alias("first"), F.element_at(u, -1).alias("last")), 5)
+
+
+@query
+def shard_counts(spark, d):
+    """Rows of the arrays' headers and of the metadata, and how many checks of the shards fail."""
+    folder, index = written_shards(spark, d)
+    shapes_ = arrays.array_headers(spark, folder)
+    dim = shapes_.agg(F.max("dim").alias("dim"), F.sum("n_rows").alias("n_rows"))
+    bad = shards.shard_errors(shards.shard_files(spark, folder), shapes_, index, expected=None, dim=dim.first().dim, dtype="float32")
+    return dim.crossJoin(index.agg(F.count("*").alias("n_meta"), F.count_distinct("vec_id").alias("n_ids"))).crossJoin(bad.agg(F.count("*").alias("n_errors")))
+
+
 @query
 def density_clusters(spark, d):
     """Clusters of at least five vectors within each l1, by density."""

@@ -1,13 +1,10 @@
-"""Tables in files: scans with fallback, shard vectors, manifests and guards against overwriting."""
+"""Tables in files: scans with fallback, and guards against overwriting."""
 
 from __future__ import annotations
 
-import io
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAME = re.compile(r"[A-Za-z0-9_]+")
@@ -60,21 +57,6 @@ def write_table(df: DataFrame, path: str, *, overwrite: bool = False, by: list[s
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def _npy(rows):
-    import pandas as pd
-
-    for frame in rows:
-        out = [pd.DataFrame({"shard": p, "row": np.arange(len(m)), "embedding": list(m.astype(np.float32))}) for p, c in zip(frame.path, frame.content, strict=True) for m in [np.load(io.BytesIO(c))]]
-        yield pd.concat(out) if out else pd.DataFrame({"shard": [], "row": [], "embedding": []})
-
-
-def read_npy_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """shard, row and embedding of every shard_NNNN_embeddings.npy of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*_embeddings.npy").load(folder)
-    rows = files.select("path", "content").mapInPandas(_npy, "shard string, row long, embedding array<float>")
-    return rows.withColumn("shard", F.regexp_extract("shard", r"shard_(\d+)_embeddings", 1).cast("int"))
-
-
 def safe_url(url: str) -> str:
     """The URL with keys and mail addresses hidden."""
     return re.sub(r"(?i)([?&](?:api_key|mailto|key|token)=)[^&#]*", r"\1***", url)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import struct
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,26 +27,19 @@ def npy_header(head: bytes) -> tuple[str, tuple[int, ...], int]:
     long = head[6] > 1
     size = struct.unpack("<I", head[8:12])[0] if long else struct.unpack("<H", head[8:10])[0]
     start = 12 if long else 10
+    if len(head) < start + size:
+        raise ValueError(f"the header has {start + size} bytes")
     info = ast.literal_eval(head[start : start + size].decode("latin1").strip())
+    if info["fortran_order"] and len(info["shape"]) > 1:
+        raise ValueError("columns stand before rows")
     return info["descr"], info["shape"], start + size
 
 
-def _shapes(frames):
-    import pandas as pd
-
-    for frame in frames:
-        rows = []
-        for path, head in zip(frame.path, frame["head"], strict=True):
-            kind, shape, _ = npy_header(head)
-            rows.append((path, np.dtype(kind).name, int(shape[0]), int(shape[1]) if len(shape) > 1 else 1))
-        yield pd.DataFrame(rows, columns=["path", "dtype", "n_rows", "dim"])
-
-
 def shard_shapes(spark: SparkSession, folder: str, most: int = 1024) -> DataFrame:
-    """path, dtype, n_rows and dim of every array, from the first bytes of the files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*_embeddings.npy").load(folder)
-    heads = files.select("path", F.substring("content", 1, most).alias("head"))
-    return heads.mapInPandas(_shapes, "path string, dtype string, n_rows long, dim int").select(F.regexp_extract("path", PATTERN, 1).cast("int").alias("shard"), "dtype", "n_rows", "dim")
+    """shard, dtype, n_rows and dim of every array, from the first bytes of the files."""
+    from .arrays import array_headers
+
+    return array_headers(spark, folder, most).select("shard", "dtype", "n_rows", "dim")
 
 
 def metadata_index(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudform.functions import vec
 from cloudform.operators import cloud, cluster, corpus, density, entities, models, profiles, projections, rows, shapes
-from cloudform.sources import rest, shards, sinks
+from cloudform.sources import arrays, rest, shards, sinks
 from cloudform.streaming import acceptance
 
 
@@ -237,9 +237,7 @@ def test_shards(spark, tmp_path):
     assert shards.shard_errors(files, shapes_, meta, expected=2, dim=4, dtype="float16", total=5).count() == 0
     bad = {(r.shard, r.error) for r in shards.shard_errors(files.where("kind <> 'metadata' or shard = 0"), shapes_, meta.where("id <> 11"), expected=3, dim=5, dtype="float16", total=6).collect()}
     assert (1, "no metadata") in bad and (1, "2 vectors, 1 rows of metadata") in bad and (None, "2 shards, not 3") in bad and (None, "5 vectors in all, not 6") in bad and (0, "dimension 4, not 5") in bad
-    from cloudform.sources.files import read_npy_shards
-
-    vectors = read_npy_shards(spark, str(tmp_path))
+    vectors = arrays.read_arrays(spark, str(tmp_path), size=16)
     assert [r.embedding[0] for r in shards.aligned(meta, vectors, ["shard", "row"]).orderBy("id").collect()] == [0.0, 4.0, 8.0, 0.0, 4.0]
     with pytest.raises(ValueError):
         shards.aligned(meta.withColumn("row", F.col("row") + 5), vectors, ["id"])
