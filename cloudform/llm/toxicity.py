@@ -74,7 +74,7 @@ def summed(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def counted(part: str, most: int = 1 << 18):
-    """Per task: each distinct word with its counts in ordinary, toxic and other texts."""
+    """Per task: each distinct word with its counts in ordinary, toxic and other texts, in fields of one number."""
 
     def run(frames, most=most):
         powers, held, n = Powers(), [], 0
@@ -99,12 +99,21 @@ def counted(part: str, most: int = 1 << 18):
         if held:
             keys, table, word = squeezed()
             for a in range(0, len(word), 1 << 16):
-                some = table[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(keys[a : a + (1 << 16)].view(np.int64)), "word": word[a : a + (1 << 16)], "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1]), "u": pa.array(some[:, 2])})
+                own, words, left = keys[a : a + (1 << 16)].view(np.int64), word[a : a + (1 << 16)], table[a : a + (1 << 16)]
+                while (at := np.flatnonzero(left.any(1))).size:  # counts beyond a field go on in further rows
+                    part_ = np.minimum(left, FIELD)
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(own[at]), "word": words.take(pa.array(at)), "c": pa.array((part_[:, 0] | part_[:, 1] << 21 | part_[:, 2] << 42)[at])})
+                    left = left - part_
 
     return run
 
 
+def gathered(parts: DataFrame) -> DataFrame:
+    """h, word and its counts o, t and u over all tasks; tasks send each word once, so nothing is summed before the shuffle."""
+    field = lambda k: F.sum(F.shiftright("c", 21 * k).bitwiseAND(F.lit(FIELD)))
+    return parts.repartition("h").groupBy("h", "word").agg(field(0).alias("o"), field(1).alias("t"), field(2).alias("u"))
+
+
 def spelt(frames):
     """Per task: each six-byte string with the number of distinct words, of all, ordinary and toxic texts, that have it."""
     held = []
@@ -371,7 +380,8 @@ def ended(curve, names: list[str], parts: list[str], name: str):
 def spelled_too(docs: DataFrame, model: Model) -> DataFrame:
     """The words of the model and those of docs that it does not have."""
     s, known = Scratch(docs.sparkSession), model.words
-    new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("u").alias("n"))
+    new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED)
+    new = gathered(new).select("h", "word", F.col("u").alias("n"))
     new = s.put(new.join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
     strings = new.withColumn("o", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long")).mapInArrow(spelt, SPELT).groupBy("gram").agg(F.sum("n").alias("n"))
     strings = strings.join(model.grams.select("gram", "o", "t"), "gram", "left").fillna(0, ["o", "t"])
@@ -397,7 +407,8 @@ def fold(doc_id) -> F.Column:
 
 
 HEAD = 1 << 21
-COUNTED = "h long, word binary, o long, t long, u long"
+COUNTED = "h long, word binary, c long"
+FIELD = (1 << 21) - 1
 SPELT = "gram long, n long, o long, t long"
 
 
@@ -414,7 +425,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = 8192, rows:
     known = s.put(texts.select("doc_id").distinct().join(own, "doc_id", "left"), "known")
     kinds = known.select(F.col("doc_id").alias("k0"), F.when(F.col("learnt"), F.col("toxic")).otherwise(UNKNOWN).alias("v"))
     parted = with_value(texts, [F.col("doc_id")], kinds, "part").select("text", "part")
-    counts = s.put(parted.mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("u").alias("u")), "words")
+    counts = s.put(gathered(parted.mapInArrow(counted("part"), COUNTED)), "words")
     totals = counts.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
     if not totals.o or not totals.t:
         return None

@@ -1,0 +1,15 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from cloudform.llm import toxicity
+
+
+def test_counts_beyond_a_field_go_on_in_further_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIELD", 3)
+    rows = [(i % 3, "one two two " * (i % 4) + "x" * (i % 2)) for i in range(30)] + [(1, "many " * 50), (0, "")]
+    parts = spark.createDataFrame(rows, "part long, text string").repartition(3).mapInArrow(toxicity.counted("part"), toxicity.COUNTED)
+    assert parts.count() > parts.select("word").distinct().count() * 3
+    want = [Counter(w for p, t in rows if p == k for w in t.split()) for k in range(3)]
+    got = {r.w: (r.o, r.t, r.u) for r in toxicity.gathered(parts).select(F.col("word").cast("string").alias("w"), "o", "t", "u").collect()}
+    assert got == {w: tuple(c[w] for c in want) for w in set().union(*want)}
