@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import share
-from ..sources.scratch import settle
+from ..sources.scratch import settle, written
 
 
 def year_grid(ids: DataFrame, first: int, last: int) -> DataFrame:
@@ -112,55 +112,79 @@ def pending(plan: DataFrame, manifest: DataFrame, keys: list[str], done: tuple[s
     return plan.join(manifest.where(F.col("status").isin(*done)).select(*keys).distinct(), keys, "left_anti")
 
 
-def _accepted(per_entity: int):
-    """Sequential acceptance of the rows of one part, whose entities share ids with no other part."""
+TAIL = 1 << 16  # rows that one task decides in order
+
+
+def _in_order(per_entity: int):
+    """Decides rows in their order, after the counts of what was accepted before each of them."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_o", "ascending")])
-        ids, cells, entities, plans = (group.column(c).to_pylist() for c in ("_id", "_cell", "_entity", "_plan"))
+        ids, cells, entities, plans, before, others = (group.column(c).to_pylist() for c in ("_id", "_cell", "_entity", "_plan", "_cell_ok", "_entity_ok"))
         seen, in_cell, in_entity, out = set(), {}, {}, []
-        for i, c, e, p in zip(ids, cells, entities, plans, strict=True):
-            ok = i not in seen and in_cell.get(c, 0) < p and in_entity.get(e, 0) < per_entity
+        for i, c, e, p, b, o in zip(ids, cells, entities, plans, before, others, strict=True):
+            ok = i not in seen and in_cell.get(c, 0) + b < p and in_entity.get(e, 0) + o < per_entity
             out.append(ok)
             if ok:
                 seen.add(i)
                 in_cell[c], in_entity[e] = in_cell.get(c, 0) + 1, in_entity.get(e, 0) + 1
-        return pa.table({"_o": group.column("_o"), "_ok": out})
+        return pa.table({"_o": group.column("_o"), "_done": out})
 
     return run
 
 
-def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[str], plan: DataFrame | int, per_entity: int) -> DataFrame:
+def _decided(rows: DataFrame, per_entity: int, tail: int, by_cell: list[str]) -> DataFrame:
+    """The accepted ones of rows(_o, _id, _cell, _entity, _plan), by rounds over all rows at once.
+
+    A round counts for each open row what was accepted before it in its cell and entity, and what was accepted or is
+    open. The first open row of an id enters where even the second count leaves room, and ends the id's later rows; a row
+    whose first count leaves none is out. What few rows are left, or the earliest ones where a round decided little, are
+    decided in order by one task of `tail` rows, so each round decides as many at least.
+    """
+    own, cell, entity = (Window.partitionBy(*c).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1) for c in (["_id"], by_cell, ["_entity"]))
+    cols = ["_o", "_id", "_cell", "_entity", "_plan"]
+    live, n = rows.withColumn("_ok", F.lit(False)), None
+    while True:
+        seen = live.withColumns({"_entity_ok": F.count_if("_ok").over(entity), "_entity_all": F.count(F.lit(1)).over(entity)})
+        seen = seen.withColumns({"_cell_ok": F.count_if("_ok").over(cell), "_cell_all": F.count(F.lit(1)).over(cell)})  # no further shuffle where a cell is of one entity
+        room = (F.col("_cell_all") < F.col("_plan")) & (F.col("_entity_all") < per_entity)
+        none = ~F.col("_ok") & ((F.col("_cell_ok") >= F.col("_plan")) | (F.col("_entity_ok") >= per_entity))
+        seen = seen.withColumn("_may", F.when(~none, F.col("_ok") | room))  # NULL: out, and no hindrance to later rows of the id
+        seen = seen.withColumns({"_before": F.count("_may").over(own), "_in": F.coalesce(F.first("_may", ignorenulls=True).over(own), F.lit(False))})
+        kept = seen.where(F.col("_may").isNotNull() & ~F.col("_in"))
+        live = written(kept.select(*cols, (F.col("_ok") | (F.col("_may") & (F.col("_before") == 0))).alias("_ok")))
+        last, n = n, live.where("not _ok").count()
+        if not n:
+            return live.where("_ok").select(*cols)
+        if n <= tail or (last is not None and n > 0.9 * last):
+            count = live.withColumns({"_cell_ok": F.count_if("_ok").over(cell), "_entity_ok": F.count_if("_ok").over(entity)}).where("not _ok").orderBy("_o").limit(tail)
+            kind = rows.schema["_o"].dataType.simpleString()
+            done = written(count.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_in_order(per_entity), f"_o {kind}, _done boolean"))
+            live = written(live.join(done, "_o", "left").where("_ok OR _done IS NULL OR _done").select(*cols, (F.col("_ok") | F.coalesce("_done", F.lit(False))).alias("_ok")))
+            if n <= tail:
+                return live.where("_ok").select(*cols)
+
+
+def accept(rows: DataFrame, id_: str, cell: list[str], entity: str, order: list[str], plan: DataFrame | int, per_entity: int, *, tail: int = TAIL) -> DataFrame:
     """rows with `decision`, as an acceptance in order of arrival makes it: accepted, repeated, cell_full or entity_full.
 
     An id counts as seen only once it was accepted, so one that a full cell refused may enter another. plan has the
-    number of rows of each cell (columns of cell, and planned), or is one number for all. Order has no ties.
+    number of rows of each cell (columns of cell, and planned), or is one number for all. Ties of order go by id and cell.
 
-    Ids of a single cell decide by their first row, and of those only the first `planned` of a cell can enter: that
-    bounds what is left. Entities that share ids are decided together, in one task for each set of entities that ids join.
+    Where ids stand in several cells, rounds over all rows decide (see _decided): no task holds more of what ids join than
+    `tail` rows.
     """
     cols = rows.columns
     planned = F.lit(plan) if isinstance(plan, int) else F.coalesce("planned", F.lit(0))
     r = rows if isinstance(plan, int) else rows.join(plan.select(*cell, "planned"), cell, "left")
-    r = r.select(*cols, F.struct(*order).alias("_o"), F.col(id_).alias("_id"), F.concat_ws("\u0001", *cell).alias("_cell"), F.col(entity).alias("_entity"), planned.cast("long").alias("_plan"))
+    r = r.select(*cols, F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate([*order, id_, *cell]))).alias("_o"), F.col(id_).alias("_id"), F.concat_ws("\u0001", *cell).alias("_cell"), F.col(entity).alias("_entity"), planned.cast("long").alias("_plan"))
     if not r.groupBy("_id").agg((F.min("_cell") != F.max("_cell")).alias("_many")).where("_many").limit(1).count():
         return in_own_cells(r, cols, per_entity)
-    spread = r.groupBy("_id").agg(F.count_distinct("_cell").alias("_cells"), F.min("_o").alias("_first"), F.min("_entity").alias("_head"), F.count_distinct("_entity").alias("_entities"))
-    r = r.join(spread, "_id")
-    alone = F.col("_cells") == 1
-    first = r.where(~alone | (F.col("_o") == F.col("_first")))
-    before = F.coalesce(F.sum(alone.cast("long")).over(Window.partitionBy("_cell").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    may = settle(first.withColumn("_before", before).where(F.col("_before") < F.col("_plan")).select("_o", "_id", "_cell", "_entity", "_plan", "_head", "_entities"))
-    edges = may.where("_entities > 1").select(F.col("_head").alias("a"), F.col("_entity").alias("b")).distinct()
-    part = joined(edges)
-    dealt = may.join(part, may._entity == part.v, "left").withColumn("_part", F.coalesce("comp", "_entity"))
-    kind = rows.select(F.struct(*order).alias("o")).schema["o"].dataType.simpleString()
-    taken = settle(dealt.select("_part", "_o", "_id", "_cell", "_entity", "_plan").groupBy("_part").applyInArrow(_accepted(per_entity), f"_o {kind}, _ok boolean").where("_ok").select("_o"))
-    rest = r.join(taken.withColumn("_ok", F.lit(True)), "_o", "left")
-    full = rest.groupBy("_cell").agg((F.count("_ok") >= F.max("_plan")).alias("_full"))
-    when = rest.where("_ok").groupBy("_id").agg(F.min("_o").alias("_when"))
-    out = rest.join(full, "_cell").join(when, "_id", "left")
-    decision = F.when(F.col("_ok"), "accepted").when(F.col("_when") < F.col("_o"), "repeated").when(F.col("_full"), "cell_full").otherwise("entity_full")
+    taken = _decided(r.select("_o", "_id", "_cell", "_entity", "_plan"), per_entity, tail, ["_entity", "_cell"] if entity in cell else ["_cell"])
+    when = taken.select(F.col("_id").alias("_in"), F.col("_o").alias("_when"))  # an id enters once
+    full = taken.groupBy(F.col("_cell").alias("_c")).agg(F.count("*").alias("_n"))
+    out = r.join(when, F.col("_id").eqNullSafe(F.col("_in")), "left").join(full, F.col("_cell") == F.col("_c"), "left")
+    decision = F.when(F.col("_when") == F.col("_o"), "accepted").when(F.col("_when") < F.col("_o"), "repeated").when(F.coalesce("_n", F.lit(0)) >= F.col("_plan"), "cell_full").otherwise("entity_full")
     return out.select(*cols, decision.alias("decision"))
 
 
@@ -176,20 +200,6 @@ def in_own_cells(r: DataFrame, cols: list[str], per_entity: int) -> DataFrame:
     return out.select(*cols, decision.alias("decision"))
 
 
-def joined(edges: DataFrame) -> DataFrame:
-    """(v, comp): the smallest end that edges(a, b) reach from each end."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("comp")))
-    while True:
-        near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("w")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.v == near.w).select("v", "comp", F.least("comp", "near").alias("next"))
-        up = step.select(F.col("v").alias("next"), F.col("next").alias("root"))
-        new = settle(step.join(up, "next").select("v", "comp", "root"))
-        if not new.where("comp <> root").limit(1).count():
-            return new.select("v", "comp")
-        labels = new.select("v", F.col("root").alias("comp"))
-
-
 def balanced(rows: DataFrame, group: str, id_: str, most: int, seed: int) -> DataFrame:
     """At most `most` rows of each group, drawn by a hash of seed and id: any order and partitioning gives the same."""
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), id_), id_)

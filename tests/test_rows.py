@@ -94,6 +94,17 @@ def test_acceptance_in_order(spark, seed):
     assert [g == "accepted" for g in got] == [w == "accepted" for w in want] and got == want
 
 
+@pytest.mark.parametrize("tail", [7, 40])
+def test_acceptance_in_rounds_of_bounded_tasks(spark, tail):
+    r = random.Random(tail)
+    items = [(r.choice([None, *range(80)]), (e := r.randrange(5)), r.randrange(3)) for _ in range(500)]
+    plan = {(e, y): r.randrange(0, 14) for e in range(5) for y in range(3)}
+    df = spark.createDataFrame([(t, i, e, y) for t, (i, e, y) in enumerate(items)], "t int, id int, e int, y int")
+    p = spark.createDataFrame([(e, y, n) for (e, y), n in plan.items()], "e int, y int, planned int")
+    got = [x.decision for x in corpus.accept(df, "id", ["e", "y"], "e", ["t"], p, 20, tail=tail).orderBy("t").collect()]
+    assert got == sequential([(i, (e, y), e) for i, e, y in items], plan, 20)
+
+
 def test_acceptance_of_ids_of_one_cell(spark):
     r = random.Random(9)
     items = [(e * 1000 + y * 100 + r.randrange(12), e, y) for e, y in ((r.randrange(4), r.randrange(3)) for _ in range(300))]
