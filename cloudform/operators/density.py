@@ -52,14 +52,15 @@ def entropy_trend(points: DataFrame, keys: list[str], x: str, y: str, low: float
     return by_year.groupBy(*keys).agg(F.when(two, F.regr_slope("entropy", "year")).alias("entropy_slope"), F.when(two, F.regr_r2("entropy", "year")).alias("entropy_r2"))
 
 
-def kernel_cells(points: DataFrame, keys: list[str], x: str, y: str, low: float, high: float, size: int, *, most: int = 5000, sigma: float = 2.0) -> DataFrame:
+def kernel_cells(points: DataFrame, keys: list[str], x: str, y: str, low: float, high: float, size: int, *, most: int | None = None, sigma: float = 2.0) -> DataFrame:
     """Masses by cell under a Gaussian kernel with each group's covariance (Scott's width), at the centres of the cells.
 
-    Groups of more than `most` points get their smoothed cells instead, which come to the same as points grow many.
+    Each point adds to all size² cells, summed by task before the shuffle. Where `most` is given, groups of more points get
+    their smoothed cells instead, as do groups without a covariance.
     """
     n = points.groupBy(*keys).agg(F.count("*").alias("n"), F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
     det = F.col("a") * F.col("b") - F.col("c") * F.col("c")
-    few = n.where((F.col("n") <= most) & (F.col("n") > 2) & (det > 1e-12)).withColumns({"f": F.pow("n", F.lit(1 / 3)), "det": det})  # n^(-1/6), squared and inverted
+    few = n.where((F.lit(True) if most is None else F.col("n") <= most) & (F.col("n") > 2) & (det > 1e-12)).withColumns({"f": F.pow("n", F.lit(1 / 3)), "det": det})  # n^(-1/6), squared and inverted
     step = (high - low) / size
     at = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     spots = points.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).join(few, keys)

@@ -203,6 +203,15 @@ def test_kernel_density_sums_to_one(spark):
         assert got == {0: pytest.approx(1.0), 1: pytest.approx(1.0)}
 
 
+def test_kernel_density_of_many_points(spark):
+    x = np.random.default_rng(8).normal(size=(5200, 2)) * 0.2
+    p = spark.createDataFrame([(0, float(a), float(b)) for a, b in x], "g int, x double, y double")
+    got = {(r.ix, r.iy): r.mass for r in density.kernel_cells(p, ["g"], "x", "y", -1.0, 1.0, 6).collect()}
+    inv, at = np.linalg.inv(np.cov(x.T)) * len(x) ** (1 / 3), -1 + (np.arange(6) + 0.5) / 3
+    want = np.array([[np.exp(-0.5 * np.einsum("ni,ij,nj->n", [a, b] - x, inv, [a, b] - x)).sum() for b in at] for a in at])
+    assert len(got) == 36 and all(got[i, j] == pytest.approx(want[i, j] / want.sum()) for i in range(6) for j in range(6))
+
+
 def test_similarity_rules(spark):
     long = spark.createDataFrame([("a", "m", 1.0), ("a", "n", 1.0), ("b", "m", 1.0), ("b", "n", 1.0), ("c", "m", 2.0), ("c", "n", 3.0), ("d", "m", 0.0)], "entity string, metric string, scaled double").withColumn("w", F.lit(0))
     got = {(r.a, r.b): (round(r.euclid, 6), r.corr) for r in profiles.similarities(long, ("w",)).collect()}
