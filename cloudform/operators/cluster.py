@@ -94,44 +94,76 @@ def relabelled(df: DataFrame, id_: str, label: str) -> DataFrame:
     return df.join(sizes, label).select(id_, "cluster")
 
 
-BLOCK = 2048  # points of a chunk
+BLOCK = 1 << 14  # points of a chunk
+WIDE = 1 << 20  # components of a chunk
+SLICE = 128  # points of one chunk that are compared with the other at once
+
+
+def _distances(x: np.ndarray, y: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    d2 = x @ y.T
+    d2 *= -2
+    d2 += (x**2).sum(1)[:, None]
+    d2 += squares
+    r, k = np.nonzero(d2 < 1e-6 * (squares + 1))  # products lose digits there
+    for i in range(0, len(r), 1 << 16):
+        p, q = r[i : i + (1 << 16)], k[i : i + (1 << 16)]
+        d2[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d2, 0, out=d2), out=d2)
+
+
+def _members(at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(at), n))
+    out[np.arange(len(at)), at] = 1
+    return out
 
 
 def _gaps(group: pa.Table) -> pa.Table:
-    """Of one block: for each point and cluster, the sum of the distances to the other chunk's points and their number."""
+    """Of one block: for each point and cluster, the sum of the distances to the other chunk's points and their number.
+
+    Distances of two chunks serve the points of both. One id stands in one chunk, so it meets itself within a chunk alone.
+    """
     ids, c, chunk, x = group.column("id").to_numpy(), group.column("c").to_numpy(), group.column("chunk").to_numpy(), column_matrix(group, "x")
     row, col = (group.column(k)[0].as_py() for k in ("row", "col"))
     kinds, at = np.unique(c, return_inverse=True)
+    q, o = np.flatnonzero(chunk == row), np.flatnonzero(chunk == col)
+    y, member = x[o], _members(at[o], len(kinds))
+    squares, back, count = (y**2).sum(1), np.zeros((len(o), len(kinds))), np.tile(member.sum(0), (SLICE, 1))
     out = [(ids[:0], c[:0], c[:0], np.zeros(0), np.zeros(0, np.int64))]
-    for one, two in {(row, col), (col, row)}:
-        q, o = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
-        member = np.zeros((len(o), len(kinds)))
-        member[np.arange(len(o)), at[o]] = 1
-        squares = (x[o] ** 2).sum(1)
-        for i in range(0, len(q), 512):
-            some = q[i : i + 512]
-            d2 = (x[some] ** 2).sum(1)[:, None] + squares - 2 * x[some] @ x[o].T
-            near = d2 < 1e-6 * (squares + 1)  # products lose digits there
-            r, k = np.nonzero(near)
-            d2[r, k] = ((x[some[r]] - x[o[k]]) ** 2).sum(1)
+
+    def add(some, total, n):
+        r, k = np.nonzero(n > 0)
+        out.append((ids[some[r]], c[some[r]], kinds[k], total[r, k], n[r, k].astype(np.int64)))
+
+    for i in range(0, len(q), SLICE):
+        some = q[i : i + SLICE]
+        d, n = _distances(x[some], y, squares), count[: len(some)]
+        if row == col:
             same = ids[some][:, None] == ids[o]
-            total = np.sqrt(np.where(same, 0, np.maximum(d2, 0))) @ member
-            n = (~same).astype(float) @ member
-            r, k = np.nonzero(n > 0)
-            out.append((ids[some[r]], c[some[r]], kinds[k], total[r, k], n[r, k].astype(np.int64)))
+            d[same] = 0
+            n = n - same.astype(float) @ member
+        else:
+            back += d.T @ _members(at[some], len(kinds))
+        add(some, d @ member, n)
+    if row != col:
+        add(o, back, np.tile(_members(at[q], len(kinds)).sum(0), (len(o), 1)))
     return pa.table(dict(zip(("id", "own", "other", "total", "n"), (np.concatenate(v) for v in zip(*out, strict=True)), strict=True)))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows(id, c, x) in each block of two chunks that their chunk takes part in."""
+    side = rows.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("x")) / WIDE)).cast("int").alias("side"))  # one row
+    own = rows.crossJoin(F.broadcast(side)).withColumn("chunk", F.pmod(F.xxhash64("id"), "side").cast("int"))
+    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).select("id", "c", "x", "chunk", F.least("chunk", "o").alias("row"), F.greatest("chunk", "o").alias("col"))
+
+
 def silhouettes(points: DataFrame, id_: str, cluster: str, vector: str) -> DataFrame:
     """Euclidean silhouette of each point; 0 in clusters of one.
 
-    All pairs are compared in blocks of two chunks of BLOCK points, which hand on sums by cluster and no pairs.
+    All pairs are compared in blocks of two chunks of BLOCK points or WIDE components, which hand on sums by cluster and no
+    pairs: a point is copied as many times as there are chunks.
     """
     rows = points.select(F.col(id_).cast("long").alias("id"), F.col(cluster).cast("long").alias("c"), F.col(vector).alias("x"))
-    side = rows.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("side"))  # one row
-    own = rows.crossJoin(F.broadcast(side)).withColumn("chunk", F.pmod(F.xxhash64("id"), "side").cast("int"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).select("id", "c", "x", "chunk", F.least("chunk", "o").alias("row"), F.greatest("chunk", "o").alias("col"))
-    sums = dealt.groupBy("row", "col").applyInArrow(_gaps, "id long, own long, other long, total double, n long")
+    sums = dealt(rows).groupBy("row", "col").applyInArrow(_gaps, "id long, own long, other long, total double, n long")
     mean = sums.groupBy("id", "own", "other").agg((F.sum("total") / F.sum("n")).alias("d"))
     out = mean.groupBy("id", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
     kinds = {f.name: f.dataType for f in points.schema.fields}

@@ -304,3 +304,10 @@ def test_stream_keeps_its_caps(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = acceptance.finished(acceptance.accepted(stream, 3)).collect()
     assert len(got) == 6 and len({(r.user_id, r.event_type, r.event_id) for r in got}) == 6
+
+
+def test_silhouettes_copy_points_few_times(spark):
+    df = spark.range(33000).select("id", F.lit(0).cast("long").alias("c"), F.array(F.col("id").cast("double")).alias("x"))
+    assert cluster.dealt(df).count() == 3 * 33000
+    wide = spark.range(3).select("id", F.lit(0).cast("long").alias("c"), F.array_repeat(F.lit(1.0), 1 << 19).alias("x"))
+    assert cluster.dealt(wide).count() == 2 * 3
