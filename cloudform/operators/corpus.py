@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.num import share
 from ..sources.scratch import settle, written
@@ -84,11 +86,26 @@ def token_count(text) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\b\w+\b")), F.lit(0))
 
 
+@F.arrow_udf(returnType=T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _spots(lists: pa.Array) -> pa.Array:
+    """word -> positions of each list of words; NULL for a NULL list."""
+    keys, spots, counts, starts = [], [], [np.zeros(1, np.int32)], [0]
+    for words in lists:
+        own: dict[str, list[int]] = {}
+        for p, w in enumerate(words.as_py() or ()):
+            own.setdefault(w, []).append(p)
+        keys.append(pa.array(own, pa.string()))
+        spots.append(pa.array([p for ps in own.values() for p in ps], pa.int32()))
+        counts.append(np.array([len(ps) for ps in own.values()], np.int32))
+        starts.append(starts[-1] + len(own))
+    values = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts), dtype=np.int32)), pa.concat_arrays([pa.array([], pa.int32()), *spots]))
+    at = [None if v else s for s, v in zip(starts, lists.is_null().to_pylist())] + starts[-1:]
+    return pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays([pa.array([], pa.string()), *keys]), values)
+
+
 def inverted_index(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """id and index (word -> positions) of each text."""
-    words = df.select(id_, F.posexplode(F.split(text, " ")).alias("p", "w"))
-    spots = words.groupBy(id_, "w").agg(F.collect_list("p").alias("ps"))
-    return spots.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    """id and index (word -> positions) of each row's text, made where the row is: no word is shuffled."""
+    return df.select(id_, _spots(F.split(text, " ")).alias("index"))
 
 
 def rebuilt(index) -> Column:

@@ -306,6 +306,13 @@ def test_stream_keeps_its_caps(spark, tmp_path):
     assert len(got) == 6 and len({(r.user_id, r.event_type, r.event_id) for r in got}) == 6
 
 
+def test_words_of_an_index_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "b a b c"), (2, None), (3, "")], "id int, text string")
+    index = corpus.inverted_index(df, "id", "text")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.t for r in index.select("id", corpus.rebuilt("index").alias("t")).collect()} == {1: "b a b c", 2: None, 3: ""}
+
+
 def test_silhouettes_copy_points_few_times(spark):
     df = spark.range(33000).select("id", F.lit(0).cast("long").alias("c"), F.array(F.col("id").cast("double")).alias("x"))
     assert cluster.dealt(df).count() == 3 * 33000
