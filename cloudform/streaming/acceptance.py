@@ -18,31 +18,39 @@ def tumbling(events: DataFrame, length: str = "5 days", late: str | None = None)
     return rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+STATE = "users array<string>, types array<string>, ids array<array<long>>"
+
+
 def _taker(most: int):
+    """Accepts in order of arrival for all cells of a bucket, whose state is the ids that each cell holds."""
+
     def run(key, frames, state: GroupState):
-        (held,) = state.get if state.exists else ([],)
-        held, out = list(held), []
+        held = {(u, t): list(ids) for u, t, ids in zip(*state.get, strict=True)} if state.exists else {}
+        out = []
         for f in frames:
-            for i in f.sort_values(["ts", "event_id"])["event_id"]:
-                if len(held) >= most:
-                    break
-                if i not in held:
-                    held.append(int(i))
-                    out.append(int(i))
-        state.update((held,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_type": [key[1]] * len(out), "event_id": pd.Series(out, dtype="int64")})
+            f = f.sort_values(["ts", "event_id"])
+            for u, t, i in zip(f["user_id"], f["event_type"], f["event_id"], strict=True):
+                own = held.setdefault((u, t), [])
+                if len(own) < most and i not in own:
+                    own.append(int(i))
+                    out.append((u, t, int(i)))
+        state.update(([u for u, _ in held], [t for _, t in held], list(held.values())))
+        yield pd.DataFrame({"user_id": pd.Series([o[0] for o in out], dtype=object), "event_type": pd.Series([o[1] for o in out], dtype=object), "event_id": pd.Series([o[2] for o in out], dtype="int64")})
 
     return run
 
 
-def accepted(events: DataFrame, most: int) -> DataFrame:
+def accepted(events: DataFrame, most: int, *, buckets: int = 1 << 12) -> DataFrame:
     """Events of a stream, each id of a cell (user, type) once, up to `most` by cell, whenever it comes.
 
     A cell's state is its accepted ids, `most` at most, and stays, as a cap without an end asks for: late and repeated
-    events are refused however late they are.
+    events are refused however late they are. Cells share `buckets` keys by their hash, as a call of Python for each
+    cell takes much longer than its rows; a bucket's state is the cells that fall into it.
     """
-    rows = events.select("event_id", "user_id", "event_type", "ts")
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(_taker(most), "user_id long, event_type string, event_id long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).alias("bucket")
+    rows = events.select("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type", "ts", bucket)
+    out = rows.groupBy("bucket").applyInPandasWithState(_taker(most), "user_id string, event_type string, event_id long", STATE, "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("user_id").cast("long").alias("user_id"), "event_type", "event_id")
 
 
 def finished(stream: DataFrame) -> DataFrame:

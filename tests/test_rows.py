@@ -318,3 +318,18 @@ def test_silhouettes_copy_points_few_times(spark):
     assert cluster.dealt(df).count() == 3 * 33000
     wide = spark.range(3).select("id", F.lit(0).cast("long").alias("c"), F.array_repeat(F.lit(1.0), 1 << 19).alias("x"))
     assert cluster.dealt(wide).count() == 2 * 3
+
+
+def test_cells_of_a_stream_share_buckets(spark, tmp_path):
+    rows = [(i, c % 40, f"t{c % 3}", i // 7) for i, c in enumerate(random.Random(2).choices(range(120), k=600))] + [(900 + i, None, None, i) for i in range(5)]
+    kind = "event_id long, user_id long, event_type string, ts long"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/e")
+    stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/e")
+    got = acceptance.finished(acceptance.accepted(stream, 3, buckets=2)).collect()
+    want: dict = {}
+    for i, u, t, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        want.setdefault((u, t), []).append(i)
+    have: dict = {}
+    for r in got:
+        have.setdefault((r.user_id, r.event_type), []).append(r.event_id)
+    assert {k: sorted(v) for k, v in have.items()} == {k: v[:3] for k, v in want.items()}
