@@ -15,11 +15,18 @@ from ..functions.vec import listed, matrices
 from .cloud import column_matrix, moments, whole_matrix
 from .cluster import adjusted_mutual_information, kmeans, linked
 
+HELD = 1 << 20  # differences of components that are held at once
+
 
 def gaps(x: np.ndarray, metric: str = "euclid") -> np.ndarray:
     """Distances of all pairs of rows: euclid, cosine or correlation; rows without spread are at distance 1 of the others."""
     if metric == "euclid":
-        return np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+        out = np.empty((len(x), len(x)))
+        step = max(1, HELD // max(x.size, 1))
+        for a in range(0, len(x), step):  # differences of all pairs at once would take len(x) times the matrix of vectors
+            part = x[a : a + step, None] - x[None]
+            out[a : a + step] = (part * part).sum(-1)
+        return np.sqrt(out, out=out)
     y = x - x.mean(1, keepdims=True) if metric == "correlation" else x
     n = np.linalg.norm(y, axis=1, keepdims=True)
     y = np.where(n > 1e-12, y / np.maximum(n, 1e-12), 0)

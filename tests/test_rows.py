@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -306,6 +307,15 @@ def test_stream_keeps_its_caps(spark, tmp_path):
     assert len(got) == 6 and len({(r.user_id, r.event_type, r.event_id) for r in got}) == 6
 
 
+def test_distances_of_many_vectors_in_little_memory():
+    x = np.random.default_rng(1).normal(size=(900, 64))
+    tracemalloc.start()
+    d = models.gaps(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * d.nbytes and np.array_equal(d[:3], np.sqrt(((x[:3, None] - x[None]) ** 2).sum(-1)))
+
+
 def test_words_of_an_index_are_not_shuffled(spark):
     df = spark.createDataFrame([(1, "b a b c"), (2, None), (3, "")], "id int, text string")
     index = corpus.inverted_index(df, "id", "text")
