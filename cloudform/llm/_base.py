@@ -23,7 +23,7 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     conf = "spark.sql.execution.arrow."
     if int(spark.conf.get(conf + "maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set(conf + "maxRecordsPerBatch", BATCH_ROWS)
-    held = spark.conf.get(conf + "maxBytesPerBatch").rstrip("b")
+    held = (spark.conf.get(conf + "maxBytesPerBatch", None) or "").rstrip("b")
     if not (held.isdigit() and 0 < int(held) <= most):
         spark.conf.set(conf + "maxBytesPerBatch", most)
 
