@@ -1,13 +1,15 @@
 """Results stay the same where chunks, shards and ranges are small, and no group grows with the table."""
 
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from cloudform.llm import chat, embedding_dedup, suffix_dedup
+from cloudform.llm import chat, embedding_dedup, suffix_dedup, toxicity
 
 
 def test_cells_are_dealt_in_chunks_of_own_vectors_and_guests(spark, monkeypatch):
@@ -72,3 +74,26 @@ def test_repeated_ids_beside_columns_without_an_order(spark, tmp_path, stage):
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert sorted(set(ids)) == [1, 2] and (stage == "mix" or len(ids) == 2)
+
+
+def shuffled(spark):
+    """Bytes that tasks of this session have written for shuffles, of a local master."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_toxic_stage_shuffles_verdicts_not_texts(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    tail = lambda: "".join(chr(r.randrange(33, 48)) for _ in range(20000))  # no words, and hard to pack
+    rows = [(i, " ".join(r.choice(["good", "kind", "plain", "odd", "vile", "scum"][: 6 if i % 3 == 0 else 4]) for _ in range(12)) + tail(), int(i % 3 == 0)) for i in range(150)]
+    docs = spark.createDataFrame([*rows, rows[1], (None, "kind good", 0), (500, None, 0)], "doc_id long, text string, toxic int")
+    docs.where("doc_id < 150").select("doc_id", "toxic").distinct().write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    fit = toxicity.fit_toxicity
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda d, labels: fit(d, labels, rows=2))  # words are left to the table
+    before = shuffled(spark)
+    got = P.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert shuffled(spark) - before < 1e6  # the texts are 3 MB
+    model = fit(docs.select("doc_id", "text"), spark.read.parquet(f"{tmp_path}/labels.parquet").where(toxicity.fold("doc_id") != 0))
+    want = toxicity.score_toxicity(docs, model, own=True).where("score < 0.5").drop("score").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and 50 < len(got) < 140
