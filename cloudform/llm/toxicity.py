@@ -74,7 +74,7 @@ def summed(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def counted(part: str, most: int = 1 << 18):
-    """Per task: each distinct word with its counts in ordinary, toxic and other texts."""
+    """Per task: each distinct word with its counts in ordinary, toxic and other texts; its hash is made after the shuffle."""
 
     def run(frames, most=most):
         powers, held, n = Powers(), [], 0
@@ -100,11 +100,24 @@ def counted(part: str, most: int = 1 << 18):
             keys, table, word = squeezed()
             for a in range(0, len(word), 1 << 16):
                 some = table[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(keys[a : a + (1 << 16)].view(np.int64)), "word": word[a : a + (1 << 16)], "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1]), "u": pa.array(some[:, 2])})
+                yield pa.RecordBatch.from_pydict({"word": word[a : a + (1 << 16)], "o": pa.array(some[:, 0]), "t": pa.array(some[:, 1]), "u": pa.array(some[:, 2])})
 
     return run
 
 
+def word_hashes(data, offsets, powers):
+    """The hashes that distinct_words gives to words that stand one after the other."""
+    return powers.hashes(powers.sums(data), offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def hashed(frames):
+    """Per word: its hash besides."""
+    powers = Powers()
+    for batch in frames:
+        data, offsets = flat(column(batch, "word"))
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(data, offsets, powers)), column(batch, "word"), column(batch, "n")], ["h", "word", "n"])
+
+
 def spelt(frames):
     """Per task: each six-byte string with the number of distinct words, of all, ordinary and toxic texts, that have it."""
     held = []
@@ -149,6 +162,7 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
 
 class Model(NamedTuple):
     words: DataFrame  # h, value: log P(word | toxic) - log P(word | ordinary) of every distinct word of the corpus
+    others: DataFrame  # those of them that are not sent
     head: tuple  # sorted hashes of the most frequent words, and their evidence
     whole: bool  # no other words are in the corpus
     grams: DataFrame  # strings of letters, for words that the corpus does not have
@@ -194,8 +208,8 @@ def chances(wanted: DataFrame, grams: DataFrame, middle: DataFrame) -> DataFrame
     return rows.select("gram", "n", log["o"], log["t"])
 
 
-def heaviest(df: DataFrame, key: str, values: list[str], most: int) -> tuple[tuple, bool]:
-    """Sorted keys and values of the rows of largest n, `most` at most, and whether these are all.
+def heaviest(df: DataFrame, key: str, values: list[str], most: int) -> tuple[tuple, DataFrame, bool]:
+    """Sorted keys and values of the rows of largest n, `most` at most, the other rows, and whether there are none.
 
     n is cut between its classes by sixteenths of powers of two, so no row has to be sorted to know the cut.
     """
@@ -206,17 +220,18 @@ def heaviest(df: DataFrame, key: str, values: list[str], most: int) -> tuple[tup
         if total + size > most:
             break
         total, cut = total + size, at
-    rows = df.where(kind >= cut if cut is not None else F.lit(False)).select(key, *values).toArrow()
+    sent = kind >= cut if cut is not None else F.lit(False)
+    rows = df.where(sent).select(key, *values).toArrow()
     keys = rows.column(key).to_numpy()
     by = np.argsort(keys, kind="stable")
-    return (keys[by], *(rows.column(c).to_numpy()[by] for c in values)), total == sum(n for _, n in sizes)
+    return (keys[by], *(rows.column(c).to_numpy()[by] for c in values)), df.where(~sent).select(key, *values), total == sum(n for _, n in sizes)
 
 
 def spelled(told):
-    """Per word: its log probabilities over the strings that were sent, and its other strings."""
+    """Per word: its hash, its log probabilities over the strings that were sent, and its other strings."""
 
     def run(frames):
-        keys, lo, lt = told.value
+        (keys, lo, lt), powers = told.value, Powers()
         for batch in frames:
             data, offsets = flat(column(batch, "word"))
             gram, owner = grams_of(data, offsets[:-1], offsets[1:])
@@ -225,18 +240,18 @@ def spelled(told):
             sums = [np.bincount(own, p[spot], len(batch)) if len(spot) else np.zeros(len(batch)) for p in (lo, lt)]
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=len(batch)))]).astype(np.int32)
             other = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram[~hit]))
-            yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "n"), column(batch, "so"), column(batch, "st"), pa.array(sums[0]), pa.array(sums[1]), other], ["h", "n", "so", "st", "lo", "lt", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(data, offsets, powers)), column(batch, "n"), column(batch, "so"), column(batch, "st"), pa.array(sums[0]), pa.array(sums[1]), other], ["h", "n", "so", "st", "lo", "lt", "other"])
 
     return run
 
 
 def evidence(words: DataFrame, letters: DataFrame, rest: float, most: int) -> DataFrame:
-    """h, n and value of words(h, word, n, so, st), so and st being the shares of the class models."""
+    """h, n and value of words(word, n, so, st), so and st being the shares of the class models."""
     spark = words.sparkSession
-    head, whole = heaviest(letters, "gram", ["lo", "lt"], most)
+    head, others, whole = heaviest(letters, "gram", ["lo", "lt"], most)
     part = words.mapInArrow(spelled(spark.sparkContext.broadcast(head)), "h long, n long, so double, st double, lo double, lt double, other array<long>")
     if not whole:
-        logs = part.where("size(other) > 0").select("h", F.explode("other").alias("gram")).join(letters.select("gram", "lo", "lt"), "gram").groupBy("h").agg(F.sum("lo").alias("mo"), F.sum("lt").alias("mt"))
+        logs = part.where("size(other) > 0").select("h", F.explode("other").alias("gram")).join(others, "gram").groupBy("h").agg(F.sum("lo").alias("mo"), F.sum("lt").alias("mt"))
         part = part.join(logs, "h", "left").withColumn("lo", F.col("lo") + F.coalesce("mo", F.lit(0.0))).withColumn("lt", F.col("lt") + F.coalesce("mt", F.lit(0.0)))
     log = lambda c: F.log(F.col(f"s{c}") + rest * F.exp(F.greatest(F.col(f"l{c}"), F.lit(-600.0))))
     return part.select("h", "n", F.round(log("t") - log("o"), 9).alias("value"))  # sums come in any order
@@ -321,7 +336,11 @@ def unsent(told):
 
 
 def begun(told, names: list[str], parts: list[str]):
-    """Per text: what the sent words give, and the words near unsent ones: gaps, evidence (NaN if unsent), unsent hashes."""
+    """Per text: what the sent words give, the hashes of the others, and the runs that hold any of these.
+
+    Of the runs that hold the same unsent words only the one whose sent words give most can win. A run's unsent words stand
+    one after the other among the text's: it says how far on from the run before they begin (0 or 1) and how many they are.
+    """
 
     def run(frames):
         powers = Powers()
@@ -332,17 +351,21 @@ def begun(told, names: list[str], parts: list[str]):
             value = found(*told.value, kinds, 0.0)[which] if len(which) else np.zeros(0)
             end, text = np.cumsum(counts), np.repeat(np.arange(n), counts)
             total, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (value, open_))
-            stop, start = np.minimum(at + RUN, end[text]), np.maximum(at - RUN + 1, (end - counts)[text])
-            runs = np.where(opens[stop] > opens[:-1], -np.inf, (total[stop] - total[:-1]) / RUN)
+            stop = np.minimum(at + RUN, end[text])
+            run, low, high = total[stop] - total[:-1], opens[:-1], opens[stop]
             peak, has = np.full(n, -np.inf), counts > 0
             if len(which):
-                peak[has] = np.maximum.reduceat(runs, (end - counts)[has])
-            near = np.flatnonzero(opens[stop] > opens[start])
-            gap = np.minimum(np.diff(near, prepend=-RUN), RUN).astype(np.int8)
-            ends, spots = (np.concatenate([[0], np.cumsum(np.bincount(text[x], minlength=n))]).astype(np.int32) for x in (near, open_))
-            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in ((ends, gap), (ends, np.where(open_, np.nan, value)[near].astype(np.float32)), (spots, kinds[which[open_]] if len(which) else kinds))]
+                peak[has] = np.maximum.reduceat(np.where(high > low, -np.inf, run / RUN), (end - counts)[has])
+            some = np.flatnonzero(high > low)
+            low, high, run = low[some], high[some], run[some]
+            new = np.flatnonzero((np.diff(low, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
+            best = np.maximum.reduceat(run, new) if len(new) else run
+            low, high, owner = low[new], high[new], text[some[new]]
+            on = np.where(np.diff(owner, prepend=-1) != 0, 0, np.diff(low, prepend=0)).astype(np.int8)
+            ends, spots = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]).astype(np.int32) for x in (owner, text[open_]))
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in ((ends, on), (ends, (high - low).astype(np.int8)), (ends, best.astype(np.float32)), (spots, kinds[which[open_]] if len(which) else kinds))]
             own = [pa.array(counts), pa.array(total[end] - total[end - counts] if n else np.zeros(0)), pa.array(peak), *lists]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in names), *own], [*names, *parts[:6]])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c)[i:j] for c in names), *own], [*names, *parts[:7]])
 
     return run
 
@@ -351,16 +374,14 @@ def ended(curve, names: list[str], parts: list[str], name: str):
     def run(frames):
         for batch in frames:
             n, known, peak = (column(batch, c).to_numpy(zero_copy_only=False) for c in parts[:3])
-            gap, value, h = (pc.list_flatten(column(batch, c)).to_numpy(zero_copy_only=False) for c in parts[3:6])
-            text = np.repeat(np.arange(len(batch)), pc.list_value_length(column(batch, parts[3])).to_numpy(zero_copy_only=False))
-            open_, value, peak = np.isnan(value), value.astype(float), peak.copy()
-            value[open_] = found(*told_of(column(batch, parts[6])), h, 0.0)
-            total, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (value, open_))
-            place = np.cumsum(gap.astype(np.int64)) + text * RUN  # texts stand at least RUN apart
-            stop = np.searchsorted(place, place + RUN)
-            some = opens[stop] > opens[:-1]
-            np.maximum.at(peak, text[some], ((total[stop] - total[:-1]) / RUN)[some])
-            mean = (known + np.bincount(text[open_], value[open_], len(batch))) / np.maximum(n, 1)
+            on, many, best, h = (pc.list_flatten(column(batch, c)).to_numpy(zero_copy_only=False) for c in parts[3:7])
+            runs, spots = (pc.list_value_length(column(batch, c)).to_numpy(zero_copy_only=False) for c in (parts[3], parts[6]))
+            value, peak = found(*told_of(column(batch, parts[7])), h, 0.0), peak.copy()
+            total = np.concatenate([[0], np.cumsum(value)])
+            owner, ahead = np.repeat(np.arange(len(batch)), runs), np.cumsum(on.astype(np.int64))
+            first = ahead - np.repeat(ahead[(np.cumsum(runs) - runs)[runs > 0]], runs[runs > 0]) + np.repeat(np.cumsum(spots) - spots, runs)
+            np.maximum.at(peak, owner, (best + total[first + many] - total[first]) / RUN)
+            mean = (known + np.bincount(np.repeat(np.arange(len(batch)), spots), value, len(batch))) / np.maximum(n, 1)
             x = np.where((n > 0)[:, None], np.stack([mean, peak], 1), 0.0)
             score = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(score)], [*names, name])
@@ -371,8 +392,8 @@ def ended(curve, names: list[str], parts: list[str], name: str):
 def spelled_too(docs: DataFrame, model: Model) -> DataFrame:
     """The words of the model and those of docs that it does not have."""
     s, known = Scratch(docs.sparkSession), model.words
-    new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("u").alias("n"))
-    new = s.put(new.join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
+    new = docs.select("text", F.lit(UNKNOWN).cast("long").alias("part")).mapInArrow(counted("part"), COUNTED).groupBy("word").agg(F.sum("u").alias("n"))
+    new = s.put(new.mapInArrow(hashed, "h long, word binary, n long").join(known, "h", "left_anti").withColumn("so", F.lit(0.0)).withColumn("st", F.lit(0.0)), "new")
     strings = new.withColumn("o", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long")).mapInArrow(spelt, SPELT).groupBy("gram").agg(F.sum("n").alias("n"))
     strings = strings.join(model.grams.select("gram", "o", "t"), "gram", "left").fillna(0, ["o", "t"])
     letters = s.put(chances(strings, model.grams, model.middle), "letters")
@@ -386,7 +407,7 @@ def looked_up(docs: DataFrame, model: Model, told, extra: str, own: bool) -> Dat
     """
     if own and model.whole:
         return docs.withColumn(extra, F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
-    known, key = model.words if own else spelled_too(docs, model), fresh("key", [*docs.columns, extra])
+    known, key = model.others if own else spelled_too(docs, model), fresh("key", [*docs.columns, extra])
     pairs = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(unsent(told), "key long, h long").distinct()
     lists = pairs.join(known, "h").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("h", "value")).alias(extra))
     return docs.withColumn(key, F.xxhash64("text")).join(lists, key, "left").drop(key)
@@ -397,7 +418,7 @@ def fold(doc_id) -> F.Column:
 
 
 HEAD = 1 << 21
-COUNTED = "h long, word binary, o long, t long, u long"
+COUNTED = "word binary, o long, t long, u long"
 SPELT = "gram long, n long, o long, t long"
 
 
@@ -414,20 +435,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = 8192, rows:
     known = s.put(texts.select("doc_id").distinct().join(own, "doc_id", "left"), "known")
     kinds = known.select(F.col("doc_id").alias("k0"), F.when(F.col("learnt"), F.col("toxic")).otherwise(UNKNOWN).alias("v"))
     parted = with_value(texts, [F.col("doc_id")], kinds, "part").select("text", "part")
-    counts = s.put(parted.mapInArrow(counted("part"), COUNTED).groupBy("h", "word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("u").alias("u")), "words")
+    counts = s.put(parted.mapInArrow(counted("part"), COUNTED).groupBy("word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("u").alias("u")), "words")
     totals = counts.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
     if not totals.o or not totals.t:
         return None
     discount = lambda c: F.element_at(F.array(*map(F.lit, DISCOUNT)), F.least(F.col(c), F.lit(3)).cast("int") + 1)
     shares = {f"s{c}": F.greatest(F.col(c) - discount(c), F.lit(0.0)) / totals[c] for c in "ot"}
-    shared = counts.select("h", "word", (F.col("o") + F.col("t") + F.col("u")).alias("n"), *(p.alias(c) for c, p in shares.items()))
+    shared = counts.select("word", (F.col("o") + F.col("t") + F.col("u")).alias("n"), *(p.alias(c) for c, p in shares.items()))
     rest = max(1 - sum(shared.agg(F.sum("so"), F.sum("st")).first()) / 2, 1e-3)
     grams = s.put(counts.mapInArrow(spelt, SPELT).groupBy("gram").agg(*(F.sum(c).alias(c) for c in "not")), "grams")
     middle = s.put(longer(grams, MIDDLE), "middle")
     letters = s.put(chances(grams, grams, middle), "letters")
     weighed = s.put(evidence(shared, letters, rest, rows), "evidence")
-    head, whole = heaviest(weighed, "h", ["value"], rows)
-    model = Model(weighed.select("h", "value"), head, whole, grams, middle, rest, np.array([-3.0, 1.0, 1.0]))
+    head, others, whole = heaviest(weighed, "h", ["value"], rows)
+    model = Model(weighed.select("h", "value"), others, head, whole, grams, middle, rest, np.array([-3.0, 1.0, 1.0]))
 
     told = spark.sparkContext.broadcast(head)
     left = known.where("not learnt").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
@@ -463,7 +484,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, name: str = "score",
 def toxicity_scores(docs: DataFrame, model: Model | None, *, name: str = "score", own: bool = False) -> DataFrame:
     """The scores of score_toxicity beside all columns but the text: no text is shuffled.
 
-    Only unsent words, with the evidence of the few words about them, travel to the table of words.
+    Only unsent words, and a number for each of the few runs that can be a text's worst with them, travel to the table of words.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
     names = [c for c in docs.columns if c != "text"]
@@ -471,15 +492,15 @@ def toxicity_scores(docs: DataFrame, model: Model | None, *, name: str = "score"
         return docs.select(*(F.col(f"`{c}`") for c in names), F.lit(0.0).alias(name))
     small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model.head)
-    key, *parts = (fresh(f"c{k}", [*docs.columns, name]) for k in range(8))
+    key, *parts = (fresh(f"c{k}", [*docs.columns, name]) for k in range(9))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    kinds = ("long", "double", "double", "array<tinyint>", "array<float>", "array<long>")
+    kinds = ("long", "double", "double", "array<tinyint>", "array<tinyint>", "array<float>", "array<long>")
     made = f"`{key}` long, " + ", ".join(f"`{c}` {t}" for c, t in zip(parts, kinds, strict=False))
     rows = docs.withColumn(key, F.xxhash64("text")).mapInArrow(begun(told, [*names, key], parts), f"{kind}, {made}" if kind else made)
     if own and model.whole:
-        rows = rows.withColumn(parts[6], F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
+        rows = rows.withColumn(parts[7], F.expr("cast(null as array<struct<h: bigint, value: double>>)"))
     else:
-        known = model.words if own else spelled_too(docs, model)
-        pairs = rows.select(F.col(key), F.explode(parts[5]).alias("h")).distinct()
-        rows = rows.join(pairs.join(known, "h").groupBy(key).agg(F.collect_list(F.struct("h", "value")).alias(parts[6])), key, "left")
+        known = model.others if own else spelled_too(docs, model)
+        pairs = rows.select(F.col(key), F.explode(parts[6]).alias("h"))  # a set, as texts that share a key repeat their words
+        rows = rows.join(pairs.join(known, "h").groupBy(key).agg(F.collect_set(F.struct("h", "value")).alias(parts[7])), key, "left")
     return rows.mapInArrow(ended(model.curve, names, parts, name), f"{kind}, `{name}` double" if kind else f"`{name}` double")

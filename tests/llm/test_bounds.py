@@ -97,3 +97,9 @@ def test_toxic_stage_shuffles_verdicts_not_texts(spark, tmp_path, monkeypatch):
     model = fit(docs.select("doc_id", "text"), spark.read.parquet(f"{tmp_path}/labels.parquet").where(toxicity.fold("doc_id") != 0))
     want = toxicity.score_toxicity(docs, model, own=True).where("score < 0.5").drop("score").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and 50 < len(got) < 140
+
+
+def test_counts_of_words_travel_without_hashes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a bb a", "Bb"], "part": [0, 1]})
+    (got,) = toxicity.counted("part")(iter([batch]))
+    assert sorted(zip(*got.to_pydict().values(), strict=True)) == [(b"a", 2, 0, 0), (b"bb", 1, 1, 0)]
