@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settle
+from ..sources.scratch import settle, written
 from . import density, features, summaries
-from .cloud import column_matrix
+from .entities import numbered
 
 NEAR8 = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 NEAR4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -198,8 +198,9 @@ def shape_row(points: DataFrame, group: str, id_: str, x: str, y: str, *, size:
     some = points.join(n.where(F.col("n") >= least).select(group), group, "left_semi")
     at = settle(features.centred(some, [group], x, y))
     grid = settle(density.smoothed(density.cells(at, [group], x, y, -1.5, 1.5, size), [group], size, sigma))
-    rows = at.select(group, F.col(id_).alias("id"), F.array(x, y).alias("u"))
-    near = settle(plane_neighbours(rows, group, k))
+    place = [F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    rows = at.select(F.col(group), F.col(id_).alias("src"), *place).join(kth_distances(at, group, x, y, k), ["g", "x", "y"])
+    near = settle(rows.select(group, "src", "d", F.lit(k).alias("rank")))
     parts = [
         features.radial_shape(some, [group], x, y).drop("n"), density.concentration(grid, [group], size), density_shape(grid, group, size), spanning_gaps(at, group, x, y).drop("n"),
         summaries.kth_neighbour(near, group, k).drop("n"), summaries.yearly_path(at, [group], x, y), density.entropy_trend(at, [group], x, y, -1.5, 1.5, size),
@@ -210,23 +211,65 @@ def shape_row(points: DataFrame, group: str, id_: str, x: str, y: str, *, size:
     return out.withColumn("status", F.when(F.col("n") >= least, "completed").otherwise("skipped"))
 
 
-def plane_neighbours(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, src, dst, d, rank): the k nearest others in the plane by distance, ties by id; a group is one task."""
-    kind = rows.schema[group].dataType.simpleString()
+def tiled(places: DataFrame, size: int) -> DataFrame:
+    """places(g, x, y, ...), none twice, with a tile each: strips of a group by x, cut by y into tiles of `size` places."""
+    at = F.struct("g", "x", "y")
+    many = places.groupBy("g").agg(F.count("*").alias("many"))
+    wide = F.ceil(F.sqrt(F.col("many") / size)) * size  # places of a strip
+    rows = numbered(places.withColumn("at", at), ["g", "x", "y"], "at", "place")
+    rows = rows.join(rows.groupBy("g").agg(F.min("place").alias("low")), "g").join(many, "g")
+    rows = written(rows.withColumn("strip", F.floor((F.col("place") - F.col("low")) / wide)).drop("place", "low", "many"))
+    rows = numbered(rows, ["g", "strip", "y", "x"], "at", "place")
+    rows = rows.join(rows.groupBy("g", "strip").agg(F.min("place").alias("low")), ["g", "strip"])
+    return written(rows.withColumn("tile", F.concat_ws("|", "strip", F.floor((F.col("place") - F.col("low")) / size))).drop("at", "place", "low", "strip"))
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("id", "ascending")])
-        ids, x = t.column("id").to_numpy(), column_matrix(t, "u")
-        src, dst, d, rank = [ids[:0]], [ids[:0]], [np.zeros(0)], [np.zeros(0, np.int32)]
+
+def _nearest(k: int, found: str, last: bool):
+    """Of the places asked about in a tile: distances to its k nearest points, without the asking point itself.
+
+    last: the farthest of them alone, or infinity where the tile has fewer.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        x, own, n = np.stack([t.column("x").to_numpy(), t.column("y").to_numpy()], 1), t.column("own").to_numpy(zero_copy_only=False), t.column("n").to_numpy()
+        held, many, out, rows = x[own], np.minimum(n[own], k + 1), [], np.cumsum(own) - 1
         for a in range(0, len(x), 512):
-            gap = np.sqrt(((x[a : a + 512, None] - x[None]) ** 2).sum(-1))
-            gap[np.arange(len(gap)), np.arange(a, a + len(gap))] = np.inf
-            by = np.argsort(gap, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-            src.append(np.repeat(ids[a : a + 512], by.shape[1]))
-            dst.append(ids[by].ravel())
-            d.append(np.take_along_axis(gap, by, 1).ravel())
-            rank.append(np.tile(np.arange(1, by.shape[1] + 1, dtype=np.int32), len(by)))
-        many = sum(map(len, src))
-        return pa.table({group: pa.array([key[0].as_py()] * many, t.schema.field(group).type), "src": np.concatenate(src), "dst": np.concatenate(dst), "d": np.concatenate(d), "rank": np.concatenate(rank)})
-
-    return rows.select(group, F.col("id").cast("long").alias("id"), "u").groupBy(group).applyInArrow(run, f"{group} {kind}, src long, dst long, d double, rank int")
+            gap = np.sqrt(((x[a : a + 512, None] - held[None]) ** 2).sum(-1))
+            if gap.shape[1] > k + 1:
+                by = np.argpartition(gap, k, axis=1)[:, : k + 1]
+                by = np.take_along_axis(by, np.argsort(np.take_along_axis(gap, by, 1), axis=1), 1)
+            else:
+                by = np.argsort(gap, axis=1)
+            for i, to in enumerate(by):
+                left = many[to] - (own[a + i] & (to == rows[a + i]))
+                d = np.repeat(gap[i, to], left)[:k]
+                out.append([d[-1] if len(d) == k else np.inf] if last else d)
+        keys = t.select(["g", "x", "y"])
+        return keys.append_column(found, pa.array([v[0] for v in out], pa.float64()) if last else pa.array(out, pa.list_(pa.float64())))
+
+    return run
+
+
+def kth_distances(rows: DataFrame, group: str, x: str, y: str, k: int, *, size: int = 1024) -> DataFrame:
+    """(g, x, y, d) of each place of points in the plane: the distance of its points to their k-th other of the group.
+
+    The last one where there are fewer; a point alone has none. Points without both numbers are left out. Exact: a tile of `size` places bounds the distance of each
+    of its own, and only tiles whose box is not farther are asked.
+    """
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    places = written(rows.groupBy(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n")))
+    kind = f"g {places.schema['g'].dataType.simpleString()}, x double, y double"
+    tiles = tiled(places, size)
+    own = tiles.withColumn("own", F.lit(True))
+    reach = written(tiles.join(own.groupBy("g", "tile").applyInArrow(_nearest(k, "r", True), f"{kind}, r double"), ["g", "x", "y"]))
+    boxes = reach.groupBy("g", "tile").agg(F.max("r").alias("r"), *(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)))
+    beyond = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
+    apart = [F.greatest(F.col(f"min_{c}") - F.col(f"to_max_{c}"), F.col(f"to_min_{c}") - F.col(f"max_{c}"), F.lit(0.0)) for c in "xy"]
+    other = boxes.select("g", F.col("tile").alias("to"), *(F.col(f"{f}_{c}").alias(f"to_{f}_{c}") for c in "xy" for f in ("min", "max")))
+    pairs = boxes.join(other, "g").where((F.col("tile") != F.col("to")) & (F.sqrt(sum(v * v for v in apart)) <= F.col("r"))).drop("r")
+    gaps = [beyond(c, f"to_min_{c}", f"to_max_{c}") for c in "xy"]
+    guests = reach.join(pairs, ["g", "tile"]).where(F.sqrt(sum(v * v for v in gaps)) <= F.col("r"))
+    asked = own.select("g", "tile", "x", "y", "n", "own").union(guests.select("g", "to", "x", "y", "n", F.lit(False)))
+    near = asked.groupBy("g", "tile").applyInArrow(_nearest(k, "d", False), f"{kind}, d array<double>")
+    d = F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k)
+    return near.groupBy("g", "x", "y").agg(d.alias("d")).where(F.size("d") > 0).withColumn("d", F.element_at("d", -1))

@@ -174,6 +174,33 @@ def test_spanning_trees():
         assert np.allclose(np.sort(shapes.spanning_edges(p)), np.sort(prim(p)))
 
 
+def test_neighbours_in_the_plane_need_no_whole_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.normal(size=(300, 2)), rng.normal(size=(60, 2)) * 1e-3 + 2, rng.integers(0, 3, (90, 2)), rng.normal(size=(9, 2)) * 90, np.ones((40, 2))]).astype(float)
+    groups = {0: p, 1: p[:1], 2: p[:4], 3: np.zeros((50, 2)), 4: p[300:420]}
+    real = shapes._nearest
+
+    def bounded(*how):
+        run = real(*how)
+
+        def checked(t):
+            if t.column("own").to_numpy(zero_copy_only=False).sum() > 16:
+                raise ValueError("a whole group")
+            return run(t)
+
+        return checked
+
+    monkeypatch.setattr(shapes, "_nearest", bounded)
+    rows = [(g, *map(float, v)) for g, q in groups.items() for v in q]
+    df = spark.createDataFrame([*rows, (0, None, 1.0), (2, float("nan"), 1.0)], "g int, x double, y double")
+    got = {(r.g, r.x, r.y): r.d for r in shapes.kth_distances(df, "g", "x", "y", 5, size=16).collect()}
+    want = {}
+    for g, q in groups.items():
+        d = np.sort(np.sqrt(((q[:, None] - q[None]) ** 2).sum(-1)), axis=1)[:, 1:]
+        want |= {(g, *map(float, v)): d[i, min(5, d.shape[1]) - 1] for i, v in enumerate(q) if d.shape[1]}
+    assert got == want
+
+
 def test_maps_keep_neighbours():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=(40, 10)) * 0.1 + rng.normal(size=10) * 4 for _ in range(4)])
