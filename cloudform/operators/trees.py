@@ -1,8 +1,8 @@
 """Minimum spanning trees of groups of vectors, and density clusters from the tree's hierarchy, for groups of any size.
 
-The tree: rounds of Boruvka over a grid of blocks of two chunks of vectors. A block gives the least edge that leaves each
+The tree: rounds of Boruvka over a grid of blocks of two chunks of vectors, compared piece by piece. A block gives the least edge that leaves each
 component it sees, Spark takes the least of all blocks, and components that edges join get one name by pointer jumping.
-Exact; each round compares all pairs of a group but those of blocks that lie in one component.
+Exact; each round compares all pairs of a group but those of pieces that lie in one component.
 
 The hierarchy: the edges of each group are numbered by length and climbed range by range. What a range leaves of a group
 is a row for each component (size, open cluster, sums), so a task holds one range's edges and the components they touch.
@@ -19,7 +19,8 @@ from ..sources.scratch import written
 from .cloud import column_matrix
 from .entities import numbered
 
-CHUNK = 2048  # vectors of a chunk; a block's matrix has 32 MB
+CHUNK = 8192  # vectors of a chunk; each vector travels once for each chunk of its group
+PIECE = 2048  # vectors of a block's side that are compared at once; a matrix has 32 MB
 RANGE = 1 << 16  # edges of a group that a task climbs at once
 LEAST = 1e-9  # shorter edges count as this long, so that the density of equal vectors is a number
 
@@ -31,67 +32,90 @@ def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
     return own.select("g", "id", "u", "chunk", F.least("chunk", "other").alias("row"), F.greatest("chunk", "other").alias("col"))
 
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the vectors of both chunks of a block, and the distances between them; infinite for one and the same."""
+def _pieces(t: pa.Table, size: int, comp: np.ndarray | None = None):
+    """Places of vectors of both chunks of a block, piece by piece, and the distances between them; infinite for one and the same.
+
+    Each pair of different vectors is in one piece. Pieces that lie in one component are left out.
+    """
     chunk, x = t.column("chunk").to_numpy(), column_matrix(t, "u")
     row, col = (t.column(c)[0].as_py() for c in ("row", "col"))
-    p, q = np.flatnonzero(chunk == row), np.flatnonzero(chunk == col)
-    a, b = x[p], x[q]
-    d = a @ b.T
-    d *= -2
-    d += (a**2).sum(1)[:, None]
-    d += (b**2).sum(1)[None]
-    np.sqrt(np.maximum(d, 0, out=d), out=d)
-    if row == col:
-        d = np.maximum(d, d.T)  # both ways the same number
-        np.fill_diagonal(d, np.inf)
-    return p, q, d
+    rows, cols = np.flatnonzero(chunk == row), np.flatnonzero(chunk == col)
+    for i in range(0, len(rows), size):
+        for j in range(i if row == col else 0, len(cols), size):
+            p, q = rows[i : i + size], cols[j : j + size]
+            if comp is not None and (comp[p] == comp[p[0]]).all() and (comp[q] == comp[p[0]]).all():
+                continue
+            a, b = x[p], x[q]
+            d = a @ b.T
+            d *= -2
+            d += (a**2).sum(1)[:, None]
+            d += (b**2).sum(1)[None]
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            if row == col and i == j:
+                d = np.maximum(d, d.T)  # both ways the same number
+                np.fill_diagonal(d, np.inf)
+                yield p, q, d, ((p, q, d),)
+            else:
+                yield p, q, d, ((p, q, d), (q, p, d.T))
 
 
 def core_distances(rows: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """(g, id, core) of rows(g, id, u): the distance to the k-th other vector of the group, or to the last if there are fewer."""
 
+    piece = PIECE
+
     def run(t: pa.Table) -> pa.Table:
-        p, q, d = _sides(t)
-        ids, out, val = t.column("id").to_numpy(), [], []
-        for at, m in ((p, d), (q, d.T)) if t.column("row")[0] != t.column("col")[0] else ((p, d),):
-            best = np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1) if m.shape[1] else np.zeros((len(at), 0))
-            out.append(np.repeat(ids[at], best.shape[1]))
-            val.append(best.ravel())
+        ids, out, val = t.column("id").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0)]
+        for _, _, _, ways in _pieces(t, piece):
+            for at, _, m in ways:
+                best = np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k]
+                out.append(np.repeat(ids[at], best.shape[1]))
+                val.append(best.ravel())
         out, val = np.concatenate(out), np.concatenate(val)
-        out, val = out[np.isfinite(val)], val[np.isfinite(val)]
-        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(out), pa.string()), "id": out, "d": val})
+        by = np.lexsort((val, out))
+        by = by[np.isfinite(val[by])]
+        start = np.flatnonzero(np.diff(out[by], prepend=out[by][:1] - 1))
+        by = by[np.arange(len(by)) - np.repeat(start, np.diff(start, append=len(by))) < k]  # the k least of each
+        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(by), pa.string()), "id": out[by], "d": val[by]})
 
     found = _dealt(rows, chunk).groupBy("g", "row", "col").applyInArrow(run, "g string, id long, d double")
     near = found.withColumn("rank", F.row_number().over(Window.partitionBy("g", "id").orderBy("d"))).where(F.col("rank") <= k)
     return near.groupBy("g", "id").agg(F.max("d").alias("core"))
 
 
-def _outgoing(t: pa.Table) -> pa.Table:
+def _outgoing(size: int):
     """The least edge out of each component of a block by (length, lower id, higher id)."""
-    none = {"g": pa.array([], pa.string()), "c": np.zeros(0, np.int64), "w": np.zeros(0), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
-    comp = t.column("c").to_numpy()
-    if (comp == comp[0]).all():
-        return pa.table(none)
-    p, q, d = _sides(t)
-    if not len(p) or not len(q):
-        return pa.table(none)
-    ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
-    np.maximum(d, core[p][:, None], out=d)
-    np.maximum(d, core[q][None], out=d)
-    d[comp[p][:, None] == comp[q][None]] = np.inf
-    c, w, a, b = [], [], [], []
-    for at, to, m in ((p, q, d), (q, p, d.T)):
-        low = m.min(1)
-        i, j = np.nonzero((m == low[:, None]) & np.isfinite(low)[:, None])
-        c.append(comp[at[i]])
-        w.append(m[i, j])
-        a.append(np.minimum(ids[at[i]], ids[to[j]]))
-        b.append(np.maximum(ids[at[i]], ids[to[j]]))
-    c, w, a, b = map(np.concatenate, (c, w, a, b))
+
+    def run(t: pa.Table) -> pa.Table:
+        comp = t.column("c").to_numpy()
+        none = np.zeros(0, np.int64)
+        c, w, a, b = [none], [np.zeros(0)], [none], [none]
+        if (comp != comp[0]).any():
+            ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
+            for p, q, d, ways in _pieces(t, size, comp):
+                np.maximum(d, core[p][:, None], out=d)
+                np.maximum(d, core[q][None], out=d)
+                d[comp[p][:, None] == comp[q][None]] = np.inf
+                for at, to, m in ways:
+                    low = m.min(1)
+                    i, j = np.nonzero((m == low[:, None]) & np.isfinite(low)[:, None])
+                    c.append(comp[at[i]])
+                    w.append(m[i, j])
+                    a.append(np.minimum(ids[at[i]], ids[to[j]]))
+                    b.append(np.maximum(ids[at[i]], ids[to[j]]))
+                c, w, a, b = _least(c, w, a, b)
+        c, w, a, b = map(np.concatenate, (c, w, a, b))
+        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(c), pa.string()), "c": c, "w": w, "a": a, "b": b})
+
+    return run
+
+
+def _least(*parts: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Of edges (component, length, lower id, higher id) the least of each component."""
+    c, w, a, b = map(np.concatenate, parts)
     by = np.lexsort((b, a, w, c))
     by = by[np.concatenate([[True], c[by][1:] != c[by][:-1]])] if len(by) else by
-    return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(by), pa.string()), "c": c[by], "w": w[by], "a": a[by], "b": b[by]})
+    return [[v[by]] for v in (c, w, a, b)]
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -114,7 +138,7 @@ def _tree(rows: DataFrame, cores: DataFrame, chunk: int) -> DataFrame:
     comps = written(rows.select("g", "id", F.col("id").alias("c")))
     edges = None
     while True:
-        found = points.join(comps, ["g", "id"]).groupBy("g", "row", "col").applyInArrow(_outgoing, "g string, c long, w double, a long, b long")
+        found = points.join(comps, ["g", "id"]).groupBy("g", "row", "col").applyInArrow(_outgoing(PIECE), "g string, c long, w double, a long, b long")
         least = written(found.groupBy("g", "c").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("g", "c", "e.*"))
         if not least.limit(1).count():
             return edges if edges is not None else least.select("g", "a", "b", "w")

@@ -117,3 +117,19 @@ def test_none(spark, data):
     assert trees.density_clusters(df.limit(0), "label_", "n", "v").count() == 0
     with pytest.raises(ValueError):
         trees.density_clusters(df, "label_", "n", "v", least=1)
+
+
+def test_blocks_are_compared_piece_by_piece(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 4))
+    x[5] = x[6]
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, n long, v array<double>")
+    for piece, chunk in ((16, 1 << 13), (7, 40)):
+        monkeypatch.setattr(trees, "PIECE", piece)
+        for k in (0, 4):
+            got = sorted((r.w, r.a, r.b) for r in trees.spanning_tree(df, "g", "n", "v", k=k, chunk=chunk).collect())
+            want = kruskal(reach(x, k))
+            assert np.allclose([w for w, _, _ in got], [w for w, _, _ in want], atol=1e-7)
+            assert k or {e[1:] for e in got} == {e[1:] for e in want}
+    many = spark.range(5000).selectExpr("'a' AS g", "id", "array(0.0D) AS u")
+    assert trees._dealt(many, trees.CHUNK).count() == 5000  # no copies: one chunk holds them
