@@ -96,24 +96,39 @@ def seeds(points: DataFrame, k: int, seed: int = 0, passes: int = 4) -> np.ndarr
     return _weighted_start(c, np.maximum(weight, 1e-9), k, np.random.default_rng(seed))
 
 
-def lloyd(points: DataFrame, start: np.ndarray, rounds: int = 100, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
-    """Centres of points(x) and the sum of squared distances to them. A centre that loses all rows stays where it is."""
-    c = start
-    for _ in range(rounds):
+def lloyds(points: DataFrame, starts: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> list[tuple[np.ndarray, float]]:
+    """Centres of points(x) and the sum of squared distances to them, from each start. One pass a round serves all that still move.
 
-        def part(x, c=c):
-            y = squares(x, c).argmin(1)
-            one = np.hstack([np.ones((len(x), 1)), x])
-            return {int(j): one[y == j].sum(0) for j in np.unique(y)}
-
-        got, new = _summed(points, part), c.copy()
-        for j, v in got.items():
-            new[j] = v[1:] / v[0]
-        moved = np.abs(new - c).max()
-        c = new
-        if moved <= tolerance * max(np.abs(c).max(), 1e-300):
+    A centre that loses all rows stays where it is.
+    """
+    c, moving, wide = list(starts), list(range(len(starts))), max(map(len, starts))
+    for _ in range(rounds):
+        now = {r: c[r] for r in moving}
+
+        def part(x, now=now):
+            one, out = np.hstack([np.ones((len(x), 1)), x]), {}
+            for r, centres in now.items():
+                y = squares(x, centres).argmin(1)
+                out |= {r * wide + int(j): one[y == j].sum(0) for j in np.unique(y)}
+            return out
+
+        got, moving = _summed(points, part), []
+        for r in now:
+            new = c[r].copy()
+            for j in range(len(new)):
+                if (v := got.get(r * wide + j)) is not None:
+                    new[j] = v[1:] / v[0]
+            if np.abs(new - c[r]).max() > tolerance * max(np.abs(new).max(), 1e-300):
+                moving.append(r)
+            c[r] = new
+        if not moving:
             break
-    return c, _cost(points, c)
+    cost = _summed(points, lambda x: {r: np.array([squares(x, centres).min(1).sum()]) for r, centres in enumerate(c)})
+    return [(centres, float(cost[r][0])) for r, centres in enumerate(c)]
+
+
+def lloyd(points: DataFrame, start: np.ndarray, rounds: int = 100, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+    return lloyds(points, [start], rounds, tolerance)[0]
 
 
 def _usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -140,8 +155,8 @@ def kmeans_clusters(rows: DataFrame, id_: str, vector: str, k: int, *, start: np
     kind = rows.schema[id_].dataType.simpleString()
     if not points.limit(1).count():
         return rows.sparkSession.createDataFrame([], f"`{id_}` {kind}, cluster int, d2 double")
-    runs = [lloyd(points, start if start is not None else seeds(points, k, seed + r), rounds) for r in range(1 if start is not None else restarts)]
-    c = min(runs, key=lambda r: r[1])[0]
+    starts = [start] if start is not None else [seeds(points, k, seed + r) for r in range(restarts)]
+    c = min(lloyds(points, starts, rounds), key=lambda r: r[1])[0]
 
     def label(x):
         d = squares(x, c)

@@ -53,3 +53,19 @@ def test_few_rows_and_none(spark):
     two = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [5.0, 1.0])], "id long, x array<double>")
     assert sorted(r.d2 for r in partitioned.kmeans_clusters(two, "id", "x", 9).collect()) == [0, 0, 0]
     assert partitioned.kmeans_clusters(two.limit(0), "id", "x", 2).count() == 0 and partitioned.mixture_clusters(two.limit(0), "id", "x", 2).count() == 0
+
+
+def test_restarts_share_their_passes(spark, data, monkeypatch):
+    x, df = data
+    points = partitioned._usable(df, "id", "x")
+    starts, calls, real = [x[[0, 1, 2, 90]], x[[0, 100, 200]], x[:2]], [], partitioned._summed
+    monkeypatch.setattr(partitioned, "_summed", lambda *a: calls.append(1) or real(*a))
+    alone, needed = [], []
+    for s in starts:
+        alone.append(partitioned.lloyd(points, s))
+        needed.append(len(calls) - sum(needed))
+    calls.clear()
+    got = partitioned.lloyds(points, starts)
+    assert len(calls) == max(needed) < sum(needed)
+    for (c, cost), (want, least) in zip(got, alone, strict=True):
+        assert c == pytest.approx(want) and cost == pytest.approx(least)
