@@ -165,11 +165,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK):
         i = min(j, n)
 
 
-def batches(frames, text: str = "text"):
+def batches(frames, text: str = "text", most: int = CHUNK):
     """(batch, first row, row after the last, bytes, offsets) over pieces of bounded size of an Arrow stream."""
     for batch in frames:
         data, offsets = flat(batch.column(batch.schema.get_field_index(text)))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, most):
             yield batch, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
     release()
 
@@ -206,7 +206,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, CHUNK + 1)
+            size = max(n + 1, 2 * len(self.up))
             inverse = pow(BASE, -1, 1 << 64)
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size, b, U)])) for b in (BASE, inverse))
         return self.up, self.down

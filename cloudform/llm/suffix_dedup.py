@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Powers, Scratch, U, batches, bitmap, blob, chunks, column, flat, longs, marked, mix, parts, release, sieved
+from ._base import Powers, Scratch, U, batches, blob, chunks, column, flat, longs, mix, parts, release, sieved
 
 PIECE = 64
 POSITION = 24  # bits; longer texts are cut in pieces of 2**23 strings
-ENTRIES = 1 << 18
+WINDOW = 1 << 17  # bytes of texts whose tiles are made at once, some 70 bytes of arrays for each
+ENTRIES = 1 << 17
 SHARD = 1 << 19
 HELD = 1 << 23  # bytes of whole texts that a shard holds at most, but for one text
 LANES = 2048
@@ -81,8 +82,9 @@ def tile_blocks(length: int, buckets: int):
         return pa.RecordBatch.from_pydict(packed(bucket[by], k1=k1[by], k2=k2[by], start=start[by], count=count[by], piece=piece[by], whole=whole[by]))
 
     def run(frames):
+        release()  # what an earlier task of this worker left
         powers, held, n = Powers(), [], 0
-        for batch, i, j, data, offsets in batches(frames):
+        for batch, i, j, data, offsets in batches(frames, most=WINDOW):
             owner, start, count, piece, whole = tiles(data, offsets, length, powers)
             k1, k2 = longs(batch, "k1")[i:j], longs(batch, "k2")[i:j]
             held.append((k1[owner], k2[owner], start.astype(np.uint32), count.astype(np.uint16), piece, whole))
@@ -92,6 +94,8 @@ def tile_blocks(length: int, buckets: int):
                 held, n = [], 0
         if n:
             yield pack(held)
+        held = []
+        release()
 
     return run
 
@@ -127,14 +131,6 @@ def lists(array: pa.Array, field: str | None = None):
     return values.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
 
 
-def opened(wanted):
-    def run(frames):
-        for batch in frames:
-            yield marked(batch, "k2", wanted.value)
-
-    return run
-
-
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -394,8 +390,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     states = states.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count", "state")).alias("tiles"))
     states = s.put(states, "states")
     is_open = states.where(F.exists("tiles", lambda x: x.state > 1))
-    wanted = spark.sparkContext.broadcast(bitmap(is_open, "k2"))
-    own = texts.select("k1", "k2", "text").mapInArrow(opened(wanted), f"{KEYS}, text string")
+    own, _ = sieved(texts.select("k1", "k2", "text"), F.col("k2"), is_open, F.col("k2"))  # by Spark itself: no text passes a worker here
     sent = own.join(is_open, ["k1", "k2"]).mapInArrow(shard_runs(length, 4 * dealt), "bucket int, prints binary, index binary, at binary, d1 binary, d2 binary, known binary")
     far = sent.repartition(dealt, "bucket").groupBy("bucket").applyInArrow(across(dealt), "bucket int, d1 binary, d2 binary, at binary")
     found = far.groupBy("bucket").applyInArrow(by_text, f"{KEYS}, found binary")

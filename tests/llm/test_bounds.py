@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -103,3 +104,16 @@ def test_counts_of_words_travel_without_hashes():
     batch = pa.RecordBatch.from_pydict({"text": ["a bb a", "Bb"], "part": [0, 1]})
     (got,) = toxicity.counted("part")(iter([batch]))
     assert sorted(zip(*got.to_pydict().values(), strict=True)) == [(b"a", 2, 0, 0), (b"bb", 1, 1, 0)]
+
+
+def test_tiles_take_bounded_memory():
+    """What a task of the suffix arrays' first pass holds beside its batch, for texts of 2 MB."""
+    rng = np.random.default_rng(5)
+    batch = pa.RecordBatch.from_pydict({"k1": np.arange(500), "k2": np.arange(500), "text": [bytes(rng.integers(97, 123, 4096, np.uint8)).decode() for _ in range(500)]})
+    run = suffix_dedup.tile_blocks(200, 128)
+    sum(len(x) for x in run([batch.slice(0, 5)]))
+    tracemalloc.start()
+    entries = sum(len(v.as_py()) // 8 for x in run([batch]) for v in x.column(x.schema.get_field_index("piece")))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert entries > 20000 and most < 20 << 20
