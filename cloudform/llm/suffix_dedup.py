@@ -166,35 +166,39 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doubles.
     """
     n = len(data)
-    wide = np.concatenate([data.astype(U) + U(1), np.zeros(7, U)])
+    wide = np.concatenate([data.astype(np.uint16) + np.uint16(1), np.zeros(7, np.uint16)])
     key = np.zeros(n, U)
     for k in range(7):
-        key = key << U(9) | wide[k : n + k]
-    order = np.argsort(key, kind="stable")
+        key <<= U(9)
+        key |= wide[k : n + k]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    new[1:] = key[1:] != key[:-1]
+    del wide, key
+    spots, zero = np.arange(n, dtype=np.int32), np.int32(0)
+    head = np.maximum.accumulate(np.where(new, spots, zero))
+    rank = np.empty(n, np.int32)
     rank[order] = head
     h = 7
     while True:
         tied = ~new
         tied[:-1] |= ~new[1:]
-        places = np.flatnonzero(tied)
+        places = np.flatnonzero(tied).astype(np.int32)
         if not len(places):
             break
         own = order[places]
-        then = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
+        then = np.where(own < n - h, rank[np.minimum(own, n - 1 - min(h, n - 1)) + min(h, n - 1)] + 1, zero)
         by = np.lexsort((then, rank[own]))
         own, then = own[by], then[by]
         group = rank[own]
         order[places] = own
         new[places] = np.concatenate([[True], (group[1:] != group[:-1]) | (then[1:] != then[:-1])])
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        head = np.maximum.accumulate(np.where(new, spots, zero))
         rank[own] = head[places]
         h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = spots
     return order, place
 
 
@@ -205,14 +209,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, most
     suffix, less one.
     """
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     text = np.concatenate([data.astype(np.int16), np.arange(-1, -2, -1, dtype=np.int16)])
     lanes = min(LANES, n)
     at = np.linspace(0, n, lanes + 1).astype(np.int64)
     at, stop = at[:-1].copy(), at[1:]
     h = np.zeros(lanes, np.int64)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(at < stop)
     while len(live):
         i = at[live]
@@ -234,7 +238,7 @@ def shard_runs(length: int, buckets: int):
 
     def shard(held, powers):
         k1, k2, texts, starts, counts, states = zip(*held, strict=True)
-        pieces, spots, owner, is_open = [], [], [], []
+        pieces, spots, owner, place_of, is_open = [], [], [], [], []
         base = 0
         for d, (text, s, c, q) in enumerate(zip(texts, starts, counts, states, strict=True)):
             use = q >= 2
@@ -245,15 +249,16 @@ def shard_runs(length: int, buckets: int):
             cut = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)  # far apart: regions of their own
             for a, z in zip(cut, np.append(cut, len(at))[1:], strict=True):
                 pieces.append(text[at[a] : at[z - 1] + length])
-                spots.append(at[a:z] - at[a] + base)
+                spots.append((at[a:z] - at[a] + base).astype(np.int32))
                 base += len(pieces[-1])
-            owner.append(np.full(len(at), d))
-            is_open.append(np.stack([at, np.repeat(q == 3, c)], 1))
-        data, spots, owner = np.concatenate(pieces), np.concatenate(spots), np.concatenate(owner)
-        at, is_open = np.concatenate(is_open).T
-        is_open = is_open.astype(bool)
+            owner.append(np.full(len(at), d, np.int32))
+            place_of.append(at.astype(np.uint32))
+            is_open.append(np.repeat(q == 3, c))
+        data, spots, owner, at, is_open = (np.concatenate(x) for x in (pieces, spots, owner, place_of, is_open))
+        del pieces, place_of
         order, place = suffix_array(data)
-        kind = np.cumsum(common_prefixes(data, order, place, length) < length)[place[spots]]
+        kind = np.cumsum(common_prefixes(data, order, place, length) < length, dtype=np.int32)[place[spots]]
+        del order, place
         _, first, kind, n = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
         found = is_open & (n[kind] > 1)
         k1, k2 = np.array(k1, np.int64), np.array(k2, np.int64)
@@ -262,7 +267,7 @@ def shard_runs(length: int, buckets: int):
         ends = np.append(cut, len(hit))[1:].astype(np.int64)
         whose = owner[hit[cut]]
         local = {"bucket": pa.array((mix(k2[whose].view(U), 44) % U(buckets)).astype(np.int32)), "d1": blob([x.tobytes() for x in k1[whose]]), "d2": blob([x.tobytes() for x in k2[whose]]),
-                 "known": blob([at[hit[a:z]].astype(np.uint32).tobytes() for a, z in zip(cut, ends, strict=True)])}
+                 "known": blob([at[hit[a:z]].tobytes() for a, z in zip(cut, ends, strict=True)])}
         sums = powers.sums(data)
         prints = powers.hashes(sums, spots[first], spots[first] + length)
         asks = is_open[first] & (n == 1)
@@ -274,7 +279,7 @@ def shard_runs(length: int, buckets: int):
         for a, z in zip(cut, np.append(cut, len(bucket))[1:], strict=True):
             asked = f[a : a + asks[a:z].sum()]
             docs, index = np.unique(owner[asked], return_inverse=True)
-            rows.append((bucket[a], prints[a:z].tobytes(), index.astype(np.uint32).tobytes(), at[asked].astype(np.uint32).tobytes(), k1[docs].tobytes(), k2[docs].tobytes()))
+            rows.append((bucket[a], prints[a:z].tobytes(), index.astype(np.uint32).tobytes(), at[asked].tobytes(), k1[docs].tobytes(), k2[docs].tobytes()))
         b, p, i, s, d1, d2 = zip(*rows, strict=True)
         return local, {"bucket": pa.array(np.array(b, np.int32)), "prints": blob(p), "index": blob(i), "at": blob(s), "d1": blob(d1), "d2": blob(d2)}
 
