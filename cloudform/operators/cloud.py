@@ -15,7 +15,8 @@ from ..functions.vec import EPS, centroids, cosine_distance, listed, matrices, n
 from ..sources.scratch import settle
 from .quantiles import MOST, group_percentiles
 
-CAP = 2048  # vectors of a block; a group of more is dealt over a grid of blocks
+CAP = 8192  # vectors of a chunk; a group of more is dealt over a grid of blocks of two chunks
+PIECE = 2048  # vectors of a chunk that are compared with 512 others at once
 
 
 def _with_units(frames):
@@ -65,19 +66,34 @@ def column_matrix(table: pa.Table, name: str) -> np.ndarray:
     return x
 
 
-def _best(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, k: int):
-    """(row of x, row of y, distance) of the k nearest of each row, ties by id."""
+def _best(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, k: int, same: bool):
+    """(row of x, row of y, distance) of the k nearest of each row, ties by id. same: x and y are one chunk.
+
+    Pieces of y come one by one. Only the first is searched for its k nearest; of the others only what is not farther than
+    the k-th so far is looked at, with room for the rounding.
+    """
     for a in range(0, len(x), 512):
-        d = np.clip(1 - x[a : a + 512] @ y.T, 0, 2)
-        d[ids_x[a : a + 512][:, None] == ids_y[None, :]] = np.inf
-        near = np.round(d, 12)
-        cut = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
-        r, c = np.nonzero((near <= cut[:, None]) & np.isfinite(near))
-        by = np.lexsort((ids_y[c], near[r, c], r))
-        r, c = r[by], c[by]
-        first = np.flatnonzero(np.diff(r, prepend=-1))
-        keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
-        yield r[keep] + a, c[keep], d[r[keep], c[keep]]
+        rows = x[a : a + 512]
+        cut, r, c, d = np.full(len(rows), np.inf), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in range(0, len(y), PIECE):
+            m = 1 - rows @ y[b : b + PIECE].T
+            if same:
+                m[ids_x[a : a + 512][:, None] == ids_y[b : b + PIECE][None, :]] = np.inf
+            if b == 0:
+                cut = np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, min(k, m.shape[1]) - 1]
+                cut = np.maximum(cut, 0) + 2e-12
+            i, j = np.nonzero((m <= cut[:, None]) & (m < np.inf))
+            r, c, d = np.append(r, i), np.append(c, j + b), np.append(d, np.clip(m[i, j], 0, 2))
+            near = np.round(d, 12)
+            by = np.lexsort((ids_y[c], near, r))
+            first = np.searchsorted(r[by], np.arange(len(rows)))
+            by = by[np.arange(len(by)) - first[r[by]] < k]
+            r, c, d = r[by], c[by], d[by]
+            last = np.searchsorted(r, np.arange(len(rows)), "right")
+            full = np.bincount(r, minlength=len(rows)) >= k
+            cut = np.full(len(rows), np.inf)
+            cut[full] = d[last[full] - 1] + 2e-12
+        yield r + a, c, d
 
 
 def _nearest(k: int):
@@ -88,7 +104,7 @@ def _nearest(k: int):
         for one, two in {(row, col), (col, row)}:
             q, c = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
             if len(q) and len(c):
-                out += [(ids[q[i]], ids[c[j]], d) for i, j, d in _best(u[q], u[c], ids[q], ids[c], k)]
+                out += [(ids[q[i]], ids[c[j]], d) for i, j, d in _best(u[q], u[c], ids[q], ids[c], k, one == two)]
         src, dst, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
         return pa.table({"g": pa.array([group.column("g")[0].as_py()] * len(src), pa.string()), "src": src, "dst": dst, "d": d})
 

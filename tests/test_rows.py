@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,26 @@ def test_silhouettes_in_blocks(spark, monkeypatch):
         assert got[i] == pytest.approx(0 if own is None else (other - own) / max(own, other))
 
 
+def test_neighbours_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(cloud, "PIECE", 7, raising=False)
+    u = np.random.default_rng(5).integers(-1, 2, (60, 3)).astype(float) + 0.25  # many ties
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = np.random.default_rng(6).permutation(60)
+    d = np.round(np.clip(1 - u @ u.T, 0, 2), 12)
+    for k in (1, 4, 70):
+        for q, c in ((slice(0, 60), slice(0, 60)), (slice(0, 25), slice(25, 60))):
+            got = [(ids[q][i], ids[c][j]) for r, t, _ in cloud._best(u[q], u[c], ids[q], ids[c], k, q == c) for i, j in zip(r, t, strict=True)]
+            want = [(i, ids[c][j]) for n, i in enumerate(ids[q]) for j in [j for j in np.lexsort((ids[c], d[q, c][n])) if ids[c][j] != i][:k]]
+            assert got == want
+
+
+def test_neighbours_send_few_copies(spark, monkeypatch):
+    """A vector travels once for each chunk of its group, and each chunk answers with k rows for it."""
+    monkeypatch.setattr(cloud, "_nearest", lambda k: lambda t: pa.table({"g": t.column("g")[:1], "src": [t.column("row")[0].as_py() * 100 + t.column("col")[0].as_py()], "dst": [len(t)], "d": [0.0]}))
+    r = spark.range(5000).select("id", F.lit(0).alias("g"), F.array(F.lit(1.0), F.lit(0.0)).alias("u"))
+    assert sum(x.dst for x in cloud.neighbours(r, "g", "id", 4).collect()) == 5000
+
+
 def test_neighbours_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(cloud, "CAP", 16)
     x = np.random.default_rng(4).normal(size=(70, 5))
