@@ -1,12 +1,15 @@
-"""Maps of groups of vectors in the plane, and how well they keep neighbourhoods. A map fits in one task: rows by group are bounded."""
+"""Maps of groups of vectors in the plane, of all their rows, and how well they keep neighbourhoods. Small groups are mapped in one task each, large ones by all tasks together."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.scratch import written
+from . import together
 from .cloud import column_matrix
 from .models import gaps
 
@@ -109,14 +112,16 @@ def trustworthiness(d: np.ndarray, y: np.ndarray, k: int = 5) -> float | None:
     return float(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * over)
 
 
-def projections(rows: DataFrame, group: str, id_: str, vector: str, methods: tuple[str, ...] = METHODS, *, most: int = 3000, seed: int = 0) -> DataFrame:
-    """(group, method, id, x, y, n, trustworthiness) of each group's map by each method.
+def projections(rows: DataFrame, group: str, id_: str, vector: str, methods: tuple[str, ...] = METHODS, *, alone: int = 1000, batch: int = together.BATCH) -> DataFrame:
+    """(group, method, id, x, y, n, trustworthiness) of each group's map by each method, of all its rows.
 
-    A map takes at most `most` rows of a group, those of the smallest hashes of their ids: that is the operator's own bound.
+    A group of at most `alone` rows is mapped in one task; larger ones by all tasks together, in batches of groups. Each
+    batch is one barrier stage, so dynamic allocation must be off, and the folder for tables must be one pyarrow can open.
     """
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"unknown methods {sorted(unknown)}; of {', '.join(METHODS)}")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), id_), id_)
-    some = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select(group, id_, F.col(vector).alias("v"), F.explode(F.array(*map(F.lit, methods))).alias("method"))
+    shape = f"{group} {kinds[group]}, method string, {id_} {kinds[id_]}, x double, y double, n long, trustworthiness double"
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([(id_, "ascending")])
@@ -126,7 +131,22 @@ def projections(rows: DataFrame, group: str, id_: str, vector: str, methods: tup
         trust = trustworthiness(gaps(x), y) if many > 1 else None
         return pa.table({group: t.column(group), "method": t.column("method"), id_: t.column(id_), "x": y[:, 0], "y": y[:, 1], "n": [many] * many, "trustworthiness": pa.array([trust] * many, pa.float64())})
 
-    return some.groupBy(group, "method").applyInArrow(run, f"{group} {kinds[group]}, method string, {id_} {kinds[id_]}, x double, y double, n long, trustworthiness double")
+    def small(some: DataFrame) -> DataFrame:
+        return some.select(group, id_, F.col(vector).alias("v"), F.explode(F.array(*map(F.lit, methods))).alias("method")).groupBy(group, "method").applyInArrow(run, shape)
+
+    large = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > alone).select(group, "n").sort(F.desc("n"), group).collect()
+    if not large:
+        return small(rows)
+    spark = rows.sparkSession
+    keys = spark.createDataFrame([(r[0], g) for g, r in enumerate(large)], T.StructType([T.StructField("_of", rows.schema[group].dataType), T.StructField("_at", T.IntegerType())]))
+    is_of = F.col(group).eqNullSafe(F.col("_of"))
+    out = small(rows.join(F.broadcast(keys), is_of, "left_anti"))
+    for places in together.batches([r.n for r in large], batch):
+        one = keys.where(F.col("_at").isin(places))
+        some = written(rows.join(F.broadcast(one), is_of).select(F.col("_at").alias("g"), F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")))
+        made = written(together.stage(some, kinds[id_], methods, pca, fixed_signs))
+        out = out.unionByName(made.join(F.broadcast(one), F.col("g") == F.col("_at")).select(F.col("_of").alias(group), "method", F.col("id").alias(id_), "x", "y", "n", "trustworthiness"))
+    return out
 
 
 def with_coordinates(rows: DataFrame, coordinates: DataFrame, id_: str, columns: list[str]) -> DataFrame:
