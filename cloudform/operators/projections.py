@@ -57,8 +57,9 @@ def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
     n = len(d2)
     low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n) / np.maximum(np.median(d2, 1), 1e-12)
     off = ~np.eye(n, dtype=bool)
+    least = np.where(off, d2, np.inf).min(1, keepdims=True)
     for _ in range(60):
-        p = np.exp(-(d2 - np.where(off, d2, np.inf).min(1, keepdims=True)) * beta[:, None]) * off
+        p = np.exp(np.where(off, -(d2 - least) * beta[:, None], -np.inf))
         total = p.sum(1)
         p /= total[:, None]
         entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(1)

@@ -24,6 +24,7 @@ from ..sources.arrays import located
 from .cloud import column_matrix
 
 PIECE = 1 << 18  # pairs that are held at once
+HUB = 64  # edges of a vertex that are followed with those of all others; of copies of one vector a few have the edges of all
 PATIENCE = 300  # seconds for a task's call to the first
 BATCH = 1 << 16  # rows of the groups that go through one stage, but for a single group that has more
 
@@ -264,9 +265,10 @@ def ways(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray, low: int, hig
     order = np.lexsort((length, at[i]))
     start, to, length = np.cumsum(degree[by]) - degree[by], at[j[order]], length[order]
     slots = []
-    for s in range(degree.max(initial=0)):
+    for s in range(min(degree.max(initial=0), HUB)):
         e = start[: np.count_nonzero(degree > s)] + s
         slots.append((to[e], length[e][:, None]))
+    hubs = [(v, slice(start[v] + HUB, start[v] + degree[by[v]])) for v in range(np.count_nonzero(degree > HUB))]
     for a, b in pieces(low, high, n):
         way = np.full((n, b - a), np.inf)
         way[at[a:b], np.arange(b - a)] = 0
@@ -277,6 +279,8 @@ def ways(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray, low: int, hig
                 step = way[ends]
                 step += long
                 np.minimum(part, step, out=part)
+            for v, e in hubs:
+                np.minimum(way[v], (way[to[e]] + length[e, None]).min(0), out=way[v])
             if (before == way).all():
                 break
         yield a, b, way[at].T
@@ -360,7 +364,7 @@ def probabilities(points: Points, perplexity: float, team: Team, out: Spool) ->
     least, beta, total = team.gathered(np.concatenate([np.zeros((0, 3)), *mine])).T
     for a, b in pieces(low, high, n):
         d = points.levels(a, b)
-        p = np.exp((d - least[a:b, None]) * -beta[a:b, None]) / total[a:b, None]
+        p = np.exp(np.minimum((d - least[a:b, None]) * -beta[a:b, None], 0)) / total[a:b, None]
         d -= least
         d *= -beta
         p += np.exp(np.minimum(d, 0, out=d), out=d) / total

@@ -46,6 +46,18 @@ def test_graphs_that_fall_apart():
     assert (together.widths(points.levels(0, 80), np.arange(80), 10.0)[2] == 19).all()
 
 
+def test_copies_of_one_vector():
+    r = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 5)), 150, 0), r.normal(size=(60, 5))])[r.permutation(210)]
+    points, team, d = together.Points(x), together.Team(), gaps(x)
+    assert gaps(together.isomap(points, projections.pca(x), team)) == pytest.approx(gaps(projections.isomap(d)), abs=1e-6)
+    y = projections.tsne(x, rounds=20)
+    assert np.isfinite(y).all()  # a row's own place overflowed
+    assert together.trusts(points, [y], team) == pytest.approx([projections.trustworthiness(d, y)])
+    found = together.maps([np.ones((50, 3))], projections.METHODS, team, projections.pca, projections.fixed_signs)[0]
+    assert set(found) == set(projections.METHODS) and all((y == 0).all() for y, _ in found.values())
+
+
 def test_large_groups_are_mapped_whole(spark):
     data = [(g, i * 7 % 1000, v.tolist()) for g, n in (("a", 90), (None, 60), ("c", 30), ("d", 1)) for i, v in enumerate(cloud_of(n, seed=n, parts=3 if n > 3 else 1))]
     rows = spark.createDataFrame(data, "g string, id long, v array<double>").repartition(5)
