@@ -113,7 +113,7 @@ def trustworthiness(d: np.ndarray, y: np.ndarray, k: int = 5) -> float | None:
     return float(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * over)
 
 
-def projections(rows: DataFrame, group: str, id_: str, vector: str, methods: tuple[str, ...] = METHODS, *, alone: int = 1000, batch: int = together.BATCH) -> DataFrame:
+def projections(rows: DataFrame, group: str, id_: str, vector: str, methods: tuple[str, ...] = METHODS, *, alone: int = 500, batch: int = together.BATCH) -> DataFrame:
     """(group, method, id, x, y, n, trustworthiness) of each group's map by each method, of all its rows.
 
     A group of at most `alone` rows is mapped in one task; larger ones by all tasks together, in batches of groups. Each
